@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read_table
+from ..session import read_table, spread
 
 BOARDS_PER_SESSION = 32
 # fixed auction templates of the fixture (template 4 is illegal on purpose; p pass, d double, r redouble)
@@ -28,8 +28,8 @@ AUCTION_TEMPLATES = (
 
 def boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session_id, board 1..32, deal_id): one session per supplier."""
-    s = read_table(spark, sf_dir, "supplier").select("s_suppkey")
-    return s.select(
+    s = spark.read.parquet(f"{sf_dir.rstrip('/')}/supplier.parquet").select("s_suppkey")
+    b = s.select(
         F.col("s_suppkey").cast("long").alias("session_id"),
         F.explode(F.sequence(F.lit(1), F.lit(BOARDS_PER_SESSION))).alias("board"),
     ).select(
@@ -37,13 +37,12 @@ def boards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("board").cast("int").alias("board"),
         (F.col("session_id") * 100 + F.col("board")).cast("long").alias("deal_id"),
     )
+    return spread(b)
 
 
 def board_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One played table result per lineitem row."""
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
-    )
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"])
     contract = F.when(F.col("l_partkey") % 97 == 0, F.lit("PASS")).otherwise(
         F.concat(
             (F.col("l_partkey") % 7 + 1).cast("string"),
@@ -83,7 +82,7 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
             c.alias("card"),
         ),
     )
-    b = b.withColumn("shuffled", F.transform(F.array_sort(keyed), lambda x: x["card"]))
+    b = b.withColumn("shuffled", F.transform(F.sort_array(keyed), lambda x: x["card"]))
     ranks = F.lit("AKQJT98765432")
 
     def holding(seat: int, suit: int):
@@ -91,7 +90,7 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.slice(F.col("shuffled"), seat * 13 + 1, 13),
             lambda c: F.floor(c / 13) == suit,
         )
-        return F.array_join(F.transform(F.array_sort(mine), lambda c: F.substring(ranks, (c % 13 + 1).cast("int"), 1)), "")
+        return F.array_join(F.transform(F.sort_array(mine), lambda c: F.substring(ranks, (c % 13 + 1).cast("int"), 1)), "")
 
     hands = [F.concat_ws(".", *[holding(seat, suit) for suit in range(4)]) for seat in range(4)]
     return b.select("deal_id", F.concat(F.lit("N:"), F.concat_ws(" ", *hands)).alias("pbn"))
