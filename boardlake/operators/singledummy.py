@@ -17,29 +17,41 @@ def pair_names() -> F.Column:
     return F.array(F.lit("NS"), F.lit("EW"))
 
 
-def trick_distribution(samples: DataFrame, k=("deal_id", "fixed_pair", "seat", "strain"), tricks: str = "tricks",
-                       lo: int = 0, hi: int = 13) -> DataFrame:
-    """A1: share of samples taking each number of tricks lo..hi, per group ``k`` (0.0 where none).
+def trick_counts(samples: DataFrame, k=("deal_id", "fixed_pair", "seat", "strain"), tricks: str = "tricks",
+                 lo: int = 0, hi: int = 13) -> DataFrame:
+    """A1 (wide): per group ``k`` the number of samples and one count per trick value lo..hi.
 
-    One aggregate with a fixed-size buffer (one conditional count per trick value), then
-    the counts become rows; no join to reindex, and map-side partial aggregation means a
-    group with many samples still ships one row per task.
+    One aggregate with a fixed-size buffer (one conditional count per trick value); map-side
+    partial aggregation means a group with many samples still ships one row per task.
     """
     k = list(k)
-    counts = [F.sum(F.when(F.col(tricks) == t, F.lit(1)).otherwise(F.lit(0))).alias(f"_n{t}") for t in range(lo, hi + 1)]
-    g = samples.groupBy(*k).agg(F.count(F.lit(1)).alias("trials"), *counts)
-    arr = F.array(*[F.struct(F.lit(t).alias("tricks"), F.col(f"_n{t}").alias("n")) for t in range(lo, hi + 1)])
+    counts = [F.sum(F.when(F.col(tricks) == t, F.lit(1)).otherwise(F.lit(0))).cast("long").alias(f"n{t}") for t in range(lo, hi + 1)]
+    return samples.groupBy(*k).agg(F.count(F.lit(1)).alias("trials"), *counts)
+
+
+def trick_distribution(samples: DataFrame, k=("deal_id", "fixed_pair", "seat", "strain"), tricks: str = "tricks",
+                       lo: int = 0, hi: int = 13) -> DataFrame:
+    """A1: share of samples taking each number of tricks lo..hi, per group ``k`` (0.0 where none)."""
+    k = list(k)
+    g = trick_counts(samples, k, tricks, lo, hi)
+    arr = F.array(*[F.struct(F.lit(t).alias("tricks"), F.col(f"n{t}").alias("n")) for t in range(lo, hi + 1)])
     out = g.select(*k, "trials", F.inline(arr))
     return out.withColumn("prob", F.col("n") / F.col("trials").cast("double"))
 
 
-def named_distribution(dist: DataFrame) -> DataFrame:
+def name_codes(df: DataFrame) -> DataFrame:
     """Letters for the fixture's integer codes: pair NS/EW, declarer NESW, strain CDHSN."""
-    return dist.select(
-        "deal_id",
-        F.element_at(pair_names(), F.col("fixed_pair") + 1).alias("pair"),
-        F.substring(F.lit("NESW"), F.col("seat") + 1, 1).alias("declarer"),
-        F.substring(F.lit("CDHSN"), F.col("strain") + 1, 1).alias("strain"),
+    return df.withColumns({
+        "pair": F.element_at(pair_names(), F.col("fixed_pair") + 1),
+        "declarer": F.substring(F.lit("NESW"), F.col("seat") + 1, 1),
+        "strain": F.substring(F.lit("CDHSN"), F.col("strain") + 1, 1),
+    })
+
+
+def named_distribution(dist: DataFrame) -> DataFrame:
+    d = name_codes(dist)
+    return d.select(
+        "deal_id", "pair", "declarer", "strain",
         F.col("tricks").cast("int").alias("tricks"),
         F.col("n").cast("long").alias("n"),
         F.col("trials").cast("long").alias("trials"),
@@ -56,22 +68,42 @@ def ev_score_table(spark: SparkSession) -> DataFrame:
     return t.select("strain", "tricks", "level", "vul", "score")
 
 
-def expected_values(dist: DataFrame, table: DataFrame, key: str = "deal_id") -> DataFrame:
-    """A4: EV of every own-side declarer, strain, level and vulnerability.
+def _ev_score_literal(spark: SparkSession) -> list[int]:
+    """The 980 EV scores in (strain CDHSN, level, vul, tricks) order; a fixed-size table, so
+    bringing it to the driver to become a literal is bounded."""
+    rows = ev_score_table(spark).collect()
+    by = {(r.strain, r.level, bool(r.vul), r.tricks): r.score for r in rows}
+    return [by[(s, lv, v, t)] for s in "CDHSN" for lv in range(1, 8) for v in (False, True) for t in range(14)]
+
+
+def expected_values(counts: DataFrame, key: str = "deal_id", keep_numerator: bool = False) -> DataFrame:
+    """A4: EV of every own-side declarer, strain, level and vulnerability (long form).
 
-    EV = sum over tricks of prob x score (sets doubled), computed as
-    sum(n x score) / trials so the value is exact.  ``dist`` has (key, pair, declarer,
-    strain, tricks, n, trials); the score table is fixed-size, hence broadcast.
+    ``counts`` is the wide output of ``trick_counts`` with letter codes (key, pair,
+    declarer, strain, trials, n0..n13).  EV = sum over tricks of prob x score (made
+    contracts undoubled, sets doubled), computed as sum(n_t x score_t) / trials so the value
+    is exact.  Each counts row yields its 14 (level, vul) rows and each EV is a 14-term dot
+    product with a literal score array (the score table is fixed-size): no join and no
+    shuffle after the counts.
     """
-    own = dist.filter(F.col("pair").contains(F.col("declarer")) & (F.col("n") > 0))
-    j = own.join(F.broadcast(table), on=["strain", "tricks"], how="inner")
-    g = j.groupBy(key, "pair", "declarer", "strain", "level", "vul").agg(
-        F.sum(F.col("n") * F.col("score")).alias("_num"), F.max("trials").alias("_trials"))
-    return g.select(
+    spark = counts.sparkSession
+    lit_scores = F.array(*[F.lit(x) for x in _ev_score_literal(spark)])
+    own = counts.filter(F.col("pair").contains(F.col("declarer")))
+    combos = F.array(*[F.struct(F.lit(lv).alias("level"), F.lit(v).alias("vul_b")) for lv in range(1, 8) for v in (False, True)])
+    e = own.select(key, "pair", "declarer", "strain", "trials", *[f"n{t}" for t in range(14)], F.inline(combos))
+    base = ((F.instr(F.lit("CDHSN"), F.col("strain")) - 1) * 7 + (F.col("level") - 1)) * 28 + F.col("vul_b").cast("int") * 14
+    num = None
+    for t in range(14):
+        term = F.col(f"n{t}") * F.element_at(lit_scores, base + (t + 1))
+        num = term if num is None else num + term
+    cols = [
         key, "pair", "declarer", "strain", F.col("level").cast("int").alias("level"),
-        F.when(F.col("vul"), F.lit("V")).otherwise(F.lit("NV")).alias("vul"),
-        (F.col("_num") / F.col("_trials").cast("double")).alias("ev"),
-    )
+        F.when(F.col("vul_b"), F.lit("V")).otherwise(F.lit("NV")).alias("vul"),
+        (num / F.col("trials").cast("double")).alias("ev"),
+    ]
+    if keep_numerator:
+        cols += [num.cast("long").alias("ev_num"), F.col("trials")]
+    return e.select(*cols)
 
 
 def _column_order() -> F.Column:
@@ -89,25 +121,41 @@ def ev_name(prefix: str = "EV") -> F.Column:
 def best_contracts(ev: DataFrame, key: str = "deal_id") -> DataFrame:
     """A5: max EV and the arg-max contract at four grouping levels, per vulnerability.
 
-    Levels: all contracts; per pair; per pair and declarer; per pair, declarer and strain.
-    One GROUPING SETS aggregate; ties go to the first contract in the reference's column
-    order via ``max_by(name, struct(ev, -order))``.
+    ``ev`` is ``expected_values(..., keep_numerator=True)``.  Levels: per pair, declarer and
+    strain; per pair and declarer; per pair; all contracts.  Ties go to the first contract
+    in the reference's column order (pair NS first, declarer in pair order, SHDCN, level
+    1-7).  Plan: the best level of each (pair, declarer, strain) comes from a hash aggregate
+    of one packed long, numerator x 8 + (7 - level) -- exact, because all levels of a group
+    share its trial count, and the lower level wins ties; partial aggregation folds the 7
+    levels before the shuffle.  The survivors -- 20 per deal and vulnerability, a fixed
+    number, so no deal can be hot -- are hash-partitioned by deal once, three windows mark
+    the declarer, pair and overall winners (the best of a coarser group is the best of its
+    finer winners) reusing that partitioning, and one ``inline`` emits every level's rows.
     """
-    e = ev.withColumns({"_name": ev_name(), "_ord": _column_order()})
-    sets = [
-        [F.col(key), F.col("vul")],
-        [F.col(key), F.col("vul"), F.col("pair")],
-        [F.col(key), F.col("vul"), F.col("pair"), F.col("declarer")],
-        [F.col(key), F.col("vul"), F.col("pair"), F.col("declarer"), F.col("strain")],
-    ]
-    g = e.groupingSets(sets, key, "vul", "pair", "declarer", "strain").agg(
-        F.max("ev").alias("ev_max"),
-        F.max_by("_name", F.struct(F.col("ev"), -F.col("_ord"))).alias("ev_max_col"),
-        F.grouping_id().alias("_gid"),
-    )
-    level = (F.when(F.col("_gid") == 7, F.lit("all")).when(F.col("_gid") == 3, F.lit("pair"))
-             .when(F.col("_gid") == 1, F.lit("declarer")).otherwise(F.lit("strain")))
-    return g.select(key, "vul", level.alias("grouping"), "pair", "declarer", "strain", "ev_max", "ev_max_col")
+    packed = F.col("ev_num") * 8 + (7 - F.col("level"))
+    g = ev.groupBy(key, "vul", "pair", "declarer", "strain").agg(F.max(packed).alias("_p"), F.max("trials").alias("_t"))
+    lvl = (7 - F.pmod(F.col("_p"), F.lit(8))).cast("int")
+    s = g.select(key, "vul", "pair", "declarer", "strain", lvl.alias("level"),
+                 (((F.col("_p") - (7 - lvl)) / 8) / F.col("_t").cast("double")).alias("ev"))
+    s = s.withColumn("_ord", _column_order()).repartition(key)
+    order = [F.col("ev").desc(), F.col("_ord").asc()]
+    flags = {}
+    for name, keys in (("_is_declarer", ["pair", "declarer"]), ("_is_pair", ["pair"]), ("_is_all", [])):
+        flags[name] = F.row_number().over(Window.partitionBy(key, "vul", *keys).orderBy(*order)) == 1
+    s = s.withColumns(flags).withColumn("_name", ev_name())
+    none = F.lit(None).cast("string")
+
+    def level(tag: str, pair, declarer, strain, cond):
+        return F.when(cond, F.struct(F.lit(tag).alias("grouping"), pair.alias("pair"), declarer.alias("declarer"),
+                                     strain.alias("strain"), F.col("ev").alias("ev_max"), F.col("_name").alias("ev_max_col")))
+
+    rows = F.filter(F.array(
+        level("strain", F.col("pair"), F.col("declarer"), F.col("strain"), F.lit(True)),
+        level("declarer", F.col("pair"), F.col("declarer"), none, F.col("_is_declarer")),
+        level("pair", F.col("pair"), none, none, F.col("_is_pair")),
+        level("all", none, none, none, F.col("_is_all")),
+    ), lambda x: x.isNotNull())
+    return s.select(key, "vul", F.inline(rows))
 
 
 def pick_by_vul(best: DataFrame, boards: DataFrame, key: str = "deal_id") -> DataFrame:

@@ -47,8 +47,14 @@ def dist_df(spark, sf_dir):
     return SD.named_distribution(SD.trick_distribution(fixtures.sd_samples(spark, sf_dir)))
 
 
+def evs_df(spark, sf_dir):
+    counts = SD.name_codes(SD.trick_counts(fixtures.sd_samples(spark, sf_dir)))
+    return SD.expected_values(counts, keep_numerator=True)
+
+
 def ev_df(spark, sf_dir):
-    return SD.expected_values(dist_df(spark, sf_dir), SD.ev_score_table(spark))
+    counts = SD.name_codes(SD.trick_counts(fixtures.sd_samples(spark, sf_dir)))
+    return SD.expected_values(counts)
 
 
 @register("sd_distribution", "A1", with_fixtures(["sd_samples"], DIST_CTE, "select * from dist"))
@@ -66,7 +72,7 @@ def q_ev_contracts(spark, sf_dir):
 @register("best_contract", "A5", with_fixtures(["sd_samples"], BEST_CTE, "select * from best"))
 def q_best_contract(spark, sf_dir):
     """Best expected value and its contract at four grouping levels, per vulnerability."""
-    return SD.best_contracts(ev_df(spark, sf_dir))
+    return SD.best_contracts(evs_df(spark, sf_dir))
 
 
 @register(
@@ -90,7 +96,7 @@ w as (select deal_id, session_id, board,
 )
 def q_ev_by_vul(spark, sf_dir):
     """Each pair's best expected value under the board's real vulnerability, and the overall best."""
-    best = SD.best_contracts(ev_df(spark, sf_dir))
+    best = SD.best_contracts(evs_df(spark, sf_dir))
     b = with_board_facts(fixtures.boards(spark, sf_dir)).select("deal_id", "session_id", "board", "vul_ns", "vul_ew")
     return SD.pick_by_vul(best, b).select(
         "deal_id", "session_id", "board", "ev_max_ns", "ev_max_col_ns", "ev_max_ew", "ev_max_col_ew", "ev_max", "ev_max_col")
