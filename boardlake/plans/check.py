@@ -71,7 +71,8 @@ def compare(spark_rows, spark_cols, duck_rows, duck_cols):
 def exact_types(spark_df, duck_rel_desc):
     """Map of column -> (spark type, duckdb type) for columns whose types do not correspond."""
     m = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE", "StringType()": "VARCHAR",
-         "BooleanType()": "BOOLEAN", "DateType()": "DATE", "TimestampType()": "TIMESTAMP"}
+         "BooleanType()": "BOOLEAN", "DateType()": "DATE", "TimestampType()": "TIMESTAMP WITH TIME ZONE",
+         "TimestampNTZType()": "TIMESTAMP"}
     out = {}
     st = {f.name: str(f.dataType) for f in spark_df.schema.fields}
     for name, dtype in duck_rel_desc:
