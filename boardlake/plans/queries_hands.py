@@ -40,20 +40,15 @@ h2 as (select *, """ + ", ".join(
 ) + " from h2)"
 
 
-@register(
-    "hand_features",
-    "P5,P7,P8,P9,P10,P11,P12,P13,P15",
-    with_fixtures(
-        ["deals"],
-        HAND_CTES + """,
+HF_CTES = HAND_CTES + """,
 h4 as (select *, hcp_s + hcp_h + hcp_d + hcp_c hcp, qt_s + qt_h + qt_d + qt_c qt, dp_s + dp_h + dp_d + dp_c dp,
     array_to_string(list_transform(ml, lambda x: cast(x.len as varchar)), '-') shape_ml
   from h3),
 h5 as (select *,
     sum(hcp) over w pair_hcp, sum(dp) over w pair_dp, sum(qt) over w pair_qt,
     sum(sl_s) over w psl_s, sum(sl_h) over w psl_h, sum(sl_d) over w psl_d, sum(sl_c) over w psl_c
-  from h4 window w as (partition by deal_id, pair))""",
-        """select deal_id, direction, pair, s_s || '.' || s_h || '.' || s_d || '.' || s_c hand,
+  from h4 window w as (partition by deal_id, pair))"""
+HF_BODY = """select deal_id, direction, pair, s_s || '.' || s_h || '.' || s_d || '.' || s_c hand,
   sl_s, sl_h, sl_d, sl_c, hcp_s, hcp_h, hcp_d, hcp_c, cast(hcp as int) hcp, qt_s, qt_h, qt_d, qt_c, qt,
   cast(dp_s as int) dp_s, cast(dp_h as int) dp_h, cast(dp_d as int) dp_d, cast(dp_c as int) dp_c, cast(dp as int) dp,
   cast(hcp + dp as int) total_points,
@@ -63,9 +58,10 @@ h5 as (select *,
   cast(pair_hcp as int) pair_hcp, cast(pair_dp as int) pair_dp, cast(pair_hcp + pair_dp as int) pair_total_points, pair_qt,
   case greatest(psl_s, psl_h, psl_d, psl_c) when psl_s then 'S' when psl_h then 'H' when psl_d then 'D' else 'C' end pair_longest_suit,
   cast(greatest(psl_s, psl_h, psl_d, psl_c) as int) pair_longest_len
-from h5""",
-    ),
-)
+from h5"""
+
+
+@register("hand_features", "P5,P7,P8,P9,P10,P11,P12,P13,P15", with_fixtures(["deals"], HF_CTES, HF_BODY))
 def q_hand_features(spark, sf_dir):
     """Lengths, HCP, quick tricks, distribution points, shape, balance and pair totals of every hand."""
     return H.hand_features(fixtures.deals(spark, sf_dir))
