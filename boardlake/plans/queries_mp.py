@@ -158,3 +158,31 @@ def q_mp_hypothetical(spark, sf_dir):
     out = out.withColumn("mp_top", F.col("mp_top"))
     out = mp.reference_pct(out, "mp", "mp_top", "pct")
     return out.select("session_id", "board", "declarer", "strain", "level", "dd_tricks", "dd_score_ns", "mp", "mp_top", "pct")
+
+
+@register(
+    "mp_missing",
+    "J9,J10,A9",
+    with_fixtures(
+        ["board_results", "dd_tricks", "boards"],
+        FREQ_CTE + ",\n" + dd_cand_cte() + """,
+fm as (select session_id, board, score_ns, n,
+    coalesce(sum(n) over (partition by session_id, board order by score_ns rows between unbounded preceding and 1 preceding), 0) beaten,
+    sum(n) over (partition by session_id, board) tot from freq),
+fp as (select *, case when tot = 1 then (n - 1) / 2.0 else (beaten + (n - 1) / 2.0) / (tot - 1) end pct from fm),
+tots as (select distinct session_id, board, tot from fm),
+c as (select d.session_id, d.board, d.declarer, d.strain, d.level, d.dd_score_ns, t.tot,
+    (select f.pct from fp f where f.session_id = d.session_id and f.board = d.board and f.score_ns = d.dd_score_ns) exact_pct,
+    (select min(f.score_ns) from fp f where f.session_id = d.session_id and f.board = d.board and f.score_ns > d.dd_score_ns) next_score
+  from dd_cand d left join tots t on t.session_id = d.session_id and t.board = d.board)""",
+        """select c.session_id, c.board, c.declarer, c.strain, c.level, c.dd_score_ns,
+  case when c.tot is null then null when c.exact_pct is not null then c.exact_pct when c.next_score is null then 1.0
+       else (select f.beaten from fp f where f.session_id = c.session_id and f.board = c.board and f.score_ns = c.next_score) / c.tot end asof_pct
+from c""",
+    ),
+)
+def q_mp_missing(spark, sf_dir):
+    """Matchpoint share each double-dummy contract score would get on its board (as-of lookup in the score frequencies)."""
+    freq = _freq_df(spark, sf_dir)
+    cand = _dd_candidates(spark, sf_dir).select("session_id", "board", "declarer", "strain", "level", "dd_score_ns")
+    return mp.matchpoints_asof(cand, freq, ["session_id", "board"], score="score_ns", count="n", new_score="dd_score_ns")
