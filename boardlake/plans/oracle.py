@@ -16,6 +16,7 @@ FIXTURE_SQL: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "board_results": (
         """select cast(l_suppkey as bigint) session_id, cast(l_orderkey % 32 as int)+1 board, l_orderkey, l_linenumber,
+  l_partkey, l_shipdate result_time,
   case when l_partkey % 97 = 0 then 'PASS'
        else concat(cast(1 + l_partkey % 7 as varchar), substr('CDHSN', cast(1 + l_orderkey % 5 as int), 1),
                    case l_linenumber when 6 then 'X' when 7 then 'XX' else '' end,

@@ -73,12 +73,7 @@ def _freq_df(spark, sf_dir):
 
 FREQ_CTE = sql_scored_results() + """,
 freq as (select session_id, board, score_ns, count(*) n from scored where score_ns is not null group by all)"""
-
-
-@register(
-    "mp_frequency",
-    "A9,A14",
-    with_fixtures(["board_results"], FREQ_CTE, """select session_id, board, score_ns, n,
+FREQ_MP_BODY = """select session_id, board, score_ns, n,
   cast(coalesce(sum(n) over (partition by session_id, board order by score_ns rows between unbounded preceding and 1 preceding), 0) as bigint) beaten,
   coalesce(sum(n) over (partition by session_id, board order by score_ns rows between unbounded preceding and 1 preceding), 0) + (n - 1) / 2.0 mp_ns,
   coalesce(sum(n) over (partition by session_id, board order by score_ns rows between 1 following and unbounded following), 0) + (n - 1) / 2.0 mp_ew,
@@ -88,7 +83,14 @@ freq as (select session_id, board, score_ns, count(*) n from scored where score_
   case when sum(n) over (partition by session_id, board) = 1 then (n - 1) / 2.0
        else (coalesce(sum(n) over (partition by session_id, board order by score_ns rows between 1 following and unbounded following), 0) + (n - 1) / 2.0)
             / (sum(n) over (partition by session_id, board) - 1) end pct_ew
-from freq"""),
+from freq"""
+
+
+@register(
+    "mp_frequency",
+    "A9,A14",
+    with_fixtures(["board_results"], FREQ_CTE, FREQ_MP_BODY),
+
 )
 def q_mp_frequency(spark, sf_dir):
     """Score frequency table of every board with matchpoints from frequencies."""

@@ -41,8 +41,8 @@ def boards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def board_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One played table result per lineitem row."""
-    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"])
+    """One played table result per lineitem row; (l_orderkey, l_linenumber, l_partkey, session_id) is its id."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate"])
     contract = F.when(F.col("l_partkey") % 97 == 0, F.lit("PASS")).otherwise(
         F.concat(
             (F.col("l_partkey") % 7 + 1).cast("string"),
@@ -59,6 +59,8 @@ def board_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") % 32 + 1).cast("int").alias("board"),
         F.col("l_orderkey"),
         F.col("l_linenumber"),
+        F.col("l_partkey"),
+        F.col("l_shipdate").alias("result_time"),
         contract.alias("contract"),
         tricks.alias("tricks"),
         F.concat(F.lit("N"), (F.col("l_partkey") % 199).cast("string")).alias("player_n"),
