@@ -202,3 +202,27 @@ def total_tricks(lengths: DataFrame, dd_pairs: DataFrame, key: str = "deal_id")
         "lott_sl": F.sum("longest_len").over(w).cast("int"),
         "lott_dd": F.sum("dd_tricks").over(w).cast("int"),
     }).withColumn("lott_diff", (F.col("lott_sl") - F.col("lott_dd")).cast("int"))
+
+
+def to_wide(dist: DataFrame, key: str = "deal_id", prefix: str = "Probs") -> DataFrame:
+    """A2 (opt-in): the long distribution as the reference's 560 wide columns
+    ``{prefix}_{pair}_{declarer}_{strain}_{tricks}`` plus the trial count, via a pivot over an
+    explicit value list (so the column set does not depend on the data)."""
+    names = [f"{prefix}_{p}_{d}_{s}_{t}" for p in ("NS", "EW") for d in "NESW" for s in "SHDCN" for t in range(14)]
+    d = dist.withColumn("_name", F.concat_ws("_", F.lit(prefix), "pair", "declarer", "strain", F.col("tricks").cast("string")))
+    wide = d.groupBy(key).pivot("_name", names).agg(F.first("prob"))
+    trials = dist.groupBy(key).agg(F.max("trials").alias(f"{prefix}_Trials"))
+    return wide.join(trials, key)
+
+
+def compare_tables(a: DataFrame, b: DataFrame, k, cols) -> DataFrame:
+    """Rows whose values differ between two keyed tables (or that exist on one side only)."""
+    k = [k] if isinstance(k, str) else list(k)
+    x = a.select(*k, *[F.col(c).alias(f"a_{c}") for c in cols])
+    y = b.select(*k, *[F.col(c).alias(f"b_{c}") for c in cols])
+    j = x.join(y, on=k, how="full_outer")
+    diff = None
+    for c in cols:
+        d = ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
+        diff = d if diff is None else diff | d
+    return j.filter(diff)
