@@ -103,3 +103,29 @@ def missing_names(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
     left = a.select(F.col(col).alias("name")).distinct().exceptAll(b.select(F.col(col).alias("name")).distinct())
     right = b.select(F.col(col).alias("name")).distinct().exceptAll(a.select(F.col(col).alias("name")).distinct())
     return left.withColumn("only_in", F.lit("left")).unionByName(right.withColumn("only_in", F.lit("right")))
+
+
+def attach_derived(results: DataFrame, derived: DataFrame, k=("pbn", "dealer", "vul")) -> DataFrame:
+    """Results with their deal's derived values (inner equi-join on the deal key)."""
+    return results.join(derived, on=list(k), how="inner")
+
+
+def attach_rankings(results: DataFrame, rankings: DataFrame, pair_col: str = "pair_id",
+                    ns_col: str = "pair_id_ns", ew_col: str = "pair_id_ew") -> DataFrame:
+    """Left-join a pair ranking table twice (NS and EW); names split on '&' into two players."""
+    r = rankings.withColumn("_players", F.split(F.col("names"), r"\s*&\s*")) if "names" in rankings.columns else rankings
+    out = results
+    for side, col in (("ns", ns_col), ("ew", ew_col)):
+        rs = r.select(*[F.col(c).alias(f"{c}_{side}") for c in r.columns])
+        out = out.join(rs, out[col] == rs[f"{pair_col}_{side}"], "left").drop(f"{pair_col}_{side}")
+    return out
+
+
+def attach_players(df: DataFrame, players: DataFrame, k=("section", "orientation", "pair_no"), seats="NESW") -> DataFrame:
+    """Player id and name for each seat from a lookup keyed by (section, orientation, pair number)."""
+    out = df
+    for s in seats:
+        p = players.select(*[F.col(c).alias(f"{c}_{s}") for c in players.columns])
+        cond = [out[f"{c}_{s}"] == p[f"{c}_{s}"] for c in k if f"{c}_{s}" in out.columns]
+        out = out.join(p, cond, "left")
+    return out

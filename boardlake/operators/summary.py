@@ -1,4 +1,4 @@
-"""Summaries and the user-facing SQL surface.
+"""Summaries and the user-facing SQL surface (A11-A15, A17, K1-K6, U1, U2, Q1-Q4; A16 is in predict).
 
 ``query`` registers a frame as the temp view ``self`` and hands the statement to
 ``spark.sql``; a statement without a FROM gets ``FROM self`` put in front (Spark parses
@@ -16,7 +16,7 @@ QUANTILES = (0.25, 0.5, 0.75)
 
 
 def describe(df: DataFrame, cols, by=None, digits: int = 6) -> DataFrame:
-    """Count, nulls, mean, std, min, quartiles, max and approximate distinct per column.
+    """Count, nulls, mean, std, min, quartiles and max per column (per group when ``by``).
 
     One aggregate per column group (exact quartiles via ``percentile``), stacked into rows.
     """
@@ -65,20 +65,6 @@ def score_lists(df: DataFrame, k, score: str) -> DataFrame:
     return df.groupBy(*k).agg(F.sort_array(F.collect_list(score)).alias("scores"))
 
 
-def error_metrics(df: DataFrame, pred: str, actual: str, by=None) -> DataFrame:
-    """RMSE, MAE and R^2, per group and overall (``rollup``), rounded to 6 places."""
-    by = [by] if isinstance(by, str) else list(by or [])
-    e = F.col(pred) - F.col(actual)
-    g = df.rollup(*by) if by else df.groupBy()
-    out = g.agg(
-        F.count(e).alias("n"),
-        F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"),
-        F.round(F.avg(F.abs(e)), 6).alias("mae"),
-        F.round(1 - F.try_divide(F.sum(e * e), F.sum(F.pow(F.col(actual), 2)) - F.pow(F.sum(actual), 2) / F.count(actual)), 6).alias("r2"),
-    )
-    return out
-
-
 def dedupe(df: DataFrame, cols) -> DataFrame:
     """A17."""
     return df.dropDuplicates(list(cols))
@@ -132,3 +118,30 @@ def expand_macros(sql: str, values: dict[str, str | None]) -> str:
 def run_report(df: DataFrame, spec: list[tuple[str, list[str]]], macros: dict | None = None) -> dict[str, list[DataFrame]]:
     """Q3: named prompts, each a list of statements, to lazy frames."""
     return {name: [query(df, expand_macros(s, macros or {})) for s in stmts] for name, stmts in spec}
+
+
+def split_frequency(df: DataFrame, col: str) -> DataFrame:
+    """A list of (score, count, mp_ns, mp_ew) structs -> parallel lists and top = total count - 1."""
+    c = F.col(col)
+    return df.withColumns({
+        "scores": F.transform(c, lambda x: x["score"]),
+        "counts": F.transform(c, lambda x: x["n"]),
+        "top": F.aggregate(F.transform(c, lambda x: x["n"]), F.lit(0).cast("long"), lambda a, b: a + b) - 1,
+    })
+
+
+def join_by_row_key(dfs, k) -> DataFrame:
+    """Frames of equal height put side by side on a row key (Spark has no positional concat)."""
+    k = [k] if isinstance(k, str) else list(k)
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.join(d, on=k, how="inner")
+    return out
+
+
+def union_all(dfs) -> DataFrame:
+    """Vertical concat with missing columns null."""
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d, allowMissingColumns=True)
+    return out

@@ -140,3 +140,40 @@ def load_stage(spark: SparkSession, root: str, name: str) -> DataFrame:
 def write_csv(df: DataFrame, path: str) -> None:
     """S9."""
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def auction_arrays(df: DataFrame, calls: str = "calls", sep: str = "-") -> DataFrame:
+    """S3: an auction string into parallel arrays: call type, level, denomination, penalty."""
+    c = F.transform(F.split(F.col(calls), sep), lambda x: F.upper(F.trim(x)))
+    is_bid = lambda x: x.rlike(r"^[1-7][CDHSN]$")
+    return df.withColumns({
+        "bid_type": F.transform(c, lambda x: F.when(is_bid(x), F.lit("bid")).when(x == "P", F.lit("pass"))
+                                .when(x == "D", F.lit("double")).when(x == "R", F.lit("redouble"))),
+        "bid_level": F.transform(c, lambda x: F.when(is_bid(x), F.substring(x, 1, 1).cast("int"))),
+        "bid_denom": F.transform(c, lambda x: F.when(is_bid(x), F.substring(x, 2, 1))),
+        "bid_penalty": F.transform(c, lambda x: F.when(x == "D", F.lit("X")).when(x == "R", F.lit("XX"))),
+    })
+
+
+def play_arrays(df: DataFrame, play: str = "play", sep: str = " ") -> DataFrame:
+    """S3: a play string of cards ('SA HK ...') into parallel suit and rank arrays."""
+    cards = F.filter(F.split(F.trim(F.col(play)), sep), lambda x: F.length(x) >= 2)
+    return df.withColumns({
+        "play_suit": F.transform(cards, lambda x: F.substring(x, 1, 1)),
+        "play_rank": F.transform(cards, lambda x: F.substring(x, 2, 2)),
+    })
+
+
+def explode_score_table(df: DataFrame, col: str) -> DataFrame:
+    """A nested per-board result list (array of structs) -> one row per result, board columns kept."""
+    rest = [c for c in df.columns if c != col]
+    return df.select(*rest, F.explode(col).alias("_r")).select(*rest, "_r.*")
+
+
+def history_pages(df: DataFrame, data_col: str, total_col: str, key: str, id_field: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Pages of ``data[]`` into rows (ids starting 'tmp:' or '#' skipped) and a per-key check
+    of the announced total against the sessions seen."""
+    rows = df.select(key, total_col, F.explode(data_col).alias("_d")).select(key, total_col, "_d.*")
+    rows = rows.filter(~F.col(id_field).cast("string").rlike(r"^(tmp:|#)"))
+    check = rows.groupBy(key).agg(F.count(F.lit(1)).alias("seen"), F.max(total_col).alias("total"))
+    return rows, check.withColumn("complete", F.col("seen") >= F.col("total"))
