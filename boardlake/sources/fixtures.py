@@ -3,7 +3,8 @@
 These only give rows in the schemas the operators expect (see FIXTURES.md); they do none
 of the operators' work.  Every table grows with its driver table: boards with
 ``supplier``, results with ``lineitem``.  All derivations are row-local (generators and
-higher-order functions), so building a fixture never shuffles.
+higher-order functions); the only exchange is the round-robin ``spread`` of a source that
+arrives in fewer partitions than the cluster has cores.
 """
 
 from __future__ import annotations
