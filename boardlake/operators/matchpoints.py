@@ -75,16 +75,38 @@ def percentages(df: DataFrame, top: str = "mp_top") -> DataFrame:
     })
 
 
-def matchpoints_by_value(df: DataFrame, k, value: str, prefix: str = "") -> DataFrame:
-    """W1-W3 on any table: top, average-rank matchpoints and percentage of ``value`` within ``k``."""
+def matchpoints_by_value(df: DataFrame, k, value: str, prefix: str = "", buckets: int = 64) -> DataFrame:
+    """W1-W3 on any table: top, average-rank matchpoints and percentage of ``value`` within ``k``.
+
+    For any numeric value, including continuous ones where one hot key can own a large
+    share of all distinct values, the rank is computed in two levels: each key's value
+    range is cut into ``buckets`` equal-width buckets; a window over the (at most
+    ``buckets``) bucket totals of a key gives the count below each bucket, and a window over
+    the distinct values of one (key, bucket) gives the count below within it.  A hot key is
+    therefore spread over up to ``buckets`` window partitions; every step before is a
+    partial aggregate.
+    """
     k = _keys(k)
     freq = score_frequency(df, k, value, "_n")
-    less, eq, total = _running(freq, k, value, "_n")
-    mp = freq.select(
-        *k, value,
-        (total - 1).cast("long").alias(f"{prefix}mp_top"),
-        F.when(F.col(value).isNotNull(), less + (eq - 1) / 2.0).alias(f"{prefix}mp"),
-    )
+    v = F.col(value).cast("double")
+    stats = freq.filter(F.col(value).isNotNull()).groupBy(*k).agg(
+        F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.sum("_n").alias("_tot"))
+    f = freq.join(stats, on=k, how="left")
+    width = F.col("_hi") - F.col("_lo")
+    b = F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / width * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
+    nn = f.filter(F.col(value).isNotNull()).withColumn("_b", b.cast("int"))
+    bc = nn.groupBy(*k, "_b").agg(F.sum("_n").alias("_bn"))
+    wb = Window.partitionBy(*k).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bc = bc.withColumn("_below_bucket", F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
+    nn = nn.join(bc.select(*k, "_b", "_below_bucket"), on=k + ["_b"], how="inner")
+    wv = Window.partitionBy(*k, "_b").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
+    less = F.col("_below_bucket") + F.coalesce(F.sum("_n").over(wv), F.lit(0))
+    mp_nn = nn.select(*k, value, (F.col("_tot") - 1).cast("long").alias(f"{prefix}mp_top"),
+                      (less + (F.col("_n") - 1) / 2.0).alias(f"{prefix}mp"))
+    mp_null = f.filter(F.col(value).isNull()).select(
+        *k, value, (F.coalesce(F.col("_tot"), F.lit(0)) - 1).cast("long").alias(f"{prefix}mp_top"),
+        F.lit(None).cast("double").alias(f"{prefix}mp"))
+    mp = mp_nn.unionByName(mp_null)
     cond = [df[c].eqNullSafe(mp[c]) for c in k + [value]]
     out = df.join(mp, cond, "left").select(df["*"], mp[f"{prefix}mp_top"], mp[f"{prefix}mp"])
     return out.withColumn(f"{prefix}pct", F.try_divide(F.col(f"{prefix}mp"), F.col(f"{prefix}mp_top").cast("double")))

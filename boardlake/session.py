@@ -63,6 +63,8 @@ def spread(df: DataFrame) -> DataFrame:
     as one small file (one scan task) would otherwise run every row-local step on a single
     core.  Round-robin (not by key) so a hot key cannot make one partition large.
     """
+    if os.environ.get("BOARDLAKE_SPREAD", "1") == "0":
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)

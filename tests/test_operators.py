@@ -160,3 +160,20 @@ def test_query_with_macros(spark):
     out = S.query(df, S.expand_macros("SELECT board, sum(s) AS t WHERE side = '{Pair_Direction}' GROUP BY board", {"Pair_Direction": "NS"}))
     assert sorted((r.board, r.t) for r in out.collect()) == [(1, 100), (2, 30)]
     assert S.expand_macros("x {Opp}", {"Opp": None}) == "x {Opp}"
+
+
+def test_matchpoints_by_value_hot_key_brute_force(spark):
+    import random
+
+    rnd = random.Random(7)
+    rows = [(1, rnd.choice([None] + [round(rnd.uniform(-50, 50), 1) for _ in range(5)])) for _ in range(400)]
+    rows += [(2, float(v)) for v in (3, 3, 1)] + [(3, 5.0)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = sorted((r.k, r.v, r.mp, r.mp_top) for r in MP.matchpoints_by_value(df, ["k"], "v", buckets=8).collect())
+    want = []
+    for k, v in rows:
+        vals = [x for kk, x in rows if kk == k and x is not None]
+        mp = None if v is None else sum(1 for x in vals if x < v) + (sum(1 for x in vals if x == v) - 1) / 2.0
+        want.append((k, v, mp, len(vals) - 1))
+    key = lambda t: (t[0], -1e9 if t[1] is None else t[1])
+    assert sorted(got, key=key) == sorted(want, key=key)
