@@ -25,6 +25,15 @@ def ratings(df: DataFrame, value: str, id_col: str, out: str) -> DataFrame:
     return df.join(s, on=id_col, how="left")
 
 
+def ratings_many(df: DataFrame, specs) -> DataFrame:
+    """W8 for several (value, id column, output) triples: every summary is aggregated from the
+    same base rows (not from the previous join), then joined back once per id."""
+    out = df
+    for value, id_col, name in specs:
+        out = out.join(rating_summary(df, value, id_col, name).select(id_col, name), on=id_col, how="left")
+    return out
+
+
 def with_declarer_columns(results: DataFrame, dd: DataFrame, key: str = "deal_id") -> DataFrame:
     """Double-dummy tricks and score of the contract played, and differences.
 

@@ -79,10 +79,9 @@ def q_ratings(spark, sf_dir):
     d = declarer_df(spark, sf_dir).select(
         "session_id", "board", "l_orderkey", "l_linenumber", "declarer_id", "on_lead_id", "not_on_lead_id",
         "tricks_dd_diff", "defender_ge_dd")
-    d = R.ratings(d, "tricks_dd_diff", "declarer_id", "declarer_rating")
-    d = R.ratings(d, "defender_ge_dd", "on_lead_id", "on_lead_rating")
-    d = R.ratings(d, "defender_ge_dd", "not_on_lead_id", "not_on_lead_rating")
-    return d
+    return R.ratings_many(d, [("tricks_dd_diff", "declarer_id", "declarer_rating"),
+                              ("defender_ge_dd", "on_lead_id", "on_lead_rating"),
+                              ("defender_ge_dd", "not_on_lead_id", "not_on_lead_rating")])
 
 
 def lookup_score(df, table):
