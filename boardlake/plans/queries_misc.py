@@ -182,3 +182,26 @@ def q_split_train(spark, sf_dir):
     """Deterministic 20 % validation split of customers by key hash, stratified by segment."""
     c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
     return M.split_train(c, 0.2, "c_custkey", seed=42, stratum="c_mktsegment")
+
+
+@register(
+    "deal_quality",
+    "F4,P18",
+    with_fixtures(["deals"], """c0 as (
+  select deal_id, substr('NESW', i + 1, 1) direction, substr('SHDC', j + 1, 1) suit,
+    string_split(string_split(substr(pbn, 3), ' ')[i + 1], '.')[j + 1] x
+  from deals, range(0, 4) t(i), range(0, 4) u(j)),
+c1 as (select deal_id, direction, suit, unnest(string_split(x, '')) rnk from c0 where x <> ''),
+per_deal as (select deal_id, count(*) = 52 and count(distinct suit || rnk) = 52 ok52 from c1 group by deal_id),
+per_hand as (select deal_id, min(n) = 13 and max(n) = 13 and count(*) = 4 ok13 from
+    (select deal_id, direction, count(*) n from c1 group by all) group by deal_id),
+chk as (select d.deal_id, d.pbn, coalesce(substr(d.pbn, 1, 2) = 'N:' and len(string_split(substr(d.pbn, 3), ' ')) = 4
+    and pd.ok52 and ph.ok13, false) valid
+  from deals d left join per_deal pd using (deal_id) left join per_hand ph using (deal_id))""",
+        """select count(*) "rows", cast(sum(case when pbn is null then 1 else 0 end) as bigint) null_deals,
+  cast(sum(case when length(pbn) <> 69 then 1 else 0 end) as bigint) bad_length,
+  cast(sum(case when not valid then 1 else 0 end) as bigint) invalid_deals from chk"""),
+)
+def q_deal_quality(spark, sf_dir):
+    """Null, wrong-length and invalid (not one full deck, not 13 cards a hand) deal counts over all deals."""
+    return P.quality_report(fixtures.deals(spark, sf_dir))

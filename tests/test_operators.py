@@ -177,3 +177,14 @@ def test_matchpoints_by_value_hot_key_brute_force(spark):
         want.append((k, v, mp, len(vals) - 1))
     key = lambda t: (t[0], -1e9 if t[1] is None else t[1])
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_deal_validator_rejects_bad_deals(spark):
+    from boardlake.operators import perspective as P
+
+    good = "N:AKQJ.T98.765.432 T98.765.432.AKQJ 765.432.AKQJ.T98 432.AKQJ.T98.765"
+    dup = "N:AKQJ.T98.765.432 T98.765.432.AKQJ 765.432.AKQJ.T98 432.AKQJ.T98.76A"   # two club aces... and a missing 5
+    short = "N:AKQ.T98.765.432 T98.765.432.AKQJ 765.432.AKQJ.T98 432.AKQJ.T98.765"   # North has 12 cards
+    df = spark.createDataFrame([(1, good), (2, dup), (3, short), (4, None)], "deal_id long, pbn string")
+    r = P.quality_report(df).first()
+    assert r.rows == 4 and r.null_deals == 1 and r.bad_length == 1 and r.invalid_deals == 2
