@@ -36,11 +36,12 @@ def fit_labels(df: DataFrame, col: str) -> DataFrame:
 def apply_labels(df: DataFrame, col: str, labels: DataFrame, out: str | None = None) -> DataFrame:
     """M2: replace a category by its code; values never seen when fitting get code 0.
 
-    The label table has one row per distinct class (a vocabulary), broadcast-joined.
+    The label table has one row per distinct class; the join is left to AQE, which
+    broadcasts it at run time when it is small.
     """
     out = out or f"{col}_code"
     key = F.coalesce(F.col(col).cast("string"), F.lit(MISSING_CAT))
-    lab = F.broadcast(labels.select(F.col("value").alias("_v"), F.col("code").alias(out)))
+    lab = labels.select(F.col("value").alias("_v"), F.col("code").alias(out))
     return df.withColumn("_v", key).join(lab, on="_v", how="left").withColumn(out, F.coalesce(F.col(out), F.lit(0))).drop("_v")
 
 

@@ -60,9 +60,15 @@ def counts(df: DataFrame, by, distinct_col: str | None = None) -> DataFrame:
 
 
 def score_lists(df: DataFrame, k, score: str) -> DataFrame:
-    """The sorted list of a board's scores (a board's results are a bounded set)."""
+    """A board's scores as a sorted list of (score, count) pairs.
+
+    Built from the score frequency table, so the list holds one entry per *distinct* score
+    (bounded by the finite set of bridge scores) however many tables played the board;
+    ``matchpoints.expand_frequency`` gives the repeated form when really needed.
+    """
     k = [k] if isinstance(k, str) else list(k)
-    return df.groupBy(*k).agg(F.sort_array(F.collect_list(score)).alias("scores"))
+    freq = df.groupBy(*k, score).agg(F.count(F.lit(1)).alias("n"))
+    return freq.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct(F.col(score).alias("score"), "n"))).alias("scores"))
 
 
 def dedupe(df: DataFrame, cols) -> DataFrame:

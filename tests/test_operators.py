@@ -188,3 +188,9 @@ def test_deal_validator_rejects_bad_deals(spark):
     df = spark.createDataFrame([(1, good), (2, dup), (3, short), (4, None)], "deal_id long, pbn string")
     r = P.quality_report(df).first()
     assert r.rows == 4 and r.null_deals == 1 and r.bad_length == 1 and r.invalid_deals == 2
+
+
+def test_score_lists_are_frequency_pairs(spark):
+    df = spark.createDataFrame([(1, 100), (1, 100), (1, -50), (2, 0)], "board int, s int")
+    got = {r.board: [(x.score, x.n) for x in r.scores] for r in S.score_lists(df, "board", "s").collect()}
+    assert got == {1: [(-50, 1), (100, 2)], 2: [(0, 1)]}
