@@ -28,6 +28,7 @@ HEADLINE = [
     "rule_eval",
     "bid_accept",
     "auction_analysis",
+    "enrich_results",    # Q5: the whole result enrichment end to end
 ]
 
 

@@ -97,7 +97,7 @@ def error_metrics(df: DataFrame, pred: str, actual: str, by: str | None = None)
     def one(d: DataFrame, key: str | None) -> DataFrame:
         ks = [key] if key else []
         means = d.groupBy(*ks).agg(F.avg(actual).alias("_ybar"))
-        j = d.join(means, on=ks, how="inner") if ks else d.crossJoin(means)
+        j = d.join(means, on=ks, how="inner") if ks else d.crossJoin(F.broadcast(means))  # one row
         e = F.col(pred) - F.col(actual)
         g = j.groupBy(*ks).agg(
             F.count(e).alias("n"),
