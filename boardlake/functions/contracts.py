@@ -23,7 +23,7 @@ def normalise_contract(col) -> Column:
     """Upper case, suit symbols to letters, NT to N."""
     c = F.upper(F.trim(_c(col)))
     c = F.translate(c, "♠♥♦♣", "SHDC")
-    return F.regexp_replace(c, "NT", "N")
+    return F.replace(c, F.lit("NT"), F.lit("N"))
 
 
 def is_contract(col) -> Column:
