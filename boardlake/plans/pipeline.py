@@ -30,7 +30,11 @@ def enrich(results: DataFrame, boards: DataFrame, dd: DataFrame, sd_samples: Dat
     res = res.join(boards.select(*k, "deal_id"), on=list(k), how="inner")
     res = contracts.with_seats(res, "declarer", PLAYERS)
     res = R.with_declarer_columns(res, dd)
-    ev = SD.expected_values(SD.name_codes(SD.trick_counts(sd_samples)))
+    # only the (deal, side, declarer, strain) groups that were actually played need EVs
+    played = res.select("deal_id", F.col("declarer_pair").alias("pair"), "declarer", "strain").filter(
+        F.col("declarer").isNotNull()).distinct()
+    counts = SD.name_codes(SD.trick_counts(sd_samples)).join(played, ["deal_id", "pair", "declarer", "strain"], "left_semi")
+    ev = SD.expected_values(counts)
     ev = ev.select("deal_id", F.col("pair").alias("declarer_pair"), "declarer", "strain", "level",
                    F.col("vul").alias("_vul"), F.col("ev").alias("ev_played"))
     res = res.withColumn("_vul", F.when(F.col("vul_declarer"), F.lit("V")).otherwise(F.lit("NV")))
