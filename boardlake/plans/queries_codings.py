@@ -40,13 +40,13 @@ def q_hand_codings(spark, sf_dir):
     d = d.withColumns({"rotated": CD.rotate_deal(F.col("pbn"), "E"), "brs": CD.pbn_to_brs(F.col("pbn"))})
     d = d.withColumn("back_to_north", CD.rotate_to_north(F.col("rotated")))
     hands = D.hands_of("pbn")
-    rows = []
-    for i, dname in enumerate("NESW"):
-        h = F.element_at(hands, i + 1)
-        suits = D.suits_of_hand(h)
-        rows.append(F.struct(
-            F.lit(dname).alias("direction"),
-            *[CD.suit_bits(F.element_at(suits, j + 1)).alias(f"bits_{s}") for j, s in enumerate("shdc")],
-            CD.hand_bits(h).alias("hand_bits"), CD.hand_hex(h).alias("hand_hex")))
-    return d.select("deal_id", "rotated", "back_to_north", "brs", F.inline(F.array(*rows))).select(
+    per_hand = d.select("deal_id", "rotated", "back_to_north", "brs",
+                        F.posexplode(hands).alias("_i", "_hand"))
+    per_hand = per_hand.withColumn("direction", F.substring(F.lit("NESW"), F.col("_i") + 1, 1))
+    suits = D.suits_of_hand(F.col("_hand"))
+    per_hand = per_hand.withColumns({f"bits_{s}": CD.suit_bits(F.element_at(suits, j + 1)) for j, s in enumerate("shdc")})
+    hand_bits = sum((F.shiftleft(F.col(f"bits_{s}").cast("long"), 13 * (3 - j)) for j, s in enumerate("shdc")), F.lit(0).cast("long"))
+    per_hand = per_hand.withColumn("hand_bits", hand_bits)
+    per_hand = per_hand.withColumn("hand_hex", F.lpad(F.hex(F.col("hand_bits")), 13, "0"))
+    return per_hand.select(
         "deal_id", "direction", "bits_s", "bits_h", "bits_d", "bits_c", "hand_bits", "hand_hex", "rotated", "back_to_north", "brs")
