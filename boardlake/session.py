@@ -35,19 +35,24 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a scratch folder only if none is configured."""
+    """The session's shared checkpoint folder.
+
+    Only a local session without one gets a scratch folder; on a cluster a machine-local
+    folder would lose files with its machine, so there the setting is required.
+    """
+    context = spark.sparkContext
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(conf_dir)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(conf_dir)
         return conf_dir
-    current = spark.sparkContext.getCheckpointDir()
+    current = context.getCheckpointDir()
     if current:
         return current
-    scratch = tempfile.mkdtemp(prefix="boardlake-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    spark.sparkContext.setCheckpointDir(scratch)
-    return scratch
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="boardlake-ckpt-"))
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
