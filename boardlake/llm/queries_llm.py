@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import decontam, mixing
 from .common import table
 from .quality import quality_scores
 
@@ -19,11 +19,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op6_mixing": op6_mixing,
+    "op8_decontamination": op8_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op6_mixing": mixing.ORACLE,
+    "op8_decontamination": decontam.ORACLE,
 }
