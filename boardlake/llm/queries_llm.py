@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import decontam, mixing, ngram_join, token_files
 from .common import table
 from .quality import quality_scores
+from .toxicity import toxicity_scores
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_token_files": op3_token_files,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
 }
 

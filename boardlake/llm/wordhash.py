@@ -160,6 +160,15 @@ def ngrams(w: Words, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarra
     return g, r
 
 
+def prefix_hashes(w: Words, k: int) -> np.ndarray:
+    """Hash of the first k bytes of every word (of fewer bytes: whatever follows; check the size)."""
+    size = len(w.data)
+    pw, inv = _power_tables(size + 1)
+    h = np.zeros(size + 1, _U)
+    np.cumsum(_BYTE[w.data] * pw[:size], dtype=_U, out=h[1:])
+    return (h[np.minimum(w.starts + k, size)] - h[w.starts]) * inv[w.starts]
+
+
 def row_sets(g: np.ndarray, r: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of each row, ascending, and the row offsets; ``r`` must not fall."""
     off = np.searchsorted(r, np.arange(n_rows + 1))
