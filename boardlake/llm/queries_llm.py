@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontam, mixing, ngram_join, token_files
 from .common import table
+from .html_text import main_texts
 from .quality import quality_scores
 from .toxicity import toxicity_scores
 
@@ -24,6 +25,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenized(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_join": op2_ngram_join,
     "op3_token_files": op3_token_files,
+    "op4_html_extraction": op4_html_extraction,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
