@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, ngram_join, token_files
+from . import decontam, mixing, ngram_join, quality_rules, token_files
 from .common import table
 from .html_text import main_texts
 from .quality import quality_scores
@@ -29,6 +29,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(table(spark, sf_dir, "documents"))
 
@@ -46,12 +50,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_token_files": op3_token_files,
     "op4_html_extraction": op4_html_extraction,
+    "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_quality_rules": quality_rules.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op8_decontamination": decontam.ORACLE,
 }
