@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, ngram_join, quality_rules, token_files
+from . import decontam, mixing, ngram_join, pii, quality_rules, token_files
 from .common import table
 from .html_text import main_texts
 from .quality import quality_scores
@@ -45,6 +45,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_join": op2_ngram_join,
@@ -54,10 +58,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
+    "op9_pii": op9_pii,
 }
 
 ORACLES: dict[str, str] = {
     "op5_quality_rules": quality_rules.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op8_decontamination": decontam.ORACLE,
+    "op9_pii": pii.ORACLE,
 }
