@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, ngram_join, pii, quality_rules, token_files
+from . import decontam, lm_score, mixing, ngram_join, pii, quality_rules, token_files
 from .common import table
 from .html_text import main_texts
 from .quality import quality_scores
@@ -49,6 +49,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.backoff_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_join": op2_ngram_join,
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES: dict[str, str] = {
@@ -66,4 +71,5 @@ ORACLES: dict[str, str] = {
     "op6_mixing": mixing.ORACLE,
     "op8_decontamination": decontam.ORACLE,
     "op9_pii": pii.ORACLE,
+    "op10_lm_score": lm_score.ORACLE,
 }
