@@ -1,23 +1,55 @@
-"""Corpus pipeline: quality classifier, then the later stages as they are added."""
+"""Corpus pipeline: from raw documents to token files.
+
+Stages, each over all rows that the one before kept: the quality classifier's rejects go; one
+document of each group of near duplicates stays; documents with a benchmark passage go; sources are mixed to
+their target weights (documents repeat as often as the mix takes them); token ids are written as
+ORC files, whose digests are the result.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from boardlake.llm import decontam, mixing, ngram_join, quality, token_files
 from boardlake.llm.common import shared_path, table
-from boardlake.llm.quality import keep_good
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    return keep_good(docs, table(spark, sf_dir, "labels"))
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group that the n-gram Jaccard join links."""
+    return ngram_join.one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of its source takes it."""
+    return mixing.mix_documents(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from its token files."""
+    return token_files.tokenized(docs)
 
 
-STAGES = [("quality_classifier", quality_stage)]
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("mixing_sources", mixing_stage),
+    ("token_output", token_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage over all that the one before kept, each written as Parquet and read again."""
+    """All stages over the table of documents, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name}")
@@ -26,4 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+#: No SQL states the classifier or the tokenizer; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
