@@ -1,8 +1,8 @@
 """Operator 7, toxicity by multiple-instance learning.
 
 A document is a bag of sentences (ended by . ! ? or a line feed).  A sentence's score is a logistic
-of the sum of weights of its words' features (the word, and its first ``PREFIXES`` bytes, hashed);
-a document's is the noisy-or of its sentences, 1 - prod(1 - p).  Weights are trained through the
+of the sum of weights of its words' features (the word, and its first ``PREFIXES`` bytes, hashed), and 0
+without any feature that has a weight; a document's is the noisy-or of its sentences and a small leak, 1 - (1 - leak) prod(1 - p).  Weights are trained through the
 noisy-or from document labels alone.  The trained sentence scores then locate the offending
 sentences (``offending_sentences``).
 
@@ -11,9 +11,9 @@ fold with the smallest hash of their id, without texts of over ``SAMPLE_CHARS``
 occur in several sampled documents of label 1, and much more often there, get a weight; the
 model is two arrays of ``2 ** FEATURE_BITS`` numbers at most.  Scoring reads every whole text.
 
-Defined results: a null or empty text has no sentence; a document's score then is the bias of the noisy-or alone; a null id
+Defined results: a null or empty text has no sentence; a document's score then is the leak; a null id
 has no label and is not held out; contradicting labels of an id are left out; repeated rows give one result row each; without labels of
-both classes no feature has a weight and every score is below 0.5; an empty table gives no rows.
+both classes no feature has a weight and every score is the leak; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -82,7 +82,8 @@ class Model:
         """Score of every sentence."""
         per_word = np.where(b.slots >= 0, self.weights[np.maximum(b.slots, 0)], 0).sum(1)
         z = np.bincount(b.sentence, weights=per_word, minlength=len(b.row)) + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+        told = np.bincount(b.sentence, weights=(self.weights[np.maximum(b.slots, 0)] != 0).any(1), minlength=len(b.row)) > 0
+        return np.where(told, 1 / (1 + np.exp(-np.clip(z, -60, 60))), 0)
 
     def documents(self, b: Bags, p: np.ndarray) -> np.ndarray:
         """Noisy-or over each row's sentences, with the leak."""
@@ -128,9 +129,8 @@ def train(texts, y: np.ndarray) -> Model:
         r_parts.append(b.row + b.words.first)
         base += len(b.row)
     f, s, r = (np.concatenate(x) for x in (f_parts, s_parts, r_parts))
-    # sentences without any feature all score the same: their share is counted, not stored
+    # a sentence without any feature says nothing: the leak stands for all of these
     n_docs, active = len(y), np.unique(s, sorted=True) if len(s) else np.zeros(0, np.int64)
-    plain = np.bincount(r, minlength=n_docs) - np.bincount(r[active], minlength=n_docs)
     s, r = np.searchsorted(active, s), r[active]
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     theta = np.append(np.ones(int(use.sum())), SENTENCE_BIAS)
@@ -139,13 +139,12 @@ def train(texts, y: np.ndarray) -> Model:
     for step in range(1, STEPS + 1):
         z = np.bincount(s, weights=theta[f], minlength=len(r)) + theta[-1]
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        p0 = 1 / (1 + np.exp(-np.clip(theta[-1], -30, 30)))
-        none = np.log1p(-leak) + np.bincount(r, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n_docs) + plain * np.log1p(-p0)
+        none = np.log1p(-leak) + np.bincount(r, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n_docs)
         q = np.exp(none)  # no sentence is toxic
         # loss: -log(1 - q) for label 1, -log q for label 0; d none / d z = -p
         d_none = np.where(y == 1, weight * q / np.maximum(1 - q, 1e-9), -weight)
         dz = -(d_none[r] * p)
-        grad = np.append(np.bincount(f, weights=dz[s], minlength=len(theta) - 1), dz.sum() - (d_none * plain).sum() * p0)
+        grad = np.append(np.bincount(f, weights=dz[s], minlength=len(theta) - 1), dz.sum())
         grad[:-1] += DECAY * theta[:-1]
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad ** 2
