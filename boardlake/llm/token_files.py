@@ -6,9 +6,11 @@ running start within the file.  The files carry row indexes and Bloom filters on
 lookup of ids reads only stripes that may hold them, and any stripes can be read in parallel.
 A document's global start is the files' totals before its file (one row per file) plus its start there.
 
-Texts are encoded by the tokenizers library.  The vocabulary drops white space and no token
-crosses it, so the pieces between blanks and line feeds are encoded apart and pieces already
-seen are taken from a bounded cache; the test compares this with encoding texts whole.
+Texts are encoded by the tokenizers library.  A vocabulary of the default's kind (NFC, lower case, its
+split pattern, byte-level BPE) encodes each run of letters or marks apart, so for texts in printable Latin-1
+without the beginning of a special token the runs are found here, the library's BPE model encodes each new run, and
+runs already seen come from a bounded cache.  All other texts and vocabularies are encoded whole.  The test
+compares both ways.
 
 Defined results: a null or empty text has the end id alone; rows that repeat a doc_id stand next to each
 other, by hash and order of their texts; a null id comes first; an empty table gives an empty file set.
@@ -16,6 +18,8 @@ other, by hash and order of their texts; a null id comes first; an empty table g
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -32,8 +36,8 @@ from .common import shared_path
 END_ID = 1
 #: Rows between two entries of the row index, bytes of a stripe, false positives of the Bloom filters.
 ROW_INDEX, STRIPE, FALSE_POSITIVES = 1000, 16 << 20, 0.01
-#: Pieces kept by a worker, and the longest of them in characters; the cache starts anew when full.
-CACHE, LONGEST = 300_000, 64
+#: Runs in either half of a worker's cache; when the young half is full it becomes the old one.
+HALF = 350_000
 _SCHEMA = "part int, doc_id long, start_in_part long, n_tokens int, ids array<int>"
 _worker: dict = {}
 
@@ -44,30 +48,57 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _pieces(texts: list[str], tokenizer) -> list[list[int]]:
-    """Ids of every text, from the cached ids of its pieces."""
-    cache = _worker.setdefault("cache", {"": []})
-    out = []
-    for text in texts:
-        pieces = text.replace("\n", " ").split(" ")
-        new = [p for p in dict.fromkeys(pieces) if p not in cache]
-        own = {}
-        if new:
-            if len(cache) > CACHE:
-                cache.clear()
-                cache[""] = []
-                new = [p for p in dict.fromkeys(pieces) if p]
-            for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                (cache if len(p) <= LONGEST else own)[p] = e.ids
-        ids: list[int] = []
-        if own:
-            for p in pieces:
-                ids += own[p] if p in own else cache[p]
-        else:
-            for p in pieces:
-                ids += cache[p]
-        out.append(ids)
-    return out
+# The split pattern of the default vocabulary, and the same over lower-case Latin-1.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS, _NUMBERS, _SPACES = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r "
+_RUN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+
+
+#: Beginnings of special tokens, controls, and all beyond printable Latin-1.
+_ODD = re.compile("<\\||[\x00-\x08\x0e-\x1f\x7f-\xa0\xad\u0100-\U0010ffff]")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level BPE's letter of every byte: printable ones are their own, the others follow from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: b if b in printable else 256 + others.index(b) for b in range(256)}
+
+
+class Encoder:
+    """Ids of whole texts, as little-endian 32-bit integers."""
+
+    def __init__(self, model: str):
+        from tokenizers import Tokenizer
+
+        spec = json.loads(model)
+        self.tokenizer = Tokenizer.from_str(model)
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.by_runs = ([x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in split] == ["Split", "ByteLevel"]
+                        and split[0]["pattern"] == {"Regex": SPLIT} and split[0]["behavior"] == "Removed" and split[0]["invert"]
+                        and not split[1]["add_prefix_space"] and not split[1]["use_regex"]
+                        and all(x["content"].startswith("<|") for x in spec["added_tokens"]))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+
+    def _run(self, run: str) -> bytes:
+        if not run.isascii():
+            run = run.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(run)], "<u4").tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        if not self.by_runs or _ODD.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.young) > HALF:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        runs = _RUN.findall(text.lower())
+        for r in set(runs):
+            if r not in young:
+                young[r] = old[r] if r in old else self._run(r)
+        return b"".join([young[r] for r in runs])
 
 
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -76,26 +107,18 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     model = spark.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if _worker.get("model") != (key := zlib.crc32(model.value.encode())):
-            _worker.clear()
-            _worker.update(model=key, tokenizer=Tokenizer.from_str(model.value))
+        if _worker.get("key") != (key := zlib.crc32(model.value.encode())):
+            _worker.update(key=key, encoder=Encoder(model.value))
+        encoder, end = _worker["encoder"], np.array([END_ID], "<u4").tobytes()
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)
-                ids = _pieces([t or "" for t in b.column("text").to_pylist()], _worker["tokenizer"])
-                n = np.array([len(x) + 1 for x in ids], np.int64)
-                off = np.concatenate([[0], np.cumsum(n)])
-                flat = np.full(off[-1], END_ID, np.int32)
-                for x, i, j in zip(ids, off[:-1].tolist(), off[1:].tolist()):
-                    flat[i:j - 1] = x
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), b.column("doc_id"), pa.array(start + off[:-1]),
-                                                  pa.array(n.astype(np.int32)), wh.list_array(flat, off, pa.int32())],
+                ids = [encoder(t or "") + end for t in b.column("text").to_pylist()]
+                off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
+                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), b.column("doc_id"), pa.array(start + off[:-1]),
+                                                  pa.array(np.diff(off).astype(np.int32)), wh.list_array(flat, off, pa.int32())],
                                                  ["part", "doc_id", "start_in_part", "n_tokens", "ids"])
                 start += int(off[-1])
 
