@@ -61,11 +61,11 @@ def rotate_deal(pbn: Column, first: str) -> Column:
 def rotate_to_north(pbn: Column) -> Column:
     """A deal given from E, S or W re-ordered so it starts with North."""
     first = F.substring(pbn, 1, 1)
-    hands = F.split(F.substring(pbn, 3, 1000), " ")
+    hands = F.split(F.substr(pbn, F.lit(3)), " ")
     k = F.instr(F.lit(DIRECTIONS), first) - 1
     # hand of North is at position (4 - k) % 4 in the given order
-    order = [F.element_at(hands, F.pmod(F.lit(i) - k, F.lit(4)) + 1) for i in range(4)]
-    return F.concat(F.lit("N:"), F.concat_ws(" ", *order))
+    order = [F.get(hands, F.pmod(F.lit(i) - k, F.lit(4))) for i in range(4)]
+    return F.when(pbn.isNotNull(), F.concat(F.lit("N:"), F.concat_ws(" ", *order)))
 
 
 def pbn_to_brs(pbn: Column) -> Column:

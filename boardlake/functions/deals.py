@@ -50,7 +50,7 @@ def vul_ew(vul) -> Column:
 
 def hands_of(pbn) -> Column:
     """P5: array of the four hand strings in N, E, S, W order."""
-    return F.split(F.substring(_c(pbn), 3, 1000), " ")
+    return F.split(F.substr(_c(pbn), F.lit(3)), " ")
 
 
 def suits_of_hand(hand: Column) -> Column:

@@ -83,7 +83,10 @@ def score_sets_doubled(level, strain, vul, tricks) -> Column:
     """Score used for expected values: made contracts undoubled, sets always doubled."""
     level, strain, vul, tricks = (_c(x) for x in (level, strain, vul, tricks))
     result = tricks - 6 - level
-    return score(level, strain, F.when(result < 0, F.lit("X")).otherwise(F.lit("")), vul, result)
+    n = -result
+    doubled_down = F.when(vul, n * 300 - 100).otherwise(n * 300 - 400 + 100 * F.greatest(F.lit(0), 3 - n))
+    # null strains and vulnerabilities stay null on both sides
+    return F.when(result >= 0, score(level, strain, F.lit(""), vul, result)).when(strain.isNotNull() & vul.isNotNull(), -doubled_down).cast("int")
 
 
 def score_array(level, strain, dbl, vul, double_sets: bool = False) -> Column:

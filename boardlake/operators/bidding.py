@@ -8,6 +8,7 @@ evaluated on the hand's own row -- no join, no shuffle -- then turned into long
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,38 +159,46 @@ def analyse_auctions(df: DataFrame, key: str = "deal_id", calls: str = "calls",
     )
 
 
+#: Calls of the longest legal auction: 3 passes, then 35 bids that each take up to 9 calls with double, redouble and passes, the last one 10.
+LONGEST_AUCTION = 319
+
+
 def expand_auctions(hands: DataFrame, accepts: DataFrame, dealer: DataFrame, key: str = "deal_id",
-                    max_rounds: int = 40, checkpoint_every: int = 2) -> DataFrame:
+                    checkpoint_every: int = 4) -> DataFrame:
     """Grow auctions from the empty one by the bidding table, round by round.
 
     Frontier rows are (key, calls so far, seat to call).  Each round joins the frontier with
     the accepted (prior calls, bid) entries of the hand to call; a frontier row with no
     accepted entry passes.  An auction stops after four passes, or three passes after a
-    bid.  The loop is bounded (``max_rounds``), and lineage is cut with a reliable
-    checkpoint every few rounds.
+    bid.  The loop runs until no auction is open; the rules bound it (``LONGEST_AUCTION`` calls),
+    so a table that makes longer auctions has illegal bids and raises.  Lineage is cut with a reliable
+    checkpoint every few rounds; finished auctions are checkpointed once, with their rounds.
     """
     acc = cut_lineage(accepts.filter(F.col("accepted")).select(key, F.col("direction").alias("seat"), "prior_calls", "bid"))
     seats = F.lit("NESW")
     frontier = dealer.select(key, F.lit("").alias("prior_calls"), F.col("dealer").alias("seat"), F.lit(0).alias("round"))
-    done = None
-    for r in range(max_rounds):
+    done, rounds = [], 0
+    while True:
+        if rounds == LONGEST_AUCTION:
+            raise ValueError(f"auctions are still open after {LONGEST_AUCTION} calls: the bidding table accepts illegal bids")
         nxt = frontier.join(acc, on=[key, "seat", "prior_calls"], how="left")
         nxt = nxt.withColumn("bid", F.coalesce(F.col("bid"), F.lit("p")))
         calls = F.when(F.col("prior_calls") == "", F.col("bid")).otherwise(F.concat_ws("-", "prior_calls", "bid"))
         nxt = nxt.select(key, calls.alias("prior_calls"),
                          F.substring(seats, F.pmod(F.instr(seats, F.col("seat")), F.lit(4)) + 1, 1).alias("seat"),
-                         F.lit(r + 1).alias("round"))
+                         F.lit(rounds + 1).alias("round"))
         toks = F.split(F.col("prior_calls"), "-")
         n = F.size(toks)
         all_pass4 = (n == 4) & F.forall(toks, lambda t: t == "p")
         tail3 = (n >= 4) & F.forall(F.slice(toks, -3, 3), lambda t: t == "p") & F.exists(toks, lambda t: t != "p")
         fin = nxt.withColumn("_done", all_pass4 | tail3)
-        finished = fin.filter("_done").drop("_done")
-        done = finished if done is None else done.unionByName(finished)
+        rounds += 1
+        if rounds % checkpoint_every:
+            done.append(fin.filter("_done").drop("_done"))
+            frontier = fin.filter(~F.col("_done")).drop("_done")
+            continue
+        fin = cut_lineage(reduce(DataFrame.unionByName, [d.withColumn("_done", F.lit(True)) for d in done[-(checkpoint_every - 1):]] + [fin]))
+        done = done[:-(checkpoint_every - 1)] + [fin.filter("_done").drop("_done")]
         frontier = fin.filter(~F.col("_done")).drop("_done")
-        if (r + 1) % checkpoint_every == 0:
-            frontier = cut_lineage(frontier)
-            done = cut_lineage(done)
-            if frontier.isEmpty():
-                break
-    return done.select(key, F.col("prior_calls").alias("calls"), "round")
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, done).select(key, F.col("prior_calls").alias("calls"), "round")

@@ -1,10 +1,11 @@
 """Board record text formats: PBN tag blocks (S1, S4) and LIN lines (S2, P20), plus stage files.
 
-``read_pbn`` reads a file with one board per blank-line-separated block
-(``lineSep='\\n\\n'``) and parses the tag pairs of every block into a map; ``read_lin``
-reads one board per line of ``key|value|`` pairs and infers the fourth hand as the full
-deck minus the three given.  Parsing is done with Spark's string and map functions on
-each record's own row.
+``read_pbn`` reads whole files and splits them at blank lines (LF or CRLF) into one block per
+board; the tag pairs of a block stay an ordered array, since tags such as ``Note`` repeat, and a
+lookup takes the first.  The sections that follow ``[Auction]`` and ``[Play]`` are kept as token arrays.
+``read_lin`` reads one board per line of ``key|value|`` pairs and infers the fourth hand as the full
+deck minus the three given; a line that gives no valid deal keeps its text in ``_corrupt``.  Parsing is
+done with Spark's string and array functions on each record's own row.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..functions.codings import rotate_to_north
 
 TAG_RE = r'\[(\w+)\s+"([^"]*)"\]'
 PBN_VUL = {"None": "None", "Love": "None", "-": "None", "NS": "N_S", "EW": "E_W", "All": "Both", "Both": "Both"}
@@ -20,17 +22,38 @@ LIN_DEALER = {"1": "S", "2": "W", "3": "N", "4": "E"}          # fixed value: LI
 LIN_VUL = {"o": "None", "0": "None", "n": "N_S", "e": "E_W", "b": "Both"}
 
 
+def _section(text: Column, tag: str) -> Column:
+    """Tokens of the lines after ``[tag "..."]`` up to the next tag; comments in braces and after ';' dropped."""
+    body = F.regexp_extract(text, r'\[' + tag + r'\s+"[^"]*"\]([^\[]*)', 1)
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"\{[^}]*\}", " "), r";[^\n]*", " "), r"\s+", " "))
+    return F.when(plain != "", F.split(plain, " ")).otherwise(F.array().cast("array<string>"))
+
+
 def parse_pbn_blocks(df: DataFrame, text: str = "value") -> DataFrame:
-    """Every tag pair of a block into a ``tags`` map; raw text kept, blocks without tags dropped."""
-    tags = F.regexp_extract_all(F.col(text), F.lit(TAG_RE), F.lit(1))
-    vals = F.regexp_extract_all(F.col(text), F.lit(TAG_RE), F.lit(2))
-    out = df.withColumn("tags", F.map_from_arrays(tags, vals))
+    """The tag pairs of a block as an array ``tags`` of (k, v) in file order (tags may repeat), and the
+    auction and play sections as arrays ``auction`` and ``play``; raw text kept, blocks without tags dropped."""
+    t = F.regexp_replace(F.col(text), "\r", "")
+    keys = F.regexp_extract_all(t, F.lit(TAG_RE), F.lit(1))
+    vals = F.regexp_extract_all(t, F.lit(TAG_RE), F.lit(2))
+    out = df.withColumns({"tags": F.arrays_zip(keys.alias("k"), vals.alias("v")),
+                          "auction": _section(t, "Auction"), "play": _section(t, "Play")})
     return out.filter(F.size("tags") > 0)
 
 
+def split_pbn(df: DataFrame, text: str = "value") -> DataFrame:
+    """Whole files to one row per block of lines without a blank line between (LF or CRLF)."""
+    rest = [c for c in df.columns if c != text]
+    return df.select(*rest, F.explode(F.split(F.col(text), r"\r?\n[ \t]*(?:\r?\n[ \t]*)+")).alias(text)).filter(F.trim(text) != "")
+
+
 def read_pbn(spark: SparkSession, path: str) -> DataFrame:
-    """A PBN file -> one row per board block with its tag map."""
-    return parse_pbn_blocks(spark.read.option("lineSep", "\n\n").text(path), "value")
+    """PBN files (each read whole) -> one row per board block."""
+    return parse_pbn_blocks(split_pbn(spark.read.text(path, wholetext=True)), "value")
+
+
+def first_tag(tags: Column, name: str) -> Column:
+    """The first value of a tag, null if the block lacks it."""
+    return F.get(F.filter(tags, lambda p: p["k"] == name), F.lit(0))["v"]
 
 
 def unnest_tags(df: DataFrame, names, tags: str = "tags") -> DataFrame:
@@ -38,12 +61,13 @@ def unnest_tags(df: DataFrame, names, tags: str = "tags") -> DataFrame:
     cols = {}
     for n in names:
         out = {"North": "player_n", "East": "player_e", "South": "player_s", "West": "player_w"}.get(n, n.lower())
-        cols[out] = F.element_at(F.col(tags), F.lit(n))
+        cols[out] = first_tag(F.col(tags), n)
     return df.withColumns(cols)
 
 
 def canonical_from_pbn(df: DataFrame) -> DataFrame:
-    """Canonical result columns from PBN tags: contract with declarer, tricks, vul, dealer."""
+    """Canonical result columns from PBN tags: contract with declarer, tricks, vul, dealer, and the deal
+    (which may start at any seat) written from North."""
     c = F.upper(F.col("contract"))
     contract = F.when(c == "PASS", F.lit("PASS")).when(c.isNotNull() & (c != ""), F.concat(c, F.col("declarer")))
     return df.withColumns({
@@ -51,6 +75,7 @@ def canonical_from_pbn(df: DataFrame) -> DataFrame:
         "tricks": F.col("result").try_cast("int"),
         "vul": vocab.map_vocab(F.col("vulnerable"), PBN_VUL),
         "board": F.col("board").try_cast("int"),
+        **({"deal": rotate_to_north(F.col("deal"))} if "deal" in df.columns else {}),
     })
 
 
@@ -64,30 +89,38 @@ def _suit_holdings_from_lin_hand(h: Column) -> list[Column]:
     """S, H, D, C holdings (high to low) of a LIN hand 'S<cards>H<cards>D<cards>C<cards>' (cards low to high)."""
     out = []
     for s in "SHDC":
-        cards = F.regexp_extract(h, s + r"([2-9TJQKA]*)", 1)
+        cards = F.regexp_extract(F.replace(F.upper(h), F.lit("10"), F.lit("T")), s + r"([2-9TJQKA]*)", 1)
         out.append(F.reverse(cards))
     return out
 
 
 def parse_lin(df: DataFrame, line: str = "value") -> DataFrame:
-    """Board fields of a LIN line; the 4th hand is the deck minus the three given."""
+    """Board, players, calls with alerts and announcements, play and claim of a LIN line.  The 4th hand is the deck
+    minus the three given; a line without three hands of 13 different cards has a null ``pbn`` and its text in ``_corrupt``."""
     toks = F.split(F.col(line), r"\|", -1)
     keys = F.filter(F.transform(toks, lambda t, i: F.when(i % 2 == 0, t)), lambda x: x.isNotNull())
     vals = F.filter(F.transform(toks, lambda t, i: F.when(i % 2 == 1, t)), lambda x: x.isNotNull())
     pairs = F.arrays_zip(keys.alias("k"), F.slice(vals, 1, F.size(keys)).alias("v"))
     out = df.withColumn("_pairs", pairs)
-    first = lambda k: F.element_at(F.filter("_pairs", lambda p: p["k"] == k), 1)["v"]
+    first = lambda k: F.get(F.filter("_pairs", lambda p: p["k"] == k), F.lit(0))["v"]
     calls = F.transform(F.filter("_pairs", lambda p: p["k"] == "mb"), lambda p: F.regexp_replace(p["v"], "!", ""))
     md = first("md")
+    names = F.split(first("pn"), ",")
     out = out.withColumns({
-        "dealer": F.element_at(vocab.map_literal(LIN_DEALER), F.substring(md, 1, 1)),
-        "vul": F.element_at(vocab.map_literal(LIN_VUL), first("sv")),
+        "dealer": F.try_element_at(vocab.map_literal(LIN_DEALER), F.substring(md, 1, 1)),
+        "vul": F.try_element_at(vocab.map_literal(LIN_VUL), F.lower(first("sv"))),
         "board_text": first("ah"),
         "calls": F.array_join(calls, "-"),
-        "_hands": F.split(F.substring(md, 2, 1000), ","),
+        "alerts": F.transform(F.filter("_pairs", lambda p: p["k"] == "mb"), lambda p: p["v"].endswith("!")),
+        "announcements": F.transform(F.filter("_pairs", lambda p: p["k"] == "an"), lambda p: p["v"]),
+        "play": F.transform(F.filter("_pairs", lambda p: p["k"] == "pc"), lambda p: F.upper(p["v"])),
+        "claimed": first("mc").try_cast("int"),
+        # players are given S, W, N, E
+        **{f"player_{seat}": F.nullif(F.get(names, F.lit(i)), F.lit("")) for i, seat in enumerate("swne")},
+        "_hands": F.split(F.substr(md, F.lit(2)), ","),
     })
     # given hands are S, W, N (clockwise from South); E is inferred
-    hs = [F.element_at(F.col("_hands"), i) for i in (1, 2, 3)]
+    hs = [F.coalesce(F.get(F.col("_hands"), F.lit(i)), F.lit("")) for i in (0, 1, 2)]
     holdings = {seat: _suit_holdings_from_lin_hand(h) for seat, h in zip("SWN", hs)}
     deck = F.array(*[F.lit(s + r) for s in "SHDC" for r in "AKQJT98765432"])
 
@@ -104,7 +137,10 @@ def parse_lin(df: DataFrame, line: str = "value") -> DataFrame:
     holdings["E"] = east
     hand = {seat: F.concat_ws(".", *holdings[seat]) for seat in "NESW"}
     pbn = F.concat(F.lit("N:"), F.concat_ws(" ", hand["N"], hand["E"], hand["S"], hand["W"]))
-    return out.withColumn("pbn", pbn).drop("_pairs", "_hands")
+    given = [F.length(F.concat(*holdings[seat])) == 13 for seat in "SWN"]
+    valid = F.coalesce(given[0] & given[1] & given[2] & (F.size(east_cards) == 13) & F.col("dealer").isNotNull(), F.lit(False))
+    return (out.withColumn("pbn", F.when(valid, pbn)).withColumn("_corrupt", F.when(~valid, F.col(line)))
+            .drop("_pairs", "_hands"))
 
 
 def read_lin(spark: SparkSession, path: str) -> DataFrame:
@@ -115,7 +151,7 @@ def read_lin(spark: SparkSession, path: str) -> DataFrame:
 def render_lin(dealer: Column, pbn: Column, vul_code: Column, board: Column, calls: Column) -> Column:
     """A LIN line: md (dealer code + S, W, N hands, cards low to high), sv, ah and one mb per call."""
     code = F.element_at(vocab.map_literal({v: k for k, v in LIN_DEALER.items()}), dealer)
-    hands = F.split(F.substring(pbn, 3, 1000), " ")
+    hands = F.split(F.substr(pbn, F.lit(3)), " ")
 
     def lin_hand(i: int) -> Column:
         suits = F.split(F.element_at(hands, i + 1), r"\.", -1)

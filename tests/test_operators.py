@@ -127,25 +127,66 @@ def test_pbn_and_lin_files(spark):
     got = {r.board: r for r in rows.collect()}
     assert got[1].contract == "3NTS" and got[1].tricks == 9 and got[1].vul == "None"
     assert got[2].contract == "PASS" and got[2].vul == "N_S"
+    # CRLF, several blank lines, repeated tags, a deal from West, auction and play with a comment
+    west = "432.AKQJ.T98.765 AKQJ.T98.765.432 T98.765.432.AKQJ 765.432.AKQJ.T98"
+    crlf = os.path.join(d, "crlf.pbn")
+    with open(crlf, "w", newline="") as f:
+        f.write('\r\n'.join(['[Board "7"]', '[Dealer "S"]', '[Vulnerable "All"]', f'[Deal "W:{west}"]', '[Declarer "W"]', '[Contract "4HX"]', '[Result "8"]',
+                             '[Note "1:strong"]', '[Note "2:weak"]', '[Auction "S"]', '1H =1= {long {suit} Pass', '4H X', 'Pass Pass Pass', '[Play "N"]', 'SA S2 S3 S4', '*',
+                             '', '  ', '', '[Board "8"]', '[Contract "Pass"]', '']))
+    rows = BT.canonical_from_pbn(BT.unnest_tags(BT.read_pbn(spark, crlf), ["Board", "Dealer", "Vulnerable", "Deal", "Declarer", "Contract", "Result", "Note"]))
+    got = {r.board: r for r in rows.collect()}
+    assert sorted(got) == [7, 8] and got[7].contract == "4HXW" and got[7].vul == "Both" and got[7].note == "1:strong"
+    assert got[7].deal == "N:AKQJ.T98.765.432 T98.765.432.AKQJ 765.432.AKQJ.T98 432.AKQJ.T98.765"
+    assert got[7].auction == ["1H", "=1=", "Pass", "4H", "X", "Pass", "Pass", "Pass"] and got[7].play == ["SA", "S2", "S3", "S4", "*"]
+    assert got[8].auction == [] and got[8].deal is None
     lin = os.path.join(d, "one.lin")
     with open(lin, "w") as f:
-        f.write("pn|a,b,c,d|md|3S2345H234D234C234,S6789H5678D5678C5,S10JQKH9TJD9TJC678|sv|o|ah|Board 1|mb|1C|mb|p|mb|p|mb|p|\n")
-    r = BT.read_lin(spark, lin).first()
-    assert r.dealer == "N" and r.calls == "1C-p-p-p" and r.vul == "None"
-    assert r.pbn.startswith("N:") and len(r.pbn) == 69
+        f.write("pn|a,b,c,d|md|3S2345H234D234C234,S6789H5678D5678C5,S10JQKAH9TJD9TJC67|sv|o|ah|Board 1|mb|1C!|an|strong|mb|p|mb|p|mb|p|pc|c2|mc|9|\n")
+        f.write("md|3S2345H234D234C234,S6789H5678D5678C5,S10JH9TJD9TJC678|sv|o|\n")  # 11 cards
+        f.write("not a board\n")
+    rows = BT.read_lin(spark, lin).collect()
+    r = next(r for r in rows if r.pbn)
+    assert r.dealer == "N" and r.calls == "1C-p-p-p" and r.vul == "None" and r.claimed == 9 and r.play == ["C2"]
+    assert r.alerts == [True, False, False, False] and r.announcements == ["strong"] and (r.player_s, r.player_e) == ("a", "d")
+    assert r.pbn == "N:AKQJT.JT9.JT9.76 .AKQ.AKQ.AKQJT98 5432.432.432.432 9876.8765.8765.5"
+    assert r._corrupt is None and sorted(x._corrupt[:3] for x in rows if x.pbn is None) == ["md|", "not"]
 
 
 def test_json_flatten_and_relational(spark):
-    df = spark.createDataFrame([(1, '{"a": 1, "kids": [{"x": "p"}, {"x": "q"}]}'), (2, '{"a": 2, "kids": []}')], "id long, j string")
-    t = J.json_to_relational(df, "j", "a INT, kids ARRAY<STRUCT<x: STRING>>", "id")
+    rows = [(1, '{"a": 1, "n": [4, 5], "kids": [{"x": "p", "g": [{"y": 1}, {"y": 2}]}, {"x": "q", "g": [{"y": 3}, {"y": 4}]}]}'), (2, '{"a": 2, "kids": []}')]
+    df = spark.createDataFrame(rows, "id long, j string")
+    t = J.json_to_relational(df, "j", "a INT, n ARRAY<INT>, kids ARRAY<STRUCT<x: STRING, g: ARRAY<STRUCT<y: INT>>>>", "id")
     assert sorted((r._parent_id, r.a) for r in t["root"].collect()) == [(1, 1), (2, 2)]
-    kids = sorted((r._parent_id, r._pos, r.x) for r in t["root_kids"].collect() if r.x is not None)
-    assert kids == [(1, 0, "p"), (1, 1, "q")]
+    assert sorted((r._parent_id, r._pos, r.x) for r in t["root_kids"].collect()) == [(1, 0, "p"), (1, 1, "q")]
+    assert sorted((r._parent_id, r._pos, r.value) for r in t["root_n"].collect()) == [(1, 0, 4), (1, 1, 5)]
+    assert sorted((tuple(r._path), r.y) for r in t["root_kids_g"].collect()) == [((0, 0), 1), ((0, 1), 2), ((1, 0), 3), ((1, 1), 4)]
     flat = J.flatten(df.select("id", F.from_json("j", "a INT, kids ARRAY<STRUCT<x: STRING>>").alias("j")))
     assert set(flat.columns) == {"id", "j_a", "j_kids_x"}
     assert flat.count() == 3  # lists of every row are exploded (outer), not only the first row's
 
 
+def test_unplayed_board_players_ties_and_ratings(spark):
+    from boardlake.operators import cache as C
+    from boardlake.operators import ratings as R
+
+    scores = spark.createDataFrame([("a", 100), ("a", None), ("a", 50), ("b", None)], "k string, s int")
+    cand = spark.createDataFrame([("a", 60), ("b", 60), ("c", 60)], "k string, v int")
+    got = {r.k: (r.mp, r.mp_top) for r in MP.hypothetical_matchpoints(scores, cand, "k", "s", "v").collect()}
+    assert got == {"a": (2.0, 1), "b": (None, None), "c": (None, None)}
+    old = spark.createDataFrame([("x", 5, "a"), ("y", 5, "a")], "k string, t int, v string")
+    new = spark.createDataFrame([("x", 5, "z"), ("y", 6, "b")], "k string, t int, v string")
+    assert sorted((r.k, r.v) for r in C.upsert_newer_wins(old, new, "k", "t").collect()) == [("x", "a"), ("y", "b")]
+    tables = spark.createDataFrame([("A", 1, 2)], "section string, pair_no_ns int, pair_no_ew int")
+    people = spark.createDataFrame([("A", s, n, f"{s}{n}", s.lower()) for s in "NS" for n in (1, 2)] + [("A", s, n, f"{s}{n}", s.lower()) for s in "EW" for n in (1, 2)],
+                                   "section string, orientation string, pair_no int, player_id string, player_name string")
+    r = C.attach_players(tables, people).first()
+    assert (r.player_id_N, r.player_id_S, r.player_id_E, r.player_id_W, r.player_name_W) == ("N1", "S1", "E2", "W2", "w")
+    df = spark.createDataFrame([(1, "p", "q", 1.0), (2, "p", None, 3.0), (3, None, "q", 5.0)], "i int, a string, b string, v double")
+    got = {r.i: (r.ra, r.rb) for r in R.ratings_many(df, [("v", "a", "ra"), ("v", "b", "rb")]).collect()}
+    assert got == {1: (2.0, 3.0), 2: (2.0, None), 3: (None, 3.0)}
+
+
 def test_lines_to_records_and_mp_text(spark):
     text = "junk\nScore\n420\n3\n4,5\n1,5\n-50\n2\n1\n5\nbad\n1\n1\n1\n"
     df = spark.createDataFrame([(1, text)], "page_id long, t string")
