@@ -62,14 +62,17 @@ def upsert_newer_wins(old: DataFrame, new: DataFrame | None, k, order_cols) -> D
 
     Rows of ``old`` and ``new`` are unioned and reduced per key with ``max(struct(order...,
     payload...))``: a partial aggregate, so a key with very many versions is folded on each
-    task before the shuffle (a window would put all of a hot key's rows in one task).  On a
-    full tie the larger payload wins, deterministically.
+    task before the shuffle (a window would put all of a hot key's rows in one task).  Only
+    strictly newer rows replace old ones: on a tie the old row stays.  Ties within one side go to
+    the larger payload, deterministically.
     """
     k = _keys(k)
     order_cols = _keys(order_cols)
-    u = old if new is None else old.unionByName(new, allowMissingColumns=True)
-    payload = [c for c in u.columns if c not in k and c not in order_cols]
-    best = u.groupBy(*k).agg(F.max(F.struct(*order_cols, *payload)).alias("_b"))
+    u = old.withColumn("_is_old", F.lit(True))
+    if new is not None:
+        u = u.unionByName(new.withColumn("_is_old", F.lit(False)), allowMissingColumns=True)
+    payload = [c for c in u.columns if c not in k and c not in order_cols and c != "_is_old"]
+    best = u.groupBy(*k).agg(F.max(F.struct(*order_cols, "_is_old", *payload)).alias("_b"))
     return best.select(*k, *[F.col(f"_b.{c}").alias(c) for c in order_cols + payload])
 
 
@@ -121,11 +124,18 @@ def attach_rankings(results: DataFrame, rankings: DataFrame, pair_col: str = "pa
     return out
 
 
-def attach_players(df: DataFrame, players: DataFrame, k=("section", "orientation", "pair_no"), seats="NESW") -> DataFrame:
-    """Player id and name for each seat from a lookup keyed by (section, orientation, pair number)."""
+def attach_players(df: DataFrame, players: DataFrame, section: str = "section", seats=None,
+                   id_col: str = "player_id", name_col: str = "player_name") -> DataFrame:
+    """``<id>_<seat>`` and ``<name>_<seat>`` for each seat, looked up by (section, seat, pair number).
+
+    ``players`` has section, orientation (a seat), pair_no, id and name; ``df`` has the section and one
+    pair number column per seat (``seats`` maps seat to column; by default NS and EW pair numbers).
+    """
+    seats = seats or {"N": "pair_no_ns", "S": "pair_no_ns", "E": "pair_no_ew", "W": "pair_no_ew"}
     out = df
-    for s in seats:
-        p = players.select(*[F.col(c).alias(f"{c}_{s}") for c in players.columns])
-        cond = [out[f"{c}_{s}"] == p[f"{c}_{s}"] for c in k if f"{c}_{s}" in out.columns]
-        out = out.join(p, cond, "left")
+    for seat, pair in seats.items():
+        p = players.filter(F.col("orientation") == seat).select(
+            F.col(section).alias("_section"), F.col("pair_no").alias("_pair"),
+            F.col(id_col).alias(f"{id_col}_{seat}"), F.col(name_col).alias(f"{name_col}_{seat}"))
+        out = out.join(p, (F.col(section) == F.col("_section")) & (F.col(pair) == F.col("_pair")), "left").drop("_section", "_pair")
     return out

@@ -151,25 +151,28 @@ def hypothetical_matchpoints(
 ) -> DataFrame:
     """For every candidate value v of a board: (#scores < v) + 0.5 * (#scores == v).
 
-    The board's real scores are compared with each candidate (null scores count as 0 as
-    in the reference when ``fill_null``).  Union of the score frequency table and the
+    The board's real scores are compared with each candidate (null scores count as 0 when
+    ``fill_null``, but the top is that of W1: results with a score less one).  A board
+    without any score has null matchpoints and a null top.  Union of the score frequency table and the
     board's distinct candidate values, one range-frame window, answer joined back to the
     candidate rows: n log n, never all pairs.
     """
     k = _keys(k)
     s = F.coalesce(F.col(score), F.lit(0)) if fill_null else F.col(score)
-    freq = scores.select(*k, s.cast("double").alias("_v")).groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    freq = scores.select(*k, s.cast("double").alias("_v"), F.col(score).alias("_s")).groupBy(*k, "_v").agg(
+        F.count(F.lit(1)).alias("_n"), F.count("_s").alias("_real"))
     freq = freq.filter(F.col("_v").isNotNull())
     cand = candidates.select(*k, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-    u = freq.withColumn("_cand", F.lit(False)).unionByName(cand.withColumns({"_n": F.lit(0).cast("long"), "_cand": F.lit(True)}))
+    u = freq.withColumn("_cand", F.lit(False)).unionByName(cand.withColumns({"_n": F.lit(0).cast("long"), "_real": F.lit(0).cast("long"), "_cand": F.lit(True)}))
     w = Window.partitionBy(*k).orderBy("_v")
     incl = F.sum("_n").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     eq = F.sum("_n").over(w.rangeBetween(Window.currentRow, Window.currentRow))
-    top = F.sum("_n").over(Window.partitionBy(*k)) - 1
+    real = F.sum("_real").over(Window.partitionBy(*k))
+    top = F.when(real > 0, real - 1)
     res = (
         u.withColumns({"_incl": incl, "_eq": eq, "_top": top})
         .filter(F.col("_cand"))
-        .select(*k, "_v", ((F.col("_incl") - F.col("_eq")) + F.col("_eq") / 2.0).alias("mp"), F.col("_top").cast("long").alias("mp_top"))
+        .select(*k, "_v", F.when(F.col("_top").isNotNull(), (F.col("_incl") - F.col("_eq")) + F.col("_eq") / 2.0).alias("mp"), F.col("_top").cast("long").alias("mp_top"))
     )
     c = candidates.withColumn("_v", F.col(value).cast("double"))
     return c.join(res, on=k + ["_v"], how="left").drop("_v")
@@ -188,6 +191,11 @@ def mp_pct_from_new_score(mp: Column | str, value: Column | str, top: Column | s
     return F.try_divide(m + (m > v).cast("int") + (m == v).cast("int") / 2.0, (t + 1).cast("double"))
 
 
+def max_pct(df: DataFrame, mp: str, top: str, out: str) -> DataFrame:
+    """A side's best matchpoints as a share of the board's top (null for a top of 0)."""
+    return df.withColumn(out, F.when(F.col(top) > 0, F.col(mp) / F.col(top).cast("double")))
+
+
 def max_by_side(df: DataFrame, row_key, side: str, value: str, out: str) -> DataFrame:
     """Per row and side, the maximum of a long table's value."""
     return df.groupBy(*_keys(row_key), side).agg(F.max(value).alias(out))

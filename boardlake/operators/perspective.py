@@ -93,8 +93,8 @@ def find_player(df: DataFrame, player_id: str, cols) -> DataFrame:
 
 
 def find_by_date(df: DataFrame, col: str, date: str, fmt: str = "yyyy-MM-dd") -> DataFrame:
-    """rows whose date text parses to the given date."""
-    return df.filter(F.to_date(F.col(col), fmt) == F.to_date(F.lit(date)))
+    """rows whose date text parses to the given date; other texts match nothing."""
+    return df.filter(F.try_to_date(F.col(col), fmt) == F.to_date(F.lit(date)))
 
 
 def team_listing(df: DataFrame, section_col: str, team_col: str) -> DataFrame:

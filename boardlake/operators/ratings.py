@@ -26,16 +26,29 @@ def ratings(df: DataFrame, value: str, id_col: str, out: str) -> DataFrame:
 
 
 def ratings_many(df: DataFrame, specs) -> DataFrame:
-    """W8 for several (value, id column, output) triples: every summary is aggregated from the
-    same base rows (not from the previous join), then joined back once per id."""
+    """W8 for several (value, id column, output) triples in one pass over the rows.
+
+    Each row gives one (role, id, value) row for every non-null id; one partial aggregate by (role, id) makes
+    all means.  The answers come back in one join by (role, id) to the rows that have an id; null ids never
+    enter a join.
+    """
+    roles = F.array(*[F.struct(F.lit(i).alias("_role"), F.col(id_col).alias("_id"), F.col(value).cast("double").alias("_value"))
+                      for i, (value, id_col, _) in enumerate(specs)])
+    long = df.select(F.inline(roles)).filter(F.col("_id").isNotNull())
+    means = long.groupBy("_role", "_id").agg(F.avg("_value").alias("_mean"))
     out = df
-    for value, id_col, name in specs:
-        out = out.join(rating_summary(df, value, id_col, name).select(id_col, name), on=id_col, how="left")
+    for i, (_, id_col, name) in enumerate(specs):
+        one = means.filter(F.col("_role") == i).select(F.col("_id").alias(f"_id{i}"), F.col("_mean").alias(name))
+        # a null id takes a key of its own row instead, which matches nothing, so null ids don't meet in one task
+        key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null-"), F.xxhash64(*df.columns).cast("string")))
+        out = out.withColumn(f"_key{i}", key).join(one.withColumn(f"_id{i}", F.col(f"_id{i}").cast("string")),
+                                                   F.col(f"_key{i}") == F.col(f"_id{i}"), "left").drop(f"_key{i}", f"_id{i}")
     return out
 
 
 def with_declarer_columns(results: DataFrame, dd: DataFrame, key: str = "deal_id") -> DataFrame:
-    """Double-dummy tricks and score of the contract played, and differences.
+    """Double-dummy tricks and score of the contract played (undoubled when it makes,
+    penalty doubled when it fails, whatever was bid), and differences.
 
     ``results`` has key, declarer, strain, level, dbl, vul_declarer, tricks, score_declarer;
     ``dd`` has key, declarer, strain, tricks (one row per seat and strain).
@@ -44,8 +57,7 @@ def with_declarer_columns(results: DataFrame, dd: DataFrame, key: str = "deal_id
 
     d = dd.select(key, "declarer", "strain", F.col("tricks").alias("dd_tricks"))
     j = results.join(d, on=[key, "declarer", "strain"], how="left")
-    dd_score = scoring.score(F.col("level"), F.col("strain"), F.col("dbl"), F.col("vul_declarer"),
-                             F.col("dd_tricks") - 6 - F.col("level"))
+    dd_score = scoring.score_sets_doubled(F.col("level"), F.col("strain"), F.col("vul_declarer"), F.col("dd_tricks"))
     return j.withColumns({
         "dd_score_declarer": dd_score,
         "tricks_dd_diff": (F.col("tricks") - F.col("dd_tricks")).cast("int"),

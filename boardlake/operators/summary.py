@@ -77,13 +77,14 @@ def dedupe(df: DataFrame, cols) -> DataFrame:
 
 
 def top(df: DataFrame, col: str, n: int = 1, by=None) -> DataFrame:
-    """K2/K6: the n rows with the largest ``col`` (per group with a bounded window when ``by``)."""
+    """K2/K6: the n rows with the largest ``col`` (per group when ``by``); ties go by the other columns in order."""
     from pyspark.sql import Window
 
+    ties = [F.col(c) for c in df.columns if c != col]
     if not by:
-        return df.orderBy(F.col(col).desc()).limit(n)
+        return df.orderBy(F.col(col).desc(), *ties).limit(n)
     by = [by] if isinstance(by, str) else list(by)
-    w = Window.partitionBy(*by).orderBy(F.col(col).desc())
+    w = Window.partitionBy(*by).orderBy(F.col(col).desc(), *ties)
     return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= n).drop("_rk")
 
 

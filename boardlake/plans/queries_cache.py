@@ -26,7 +26,7 @@ ORDER_SUMMARY_SQL = """os as (select o_custkey c_custkey, max(o_totalprice) c_ac
 
 @register(
     "cache_upsert",
-    "J4,U1",
+    "J4",
     "with " + ORDER_SUMMARY_SQL + """
 select coalesce(c.c_custkey, n.c_custkey) c_custkey, c.c_name, coalesce(n.c_acctbal, c.c_acctbal) c_acctbal, c.c_mktsegment,
   n.last_orderkey,
@@ -55,7 +55,7 @@ def q_work_list(spark, sf_dir):
 
 @register(
     "newer_wins",
-    "S11,A17",
+    "S11",
     """select user_id, ts, event_id, event_type, value, props from (
   select *, row_number() over (partition by user_id order by ts desc, event_id desc, event_type desc, value desc, props desc) rn
   from events) where rn = 1""",
@@ -86,7 +86,8 @@ def q_only_unprocessed(spark, sf_dir):
     """select cast(c_custkey as varchar) k, 'left_only' side from customer where c_custkey not in (select o_custkey from orders)
 union all select cast(c_custkey as varchar), 'both' from customer where c_custkey in (select o_custkey from orders)
 union all select cast(o_custkey as varchar), 'right_only' from (select distinct o_custkey from orders) where o_custkey not in (select c_custkey from customer)
-union all select distinct o_orderpriority, 'name_left_only' from orders where o_orderpriority not in (select c_mktsegment from customer)""",
+union all select distinct o_orderpriority, 'name_left_only' from orders where o_orderpriority not in (select c_mktsegment from customer)
+union all select distinct c_mktsegment, 'name_right_only' from customer where c_mktsegment not in (select o_orderpriority from orders)""",
 )
 def q_key_sets(spark, sf_dir):
     """Customer keys with and without orders, order keys without a customer, and names on one side only."""
@@ -99,6 +100,6 @@ def q_key_sets(spark, sf_dir):
         C.key_diff(c, ok, "k").withColumn("side", F.lit("left_only"))
         .unionByName(C.key_common(c, ok, "k").withColumn("side", F.lit("both")))
         .unionByName(C.key_diff(ok, c, "k").withColumn("side", F.lit("right_only")))
-        .unionByName(names.filter(F.col("only_in") == "left").select(F.col("name").alias("k"), F.lit("name_left_only").alias("side")),
+        .unionByName(names.select(F.col("name").alias("k"), F.concat(F.lit("name_"), F.col("only_in"), F.lit("_only")).alias("side")),
                      allowMissingColumns=False)
     )

@@ -89,7 +89,7 @@ def q_hand_quality(spark, sf_dir):
 
 @register(
     "deal_cards",
-    "P5,P6,P18,P23",
+    "P5,P6,P18",
     with_fixtures(
         ["deals"],
         """c0 as (

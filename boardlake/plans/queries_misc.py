@@ -110,7 +110,7 @@ def q_self_query(spark, sf_dir):
 
 @register(
     "session_normalise",
-    "W9,M6",
+    "W9",
     """with m1 as (select l_suppkey, avg(l_discount) m1 from lineitem group by l_suppkey),
 a as (select l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_discount, least(1.0, greatest(0.0, l.l_discount - m1.m1 + 0.5)) adj
   from lineitem l join m1 using (l_suppkey)),
@@ -128,7 +128,7 @@ def q_session_normalise(spark, sf_dir):
 
 @register(
     "errors",
-    "A16,M5",
+    "A16",
     """with d as (select l_returnflag, l_extendedprice * (1 - l_discount) pred, l_extendedprice actual from lineitem),
 g as (select l_returnflag, avg(actual) ybar from d group by l_returnflag),
 o as (select avg(actual) ybar from d)
@@ -150,7 +150,7 @@ def q_errors(spark, sf_dir):
 
 @register(
     "label_encode",
-    "M1,M2",
+    "M2",
     """with v as (select distinct coalesce(c_mktsegment, 'MISSING_CAT') value from customer union select 'MISSING_CAT'),
 lab as (select value, cast(row_number() over (order by value) - 1 as int) code from v)
 select c_custkey, c_mktsegment, coalesce(code, 0) c_mktsegment_code

@@ -17,27 +17,27 @@ from .registry import register
 
 @register(
     "mp_dd_max",
-    "W4,W5,W6,W7",
+    "W4,W7",
     with_fixtures(
         ["board_results", "dd_tricks", "boards"],
         sql_scored_results() + ",\n" + dd_cand_cte() + """,
-h as (select c.session_id, c.board, c.declarer, count(*) n,
+h as (select c.session_id, c.board, c.declarer, count(s.score_ns) n,
     sum(case when c.declarer in ('N', 'S') then
           (case when coalesce(s.score_ns, 0) < c.dd_score_ns then 1.0 when coalesce(s.score_ns, 0) = c.dd_score_ns then 0.5 else 0.0 end)
         else (case when coalesce(s.score_ew, 0) < -c.dd_score_ns then 1.0 when coalesce(s.score_ew, 0) = -c.dd_score_ns then 0.5 else 0.0 end) end) mp
-  from dd_cand c join scored s on s.session_id = c.session_id and s.board = c.board
+  from dd_cand c left join scored s on s.session_id = c.session_id and s.board = c.board
   group by c.session_id, c.board, c.declarer, c.strain, c.level)""",
         """select session_id, board,
-  cast(max(case when declarer in ('N', 'S') then mp end) as double) mp_dd_max_ns,
-  cast(max(case when declarer in ('E', 'W') then mp end) as double) mp_dd_max_ew,
-  max(case when declarer in ('N', 'S') then mp end) / max(n) dd_pct_max_ns,
-  max(case when declarer in ('E', 'W') then mp end) / max(n) dd_pct_max_ew
+  cast(max(case when declarer in ('N', 'S') and n > 0 then mp end) as double) mp_dd_max_ns,
+  cast(max(case when declarer in ('E', 'W') and n > 0 then mp end) as double) mp_dd_max_ew,
+  case when max(n) > 1 then max(case when declarer in ('N', 'S') then mp end) / (max(n) - 1) end dd_pct_max_ns,
+  case when max(n) > 1 then max(case when declarer in ('E', 'W') then mp end) / (max(n) - 1) end dd_pct_max_ew
 from h group by session_id, board""",
     ),
 )
 def q_mp_dd_max(spark, sf_dir):
     """Per board and side: the best matchpoints any double-dummy contract of that side would earn
-    against the side's real scores, and its share of the board (top + 1)."""
+    against the side's real scores, and its share of the board's top."""
     res = scored_results(fixtures.board_results(spark, sf_dir))
     cand = _dd_candidates(spark, sf_dir)
     ns = mp.hypothetical_matchpoints(res, cand.filter(F.col("declarer").isin("N", "S")), ["session_id", "board"],
@@ -47,7 +47,7 @@ def q_mp_dd_max(spark, sf_dir):
     both = ns.withColumn("side", F.lit("NS")).unionByName(ew.drop("v_ew").withColumn("side", F.lit("EW")))
     best = mp.max_by_side(both, ["session_id", "board"], "side", "mp", "mp_max").join(
         both.groupBy("session_id", "board").agg(F.max("mp_top").alias("mp_top")), ["session_id", "board"])
-    best = mp.reference_pct(best, "mp_max", "mp_top", "pct_max")
+    best = mp.max_pct(best, "mp_max", "mp_top", "pct_max")
     return best.groupBy("session_id", "board").agg(
         F.max(F.when(F.col("side") == "NS", F.col("mp_max"))).alias("mp_dd_max_ns"),
         F.max(F.when(F.col("side") == "EW", F.col("mp_max"))).alias("mp_dd_max_ew"),

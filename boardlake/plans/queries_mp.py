@@ -100,7 +100,7 @@ def q_mp_frequency(spark, sf_dir):
 
 
 def _dd_candidates(spark, sf_dir):
-    """Double-dummy score of every (board, declarer, strain, level) from the declarer's side, NS sign."""
+    """Double-dummy score of every (board, declarer, strain, level), sets penalty doubled, NS sign."""
     b = fixtures.boards(spark, sf_dir)
     dd = fixtures.dd_tricks(spark, sf_dir)
     from .boards import with_board_facts
@@ -113,7 +113,7 @@ def _dd_candidates(spark, sf_dir):
     c = c.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(7))))
     side_ns = F.col("seat") % 2 == 0
     vul = F.when(side_ns, F.col("vul_ns")).otherwise(F.col("vul_ew"))
-    s = scoring.score(F.col("level"), F.col("strain_c"), F.lit(""), vul, F.col("tricks") - 6 - F.col("level"))
+    s = scoring.score_sets_doubled(F.col("level"), F.col("strain_c"), vul, F.col("tricks"))
     return c.select(
         "session_id", "board", "declarer", F.col("strain_c").alias("strain"), F.col("level").cast("int").alias("level"),
         F.col("tricks").alias("dd_tricks"),
@@ -135,7 +135,7 @@ dd_cand as (select session_id, board, declarer, strain, level, dd_tricks,
 def dd_cand_cte() -> str:
     from .oracle import sql_score
 
-    return DD_CAND_CTE.replace("{score}", sql_score("level", "strain", "''", "vd", "res"))
+    return DD_CAND_CTE.replace("{score}", sql_score("level", "strain", "(case when res < 0 then 'X' else '' end)", "vd", "res"))
 
 
 @register(
@@ -145,10 +145,10 @@ def dd_cand_cte() -> str:
         ["board_results", "dd_tricks", "boards"],
         sql_scored_results() + ",\n" + dd_cand_cte(),
         """select c.session_id, c.board, c.declarer, c.strain, c.level, c.dd_tricks, c.dd_score_ns,
-  cast(sum(case when coalesce(s.score_ns, 0) < c.dd_score_ns then 1.0 when coalesce(s.score_ns, 0) = c.dd_score_ns then 0.5 else 0.0 end) as double) mp,
-  cast(count(*) - 1 as bigint) mp_top,
-  sum(case when coalesce(s.score_ns, 0) < c.dd_score_ns then 1.0 when coalesce(s.score_ns, 0) = c.dd_score_ns then 0.5 else 0.0 end) / count(*) pct
-from dd_cand c join scored s on s.session_id = c.session_id and s.board = c.board
+  cast(case when count(s.score_ns) > 0 then 1.0 end * sum(case when coalesce(s.score_ns, 0) < c.dd_score_ns then 1.0 when coalesce(s.score_ns, 0) = c.dd_score_ns then 0.5 else 0.0 end) as double) mp,
+  case when count(s.score_ns) > 0 then cast(count(s.score_ns) - 1 as bigint) end mp_top,
+  case when count(s.score_ns) > 0 then sum(case when coalesce(s.score_ns, 0) < c.dd_score_ns then 1.0 when coalesce(s.score_ns, 0) = c.dd_score_ns then 0.5 else 0.0 end) / count(s.score_ns) end pct
+from dd_cand c left join scored s on s.session_id = c.session_id and s.board = c.board
 group by c.session_id, c.board, c.declarer, c.strain, c.level, c.dd_tricks, c.dd_score_ns""",
     ),
 )
@@ -157,7 +157,6 @@ def q_mp_hypothetical(spark, sf_dir):
     res = scored_results(fixtures.board_results(spark, sf_dir))
     cand = _dd_candidates(spark, sf_dir)
     out = mp.hypothetical_matchpoints(res, cand, ["session_id", "board"], score="score_ns", value="dd_score_ns")
-    out = out.withColumn("mp_top", F.col("mp_top"))
     out = mp.reference_pct(out, "mp", "mp_top", "pct")
     return out.select("session_id", "board", "declarer", "strain", "level", "dd_tricks", "dd_score_ns", "mp", "mp_top", "pct")
 

@@ -65,7 +65,7 @@ FIELD_SPEC = {
 
 @register(
     "page_fields",
-    "S16,S14",
+    "S16",
     "select page_id, " + ", ".join(
         (f"nullif(regexp_extract(html, '{p}', {g}), '')" if t == "string"
          else f"try_cast(nullif(regexp_extract(html, '{p}', {g}), '') as {'integer' if t == 'int' else 'bigint'})") + f" {n}"

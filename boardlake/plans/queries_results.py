@@ -41,7 +41,7 @@ ids as (select *,
   from seats),
 """ + DD_NAMED_CTE + """,
 dj as (select i.*, d.tricks dd_tricks from ids i left join ddn d on i.deal_id = d.deal_id and i.declarer = d.declarer and i.strain = d.strain),
-dk as (select *, """ + sql_score("level", "strain", "dbl", "vul_declarer", "(dd_tricks - 6 - level)") + """ dd_score_declarer from dj),
+dk as (select *, """ + sql_score("level", "strain", "(case when dd_tricks - 6 - level < 0 then 'X' else '' end)", "vul_declarer", "(dd_tricks - 6 - level)") + """ dd_score_declarer from dj),
 decl as (select *, cast(tricks - dd_tricks as int) tricks_dd_diff, cast(score_declarer - dd_score_declarer as int) score_dd_diff,
     score_declarer <= dd_score_declarer defender_ge_dd, result > 0 over_tricks, result = 0 just_made, result < 0 under_tricks from dk)"""
 

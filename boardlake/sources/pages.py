@@ -103,7 +103,7 @@ def parse_mp_text(col: str | Column) -> dict[str, Column]:
 def lines_to_records(df: DataFrame, text: str, header: str, n: int = 4, key: str = "page_id",
                      names=("score", "frequency", "mp_ns", "mp_ew")) -> DataFrame:
     """After a header line, every ``n`` lines make one record; stop at the first bad group;
-    duplicates of the first field dropped; sorted by it descending."""
+    of records with the same first field the first one stays; sorted by it descending."""
     lines = df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
     start = lines.filter(F.trim("line") == header).groupBy(key).agg(F.min("pos").alias("_h"))
     body = lines.join(start, key).filter(F.col("pos") > F.col("_h")).withColumn("_i", F.col("pos") - F.col("_h") - 1)
@@ -116,8 +116,9 @@ def lines_to_records(df: DataFrame, text: str, header: str, n: int = 4, key: str
         ok = ok & F.col(nm).rlike(r"^-?[0-9]+([.,][0-9]+)?$")
     w = Window.partitionBy(key).orderBy("_g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     recs = recs.withColumn("_good", F.min(ok.cast("int")).over(w) == 1).filter("_good")
-    typed = recs.select(key, *[F.regexp_replace(nm, ",", ".").try_cast("double").alias(nm) for nm in names])
-    return typed.dropDuplicates([key, names[0]]).orderBy(key, F.col(names[0]).desc())
+    typed = recs.select(key, "_g", *[F.regexp_replace(nm, ",", ".").try_cast("double").alias(nm) for nm in names])
+    first = typed.groupBy(key, names[0]).agg(F.min(F.struct("_g", *names[1:])).alias("_r"))
+    return first.select(key, names[0], *[F.col(f"_r.{nm}").alias(nm) for nm in names[1:]]).orderBy(key, F.col(names[0]).desc())
 
 
 def latest_results(df: DataFrame, id_col: str, order_col: str) -> DataFrame:
