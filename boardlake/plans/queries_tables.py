@@ -20,7 +20,7 @@ from .registry import register
 @register(
     "json_relational",
     "S10",
-    """select o_orderkey parent_id, cast(row_number() over (partition by o_orderkey order by l_linenumber) - 1 as int) pos, 'item' kind,
+    """select o_orderkey parent_id, cast(row_number() over (partition by o_orderkey order by l_linenumber, l_returnflag) - 1 as int) pos, 'item' kind,
   cast(l_linenumber as bigint) number, l_returnflag as text
 from orders join lineitem on l_orderkey = o_orderkey
 union all select distinct on (o_orderkey, l_returnflag) o_orderkey, cast(dense_rank() over (partition by o_orderkey order by l_returnflag) - 1 as int), 'mode', null, l_returnflag
