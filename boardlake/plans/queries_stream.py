@@ -15,9 +15,8 @@ from .registry import register
 
 @register("stream_mp_frequency", "T1,T2,A9", with_fixtures(["board_results"], FREQ_CTE, FREQ_MP_BODY))
 def q_stream_mp_frequency(spark, sf_dir):
-    """Scored results land as parquet files (twice: a late duplicate copy of the first file),
-    a file stream drops the duplicates within the watermark, keeps running score frequencies
-    per board in streaming state, and matchpoints are computed from the streamed table."""
+    """Scored results land as parquet files, every file twice; a file stream lands each result once and counts the scores of
+    what is new; matchpoints are computed from the running frequencies."""
     res = scored_results(fixtures.board_results(spark, sf_dir))
     landed = res.select("session_id", "board", "l_orderkey", "l_linenumber", "l_partkey", "score_ns",
                         F.col("result_time").cast("timestamp").alias("result_time"))
@@ -25,9 +24,8 @@ def q_stream_mp_frequency(spark, sf_dir):
     landed.write.mode("overwrite").parquet(src)
     # a second delivery of the same results: must not be counted twice
     landed.write.mode("append").parquet(src)
-    stream = ST.stream_files(spark, src, landed.schema, ["session_id", "l_orderkey", "l_linenumber", "l_partkey"],
-                             "result_time", delay="3650 days")
-    freq = ST.stream_score_frequency(stream, ["session_id", "board"], "score_ns",
-                                     ST.scratch_path(spark, "freq"), ST.scratch_path(spark, "freq-ckpt"))
+    stream = ST.stream_files(spark, src, landed.schema)
+    freq = ST.land_and_count(stream, ["session_id", "board", "l_orderkey", "l_linenumber", "l_partkey", "result_time"], ["session_id", "board"], "score_ns",
+                             ST.scratch_path(spark, "stream"))
     out = mp.matchpoints_from_frequency(freq, ["session_id", "board"], "score_ns", "n")
     return out.select("session_id", "board", "score_ns", "n", "beaten", "mp_ns", "mp_ew", "pct_ns", "pct_ew")

@@ -1,11 +1,11 @@
 """Structured Streaming operators.
 
-T2 lands new result files incrementally: a file source with a checkpoint, and results that
-arrive twice (same id) are dropped within an event-time watermark.  T1 keeps the running
-score frequency of every board in the streaming state store and writes the whole
-frequency table to a shared folder after each micro-batch (``foreachBatch``, overwrite);
-matchpoints are then recomputed from that table (A9).  All paths live under the session's
-``spark.checkpoint.dir`` so a restarted query resumes where it stopped.
+T2 lands new result files incrementally: a file source with a checkpoint; every micro-batch keeps
+the results whose id has not landed before, however late they arrive, and appends them to the landed
+table.  T1 counts the scores of just these rows and appends the counts; a board's running frequencies are the
+sums over the epochs.  Each epoch writes its own folder and overwrites it when it is run again, so a
+query that stops at any point resumes from its checkpoint without losing or doubling a result.
+All paths lie under one root folder that the caller names and keeps.
 """
 
 from __future__ import annotations
@@ -20,30 +20,39 @@ from ..session import checkpoint_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder (for runs that need not be resumed)."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stream_files(spark: SparkSession, path: str, schema: StructType, id_cols, time_col: str,
-                 delay: str = "1 day", max_files_per_trigger: int | None = None) -> DataFrame:
-    """A streaming DataFrame over parquet files landing in ``path``; duplicates of an id
-    arriving within ``delay`` of event time are dropped."""
+def stream_files(spark: SparkSession, path: str, schema: StructType, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A streaming DataFrame over parquet files landing in ``path``."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    s = reader.parquet(path)
-    return s.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(list(id_cols))
+    return reader.parquet(path)
 
 
-def stream_score_frequency(stream: DataFrame, k, score: str, sink_path: str, checkpoint: str) -> DataFrame:
-    """Run the running count of (k..., score) to completion of the available input and
-    return the frequency table written by the last micro-batch."""
-    k = [k] if isinstance(k, str) else list(k)
-    counts = stream.filter(F.col(score).isNotNull()).groupBy(*k, score).agg(F.count(F.lit(1)).alias("n"))
+def land_and_count(stream: DataFrame, id_cols, k, score: str, root: str) -> DataFrame:
+    """Land what has arrived and return the frequency table (k..., score, n) of all that landed.
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(sink_path)
+    The ids landed before are found by a join with the landed table's id columns, so nothing is kept in
+    state and no late row is lost.
+    """
+    ids, k = list(id_cols), [k] if isinstance(k, str) else list(k)
+    root = root.rstrip("/")
 
-    q = (counts.writeStream.outputMode("complete").foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rest = [c for c in batch.columns if c not in ids]
+        new = batch.groupBy(*ids).agg(F.min(F.struct(*rest)).alias("_r")).select(*ids, "_r.*")
+        if epoch > 0:
+            known = spark.read.parquet(f"{root}/landed").filter(F.col("epoch") < epoch).select(*ids)
+            new = new.join(known, ids, "left_anti")
+        new.write.mode("overwrite").parquet(f"{root}/landed/epoch={epoch}")
+        landed = spark.read.schema(new.schema).parquet(f"{root}/landed/epoch={epoch}")
+        counts = landed.filter(F.col(score).isNotNull()).groupBy(*k, score).agg(F.count(F.lit(1)).alias("n"))
+        counts.write.mode("overwrite").parquet(f"{root}/counts/epoch={epoch}")
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.read.parquet(sink_path)
+    return stream.sparkSession.read.parquet(f"{root}/counts").groupBy(*k, score).agg(F.sum("n").alias("n"))

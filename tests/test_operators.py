@@ -235,3 +235,24 @@ def test_score_lists_are_frequency_pairs(spark):
     df = spark.createDataFrame([(1, 100), (1, 100), (1, -50), (2, 0)], "board int, s int")
     got = {r.board: [(x.score, x.n) for x in r.scores] for r in S.score_lists(df, "board", "s").collect()}
     assert got == {1: [(-50, 1), (100, 2)], 2: [(0, 1)]}
+
+
+def test_stream_resumes_and_keeps_late_rows(spark):
+    from boardlake.streaming import scores as ST
+
+    root, src = tempfile.mkdtemp(prefix="boardlake-stream-"), tempfile.mkdtemp(prefix="boardlake-src-") + "/in"
+    schema = "id long, board int, s int, t timestamp"
+
+    def deliver(rows):
+        spark.createDataFrame(rows, "id long, board int, s int, t string").withColumn("t", F.to_timestamp("t")).write.mode("append").parquet(src)
+
+    def run():
+        stream = ST.stream_files(spark, src, spark.createDataFrame([], schema).schema)
+        return sorted(tuple(r) for r in ST.land_and_count(stream, ["id"], "board", "s", root).collect())
+
+    deliver([(1, 1, 100, "2024-01-10 00:00:00"), (2, 1, 50, "2024-01-10 00:00:00"), (1, 1, 100, "2024-01-10 00:00:00"), (9, 2, None, "2024-01-10 00:00:00")])
+    assert run() == [(1, 50, 1), (1, 100, 1)]
+    # the query stopped; a second delivery repeats one result and brings others, one of them years late
+    deliver([(2, 1, 50, "2024-01-10 00:00:00"), (3, 1, 50, "2020-01-01 00:00:00"), (4, 2, 7, "2024-02-01 00:00:00")])
+    assert run() == [(1, 50, 2), (1, 100, 1), (2, 7, 1)]
+    assert run() == [(1, 50, 2), (1, 100, 1), (2, 7, 1)]
