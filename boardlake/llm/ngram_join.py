@@ -9,14 +9,14 @@ sequence as one).  Two documents link when 100 * intersection >= ``PERCENT`` * u
 2. *Sets.*  Documents of one set (a 128-bit sum over its hashes and its size) are one node, its
    smallest doc_id stands for it: exact copies never meet in a join.
 3. *Prefix join.*  Two sets that link share a shingle among the first n - ceil(0.9 n) + 1 of each.
-   Prefix rows meet by shingle.  Candidates pass a length filter, a positional filter (what can still match
-   before and after the shared shingle) and a suffix filter (a lower bound of the difference from the counts of
-   hashes in ``BINS`` bins of the hash range).
+   Prefix rows meet by shingle.  Candidates pass a length filter, a positional filter (what can still match:
+   the earlier prefix shingles that any other set shares, and all that follow) and a suffix filter (a lower bound
+   of the difference of two sets: the bits in which the parities of their hashes in ``64 * PARITY`` bins differ).
 4. *No quadratic groups.*  In a group that shares a shingle all members are first compared with
-   one of them, the pivot.  Once the found links have made components, only pairs of the group
-   in different components remain; further rounds take a new pivot outside the first one's
-   component while the remaining pairs are many more than the rows, then all remaining pairs are
-   compared.  Every pair that could connect two components is thus compared, each once.
+   one of them, the pivot, which has the fewest rarer shingles.  Once the found links have made
+   components, only pairs of the group in different components remain, of which one member is
+   outside the pivot's component; those that pass all filters (within the join) are compared.
+   Every pair that could connect two components is thus compared, each once.
 5. *Verify.*  The whole texts of a pair are read again and their sets compared.
 
 Components come from repeated contraction to the smallest neighbour, with reliable checkpoints;
@@ -33,16 +33,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
 from .common import saved
 
 N, PERCENT = 3, 90
-COUNTER_BITS, LANES, BINS = 20, 32, 32
-#: Star rounds go on while the remaining pairs are more than so many times the shared prefix rows.
-PAIRS_A_ROW, MAX_STARS = 20, 6
+COUNTER_BITS, LANES, PARITY = 20, 32, 4
 _SHIFT = np.uint64(64 - COUNTER_BITS)
 
 
@@ -78,18 +76,21 @@ def shingle_counters(docs: DataFrame) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, counters) -> DataFrame:
-    """doc_id, n, sig1, sig2, prefix (rare first), bins of every row."""
+    """doc_id, n, sig1, sig2, prefix (rare first), parity bits b0 .. of every row."""
+    bits = [f"b{i}" for i in range(PARITY)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order_of = np.frombuffer(counters.value, np.uint32)
         for b in batches:
             ids = b.column("doc_id")
             for first, s, off in shingle_sets(b.column("text")):
                 n = np.diff(off)
-                row = np.repeat(np.arange(len(n)), n)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(wh.mix(s, seed), dtype=np.uint64)]) for seed in (11, 12)]
                 sig = [(c[off[1:]] - c[off[:-1]]).view(np.int64) for c in sums]
                 key = (order_of[(s >> _SHIFT).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (s & np.uint64(0xFFFFFFFF))
-                bins = np.bincount(row * BINS + (s >> np.uint64(59)).astype(np.int64), minlength=len(n) * BINS).astype(np.int32)
+                at, odd = (s >> np.uint64(58)) & np.uint64(PARITY - 1), np.uint64(1) << (s & np.uint64(63))
+                flips = [np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(np.where(at == np.uint64(i), odd, np.uint64(0)))]) for i in range(PARITY)]
+                parity = [(c[off[1:]] ^ c[off[:-1]]).view(np.int64) for c in flips]
                 size = np.where(n > 0, n - (n * PERCENT + 99) // 100 + 1, 0)
                 prefix = np.empty(int(size.sum()), np.uint64)
                 p = np.concatenate([[0], np.cumsum(size)])
@@ -98,29 +99,34 @@ def sketches(docs: DataFrame, counters) -> DataFrame:
                     prefix[p[i]:p[i + 1]] = s[part][np.argsort(key[part], kind="stable")[:size[i]]]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(n)), pa.array(n.astype(np.int64)), pa.array(sig[0]), pa.array(sig[1]),
-                     wh.list_array(prefix.view(np.int64), p, pa.int64()), wh.list_array(bins, np.arange(len(n) + 1) * BINS, pa.int32())],
-                    ["doc_id", "n", "sig1", "sig2", "prefix", "bins"])
+                     wh.list_array(prefix.view(np.int64), p, pa.int64()), *map(pa.array, parity)],
+                    ["doc_id", "n", "sig1", "sig2", "prefix", *bits])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n long, sig1 long, sig2 long, prefix array<long>, bins array<int>")
+        run, "doc_id long, n long, sig1 long, sig2 long, prefix array<long>, " + ", ".join(f"{c} long" for c in bits))
 
 
 def _least_overlap(a: str, b: str) -> str:
     return f"ceil({PERCENT} * ({a} + {b}) / {100 + PERCENT}.0D)"
 
 
-def _passes(n1: str, p1: str, n2: str, p2: str) -> str:
-    """Length and positional filters of two prefix rows of one shingle."""
+def _passes(a: str, b: str) -> str:
+    """Length and positional filters of two prefix rows (n: size, p: place, c: earlier shared shingles) of one shingle."""
+    n1, p1, c1, n2, p2, c2 = (f"{x}{f}" for x in (a, b) for f in "npc")
     return (f"100 * least({n1}, {n2}) >= {PERCENT} * greatest({n1}, {n2}) and "
-            f"least({p1}, {p2}) + 1 + least({n1} - {p1}, {n2} - {p2}) - 1 >= {_least_overlap(n1, n2)}")
+            f"least({c1}, {c2}) + least({n1} - {p1}, {n2} - {p2}) >= {_least_overlap(n1, n2)}")
+
+
+def _near(a: str, b: str) -> str:
+    """Suffix filter: the differing parity bits are at most as many as two linked sets differ in."""
+    return f"{' + '.join(f'bit_count({a}b{i} ^ {b}b{i})' for i in range(PARITY))} <= {a}n + {b}n - 2 * {_least_overlap(a + 'n', b + 'n')}"
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link: suffix filter, then the sets of their whole texts."""
-    sides = [nodes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins{x}")) for x in "ab"]
-    far = "aggregate(zip_with(binsa, binsb, (x, y) -> abs(x - y)), 0L, (s, x) -> s + x)"
-    pairs = (pairs.join(sides[0], "a").join(sides[1], "b")
-             .where(f"{far} <= na + nb - 2 * {_least_overlap('na', 'nb')}").select("a", "b").distinct())
+    bits = [f"b{i}" for i in range(PARITY)]
+    sides = [nodes.select(F.col("rep").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", *bits)]) for x in "ab"]
+    pairs = pairs.join(sides[0], "a").join(sides[1], "b").where(_near("a_", "b_")).select("a", "b").distinct()
     pairs = saved(pairs)
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
@@ -154,14 +160,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     label = None
     while not edges.isEmpty():
-        up = saved(flipped(edges).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
-                   .select("node", F.least("node", "near").alias("up")))
-        while True:  # up to the roots: each turn halves the way
+        up = (flipped(edges).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+              .select("node", F.least("node", "near").alias("up")))
+        up, moved = saved(up), True
+        while moved:  # up to the roots: each turn halves the way
             above = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            moved = saved(up.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
-            up = moved.select("node", "up")
-            if moved.where("moved").isEmpty():
-                break
+            up = saved(up.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            moved = not up.where("moved").isEmpty()
+            up = up.select("node", "up")
         if label is None:
             label = up.select("node", F.col("up").alias("component"))
         else:
@@ -181,8 +187,9 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     counters = spark.sparkContext.broadcast(shingle_counters(docs).tobytes())
     rows = saved(sketches(docs, counters))
     sets = ["sig1", "sig2", "n"]
+    bits = [f"b{i}" for i in range(PARITY)]
     some = rows.where("n > 0 and doc_id is not null")
-    nodes = saved(some.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins")))
+    nodes = saved(some.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in bits]))
     member = some.select("doc_id", *sets).distinct().join(nodes.select("rep", *sets), sets).select("doc_id", "rep").distinct()
     # a repeated id ties the sets of its texts together
     ties = (member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
@@ -190,41 +197,36 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     member = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
 
     prefix = nodes.select("rep", "n", F.posexplode("prefix").alias("p", "h"))
-    pivots = (prefix.groupBy("h").agg(F.min(F.struct("rep", "n", "p")).alias("pivot"), F.count(F.lit(1)).alias("m")).where("m > 1"))
-    shared = saved(prefix.join(pivots, "h").select("h", "rep", "n", "p", "pivot", "m"))
-    pairs = (shared.where("rep <> pivot.rep").where(_passes("n", "p", "pivot.n", "pivot.p"))
-             .select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")).distinct())
-    pairs = saved(pairs)
+    met = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    earlier = F.row_number().over(Window.partitionBy("rep").orderBy("p")) - 1
+    shared = saved(prefix.join(met, "h").select("h", "rep", "n", "p", "m").withColumn("c", earlier))
+    pivots = shared.groupBy("h").agg(F.min(F.struct("p", "rep", "n", "c")).alias("pivot"))
+    shared = saved(shared.join(pivots, "h"))
+    row, pivot = _fields("r_"), _fields("v_", "pivot.")
+    pairs = saved(shared.where("rep <> pivot.rep").select(*row, *pivot).where(_passes("r_", "v_"))
+                  .select(F.col("v_rep").alias("a"), F.col("r_rep").alias("b")).distinct())
     links = verified(pairs, nodes, docs).unionAll(ties)
-    n_shared = shared.count()
-    for star in range(MAX_STARS):
-        of = components(links)
-        seen = of.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-        pivot_of = of.select(F.col("node").alias("pivot_rep"), F.col("component").alias("pivot_comp"))
-        marked = (shared.where("m > 2").join(seen, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-                  .withColumn("pivot_rep", F.col("pivot.rep")).join(pivot_of, "pivot_rep", "left")
-                  .withColumn("pivot_comp", F.coalesce("pivot_comp", "pivot_rep")).withColumn("out", F.col("comp") != F.col("pivot_comp")))
-        groups = marked.where("out").groupBy("h").agg(F.count(F.lit(1)).alias("outside"), F.min(F.struct("rep", "n", "p", "comp")).alias("next"))
-        marked = saved(marked.join(groups, "h").where("rep <> pivot_rep").select("h", "rep", "n", "p", "m", "comp", "out", "outside", "next"))
-        if marked.isEmpty():
-            return rows, member, links
-        left = marked.where("out").agg(F.sum(F.col("m").cast("double"))).first()[0] or 0.0
-        last = left <= PAIRS_A_ROW * max(n_shared, 1) or star == MAX_STARS - 1
-        if last:  # all remaining pairs, from the members outside the pivot's component
-            x = marked.where("out").select("h", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("p").alias("px"), F.col("comp").alias("cx"))
-            y = marked.select("h", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("p").alias("py"), F.col("comp").alias("cy"), F.col("out").alias("oy"))
-            more = x.join(y, "h").where("cx <> cy and (not oy or x < y)").where(_passes("nx", "px", "ny", "py"))
-        else:  # one more pivot for every group
-            more = (marked.where("rep <> next.rep and comp <> next.comp").where(_passes("n", "p", "next.n", "next.p"))
-                    .select(F.col("next.rep").alias("x"), F.col("rep").alias("y")))
-        more = saved(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = saved(more.join(known, ["a", "b"], "left_anti"))
-        links = links.unionAll(verified(more, nodes, docs))
-        if last:
-            return rows, member, links
-        pairs = pairs.unionAll(more)
-    return rows, member, links
+
+    of = components(links)
+    seen = of.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    pivot_of = of.select(F.col("node").alias("pivot_rep"), F.col("component").alias("pivot_comp"))
+    marked = (shared.where("m > 2").withColumn("pivot_rep", F.col("pivot.rep")).where("rep <> pivot_rep")
+              .join(seen, "rep", "left").join(pivot_of, "pivot_rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+              .withColumn("out", F.col("comp") != F.coalesce("pivot_comp", "pivot_rep"))
+              .select("h", "rep", "n", "p", "c", "comp", "out"))
+    open_groups = marked.where("out").select("h").distinct()
+    marked = saved(marked.join(open_groups, "h", "left_semi").join(nodes.select("rep", *bits), "rep"))
+    wide = ["comp", "out", *bits]
+    x = marked.where("out").select("h", *_fields("x_"), *[F.col(c).alias(f"x_{c}") for c in wide])
+    y = marked.select("h", *_fields("y_"), *[F.col(c).alias(f"y_{c}") for c in wide])
+    more = (x.join(y, "h").where(f"x_comp <> y_comp and (not y_out or x_rep < y_rep) and {_passes('x_', 'y_')} and {_near('x_', 'y_')}")
+            .select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct())
+    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return rows, member, links.unionAll(verified(more.join(known, ["a", "b"], "left_anti"), nodes, docs))
+
+
+def _fields(to: str, of: str = "") -> list:
+    return [F.col(f"{of}{f}").alias(f"{to}{f}") for f in ("rep", "n", "p", "c")]
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
