@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,15 @@ def _unplaned(data: bytes, width: int, first: int, kind: str) -> np.ndarray:
     return out.reshape(-1).view(kind)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts, most of them small: planes of bytes, entropy-coded (Spark's own shuffle codec has no entropy stage)."""
+    return zstandard.ZstdCompressor(level=1).compress(_planes(counts, 0))
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return _unplaned(zstandard.ZstdDecompressor().decompress(data), 8, 0, "<i8")
+
+
 class _Chunk:
     """Word hashes of a chunk's texts, their places within the rows, and its n-grams by order."""
 
@@ -61,9 +71,7 @@ class _Chunk:
         self.row = np.repeat(np.arange(len(self.counts)), self.counts)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places of the last words, hashes) of the n-grams; the only 0-gram stands before every word."""
-        if n == 0:
-            return np.arange(len(self.words)), np.full(len(self.words), _KEEP)
+        """(places of the last words, hashes) of the n-grams."""
         at = np.flatnonzero(self.place >= n - 1)
         g = self.words[at - (n - 1)].copy()
         for j in range(n - 2, -1, -1):
@@ -86,17 +94,25 @@ def _answers(table: pa.Table) -> dict[int, np.ndarray]:
     found: dict[int, list] = {}
     for o, b, t in zip(table["order"].to_pylist(), table["bucket"].to_pylist(), table["counts"].to_pylist()):
         found.setdefault(o, []).append((b, t))
-    return {o: np.concatenate([_unplaned(t, 8, 0, "<i8") for _, t in sorted(x, key=lambda r: r[0])]) for o, x in found.items()}
+    return {o: np.concatenate([_unpacked(t) for _, t in sorted(x, key=lambda r: r[0])]) for o, x in found.items()}
+
 
+def _short(chunk: _Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes ascending of the words and bigrams, and last the 0-gram, the context of single words; their counts."""
+    g, c = wh.distinct_sorted(np.concatenate([chunk.grams(1)[1], chunk.grams(2)[1]]))
+    return np.append(g, _KEEP), np.append(c, len(chunk.words))
 
-def _totals(chunk: _Chunk, answers: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+
+def _totals(chunk: _Chunk, answers: dict[int, np.ndarray], upto: int) -> dict[int, np.ndarray]:
     """By order, the corpus count of the n-gram that ends at every word (0: not asked for)."""
+    every, _ = _short(chunk)
     out: dict[int, np.ndarray] = {}
-    first = [_seen(chunk, out, n) for n in (0, 1, 2)]
-    every, _ = wh.distinct_sorted(np.concatenate([x[2] for x in first]))
-    for n in range(max(answers, default=-1) + 1):
-        at, g, distinct, _ = first[n] if n < 3 else _seen(chunk, out, n)
-        keys, totals = (every, answers[2]) if n < 3 else (distinct, answers.get(n, np.zeros(0, np.int64)))
+    for n in range(upto + 1):
+        if n == 0:
+            out[0] = np.full(len(chunk.words), answers[2][-1])
+            continue
+        at, g, keys, _ = (*chunk.grams(n), every, None) if n < 3 else _seen(chunk, out, n)
+        totals = answers.get(max(n, 2), np.zeros(0, np.int64))
         if len(keys) != len(totals):
             raise ValueError("counts do not match the n-grams asked for")
         out[n] = np.zeros(len(chunk.words), np.int64)
@@ -109,16 +125,16 @@ def _ask(n: int, buckets: int):
     """Rows that ask for the n-grams of order ``n`` (2: and all shorter ones) of a chunk."""
     def run(chunk_id: int, chunk: _Chunk, answers: dict[int, np.ndarray]) -> pa.Table:
         if n == 2:
-            g, c = wh.distinct_sorted(np.concatenate([chunk.grams(k)[1] for k in (0, 1, 2)]))
+            g, c = _short(chunk)
         else:
-            _, _, g, c = _seen(chunk, _totals(chunk, answers), n)
+            _, _, g, c = _seen(chunk, _totals(chunk, answers, n - 1), n)
         bucket = (g >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         cut = np.searchsorted(bucket, np.arange(buckets + 1))
         some = np.flatnonzero(np.diff(cut))
         c = c.astype("<i8")
         return pa.table({"bucket": pa.array(some.astype(np.int32)), "chunk": pa.array(np.full(len(some), chunk_id)),
                          "order": pa.array(np.full(len(some), n, np.int32)), "grams": pa.array([_planes(g[cut[b]:cut[b + 1]], 1) for b in some], pa.binary()),
-                         "counts": pa.array([_planes(c[cut[b]:cut[b + 1]], 0) for b in some], pa.binary())})
+                         "counts": pa.array([_packed(c[cut[b]:cut[b + 1]]) for b in some], pa.binary())})
 
     return run
 
@@ -131,7 +147,7 @@ def _count(table: pa.Table) -> pa.Table:
         return done
     grams = [_unplaned(x, 8, 1, "<u8") for x in table["grams"].to_pylist()]
     flat = np.concatenate(grams)
-    counts = np.concatenate([_unplaned(x, 8, 0, "<i8") for x in table["counts"].to_pylist()])
+    counts = np.concatenate([_unpacked(x) for x in table["counts"].to_pylist()])
     order = np.argsort(flat)
     s = flat[order]
     new = np.concatenate([[True], s[1:] != s[:-1]])
@@ -140,13 +156,13 @@ def _count(table: pa.Table) -> pa.Table:
     totals[order] = sums[np.cumsum(new) - 1]
     ends = np.cumsum([len(g) for g in grams])
     answers = pa.table({"bucket": table["bucket"], "chunk": table["chunk"], "order": table["order"], "grams": pa.nulls(len(grams), pa.binary()),
-                        "counts": pa.array([_planes(totals[e - len(g):e], 0) for g, e in zip(grams, ends)], pa.binary())})
+                        "counts": pa.array([_packed(totals[e - len(g):e]) for g, e in zip(grams, ends)], pa.binary())})
     return pa.concat_tables([done.cast(answers.schema), answers])
 
 
 def _score(order: int):
     def run(docs: pa.Table, chunk: _Chunk, answers: dict[int, np.ndarray]) -> pa.Table:
-        totals = _totals(chunk, answers)
+        totals = _totals(chunk, answers, order)
         log = np.zeros(len(chunk.words))
         used = np.zeros(len(chunk.words), np.int64)
         most = np.minimum(order, chunk.place + 1)

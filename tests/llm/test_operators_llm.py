@@ -297,3 +297,7 @@ def test_lm_scores_like_sql(small, edge, monkeypatch):
     same_rows(lm_score.backoff_scores(edge), oracle(lm_score.ORACLE, edge))
     assert lm_score.backoff_scores(edge.limit(0)).count() == 0
     assert lm_score.backoff_scores(small, order=4).count() == small.count()
+    wordless = edge.where("doc_id in (1, 2, 3)")
+    same_rows(lm_score.backoff_scores(wordless), oracle(lm_score.ORACLE, wordless))
+    short = edge.where("doc_id in (2, 4)")
+    same_rows(lm_score.backoff_scores(short), oracle(lm_score.ORACLE, short))
