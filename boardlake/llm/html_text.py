@@ -1,14 +1,18 @@
 """Operator 4, main text of web pages by tag-path ratios.
 
 A page is read once into text leaves, each with its root-to-leaf path of block elements (with
-their classes; inline markup adds nothing to a path).  Per path the text length and the
-punctuation of its leaves are aggregated to ratios a leaf; the ratios are smoothed over neighbouring leaves in page
-order, fused (text ratio x punctuation ratio), and paths above a threshold (a share of the deviation over
-the page's paths) are content.  Structure decides first where the page states it: nothing below menus,
-page headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and
-reader comments is content (by element name, role, class or id); below ``article`` or ``main`` every other path
-is content unless it is links alone.  Without such an element, the headings and other leaves below
-the smallest element that holds the content paths belong to it too.
+their classes and, in ``article`` or ``main``, the number of that element; inline markup adds nothing to a path).
+On every page the text length and the punctuation of a path's leaves are aggregated to ratios a leaf; the ratios are
+smoothed over neighbouring leaves in page order and fused (text ratio x punctuation ratio).  Structure is evidence:
+a path below ``article`` or ``main`` counts ``WITHIN`` times; each element around it that speaks of menus,
+page headers, footers, sidebars, notices, adverts, forms or reader comments makes it ``APART`` times as much
+(by element name or role) or ``NAMED`` times (by class or id), and at most a share of the best path with fewer of
+them in ``article`` or ``main`` (on a page without these, of the best path with none), so long comments don't hide a short text.  Paths above a threshold (a share of the deviation over
+the page's paths) are content.  Content paths bring in what their ``article`` or ``main`` also holds under no more such
+elements than they have, except nested articles without a content path, and paths of links alone that
+are no heading and stay below the threshold by their links' own text and punctuation.  Without such an element, the headings and
+other leaves below the smallest element that holds the content paths belong to it too.  Only what a page does not
+show is never content: the head, scripts, styles, hidden parts.
 
 Character references are decoded; white space inside a block becomes one blank, blocks are
 trimmed, empty ones skipped, and joined in page order by one line feed.  Nothing is capped.
@@ -23,6 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,10 @@ from pyspark.sql import DataFrame
 
 #: Share of the deviation of the fused ratios that a path must reach, and the smoothing weights.
 THRESHOLD, SMOOTH = 0.8, (0.25, 0.5, 0.25)
+#: What a path's score is multiplied by: in article or main; for each element around it that is apart by its name, by its class or id.
+WITHIN, APART, NAMED = 4.0, 0.01, 0.01
+#: At most this share of the best score that is less apart: in article or main, on a page without them.
+SHARE_MAIN, SHARE = 0.25, 1.0
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,8 +48,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-#: Elements, roles and words of class or id that hold no article text.
-OUTSIDE = frozenset("nav footer aside form head button dialog menu fieldset".split())
+#: Elements, roles and words of class or id that seldom hold article text.
+OUTSIDE = frozenset("nav footer aside form button dialog menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|paywall"
@@ -58,40 +67,50 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)}
 
 
-def _no_content(name: str, attributes: dict[str, str], in_main: bool) -> bool:
+def _hidden(name: str, attributes: dict[str, str]) -> bool:
+    return name == "head" or "hidden" in attributes or attributes.get("aria-hidden") == "true" \
+        or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+
+
+def _apart(name: str, attributes: dict[str, str], in_main: bool) -> float:
+    """What an element does to the score of the paths below it."""
     if name in ("html", "body", "main", "article"):
-        return False
-    if name in OUTSIDE or (name == "header" and not in_main):
-        return True
-    if not attributes:
-        return False
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
-    if attributes.get("role", "").lower() in ROLES:
-        return True
+        return 1.0
+    if name in OUTSIDE or (name == "header" and not in_main) or attributes.get("role", "").lower() in ROLES:
+        return APART
     for key in ("class", "id"):
         for m in NAMES.finditer(attributes.get(key, "")):
             if not (in_main and m[0].strip(" _-\t\n").lower() in INSIDE_FREE):
-                return True
-    return False
+                return NAMED
+    return 1.0
+
+
+class _Path(NamedTuple):
+    """A path, with the numbers of the article and main elements around it and the elements that set it apart: how many, their product."""
+
+    name: str
+    mains: tuple[int, ...]
+    apart: int
+    weight: float
 
 
 class _Page:
-    """Leaves of one page: (block, path, text, is link, in main)."""
+    """Leaves of one page: (block, path, text, is link)."""
 
     def __init__(self, page: str):
-        self.leaves: list[tuple[int, str, str, bool, bool]] = []
+        self.leaves: list[tuple[int, _Path, str, bool]] = []
         self.block = 0
-        stack: list[tuple[str, str, bool, bool]] = []  # name, path, no content, in main
-        links = 0
+        root = ("", _Path("", (), 0, 1.0), False)
+        stack: list[tuple[str, _Path, bool]] = []  # name, path, hidden
+        links = mains = 0
         at, end = 0, len(page)
         while at < end:
             m = _TAG.search(page, at)
             text = page[at:m.start()] if m else _CUT.sub("", page[at:])
             if text:
-                top = stack[-1] if stack else ("", "", False, False)
+                top = stack[-1] if stack else root
                 if not top[2]:
-                    self.leaves.append((self.block, top[1], unescape(text) if "&" in text else text, links > 0, top[3]))
+                    self.leaves.append((self.block, top[1], unescape(text) if "&" in text else text, links > 0))
             if not m:
                 break
             at = m.end()
@@ -139,62 +158,88 @@ class _Page:
                             break
             if rest.rstrip().endswith("/") and name in INLINE:
                 continue
-            parent = stack[-1] if stack else ("", "", False, False)
-            in_main = parent[3] or name in ("article", "main")
+            _, parent, hidden = stack[-1] if stack else root
             attributes = _attributes(rest) if rest.strip(" /\n\t") else {}
-            no_content = parent[2] or _no_content(name, attributes, parent[3])
-            path = parent[1]
+            path, within = parent.name, parent.mains
+            if name in ("article", "main"):
+                mains += 1
+                within = (*within, mains)
             if name not in INLINE:
                 path = f"{path}/{name}" + (f".{'.'.join(sorted(attributes['class'].split()))}" if attributes.get("class") else "")
+            less = _apart(name, attributes, bool(parent.mains))
             links += name == "a"
-            stack.append((name, path, no_content, in_main))
+            stack.append((name, _Path(path, within, parent.apart + (less < 1), parent.weight * less), hidden or _hidden(name, attributes)))
 
 
-def content_paths(leaves: list[tuple[int, str, str, bool, bool]]) -> set[str]:
-    """Paths above the threshold of the smoothed and fused ratios."""
-    length: dict[str, list[int]] = {}
-    for _, path, text, link, _ in leaves:
+def _fused(order: list[_Path], ratios: dict[_Path, tuple[float, float]]) -> dict[_Path, float]:
+    """Smoothed and fused ratios of every path, times its evidence."""
+    ratio = np.array([ratios[p] for p in order])
+    padded = np.vstack([ratio[:1], ratio, ratio[-1:]])
+    smooth = sum(w * padded[i:i + len(order)] for i, w in enumerate(SMOOTH))
+    total: dict[_Path, list[float]] = {}
+    for p, (t, q) in zip(order, smooth):
+        s = total.setdefault(p, [0, 0.0])
+        s[0] += 1
+        s[1] += t * q
+    return {p: s / n * p.weight * (WITHIN if p.mains else 1.0) for p, (n, s) in total.items()}
+
+
+def _heading(p: _Path) -> bool:
+    return p.name.rsplit("/", 1)[-1].split(".")[0] in HEADINGS
+
+
+def content_paths(leaves: list[tuple[int, _Path, str, bool]]) -> set[_Path]:
+    """Paths above the threshold of the smoothed, fused and weighted ratios, and what belongs to them."""
+    length: dict[_Path, list[int]] = {}
+    order = []
+    for _, path, text, link in leaves:
         size = len(text.strip())
         if size:
-            s = length.setdefault(path, [0, 0, 0, 0])
+            order.append(path)
+            marks = len(_PUNCTUATION.findall(text))
+            s = length.setdefault(path, [0, 0, 0, 0, 0])
             s[0] += 1
             s[1] += 0 if link else size
-            s[2] += 0 if link else len(_PUNCTUATION.findall(text))
+            s[2] += 0 if link else marks
             s[3] += size
+            s[4] += marks
     if not length:
         return set()
-    main = {x[1] for x in leaves if x[4]}
-    if main:
-        return {p for p in main if p in length and length[p][1] > 0}
-    order = [x[1] for x in leaves if x[2].strip()]
-    fused: dict[str, float] = {p: 0.0 for p in length}
-    ratio = np.array([[length[p][1] / length[p][0], (1 + length[p][2]) / length[p][0]] for p in order])
-    padded = np.vstack([ratio[:1], ratio, ratio[-1:]])
-    smooth = sum(w * padded[i:i + len(order)] for i, w in enumerate(SMOOTH))
-    for p, (t, q) in zip(order, smooth):
-        fused[p] += t * q / length[p][0]
+    fused = _fused(order, {p: (s[1] / s[0], (1 + s[2]) / s[0]) for p, s in length.items()})
+    stated = [p for p in length if p.mains and length[p][1] > 0]
+    first = min((p.apart for p in stated or length if length[p][1] > 0), default=0)
+    best = max((fused[p] for p in stated or length if p.apart == first), default=0.0) * (SHARE_MAIN if stated else SHARE)
+    if stated or first == 0:
+        fused = {p: min(v, best) if p.apart > first else v for p, v in fused.items()}
     values = np.array(list(fused.values()))
     least = max(THRESHOLD * values.std(), 1e-9) if len(values) > 1 else 1e-9
     chosen = {p for p, v in fused.items() if v >= least and length[p][1] > 0}
     if not chosen:
         return chosen
-    common = None
+    keep = {p for p, s in length.items() if s[1] > 0 or _heading(p) or s[3] * s[4] / s[0] ** 2 * p.weight * (WITHIN if p.mains else 1.0) >= least}
+    level: dict[int, int] = {}  # article or main with a content path: the elements apart around it
     for p in chosen:
-        parts = p.split("/")[:-1] or [""]
-        if common is None:
-            common = parts
-        else:
-            same = 0
-            while same < min(len(common), len(parts)) and common[same] == parts[same]:
-                same += 1
-            common = common[:same]
-    inside = "/".join(common or [""]) + "/"
-    depth = len([x for x in common or [] if x])
-    if depth >= 3:  # a container of its own, below body
-        chosen |= {p for p in length if p.startswith(inside) and length[p][1] > 0}
-    else:
-        chosen |= {p for p in length if p.startswith(inside) and p.rsplit("/", 1)[-1].split(".")[0] in HEADINGS}
-    return chosen
+        if p.mains:
+            level[p.mains[-1]] = min(level.get(p.mains[-1], p.apart), p.apart)
+    found = {p for p in length if p.mains and p.apart <= level.get(p.mains[-1], -1)} & keep | chosen
+    for most in {p.apart for p in chosen if not p.mains}:
+        common = None
+        for p in chosen:
+            if p.mains or p.apart != most:
+                continue
+            parts = p.name.split("/")[:-1] or [""]
+            if common is None:
+                common = parts
+            else:
+                same = 0
+                while same < min(len(common), len(parts)) and common[same] == parts[same]:
+                    same += 1
+                common = common[:same]
+        inside = "/".join(common or [""]) + "/"
+        near = {p for p in keep if not p.mains and p.name.startswith(inside) and p.apart <= most}
+        depth = len([x for x in common or [] if x])
+        found |= near if depth >= 3 else {p for p in near if _heading(p)}  # from 3: a container of its own, below body
+    return found
 
 
 def main_text(page: str | None) -> str:
@@ -204,7 +249,7 @@ def main_text(page: str | None) -> str:
     leaves = _Page(page).leaves
     paths = content_paths(leaves)
     blocks: dict[int, list[str]] = {}
-    for block, path, text, _, _ in leaves:
+    for block, path, text, _ in leaves:
         if path in paths:
             blocks.setdefault(block, []).append(text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())

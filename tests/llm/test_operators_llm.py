@@ -195,6 +195,24 @@ def test_html_main_text(spark):
     assert html_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+LONG = "A long sentence, with marks; it goes on. " * 8
+
+
+def test_html_structure_is_evidence():
+    """Ratios decide on every page: article, main and class names raise or lower them."""
+    cards = "".join(f"<article class=card><h3><a href=x>T{i}</a></h3><p>Short teaser, no more.</p></article>" for i in range(4))
+    teasers = f"<body><nav><a href=/>Home</a></nav><div class=c><h1>Head</h1><p>{LONG}</p><p>Second, also here.</p></div>{cards}</body>"
+    assert html_text.main_text(teasers) == f"Head\n{LONG.strip()}\nSecond, also here."
+    linked = "<article><h2><a href=x>Linked title</a></h2><p>One sentence, two. Three here.</p><ul><li><a href=y>Rel</a></li></ul></article>"
+    assert html_text.main_text(linked) == "Linked title\nOne sentence, two. Three here."
+    wrapped = f"<form id=aspnet><div class='page search'><h2>Head</h2><p>{LONG}</p><nav><a href=x>Home</a></nav></div></form><footer>(c) x</footer>"
+    assert html_text.main_text(wrapped) == f"Head\n{LONG.strip()}"
+    titled = f"<div class=top>Site name.</div><div class='page search'><h2>Head</h2><p>{LONG}</p></div>"
+    assert html_text.main_text(titled) == f"Site name.\nHead\n{LONG.strip()}"
+    commented = f"<article><h1>A</h1><p>Short, but the text.</p><section id=comments><p>{LONG * 9}</p></section></article><div class=comments><p>{LONG * 9}</p></div>"
+    assert html_text.main_text(commented) == "A\nShort, but the text."
+
+
 def test_quality_rules_like_sql(small, edge):
     same_rows(quality_rules.apply_rules(small), oracle(quality_rules.ORACLE, small))
     same_rows(quality_rules.apply_rules(edge), oracle(quality_rules.ORACLE, edge))
