@@ -1,14 +1,15 @@
 """Operator 2, n-gram Jaccard join: rare-first prefix filtering, verified once per pair.
 
-A document's set is its distinct ``N``-word shingles (A-Z lower-cased; fewer words: the whole
-sequence as one).  Two documents link when 100 * intersection >= ``PERCENT`` * union.
+A document's set is its distinct shingles of ``words`` words (A-Z lower-cased; fewer words: the whole
+sequence as one).  Two documents link when 100 * intersection >= ``percent`` * union.  The registered query
+and the pipeline's stage take ``N`` and ``PERCENT``.
 
 1. *Order.*  A table of ``2 ** COUNTER_BITS`` hashed counters (that size whatever the corpus)
    counts in how many documents shingles occur, over all documents.  Sets are ordered by
    (count, hash): rare first, the same order everywhere, so any collision costs sharpness only.
 2. *Sets.*  Documents of one set (a 128-bit sum over its hashes and its size) are one node, its
    smallest doc_id stands for it: exact copies never meet in a join.
-3. *Prefix join.*  Two sets that link share a shingle among the first n - ceil(0.9 n) + 1 of each.
+3. *Prefix join.*  Two sets that link share a shingle among the first n - ceil(n * percent / 100) + 1 of each.
    Prefix rows meet by shingle.  Candidates pass a length filter, a positional filter (what can still match:
    the earlier prefix shingles that any other set shares, and all that follow) and a suffix filter (a lower bound
    of the difference of two sets: the bits in which the parities of their hashes in ``64 * PARITY`` bins differ).
@@ -44,22 +45,22 @@ COUNTER_BITS, LANES, PARITY = 20, 32, 4
 _SHIFT = np.uint64(64 - COUNTER_BITS)
 
 
-def shingle_sets(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def shingle_sets(col: pa.Array, words: int = N) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, hashes ascending within each row, row offsets) of slices of a text column."""
     for w in wh.words_of(col):
-        g, r = wh.ngrams(w, N, short=True)
+        g, r = wh.ngrams(w, words, short=True)
         s, off = wh.row_sets(g, r, len(w.counts))
         yield w.first, s, off
 
 
-def shingle_counters(docs: DataFrame) -> np.ndarray:
+def shingle_counters(docs: DataFrame, words: int = N) -> np.ndarray:
     """In how many documents a shingle of each counter occurs, over all documents."""
     lanes = [f"c{i}" for i in range(LANES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTER_BITS, np.int64)
         for b in batches:
-            for _, s, _ in shingle_sets(b.column("text")):
+            for _, s, _ in shingle_sets(b.column("text"), words):
                 total += np.bincount((s >> _SHIFT).astype(np.int64), minlength=len(total))
         grid = total.reshape(-1, LANES)
         at = np.flatnonzero(grid.any(1))
@@ -75,7 +76,7 @@ def shingle_counters(docs: DataFrame) -> np.ndarray:
     return np.minimum(grid.ravel(), 0xFFFFFFFF).astype(np.uint32)
 
 
-def sketches(docs: DataFrame, counters) -> DataFrame:
+def sketches(docs: DataFrame, counters, words: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n, sig1, sig2, prefix (rare first), parity bits b0 .. of every row."""
     bits = [f"b{i}" for i in range(PARITY)]
 
@@ -83,7 +84,7 @@ def sketches(docs: DataFrame, counters) -> DataFrame:
         order_of = np.frombuffer(counters.value, np.uint32)
         for b in batches:
             ids = b.column("doc_id")
-            for first, s, off in shingle_sets(b.column("text")):
+            for first, s, off in shingle_sets(b.column("text"), words):
                 n = np.diff(off)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(wh.mix(s, seed), dtype=np.uint64)]) for seed in (11, 12)]
                 sig = [(c[off[1:]] - c[off[:-1]]).view(np.int64) for c in sums]
@@ -91,7 +92,7 @@ def sketches(docs: DataFrame, counters) -> DataFrame:
                 at, odd = (s >> np.uint64(58)) & np.uint64(PARITY - 1), np.uint64(1) << (s & np.uint64(63))
                 flips = [np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(np.where(at == np.uint64(i), odd, np.uint64(0)))]) for i in range(PARITY)]
                 parity = [(c[off[1:]] ^ c[off[:-1]]).view(np.int64) for c in flips]
-                size = np.where(n > 0, n - (n * PERCENT + 99) // 100 + 1, 0)
+                size = np.where(n > 0, n - (n * percent + 99) // 100 + 1, 0)
                 prefix = np.empty(int(size.sum()), np.uint64)
                 p = np.concatenate([[0], np.cumsum(size)])
                 for i in np.flatnonzero(n).tolist():
@@ -106,27 +107,27 @@ def sketches(docs: DataFrame, counters) -> DataFrame:
         run, "doc_id long, n long, sig1 long, sig2 long, prefix array<long>, " + ", ".join(f"{c} long" for c in bits))
 
 
-def _least_overlap(a: str, b: str) -> str:
-    return f"ceil({PERCENT} * ({a} + {b}) / {100 + PERCENT}.0D)"
+def _least_overlap(a: str, b: str, percent: int) -> str:
+    return f"ceil({percent} * ({a} + {b}) / {100 + percent}.0D)"
 
 
-def _passes(a: str, b: str) -> str:
+def _passes(a: str, b: str, percent: int) -> str:
     """Length and positional filters of two prefix rows (n: size, p: place, c: earlier shared shingles) of one shingle."""
     n1, p1, c1, n2, p2, c2 = (f"{x}{f}" for x in (a, b) for f in "npc")
-    return (f"100 * least({n1}, {n2}) >= {PERCENT} * greatest({n1}, {n2}) and "
-            f"least({c1}, {c2}) + least({n1} - {p1}, {n2} - {p2}) >= {_least_overlap(n1, n2)}")
+    return (f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) and "
+            f"least({c1}, {c2}) + least({n1} - {p1}, {n2} - {p2}) >= {_least_overlap(n1, n2, percent)}")
 
 
-def _near(a: str, b: str) -> str:
+def _near(a: str, b: str, percent: int) -> str:
     """Suffix filter: the differing parity bits are at most as many as two linked sets differ in."""
-    return f"{' + '.join(f'bit_count({a}b{i} ^ {b}b{i})' for i in range(PARITY))} <= {a}n + {b}n - 2 * {_least_overlap(a + 'n', b + 'n')}"
+    return f"{' + '.join(f'bit_count({a}b{i} ^ {b}b{i})' for i in range(PARITY))} <= {a}n + {b}n - 2 * {_least_overlap(a + 'n', b + 'n', percent)}"
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = N, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that link: suffix filter, then the sets of their whole texts."""
     bits = [f"b{i}" for i in range(PARITY)]
     sides = [nodes.select(F.col("rep").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", *bits)]) for x in "ab"]
-    pairs = pairs.join(sides[0], "a").join(sides[1], "b").where(_near("a_", "b_")).select("a", "b").distinct()
+    pairs = pairs.join(sides[0], "a").join(sides[1], "b").where(_near("a_", "b_", percent)).select("a", "b").distinct()
     pairs = saved(pairs)
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
@@ -140,7 +141,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 count = b.num_rows
                 sets = []
                 for c in ("text_a", "text_b"):
-                    parts = [(s, np.repeat(np.arange(first, first + len(off) - 1), np.diff(off))) for first, s, off in shingle_sets(b.column(c))]
+                    parts = [(s, np.repeat(np.arange(first, first + len(off) - 1), np.diff(off))) for first, s, off in shingle_sets(b.column(c), words)]
                     sets.append([np.concatenate(x) for x in zip(*parts)])
                 (ga, ra), (gb, rb) = sets
                 na, nb = np.bincount(ra, minlength=count), np.bincount(rb, minlength=count)
@@ -148,7 +149,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 order = np.argsort(r, kind="stable")
                 s, off = wh.row_sets(np.concatenate([ga, gb])[order], r[order], count)
                 union = np.diff(off)
-                ok = pa.array((100 * (na + nb - union) >= PERCENT * union) & (union > 0))
+                ok = pa.array((100 * (na + nb - union) >= percent * union) & (union > 0))
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
     return saved(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct())
@@ -181,11 +182,11 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
-def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def linked(docs: DataFrame, words: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sketch rows; doc_id to node rows; links between nodes that connect all that links)."""
     spark = docs.sparkSession
-    counters = spark.sparkContext.broadcast(shingle_counters(docs).tobytes())
-    rows = saved(sketches(docs, counters))
+    counters = spark.sparkContext.broadcast(shingle_counters(docs, words).tobytes())
+    rows = saved(sketches(docs, counters, words, percent))
     sets = ["sig1", "sig2", "n"]
     bits = [f"b{i}" for i in range(PARITY)]
     some = rows.where("n > 0 and doc_id is not null")
@@ -203,9 +204,9 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     pivots = shared.groupBy("h").agg(F.min(F.struct("p", "rep", "n", "c")).alias("pivot"))
     shared = saved(shared.join(pivots, "h"))
     row, pivot = _fields("r_"), _fields("v_", "pivot.")
-    pairs = saved(shared.where("rep <> pivot.rep").select(*row, *pivot).where(_passes("r_", "v_"))
+    pairs = saved(shared.where("rep <> pivot.rep").select(*row, *pivot).where(_passes("r_", "v_", percent))
                   .select(F.col("v_rep").alias("a"), F.col("r_rep").alias("b")).distinct())
-    links = verified(pairs, nodes, docs).unionAll(ties)
+    links = verified(pairs, nodes, docs, words, percent).unionAll(ties)
 
     of = components(links)
     seen = of.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
@@ -219,29 +220,29 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     wide = ["comp", "out", *bits]
     x = marked.where("out").select("h", *_fields("x_"), *[F.col(c).alias(f"x_{c}") for c in wide])
     y = marked.select("h", *_fields("y_"), *[F.col(c).alias(f"y_{c}") for c in wide])
-    more = (x.join(y, "h").where(f"x_comp <> y_comp and (not y_out or x_rep < y_rep) and {_passes('x_', 'y_')} and {_near('x_', 'y_')}")
+    more = (x.join(y, "h").where(f"x_comp <> y_comp and (not y_out or x_rep < y_rep) and {_passes('x_', 'y_', percent)} and {_near('x_', 'y_', percent)}")
             .select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct())
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return rows, member, links.unionAll(verified(more.join(known, ["a", "b"], "left_anti"), nodes, docs))
+    return rows, member, links.unionAll(verified(more.join(known, ["a", "b"], "left_anti"), nodes, docs, words, percent))
 
 
 def _fields(to: str, of: str = "") -> list:
     return [F.col(f"{of}{f}").alias(f"{to}{f}") for f in ("rep", "n", "p", "c")]
 
 
-def similar_components(docs: DataFrame) -> DataFrame:
+def similar_components(docs: DataFrame, words: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    rows, member, links = linked(docs)
+    rows, member, links = linked(docs, words, percent)
     of = components(links).select(F.col("node").alias("rep"), "component")
     found = member.join(of, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     return (rows.select("doc_id", "n").join(found, "doc_id", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = N, percent: int = PERCENT) -> DataFrame:
     """One row (all its columns) of every component: that of the smallest doc_id; of rows that
     repeat this id, the one with the smallest text.  Rows with a null id stay."""
-    gone = (similar_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("nj_gone")).distinct())
+    gone = (similar_components(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("nj_gone")).distinct())
     kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("nj_gone"), "left_anti")
     repeated = kept.where("doc_id is not null").groupBy(F.col("doc_id").alias("nj_id")).agg(F.count(F.lit(1)).alias("nj_count")).where("nj_count > 1")
     once = kept.join(repeated.select("nj_id"), F.col("doc_id") == F.col("nj_id"), "left_anti")

@@ -264,6 +264,23 @@ def test_decontamination_like_sql(spark, sf, small, edge):
     assert decontam.contamination(edge.limit(0), own).count() == 0 and decontam.clean_documents(edge, own).columns == edge.columns
 
 
+@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80), (2, 75)])
+def test_ngram_join_sizes_and_thresholds(spark, size, percent):
+    rng, texts = random.Random(size), []
+    for _ in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([3, 40, 120]))]
+        for more in (0, 0.08, 0.11, 0.2, 0.24, 0.3, 0.4):
+            texts.append(" ".join(base + [f"x{rng.randrange(9999)}" for _ in range(round(more * len(base)))]))
+    sets = [{tuple(w[j:j + size]) for j in range(max(len(w) - size + 1, 1))} for w in map(words, texts)]
+    up = list(range(len(sets)))
+    for _ in sets:  # smallest label over links until nothing changes
+        up = [min(up[j] for j, y in enumerate(sets) if 100 * len(x & y) >= percent * len(x | y)) for x in sets]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(docs, size, percent).collect()}
+    assert got == {i: (len(s), up[i]) for i, s in enumerate(sets)}
+    assert sorted(r["doc_id"] for r in ngram_join.one_of_each(docs, size, percent).collect()) == sorted(set(up))
+
+
 @pytest.mark.parametrize("k,w", [(5, 6)])
 def test_winnowing_keeps_a_print_of_every_span(k, w):
     rng = np.random.default_rng(1)
