@@ -97,7 +97,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 5,
     parts = [sample.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for k in (0, 1)]
     rows = parts[0].unionAll(parts[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= SAMPLE_CHARS)
-    got = texts.join(F.broadcast(rows), "doc_id").select("label", "text").toArrow().combine_chunks()  # the bounded sample
+    # one text an id, so the bound on ids is one on what reaches the driver
+    one = texts.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first"))
+    got = one.select("doc_id", "label", F.col("first.text").alias("text")).toArrow().sort_by("doc_id").combine_chunks()
     return train(got.column("text"), got.column("label").to_numpy())
 
 

@@ -250,6 +250,17 @@ def test_toxicity_learns_and_locates(spark, sf, edge):
     assert toxicity.toxicity_scores(edge.limit(0), labels).count() == 0
 
 
+def test_toxicity_sample_has_one_text_an_id(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: taken.append(sorted(zip(texts.to_pylist(), y.tolist()))))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:6]
+    rows = [(i, f"text {i}") for i in ids] + [(ids[0], f"text {ids[0]}")] * 50 + [(ids[1], f"other {j}") for j in range(50)]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), labels)
+    toxicity.fit(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3), labels)
+    assert len(taken[0]) == len(ids) and taken[0] == taken[1]
+
+
 def test_decontamination_like_sql(spark, sf, small, edge):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     same_rows(decontam.contamination(small, items), oracle(decontam.ORACLE, small, benchmark=items))
