@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import html.parser
 import random
 import re
 import zlib
@@ -213,6 +214,35 @@ def test_html_structure_is_evidence():
     assert html_text.main_text(commented) == "A\nShort, but the text."
 
 
+class ArticleText(html.parser.HTMLParser):
+    """What stands in a page's article element, by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.parts = 0, []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.parts.append(data)
+
+
+def test_html_article_text_of_every_page(spark, sf):
+    """Articles of this table hold text only (h1, p, b, br), so all of it and nothing else is the main text; white space aside."""
+    pages = spark.read.parquet(f"{sf}/../sf0.1/pages.parquet")
+    bare = lambda t: "".join(t.split())
+    want = collections.Counter((r["page_id"], bare("".join(ArticleText(r["html"]).parts))) for r in pages.collect())
+    got = html_text.main_texts(pages).collect()
+    assert len(got) == 2500 and collections.Counter((r["page_id"], bare(r["text"])) for r in got) == want
+
+
 def test_quality_rules_like_sql(small, edge):
     same_rows(quality_rules.apply_rules(small), oracle(quality_rules.ORACLE, small))
     same_rows(quality_rules.apply_rules(edge), oracle(quality_rules.ORACLE, edge))
