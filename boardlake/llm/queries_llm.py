@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lm_score, mixing, ngram_join, pii, quality_rules, token_files
+from . import centroids, decontam, lm_score, mixing, ngram_join, pii, quality_rules, token_files, vector_codes, warc_zst
 from .common import table
 from .html_text import main_texts
 from .quality import quality_scores
@@ -53,6 +53,18 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.backoff_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zst.archived(table(spark, sf_dir, "pages"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_join": op2_ngram_join,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_lm_score": op10_lm_score,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_warc": op12_warc,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -72,4 +87,7 @@ ORACLES: dict[str, str] = {
     "op8_decontamination": decontam.ORACLE,
     "op9_pii": pii.ORACLE,
     "op10_lm_score": lm_score.ORACLE,
+    "op11_centroid_clustering": centroids.ORACLE,
+    "op12_warc": warc_zst.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
