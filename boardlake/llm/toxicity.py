@@ -178,7 +178,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", fo
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(m.documents(b, p)), pa.array(bad.astype(np.int64))], ["doc_id", "score", "n_offending"])
 
     out = _scored(docs, fit(docs, labels, label, fold, held_out), "doc_id long, score double, n_offending long", make)
-    return out.select("doc_id", (id_crc(F.col("doc_id")) % fold == held_out).alias("held_out"), "score",
+    return out.select("doc_id", (F.col("doc_id").isNotNull() & (id_crc(F.col("doc_id")) % fold == held_out)).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_offending")
 
 
