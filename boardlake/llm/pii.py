@@ -2,7 +2,7 @@
 
 Every kind has a pattern that proposes spans (leftmost, not overlapping within the kind), a check that
 confirms them (numbers of digits, byte values, Luhn, mod-97, no digits next to them) and a score,
-which rises when words of the kind stand in the ``CONTEXT`` characters before the span, back to the span before it.  A span counts when
+which rises when words of the kind stand in the ``CONTEXT`` characters of the text before the span or after it.  A span counts when
 its score reaches ``LEAST``.  The base kinds (email, ip, card, phone) start above it and so always
 stay; the added kinds are IBANs (confirmed by mod-97), and social security and local phone numbers
 (which need their words).
@@ -65,12 +65,15 @@ def spans_of(kind: Kind) -> str:
     """SQL: array of (start, kind number, end, score) of the kind's spans in ``text``.  A value used
     more than once is named by ``transform(array(x), name -> ...)``, so nothing is computed per element."""
     number, pattern = KINDS.index(kind), _sql(kind.pattern)
-    context = f"translate(right(g, {CONTEXT}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') rlike {_sql('(' + kind.words + ')')}"
-    # piece before (g), match (m), piece after (n) of every proposal
-    found = f"""get(transform(array(named_struct('g', split(text, {pattern}, -1), 'm', regexp_extract_all(text, {pattern}, 0))), s ->
-        transform(s.m, (m, i) -> named_struct('g', get(s.g, i), 'm', m, 'n', get(s.g, i + 1)))), 0)"""
-    score = f"get(transform(array(x), x -> {_named('x.g', 'g', _named('x.m', 'm', _named('x.n', 'n', _judged(kind, context))))}), 0)"
-    judged = f"transform({found}, x -> named_struct('skip', length(x.g), 'size', length(x.m), 'score', {score}))"
+    # pieces before, between and after the proposals, with the proposals among them; only their ends can be context
+    pieces = f"named_struct('g', split(text, {pattern}, -1), 'm', regexp_extract_all(text, {pattern}, 0))"
+    around = {"before": f"right(array_join(slice(tails, greatest(1, 2 * i + 2 - {2 * CONTEXT}), least(2 * i + 1, {2 * CONTEXT})), ''), {CONTEXT})",
+              "after": f"left(array_join(slice(heads, 2 * i + 3, {2 * CONTEXT}), ''), {CONTEXT})"}
+    context = " or ".join(f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') rlike {_sql('(' + kind.words + ')')}" for x in around.values())
+    score = _named("get(s.g, i)", "g", _named("get(s.g, i + 1)", "n", _judged(kind, context)))
+    judged = f"transform(s.m, (m, i) -> named_struct('skip', length(get(s.g, i)), 'size', length(m), 'score', {score}))"
+    judged = _named("transform(p, x -> right(x, {0}))".format(CONTEXT), "tails", _named("transform(p, x -> left(x, {0}))".format(CONTEXT), "heads", judged))
+    judged = _named(pieces, "s", _named("flatten(zip_with(s.g, s.m, (g, m) -> array(g, coalesce(m, ''))))", "p", judged))
     block = f"""aggregate(block, named_struct('at', 0, 'out', cast(array() as array<struct<s: int, k: int, e: int, score: double>>)), (a, x) -> named_struct(
         'at', a.at + x.skip + x.size, 'out', case when x.score >= {LEAST}D then concat(a.out, array(named_struct('s', a.at + x.skip, 'k', {number}, 'e', a.at + x.skip + x.size, 'score', x.score))) else a.out end))"""
     none = "cast(array() as array<struct<s: int, k: int, e: int, score: double>>)"
@@ -118,6 +121,10 @@ def span_digests(docs: DataFrame) -> DataFrame:
                                       F.sha2(F.expr(listed(f"filter(found, x -> x.k < {BASE})")), 256).alias("base_sha256"), F.expr(listed("found")).alias("spans"))
 
 
+def _lowered(sql: str) -> str:
+    return f"translate({sql}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def _oracle() -> str:
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
              "card": r"[0-9]([\x20-]?[0-9])+"}
@@ -139,10 +146,11 @@ def _oracle() -> str:
   select k, s, {i} as kind, e from (
     select *, (sum(length(g) + length(m)) over (partition by k order by i) - length(m))::bigint as s, (sum(length(g) + length(m)) over (partition by k order by i))::bigint as e,
            regexp_replace(m, '[^0-9]', '', 'g') as d
-    from (select k, i, gs[i] as g, ms[i] as m, gs[i + 1] as n from (
-      select k, gs, ms, unnest(range(1, len(ms) + 1)) as i from (
-        select k, string_split_regex(text, '{pattern}') as gs, regexp_extract_all(text, '{pattern}') as ms from d))))
-  where {checks[k.name]} and {k.score} + case when regexp_matches(translate(right(g, {CONTEXT}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '({k.words})') then {k.more} else 0 end >= {LEAST}""")
+    from (select k, text, i, gs[i] as g, ms[i] as m, gs[i + 1] as n from (
+      select k, text, gs, ms, unnest(range(1, len(ms) + 1)) as i from (
+        select k, text, string_split_regex(text, '{pattern}') as gs, regexp_extract_all(text, '{pattern}') as ms from d))))
+  where {checks[k.name]} and {k.score} + case when regexp_matches({_lowered(f"substr(text, greatest(s - {CONTEXT}, 0) + 1, least(s, {CONTEXT}))")}, '({k.words})')
+    or regexp_matches({_lowered(f"substr(text, e + 1, {CONTEXT})")}, '({k.words})') then {k.more} else 0 end >= {LEAST}""")
     names = "[" + ", ".join(f"'{k.name}'" for k in KINDS) + "]"
     return f"""
 with d as (select row_number() over () as k, doc_id, coalesce(text, '') as text from documents),

@@ -24,7 +24,7 @@ EDGE = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, " \n\t ", "en", None
 @pytest.fixture(scope="module")
 def edge(spark):
     df = spark.createDataFrame(EDGE, DOCS)
-    for c in ("rep", "n", "h", "chunk", "bucket", "score", "label", "dc_key", "mx_doc", "mx_size", "features", "cands"):
+    for c in ("rep", "n", "h", "chunk", "bucket", "score", "label", "dc_key", "dc_bad", "dc_doc", "nj_gone", "nj_id", "nj_row", "nj_count", "mx_doc", "mx_size", "features", "cands"):
         df = df.selectExpr("*", f"'clash' as {c}")
     return df
 
@@ -89,11 +89,11 @@ def test_quality_learns_and_scores_edges(spark, sf, edge):
     assert kept.columns == edge.columns and kept.count() <= len(EDGE)
 
 
-def components(rows):
+def components(rows, size=3, percent=90):
     sets = {}
     for i, t in rows:
         w = words(t)
-        sets[i] = frozenset(tuple(w[j:j + 3]) for j in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+        sets[i] = frozenset(tuple(w[j:j + size]) for j in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
     up = {i: i for i in sets}
 
     def root(x):
@@ -105,7 +105,7 @@ def components(rows):
     for a, i in enumerate(ids):
         for j in ids[a + 1:]:
             x, y = sets[i], sets[j]
-            if x and y and min(len(x), len(y)) * 10 >= 9 * max(len(x), len(y)) and 100 * len(x & y) >= 90 * len(x | y):
+            if x and y and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and 100 * len(x & y) >= percent * len(x | y):
                 p, q = root(i), root(j)
                 up[max(p, q)] = min(p, q)
     return {i: (len(sets[i]), root(i)) for i in ids}
@@ -276,6 +276,7 @@ def test_toxicity_learns_and_locates(spark, sf, edge):
     out = toxicity.toxicity_scores(edge, labels).collect()
     assert len(out) == len(EDGE) and all(0 <= r["score"] <= 1 for r in out)
     assert all(r["score"] < 0.01 for r in out if r["doc_id"] in (1, 2, 3))
+    assert [r["held_out"] for r in out if r["doc_id"] is None] == [False]
     assert toxicity.toxicity_scores(edge, labels.limit(0)).where("score >= 0.5").count() == 0
     assert toxicity.toxicity_scores(edge.limit(0), labels).count() == 0
 
@@ -357,7 +358,7 @@ def test_pii_like_brute_force_and_sql(spark, small, edge):
         joined = ",".join(f"{names[k]}:{s}:{e}" for s, k, e in want)
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
         if r["doc_id"] == len(texts) - 2:
-            assert r["spans"] == "iban:5:27,ssn:57:68,tel:87:99"
+            assert r["spans"] == "iban:5:27,ssn:57:68,ssn:70:81,tel:87:99"
     same_rows(pii.span_digests(docs), oracle(pii.ORACLE, docs))
     same_rows(pii.span_digests(small), oracle(pii.ORACLE, small))
     same_rows(pii.span_digests(edge), oracle(pii.ORACLE, edge))
@@ -366,6 +367,24 @@ def test_pii_like_brute_force_and_sql(spark, small, edge):
     assert pii.redacted(one).first()["text"] == "mail <email> now"
 
 
+def test_pii_context_on_both_sides_of_the_whole_text(spark):
+    """Every added kind is found in lists after one word and where the word follows; without a word it is not."""
+    rng = random.Random(6)
+    number = {"ssn": lambda: f"{rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
+              "tel": lambda: f"{rng.randrange(100, 999)}-{rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"}
+    word = {"ssn": "Social", "tel": "mobile"}
+    texts, want = [], []
+    for kind in number:
+        for _ in range(40):
+            a, b, c = (number[kind]() for _ in range(3))
+            texts += [f"é {word[kind]} {a}, {b} or {c}.", f"{a} ({word[kind]})", f"{a} {'x' * 40} {word[kind]}", f"{word[kind]} {'x' * 40} {a}", f"{a};{b} {word[kind]}"]
+            want += [[a, b, c], [a], [], [], [a, b]]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    for r in pii.personal_data(docs, "text").collect():
+        assert [r["text"][x["s"]:x["e"]] for x in r["found"]] == want[r["doc_id"]], r["text"]
+    same_rows(pii.span_digests(docs), oracle(pii.ORACLE, docs))
+
+
 def test_lm_scores_like_sql(small, edge, monkeypatch):
     monkeypatch.setattr(lm_score, "CHUNK_CHARS", 1 << 16)
     monkeypatch.setattr(lm_score, "PARTITION_CHARS", 1 << 15)
