@@ -185,8 +185,9 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows (all their columns) in which no item's window occurs."""
     _, found = hits(docs, items)
-    bad = found.select(F.col("dc_key").alias("dc_bad")).distinct()
-    return docs.join(bad, row_key(docs) == F.col("dc_bad"), "left_anti")
+    bad = found.select("dc_key").distinct()
+    whole = docs.select(row_key(docs).alias("dc_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("dc_doc"))
+    return whole.join(bad, "dc_key", "left_anti").select("dc_doc.*")
 
 
 ORACLE = r"""

@@ -2,7 +2,7 @@
 
 A document's set is its distinct shingles of ``words`` words (A-Z lower-cased; fewer words: the whole
 sequence as one).  Two documents link when 100 * intersection >= ``percent`` * union.  The registered query
-and the pipeline's stage take ``N`` and ``PERCENT``.
+takes ``N`` and ``PERCENT``.
 
 1. *Order.*  A table of ``2 ** COUNTER_BITS`` hashed counters (that size whatever the corpus)
    counts in how many documents shingles occur, over all documents.  Sets are ordered by
@@ -242,10 +242,11 @@ def similar_components(docs: DataFrame, words: int = N, percent: int = PERCENT)
 def one_of_each(docs: DataFrame, words: int = N, percent: int = PERCENT) -> DataFrame:
     """One row (all its columns) of every component: that of the smallest doc_id; of rows that
     repeat this id, the one with the smallest text.  Rows with a null id stay."""
-    gone = (similar_components(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("nj_gone")).distinct())
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("nj_gone"), "left_anti")
-    repeated = kept.where("doc_id is not null").groupBy(F.col("doc_id").alias("nj_id")).agg(F.count(F.lit(1)).alias("nj_count")).where("nj_count > 1")
-    once = kept.join(repeated.select("nj_id"), F.col("doc_id") == F.col("nj_id"), "left_anti")
-    again = kept.join(repeated, F.col("doc_id") == F.col("nj_id"), "left_semi")
-    first = again.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64("text")).alias("nj_row"))
-    return once.unionByName(first.select("nj_row.*"))
+    gone = similar_components(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("nj_id")).distinct()
+    whole = docs.select(F.col("doc_id").cast("long").alias("nj_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("nj_row"))
+    kept = whole.join(gone, "nj_id", "left_anti")
+    repeated = kept.where("nj_id is not null").groupBy("nj_id").agg(F.count(F.lit(1)).alias("nj_count")).where("nj_count > 1").select("nj_id")
+    once = kept.join(repeated, "nj_id", "left_anti").select("nj_row")
+    again = kept.join(repeated, "nj_id", "left_semi")
+    first = again.groupBy("nj_id").agg(F.min_by("nj_row", F.struct(F.xxhash64("nj_row.text"), "nj_row.text")).alias("nj_row"))
+    return once.unionByName(first.select("nj_row")).select("nj_row.*")
