@@ -20,8 +20,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group that the n-gram Jaccard join links."""
-    return ngram_join.one_of_each(docs)
+    """The document with the smallest id of every group that the n-gram Jaccard join links: near duplicates
+    share 80 percent of their five-word shingles."""
+    return ngram_join.one_of_each(docs, words=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
