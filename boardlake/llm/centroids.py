@@ -24,7 +24,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, smallest
 
 LARGEST = 1 << 27
 _LONG = (1 << 63) - 1
@@ -64,7 +64,7 @@ def kept_vectors(vectors: DataFrame, dims: int, scale: int) -> DataFrame:
 
 def first_centroids(kept: DataFrame, k: int, seed: str) -> list[list[int]]:
     rank = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
-    return [list(r["v"]) for r in kept.orderBy(rank.asc_nulls_last(), "v").limit(k).collect()]
+    return [list(r["v"]) for r in smallest(kept, k, rank.asc_nulls_last(), "v")]
 
 
 def next_centroids(kept: DataFrame, centroids: list[list[int]], dims: int) -> list[list[int]]:

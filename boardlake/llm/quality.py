@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import id_crc, one_label, saved
+from .common import giving_back, id_crc, one_label, saved
 
 FEATURES = ("log_words", "mean_word", "symbols", "marks", "upper", "digits", "distinct_words", "distinct_trigrams",
             "same_as_before", "top_word", "repeated_lines", "log_line", "log_sentence", "beyond_ascii")
@@ -31,6 +31,10 @@ FEATURES = ("log_words", "mean_word", "symbols", "marks", "upper", "digits", "di
 SHRINKAGE, FLOOR = 0.2, 1e-3
 #: Words (or lines) by which ratios of short texts are drawn to a usual value.
 PSEUDO = 20
+#: The fold of crc32(doc_id) that training leaves out.
+FOLD, HELD_OUT = 3, 1
+#: Rows that a task handles at a time.
+ROWS = 512
 
 _IN = lambda chars: np.isin(np.arange(256), list(chars.encode()))
 _SYMBOL, _MARK, _STOP = _IN("#*$%&|<>{}[]~^=_\\"), _IN("!?"), _IN(".!?")
@@ -130,19 +134,26 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def feature_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, features) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             x = statistics(b.column("text"))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), flat], ["doc_id", "features"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(run, "doc_id long, features array<double>")
+    return slim.mapInArrow(giving_back(run), "doc_id long, features array<double>")
 
 
-def fit(features: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 3, held_out: int = 1) -> Model:
+def fit(features: DataFrame, labels: DataFrame, label: str = "quality", fold: int = FOLD, held_out: int = HELD_OUT) -> Model:
     """Class moments over every labelled row outside the held-out fold, as Spark sums."""
     d = len(FEATURES)
     upper = [(i, j) for i in range(d) for j in range(i, d)]
@@ -165,7 +176,7 @@ def fit(features: DataFrame, labels: DataFrame, label: str = "quality", fold: in
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(flat), pa.int32()), pa.array(range(len(flat)), pa.int32()), pa.array(flat)],
                                              ["label", "at", "value"])
 
-    sums = train.mapInArrow(moments, "label int, at int, value double").groupBy("label", "at").agg(F.sum("value").alias("value"))
+    sums = train.mapInArrow(giving_back(moments), "label int, at int, value double").groupBy("label", "at").agg(F.sum("value").alias("value"))
     got: dict[int, np.ndarray] = {}
     for r in sums.collect():  # two classes x 120 numbers
         got.setdefault(r["label"], np.zeros(1 + d + len(upper)))[r["at"]] = r["value"]
@@ -195,10 +206,10 @@ def score_rows(features: DataFrame, model: Model) -> DataFrame:
             x = b.column("features").flatten().to_numpy().reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
 
-    return features.mapInArrow(run, "doc_id long, score double")
+    return features.mapInArrow(giving_back(run), "doc_id long, score double")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 3, held_out: int = 1) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = FOLD, held_out: int = HELD_OUT) -> DataFrame:
     """doc_id, held_out, score, predicted of every row.  The features are read from one checkpoint
     of narrow rows, so the texts are read once."""
     features = saved(feature_rows(docs))
@@ -208,11 +219,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows (all their columns) that the classifier does not reject."""
-    model = fit(feature_rows(docs), labels)
+    """The rows (all their columns) that the classifier does not reject.  Rows of the held-out fold
+    are left out before their statistics are computed for training."""
+    model = fit(feature_rows(docs.where(id_crc(F.col("doc_id")) % FOLD != HELD_OUT)), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             yield b.filter(pa.array(model.score(statistics(b.column("text"))) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)

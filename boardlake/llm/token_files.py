@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import shared_path
+from .common import giving_back, shared_path
 
 END_ID = 1
 #: Rows between two entries of the row index, bytes of a stripe, false positives of the Bloom filters.
@@ -124,7 +124,7 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     order = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tf_tie", F.xxhash64("text"))
     order = order.repartitionByRange("doc_id", "tf_tie").sortWithinPartitions("doc_id", "tf_tie", "text")
-    return order.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+    return order.select("doc_id", "text").mapInArrow(giving_back(run), _SCHEMA)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
@@ -156,7 +156,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("part"), b.column("doc_id"), b.column("start_in_part"), pa.array(n), pa.array(crc, pa.int64())],
                                              ["part", "doc_id", "start_in_part", "n_tokens", "ids_crc32"])
 
-    rows = files.select("part", "doc_id", "start_in_part", "ids").mapInArrow(run, "part int, doc_id long, start_in_part long, n_tokens long, ids_crc32 long")
+    rows = files.select("part", "doc_id", "start_in_part", "ids").mapInArrow(giving_back(run), "part int, doc_id long, start_in_part long, n_tokens long, ids_crc32 long")
     return (rows.join(parts, rows["part"] == parts["of_part"])
             .select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32"))
 

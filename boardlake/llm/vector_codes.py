@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .centroids import LARGEST, finite
-from .common import saved
+from .common import giving_back, saved, smallest
 
 #: Rows that a task searches at a time.
 BLOCK = 4096
@@ -117,7 +117,7 @@ def next_codebooks(kept: DataFrame, books: np.ndarray, dims: int, scale: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.reshape(-1)[at])], ["at", "value"])
 
     out, total = books.copy(), np.zeros(parts * n * (width + 1), object)
-    for r in kept.select("embedding").mapInArrow(run, "at long, value long").groupBy("at").agg(F.sum("value").alias("value")).collect():
+    for r in kept.select("embedding").mapInArrow(giving_back(run), "at long, value long").groupBy("at").agg(F.sum("value").alias("value")).collect():
         total[r["at"]] = r["value"]
     total = total.reshape(parts, n, width + 1)
     for p, e in zip(*np.nonzero(total[:, :, width])):
@@ -137,10 +137,10 @@ def vector_codes(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds:
     dims = dims or _commonest(slim, parts)
     width = dims // parts
     kept = slim.where(finite(F.col("embedding"), dims))
-    seeds = kept.select("embedding", "vec_id").orderBy(F.asc_nulls_last("vec_id"), "embedding").limit(entries).select("embedding").toArrow()
-    if not seeds.num_rows:
+    seeds = [r["embedding"] for r in smallest(kept.select("embedding", "vec_id"), entries, F.asc_nulls_last("vec_id"), "embedding")]
+    if not seeds:
         return kept.where("false").selectExpr("vec_id", "'' AS code", "0L AS error", "0L AS label_error", "'' AS codebooks_sha256")
-    first = _integers(seeds.column("embedding").combine_chunks(), dims, scale)
+    first = _integers(pa.array(seeds, pa.list_(pa.float64())), dims, scale)
     books = np.stack([first[:, p * width:(p + 1) * width] for p in range(parts)])
     for _ in range(rounds):
         books = next_codebooks(kept, books, dims, scale)
@@ -153,7 +153,7 @@ def vector_codes(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds:
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array([c.tobytes().hex() for c in codes]), pa.array(sum(d for _, d in hits))],
                                              ["vec_id", "label", "code", "error"])
 
-    rows = saved(kept.mapInArrow(run, "vec_id long, label long, code string, error long"))
+    rows = saved(kept.mapInArrow(giving_back(run), "vec_id long, label long, code string, error long"))
     by_label = rows.groupBy(F.col("label").alias("of_label")).agg(F.coalesce(F.try_sum("error"), F.lit((1 << 63) - 1)).alias("label_error"))
     sha = hashlib.sha256(",".join(map(str, books.reshape(-1).tolist())).encode()).hexdigest()
     return (rows.join(by_label, F.col("label").eqNullSafe(F.col("of_label")))

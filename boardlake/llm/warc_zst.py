@@ -1,7 +1,7 @@
 """Operator 12, WARC: a dictionary-compressed archive writer, and its reader.
 
 Every page becomes a WARC/1.1 record.  A Zstandard dictionary is trained on a bounded sample of the payloads
-(``SAMPLE`` records of at most ``SAMPLE_BYTES`` bytes, those with the smallest hashes) and stands in a leading skippable frame of
+(``SAMPLE`` page_ids, those with the smallest hashes; one payload each, of at most ``SAMPLE_BYTES`` bytes) and stands in a leading skippable frame of
 every file (magic 0x184D2A5D, itself compressed where that is shorter); each record is a Zstandard frame of its own, with
 content size and checksum, so a reader can start at any record's offset.  Files are written by Spark's text writer, which puts
 bytes as they are, through its commit protocol (a lost executor's files never count) and to any file system Spark knows: the line
@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import giving_back, shared_path, smallest
 
 #: Payloads below so many bytes are always written out.
 SMALLEST = 1000
@@ -57,9 +57,11 @@ def _payloads(pages: DataFrame) -> DataFrame:
 
 def train_dictionary(pages: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary of at most ``size`` bytes, or b"" where there are too few records to train one."""
-    rows = _payloads(pages).where(F.col("wz_bytes").between(1, SAMPLE_BYTES))
-    rank = F.xxhash64("wz_digest", "wz_id")
-    some = sorted({bytes(r[0]) for r in rows.orderBy(rank, "wz_digest").limit(SAMPLE).select("wz_payload").collect()})
+    ids = smallest(pages.select(F.col("page_id").cast("long").alias("wz_id")).where("wz_id IS NOT NULL").distinct(), SAMPLE, F.xxhash64("wz_id"), "wz_id")
+    chosen = pages.sparkSession.createDataFrame(ids, "wz_id long")  # at most SAMPLE rows
+    rows = _payloads(pages).join(F.broadcast(chosen), "wz_id").where(F.col("wz_bytes").between(1, SAMPLE_BYTES))
+    one = rows.groupBy("wz_id").agg(F.min_by("wz_payload", F.struct("wz_digest", "wz_bytes")).alias("payload"))
+    some = sorted({bytes(r["payload"]) for r in one.select("payload").collect()})
     try:
         return zstandard.train_dictionary(size, [_record(None, None, x, hashlib.sha1(x).hexdigest(), "response", None, "") for x in some]).as_bytes()
     except (zstandard.ZstdError, ValueError):  # the library refuses a sample that is too small
@@ -123,7 +125,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
         if frames:
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
 
-    frames = record_kinds(pages).mapInArrow(run, "frame binary")
+    frames = record_kinds(pages).mapInArrow(giving_back(run), "frame binary")
     frames.select(F.col("frame").cast("string")).write.option("lineSep", EMPTY_FRAME).text(path)
 
 
@@ -199,7 +201,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, _READ + (", payload binary" if payloads else ""))
+    return files.mapInArrow(giving_back(run), _READ + (", payload binary" if payloads else ""))
 
 
 def archived(pages: DataFrame) -> DataFrame:
