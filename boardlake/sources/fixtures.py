@@ -136,3 +136,79 @@ def auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring(F.lit("NESW"), ((F.col("board") - 1) % 4 + 1).cast("int"), 1).alias("dealer"),
         F.element_at(templates, (F.col("deal_id") % len(AUCTION_TEMPLATES) + 1).cast("int")).alias("calls"),
     )
+
+
+def bidding_entries() -> list[tuple]:
+    """Rows of the fixture's bidding table, by rule: (bt_id, prior_calls, bid, criteria, completed).
+
+    Criteria are (feature, least, most) triples.  Openings of three levels after up to three passes, three raises and a pass to each,
+    two calls after that pass, and the pass that completes the auction.
+    """
+    strains, rows = "CDHSN", []
+
+    def add(prior, bid, criteria=(), completed=False):
+        rows.append((len(rows), "-".join(prior), bid, tuple(criteria), completed))
+
+    def strength(level, strain):
+        if strain == "N":
+            return [("HCP", 10 + 5 * level, 12 + 5 * level)]
+        return [("HCP", (11, 6, 5)[level - 1], (21, 11, 10)[level - 1]), (f"SL_{strain}", (4, 6, 7)[level - 1], 13)]
+
+    for passes in range(4):
+        prior = ["p"] * passes
+        add(prior, "p", [("HCP", 0, 11)])
+        for rank in range(15):
+            bid = f"{rank // 5 + 1}{strains[rank % 5]}"
+            add(prior, bid, strength(rank // 5 + 1, strains[rank % 5]))
+            add([*prior, bid], "p")
+            for more in (rank + 1, rank + 2, rank + 3):
+                strain = strains[more % 5]
+                add([*prior, bid], f"{more // 5 + 1}{strain}", [("HCP", 8, 40), *([(f"SL_{strain}", 3, 13)] if strain != "N" else [])])
+            add([*prior, bid, "p"], "p")
+            add([*prior, bid, "p"], f"{(rank + 1) // 5 + 1}{strains[(rank + 1) % 5]}", [("HCP", 16, 40)])
+            add([*prior, bid, "p", "p"], "p", completed=True)
+    return rows
+
+
+def bidding_table(spark: SparkSession) -> DataFrame:
+    """(bt_id, prior_calls, bid, criteria, completed): the entries with their criteria as rule texts for any direction {d}."""
+    def text(feature: str, least: int, most: int) -> str:
+        name = "HCP_{d}" if feature == "HCP" else feature.replace("SL_", "SL_{d}_")
+        if least == 0:
+            return f"{name} < {most + 1}"
+        return f"{name} >= {least}" if most in (13, 40) else (f"{least} <= {name} <= {most}" if least % 2 else f"{least - 1} < {name} <= {most}")
+
+    rows = [(i, prior, bid, [text(*c) for c in criteria], done) for i, prior, bid, criteria, done in bidding_entries()]
+    return spark.createDataFrame(rows, "bt_id int, prior_calls string, bid string, criteria array<string>, completed boolean")
+
+
+#: Opening sequences that the fixture's bidding table should not have.
+BOGUS_SEQUENCES = ("3N", "p-3N", "p-p-2C")
+
+
+def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, html): a result page per session, with a table of each side's pairs.
+
+    Columns come in three orders and spellings (by session), names hold character references, and some rows are no
+    results (a position that is no number, a missing cell, an empty score).
+    """
+    s = spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("page_id")))
+    pair = """named_struct('pair', p, 'mp', cast((p * 13 + page_id * 7 + {k}) % 400 as decimal(6,1)) / 2, 'pct', cast((p * 377 + page_id * 101 + {k}) % 6000 + 2000 as decimal(8,2)) / 100)"""
+    cell = "concat('<td>', {0}, '</td>')".format
+    names = "concat('{s}', x.pair, 'a of ', page_id, ' &amp; {s}', x.pair, 'b of ', page_id)"
+    orders = (("i + 1", "x.pair", "{names}", "x.mp", "x.pct"), ("i + 1", "x.pair", "x.pct", "{names}", "x.mp"),
+              ("i + 1", "'club'", "x.pair", "{names}", "x.mp", "x.pct", "'0.1'"))
+    heads = (("Pos", "No", "Players", "Matchpoints", "Score%"), ("Position", "Pair", "Score", "Players", "MP"),
+             ("Pos", "Club", "Pair", "Players", "MPs", "Score%", "Masterpoints"))
+    parts = []
+    for side, label, k in (("NS", "North / South", 0), ("EW", "East / West", 1)):
+        by_order = []
+        for order, head in zip(orders, heads):
+            row = "concat('<tr>', " + ", ".join(cell(f"cast({c.replace('{names}', names.replace('{s}', side))} as string)") for c in order) + ", '</tr>')"
+            ranked = f"array_sort(transform(sequence(1, 12), p -> {pair.format(k=k)}), (a, b) -> case when a.pct > b.pct then -1 when a.pct < b.pct then 1 else a.pair - b.pair end)"
+            body = f"array_join(transform({ranked}, (x, i) -> {row}), '')"
+            by_order.append(f"concat('<tr>{''.join(f'<th>{h}</th>' for h in head)}</tr>', {body})")
+        pick = f"case page_id % 3 when 0 then {by_order[0]} when 1 then {by_order[1]} else {by_order[2]} end"
+        parts.append(f"'<tr><td colspan=5>{label}</td></tr>', {pick}, '<tr><td>-</td><td>77</td><td>none</td><td>1</td><td>2</td><td>3</td><td>4</td></tr><tr><td>13</td><td>78</td></tr>'")
+    html = "concat('<html><body><h1>Results</h1><table>', " + ", ".join(parts) + ", '</table></body></html>')"
+    return s.select("page_id", F.expr("concat('https://results.example/show?club=c', page_id % 7, '&event=', page_id)").alias("url"), F.expr(html).alias("html"))

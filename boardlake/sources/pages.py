@@ -31,6 +31,47 @@ def html_rows(pages: DataFrame, row_re: str, cell_re: str, key: str = "page_id",
     return rows
 
 
+def plain_text(col: str | Column) -> Column:
+    """Text of a piece of markup: without tags, the named characters of result pages decoded, white space as one space."""
+    c = F.col(col) if isinstance(col, str) else col
+    c = F.regexp_replace(c, r"<[^>]*>", "")
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        c = F.replace(c, F.lit(name), F.lit(char))
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def link_targets(col: str | Column) -> Column:
+    """Targets of all links in a piece of markup."""
+    return _all(col, r"""<a\s[^>]*?href\s*=\s*["']([^"']*)["']""", 1)
+
+
+def rows_by_header(pages: DataFrame, aliases: dict[str, list[str]], sections: dict[str, str], key: str = "page_id", html: str = "html",
+                   row_re: str = r"(?is)<tr\b[^>]*>(.*?)</tr>", cell_re: str = r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>") -> DataFrame:
+    """Table rows with their cells picked by the names in the page's own header row.
+
+    ``aliases`` gives each output column its header names (lower case), the first that is there counts; a row in which every column
+    has one is a header and holds for the rows below it.  A row whose text contains a key of ``sections`` starts that section.
+    Other rows below a header and a section come out as (key, pos, section, one text per column, links); a row with too few cells has nulls.
+    The windows run over one page's rows.
+    """
+    rows = pages.select(key, F.posexplode(_all(html, row_re, 1)).alias("pos", "_row"))
+    rows = rows.withColumns({"_cells": F.transform(_all("_row", cell_re, 1), plain_text), "links": link_targets("_row")})
+    rows = rows.withColumn("_names", F.transform("_cells", F.lower))
+    place = {c: F.coalesce(*[F.nullif(F.array_position("_names", a), F.lit(0).cast("long")) for a in names]) for c, names in aliases.items()}
+    rows = rows.withColumn("_head", F.struct(*[p.cast("int").alias(c) for c, p in place.items()]))
+    is_head = F.lit(True)
+    for c in aliases:
+        is_head = is_head & F.col("_head")[c].isNotNull()
+    text = F.array_join("_cells", " ")
+    label = F.coalesce(*[F.when(F.contains(text, F.lit(k)), F.lit(v)) for k, v in sections.items()])
+    rows = rows.withColumns({"_is_head": is_head, "_label": F.when(~is_head, label)})
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"_at": F.last(F.when(F.col("_is_head"), F.col("_head")), ignorenulls=True).over(w),
+                             "section": F.last("_label", ignorenulls=True).over(w)})
+    rows = rows.where(~F.col("_is_head") & F.col("_label").isNull() & F.col("_at").isNotNull() & F.col("section").isNotNull())
+    return rows.select(key, "pos", "section", *[F.get("_cells", F.col("_at")[c] - 1).alias(c) for c in aliases], "links")
+
+
 def to_decimal_point(col: str | Column) -> Column:
     """'164,2' -> 164.2 (null when not a number)."""
     c = F.col(col) if isinstance(col, str) else col
