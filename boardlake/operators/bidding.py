@@ -47,14 +47,19 @@ BIDS = (
     ("p-p-p", "p", ("hcp_lt_12",)),
 )
 
-_CHAIN = re.compile(r"^\s*([-\d.]+)\s*<=\s*([A-Za-z_][A-Za-z0-9_]*)\s*<=\s*([-\d.]+)\s*$")
+_CHAIN = re.compile(r"^\s*([-\d.]+)\s*(<=?|>=?)\s*([A-Za-z_][A-Za-z0-9_]*)\s*(<=?|>=?)\s*([-\d.]+)\s*$")
 
 
 def rule_sql(text: str) -> str:
-    """A criterion as Spark SQL: a chained comparison ``a <= X <= b`` becomes ``X BETWEEN a AND b``."""
+    """A criterion as Spark SQL.  A chained comparison (``a <= X < b``, any of the four signs) becomes two comparisons;
+    the direction placeholder ``{d}`` goes, as a hand is a row of its own."""
+    text = text.replace("_{d}", "")
     m = _CHAIN.match(text)
     if m:
-        return f"({m.group(2)} BETWEEN {m.group(1)} AND {m.group(3)})"
+        low, first, name, second, high = m.groups()
+        if (first, second) == ("<=", "<="):
+            return f"({name} BETWEEN {low} AND {high})"
+        return f"({low} {first} {name} AND {name} {second} {high})"
     return f"({text})"
 
 
@@ -202,3 +207,130 @@ def expand_auctions(hands: DataFrame, accepts: DataFrame, dealer: DataFrame, key
         frontier = fin.filter(~F.col("_done")).drop("_done")
         if frontier.isEmpty():
             return reduce(DataFrame.unionByName, done).select(key, F.col("prior_calls").alias("calls"), "round")
+
+
+#: Rules of one mask word (a long without its sign), and the most distinct criteria of a bidding table.
+WORD, MOST_RULES = 62, 2000
+
+
+def with_paths(table: DataFrame) -> DataFrame:
+    """the bidding table with ``path``: the criteria of an entry and of the entries its prior calls went through.
+
+    A bid needs its prior bid's outcome to be true as well, and that one its own prior's, up to the entry with at most one
+    prior call; so the outcome is the AND over the path.  The tree is walked level by level (by number of prior calls),
+    each level one join with the level above; an entry whose prior is not in the table starts a path of its own.
+    Every level is checkpointed: its size is that of the table, not of the hands.
+    """
+    depth = F.when(F.col("prior_calls") == "", 0).otherwise(F.size(F.split("prior_calls", "-")))
+    last = F.substring_index("prior_calls", "-", -1)
+    entries = table.select("*", depth.alias("_depth"), F.when(depth > 1, last).alias("_up_bid"),
+                           F.when(depth > 1, F.expr("substr(prior_calls, 1, length(prior_calls) - length(substring_index(prior_calls, '-', -1)) - 1)")).alias("_up_prior"))
+    entries = cut_lineage(entries)
+    levels = sorted(r["_depth"] for r in entries.select("_depth").distinct().collect())  # one row a number of prior calls
+    done, above = [], None
+    for level in levels:
+        here = entries.where(F.col("_depth") == level)
+        if above is None:
+            here = here.withColumn("path", F.array_distinct("criteria"))
+        else:
+            up = above.groupBy(F.col("prior_calls").alias("_p"), F.col("bid").alias("_b")).agg(F.min("path").alias("_path"))
+            here = here.join(up, (F.col("_up_prior") == F.col("_p")) & (F.col("_up_bid") == F.col("_b")), "left")
+            here = here.withColumn("path", F.array_union(F.coalesce("_path", F.array().cast("array<string>")), "criteria")).drop("_p", "_b", "_path")
+        above = cut_lineage(here)
+        done.append(above)
+    return reduce(DataFrame.unionByName, done).drop("_depth", "_up_bid", "_up_prior") if done else entries.select(*table.columns, F.col("criteria").alias("path"))
+
+
+def table_rules(table: DataFrame) -> list[str]:
+    """The distinct criteria of a bidding table, in order.  They become columns of the hands' plan, so there must be few."""
+    found = [r["rule"] for r in table.select(F.explode("criteria").alias("rule")).distinct().limit(MOST_RULES + 1).collect()]
+    if len(found) > MOST_RULES:
+        raise ValueError(f"the bidding table has more than {MOST_RULES} distinct criteria")
+    return sorted(found)
+
+
+def hand_masks(features: DataFrame, rules: list[str], keys=("deal_id", "direction")) -> DataFrame:
+    """F9 for a table's rules: which of them each hand meets, as words of bits; a rule over a null feature is not met."""
+    words = []
+    for at in range(0, max(len(rules), 1), WORD):
+        bits = [F.when(F.expr(rule_sql(r)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, r in enumerate(rules[at:at + WORD])]
+        words.append(reduce(lambda a, b: a.bitwiseOR(b), bits) if bits else F.lit(0).cast("long"))
+    return features.select(*keys, F.array(*words).alias("mask"))
+
+
+def path_masks(table: DataFrame, rules: list[str]) -> DataFrame:
+    """The table with ``need``: the words of bits of its path's rules."""
+    number = F.expr("map(" + ", ".join(f"{_quoted(r)}, {i}" for i, r in enumerate(rules)) + ")") if rules else F.expr("cast(map() as map<string, int>)")
+    words = [F.expr(f"aggregate(filter(_numbers, n -> n >= {at} AND n < {at + WORD}), 0L, (a, n) -> a | shiftleft(1L, n - {at}))")
+             for at in range(0, max(len(rules), 1), WORD)]
+    table = table.withColumn("_numbers", F.transform("path", lambda r: F.element_at(number, r)))
+    return table.withColumn("need", F.array(*words)).drop("_numbers")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _meets(mask: Column, need: Column, words: int) -> Column:
+    return reduce(lambda a, b: a & b, [mask[i].bitwiseAND(need[i]) == need[i] for i in range(words)])
+
+
+def bid_outcomes(features: DataFrame, table: DataFrame, keys=("deal_id", "direction")) -> DataFrame:
+    """(keys..., bt_id) of every hand and entry whose criteria, and those of the prior bids' entries, all hold.
+
+    A hand meets an entry through one rule of its path, the table's commonest rule excepted where it can be: hands
+    are joined by the rules they meet, then the whole path is tested on the joined row.  Entries without criteria meet every hand.
+    """
+    rules = table_rules(table)
+    words = max(1, -(-len(rules) // WORD))
+    paths = path_masks(with_paths(table), rules)
+    used = paths.select(F.explode("path").alias("_rule")).groupBy("_rule").agg(F.count("*").alias("_n"))
+    ranked = paths.select("bt_id", "need", F.explode_outer("path").alias("_rule")).join(used, "_rule", "left")
+    door = ranked.groupBy("bt_id").agg(F.min("need").alias("need"), F.min_by("_rule", F.struct("_n", "_rule")).alias("_rule"))
+    hands = hand_masks(features, rules, keys)
+    met = F.filter(F.array(*[F.when(F.col("mask")[i // WORD].bitwiseAND(F.lit(1 << (i % WORD)).cast("long")) != 0, F.lit(r)) for i, r in enumerate(rules)] + [F.lit("")]), lambda r: r.isNotNull())
+    by_rule = hands.select(*keys, "mask", F.explode(met).alias("_rule"))
+    hits = by_rule.join(door.withColumn("_rule", F.coalesce("_rule", F.lit(""))), "_rule").where(_meets(F.col("mask"), F.col("need"), words))
+    return hits.select(*keys, "bt_id")
+
+
+def expand_by_table(features: DataFrame, table: DataFrame, dealers: DataFrame, bogus=(), key: str = "deal_id",
+                    checkpoint_every: int = 4) -> DataFrame:
+    """J11 with the bidding table as rows: (key, calls, bt_ids, completed_by_table) of every auction that a deal can have.
+
+    A frontier row is an auction so far with the masks of the four hands.  Each round joins it with the table's candidates after those
+    calls (one row per sequence, so the join grows no hot key beyond the frontier itself) and takes every bid whose path
+    the hand to call meets; without one it passes.  Auctions end with an entry marked completed, four passes or three passes after a bid.
+    Sequences in ``bogus`` are never bid.  Every round makes auctions one call longer, so no cycle is possible, and none is longer
+    than the rules allow (``LONGEST_AUCTION``).  Rounds are cut off with reliable checkpoints.
+    """
+    rules = table_rules(table)
+    words = max(1, -(-len(rules) // WORD))
+    entry = F.struct("bid", "bt_id", "need", F.coalesce("completed", F.lit(False)).alias("completed"))
+    sequence = F.concat_ws("-", F.when(F.col("prior_calls") != "", F.col("prior_calls")), "bid")
+    after = cut_lineage(path_masks(with_paths(table), rules).where(~sequence.isin(*bogus) if bogus else F.lit(True))
+                        .groupBy(F.col("prior_calls").alias("calls")).agg(F.sort_array(F.collect_set(entry)).alias("candidates")))
+    seat = F.instr(F.lit("NESW"), F.col("direction")) - 1
+    hands = hand_masks(features, rules, (key, "direction")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(seat.alias("seat"), "mask"))).alias("hands"))
+    frontier = dealers.select(key, (F.instr(F.lit("NESW"), F.col("dealer")) - 1).alias("seat")).join(hands, key).select(
+        key, "seat", F.transform("hands", lambda h: h["mask"]).alias("hands"), F.lit("").alias("calls"), F.array().cast("array<int>").alias("bt_ids"))
+    frontier, done, rounds = cut_lineage(frontier), [], 0
+    while True:
+        if rounds == LONGEST_AUCTION:
+            raise ValueError(f"auctions are still open after {LONGEST_AUCTION} calls: the bidding table accepts illegal bids")
+        own = F.get("hands", F.col("seat"))
+        hits = F.filter("candidates", lambda c: _meets(own, c["need"], words))
+        passing = F.array(F.struct(F.lit("p").alias("bid"), F.lit(None).cast("int").alias("bt_id"), F.lit(False).alias("completed")))
+        bids = F.when(F.size(hits) > 0, F.transform(hits, lambda c: F.struct(c["bid"].alias("bid"), c["bt_id"].alias("bt_id"), c["completed"].alias("completed")))).otherwise(passing)
+        nxt = frontier.join(after, "calls", "left").select(key, "seat", "hands", "calls", "bt_ids", F.explode(bids).alias("x"))
+        nxt = nxt.select(key, ((F.col("seat") + 1) % 4).alias("seat"), "hands", F.concat_ws("-", F.when(F.col("calls") != "", F.col("calls")), "x.bid").alias("calls"),
+                         F.when(F.col("x.bt_id").isNull(), F.col("bt_ids")).otherwise(F.array_append("bt_ids", F.col("x.bt_id"))).alias("bt_ids"), F.col("x.completed").alias("completed"))
+        passed = F.col("calls").rlike("^p-p-p-p$") | F.col("calls").rlike("[^p-].*-p-p-p$")
+        nxt = nxt.withColumn("_done", F.col("completed") | passed)
+        rounds += 1
+        if rounds % checkpoint_every == 0:
+            nxt = cut_lineage(nxt)
+        done.append(nxt.where("_done").select(key, "calls", "bt_ids", F.col("completed").alias("completed_by_table")))
+        frontier = nxt.where("not _done").drop("completed", "_done")
+        if rounds % checkpoint_every == 0 and frontier.isEmpty():
+            return reduce(DataFrame.unionByName, done)

@@ -89,3 +89,64 @@ def q_auction_expand(spark, sf_dir):
     acc = B.bid_accepts(feats)
     dealer = fixtures.auctions(spark, sf_dir).select("deal_id", "dealer")
     return B.expand_auctions(feats, acc, dealer)
+
+
+def _entries_sql() -> str:
+    """The fixture's bidding table for DuckDB: entries and their criteria as (feature, least, most)."""
+    rows = fixtures.bidding_entries()
+    entries = ", ".join(f"({i}, '{prior}', '{bid}', {'true' if done else 'false'})" for i, prior, bid, _, done in rows)
+    needs = ", ".join(f"({i}, '{f}', {lo}, {hi})" for i, _, _, criteria, _ in rows for f, lo, hi in criteria)
+    return f"""bt(bt_id, prior_calls, bid, completed) as (values {entries}),
+need(bt_id, feature, least, most) as (values {needs}),
+up as (select b.*, p.bt_id up_id from bt b left join bt p
+  on len(string_split(b.prior_calls, '-')) > 1 and b.prior_calls = case when p.prior_calls = '' then p.bid else p.prior_calls || '-' || p.bid end),
+chain as (select bt_id, bt_id node from bt union all select c.bt_id, u.up_id from chain c join up u on u.bt_id = c.node where u.up_id is not null),
+paths as (select distinct c.bt_id, feature, least, most from chain c join need on need.bt_id = c.node),
+wanted as (select bt_id, count(*) n from paths group by bt_id),
+long as (select deal_id, direction, feature, v from (unpivot (select deal_id, direction, cast("HCP" as int) "HCP", cast("SL_S" as int) "SL_S", cast("SL_H" as int) "SL_H",
+  cast("SL_D" as int) "SL_D", cast("SL_C" as int) "SL_C" from hf) on "HCP", "SL_S", "SL_H", "SL_D", "SL_C" into name feature value v)),
+hits as (select deal_id, direction, bt_id, count(*) n from long join paths using (feature) where v between least and most group by all),
+acc as materialized (select deal_id, direction, bt_id from hits join wanted using (bt_id, n)
+  union all select deal_id, direction, bt_id from hf, bt where bt_id not in (select bt_id from wanted))"""
+
+
+def _recursive(sql: str) -> str:
+    return "with recursive " + sql.removeprefix("with ")
+
+
+@register(
+    "bid_outcomes",
+    "F9,F10",
+    _recursive(with_fixtures(["deals"], HF + ",\n" + _entries_sql(), """
+select b.bt_id, b.prior_calls, b.bid, d.direction, count(a.deal_id) n_accepted
+from bt b cross join (values ('N'), ('E'), ('S'), ('W')) d(direction) left join acc a on a.bt_id = b.bt_id and a.direction = d.direction
+group by all""")),
+)
+def q_bid_outcomes(spark, sf_dir):
+    """How many hands of each direction meet each entry of a bidding table, its prior bids' criteria included."""
+    table = fixtures.bidding_table(spark)
+    got = B.bid_outcomes(_features(spark, sf_dir), table).groupBy("bt_id", "direction").agg(F.count("*").alias("n_accepted"))
+    every = table.select("bt_id", "prior_calls", "bid", F.explode(F.array(*[F.lit(d) for d in "NESW"])).alias("direction"))
+    return every.join(got, ["bt_id", "direction"], "left").select("bt_id", "prior_calls", "bid", "direction", F.coalesce("n_accepted", F.lit(0)).alias("n_accepted"))
+
+
+@register(
+    "auction_tree",
+    "J11,F10",
+    _recursive(with_fixtures(["deals", "boards"], HF + ",\n" + _entries_sql() + """,
+can as materialized (select a.deal_id, a.direction, b.prior_calls, b.bid, b.bt_id, b.completed from acc a join bt b using (bt_id)
+  where case when prior_calls = '' then bid else prior_calls || '-' || bid end not in ('3N', 'p-3N', 'p-p-2C')),
+grown as (
+  select deal_id, (board - 1) % 4 seat, '' calls, cast([] as int[]) bt_ids, false done, false completed_by_table from boards
+  union all
+  select g.deal_id, (g.seat + 1) % 4, n.calls, case when c.bt_id is null then g.bt_ids else list_append(g.bt_ids, c.bt_id) end,
+    coalesce(c.completed, false) or n.calls = 'p-p-p-p' or regexp_matches(n.calls, '[1-7].*-p-p-p$'), coalesce(c.completed, false)
+  from grown g left join can c on c.deal_id = g.deal_id and c.direction = substr('NESW', cast(g.seat as int) + 1, 1) and c.prior_calls = g.calls,
+    lateral (select case when g.calls = '' then '' else g.calls || '-' end || coalesce(c.bid, 'p') calls) n
+  where not g.done)""", "select deal_id, calls, array_to_string(bt_ids, ',') bt_ids, completed_by_table from grown where done")),
+)
+def q_auction_tree(spark, sf_dir):
+    """Every auction that each deal can have by a bidding table, with the entries it went through."""
+    dealers = fixtures.auctions(spark, sf_dir).select("deal_id", "dealer")
+    out = B.expand_by_table(_features(spark, sf_dir), fixtures.bidding_table(spark), dealers, bogus=fixtures.BOGUS_SEQUENCES)
+    return out.withColumn("bt_ids", F.array_join("bt_ids", ","))
