@@ -45,22 +45,20 @@ def player_seat(df: DataFrame, player_id: str, player_cols: dict[str, str]) -> s
 def perspective(df: DataFrame, player_id: str, partner_id: str | None, player_cols: dict[str, str],
                 declarer_id: str = "declarer_id", contract: str = "contract") -> DataFrame:
     """boards I played, I / partner / we declared, opponents declared (all True if the player is absent)."""
-    seat = player_seat(df, player_id, player_cols)
-    if seat is None:
-        out = df.withColumns({"boards_i_played": F.lit(True), "boards_i_declared": F.lit(True),
-                              "boards_partner_declared": F.lit(True)})
-    else:
-        out = df.withColumns({
-            "boards_i_played": F.col(player_cols[seat]) == F.lit(str(player_id)),
-            "boards_i_declared": F.col(declarer_id) == F.lit(str(player_id)),
-            "boards_partner_declared": F.col(declarer_id) == F.lit(str(partner_id)),
-        })
+    # one row: the first seat that has the player anywhere
+    has = df.agg(*[F.max((F.col(c) == F.lit(str(player_id))).cast("int")).alias(f"_has_{s}") for s, c in player_cols.items()])
+    first = F.coalesce(*[F.when(F.col(f"_has_{s}") == 1, F.lit(s)) for s in DIRECTIONS if s in player_cols])
+    out = df.crossJoin(F.broadcast(has.select(first.alias("player_seat"))))
+    absent = F.col("player_seat").isNull()
+    here = F.element_at(F.create_map(*[x for s, c in player_cols.items() for x in (F.lit(s), F.col(c).cast("string"))]), F.col("player_seat"))
+    of = lambda names: F.element_at(F.create_map(*[F.lit(x) for s in DIRECTIONS for x in (s, names[s])]), F.col("player_seat"))
     out = out.withColumns({
-        "player_seat": F.lit(seat),
-        "partner_seat": F.lit(PARTNER.get(seat) if seat else None),
-        "pair_direction": F.lit(PAIR_OF_SEAT.get(seat) if seat else None),
-        "boards_we_declared": F.coalesce(F.col("boards_i_declared"), F.lit(False)) | F.coalesce(F.col("boards_partner_declared"), F.lit(False)),
+        "boards_i_played": absent | (here == F.lit(str(player_id))),
+        "boards_i_declared": absent | (F.col(declarer_id) == F.lit(str(player_id))),
+        "boards_partner_declared": absent | (F.col(declarer_id) == F.lit(str(partner_id))),
+        "partner_seat": of(PARTNER), "pair_direction": of(PAIR_OF_SEAT),
     })
+    out = out.withColumn("boards_we_declared", F.coalesce(F.col("boards_i_declared"), F.lit(False)) | F.coalesce(F.col("boards_partner_declared"), F.lit(False)))
     return out.withColumn(
         "boards_opponent_declared",
         F.col("boards_i_played") & ~F.col("boards_we_declared") & (F.col(contract) != "PASS"))

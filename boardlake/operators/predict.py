@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+from .ranks import dense_codes, exact_quantiles, select_ranks
+
 MISSING_CAT = "MISSING_CAT"  # fixed value: token for a missing category
 
 
@@ -25,12 +28,10 @@ def split_columns(df: DataFrame, target: str) -> dict[str, list[str]]:
 
 
 def fit_labels(df: DataFrame, col: str) -> DataFrame:
-    """M2: (value, code) with classes sorted and the missing token always present."""
+    """M2: (value, code) with classes sorted and the missing token always present (any number of classes)."""
     vals = df.select(F.coalesce(F.col(col).cast("string"), F.lit(MISSING_CAT)).alias("value"))
-    vals = vals.unionByName(df.sparkSession.range(1).select(F.lit(MISSING_CAT).alias("value"))).distinct()
-    from pyspark.sql import Window
-
-    return vals.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("int"))
+    vals = vals.unionByName(df.sparkSession.range(1).select(F.lit(MISSING_CAT).alias("value")))
+    return dense_codes(vals).withColumn("code", F.col("code").cast("int"))
 
 
 def apply_labels(df: DataFrame, col: str, labels: DataFrame, out: str | None = None) -> DataFrame:
@@ -46,8 +47,9 @@ def apply_labels(df: DataFrame, col: str, labels: DataFrame, out: str | None = N
 
 
 def fit_scaler(df: DataFrame, col: str) -> DataFrame:
-    """M3: one row (median, mean, population std) of the column after median fill."""
-    med = df.agg(F.percentile(F.col(col).cast("double"), 0.5).alias("median"))
+    """M3: one row (median, mean, population std) of the column after median fill; the median is exact."""
+    med = exact_quantiles(df.select(F.col(col).cast("double").alias("x")), [], [0.5]).select(F.col("value").alias("median"))
+    med = df.sparkSession.range(1).join(med, F.lit(True), "left").select("median")  # null where the column has no value
     filled = df.crossJoin(F.broadcast(med)).select(F.coalesce(F.col(col).cast("double"), F.col("median")).alias("_x"), "median")
     return filled.agg(F.first("median").alias("median"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"))
 
@@ -61,11 +63,30 @@ def apply_scaler(df: DataFrame, col: str, scaler: DataFrame, out: str | None = N
 
 
 def split_train(df: DataFrame, frac: float, k, seed: int = 42, stratum: str | None = None) -> DataFrame:
-    """M4: deterministic train / validation label from a hash of the key (per stratum if given)."""
+    """M4: train / validation label with exactly round(frac x rows) validation rows in every stratum, those with the
+    smallest md5 of key and seed.
+
+    The threshold of a stratum is the hash at that rank, found by ``select_ranks``; rows then compare with it, so no
+    stratum is ever sorted or held in one task.  The key names a row: rows that repeat a key get one label, with the share off by
+    as many.  With a stratum of a single row the split is done without strata, as a stratified one has no row to spare.
+    """
     k = [k] if isinstance(k, str) else list(k)
-    cols = [F.col(c) for c in k] + ([F.col(stratum)] if stratum else [])
-    u = F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-    return df.withColumn("split", F.when(u < frac, F.lit("valid")).otherwise(F.lit("train")))
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in k], F.lit(str(seed))))
+    rows = df.select("*", digest.alias("_md5"), (F.col(stratum) if stratum else F.lit(0)).alias("_stratum"))
+    rows = rows.withColumn("x", F.conv(F.substring("_md5", 1, 12), 16, 10).cast("double"))  # 48 bits: exact as a double
+    sizes = cut_lineage(rows.groupBy("_stratum").agg(F.count("*").alias("_n")))
+    if not sizes.where("_n < 2").isEmpty():
+        rows = rows.withColumn("_stratum", F.lit(0))
+        sizes = sizes.agg(F.sum("_n").alias("_n")).where("_n > 0").select(F.lit(0).alias("_stratum"), "_n")
+    want = sizes.select("_stratum", F.floor(F.col("_n") * frac + 0.5).alias("_want"))
+    found = select_ranks(rows, ["_stratum"], want.select("_stratum", (F.col("_want") - 1).alias("r")))
+    found = cut_lineage(found.select(F.col("_stratum").alias("_s"), F.col("value").alias("_at"), (F.col("r") + 1 - F.col("below")).alias("_need")))
+    # of the hashes that agree in 48 bits the whole ones decide: a handful
+    ties = (rows.join(found, F.col("_stratum").eqNullSafe(F.col("_s"))).where("x = _at").groupBy("_s", "_at", "_need")
+            .agg(F.sort_array(F.collect_set("_md5")).alias("_whole")).select("_s", "_at", F.get("_whole", F.least(F.col("_need"), F.size("_whole")).cast("int") - 1).alias("_last")))
+    out = rows.join(ties, F.col("_stratum").eqNullSafe(F.col("_s")), "left")
+    valid = F.coalesce((F.col("x") < F.col("_at")) | ((F.col("x") == F.col("_at")) & (F.col("_md5") <= F.col("_last"))), F.lit(False))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.when(valid, F.lit("valid")).otherwise(F.lit("train")).alias("split"))
 
 
 def normalise_by_session(df: DataFrame, pred: str, session: str, out: str | None = None) -> DataFrame:

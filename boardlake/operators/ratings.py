@@ -12,6 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+#: Keys among which rows without an id are dealt.
+NO_ID = 1 << 16
+
 
 def rating_summary(df: DataFrame, value: str, id_col: str, out: str) -> DataFrame:
     """Per id: mean of ``value`` (booleans count as 0/1) and the number of rows rated."""
@@ -26,23 +31,22 @@ def ratings(df: DataFrame, value: str, id_col: str, out: str) -> DataFrame:
 
 
 def ratings_many(df: DataFrame, specs) -> DataFrame:
-    """W8 for several (value, id column, output) triples in one pass over the rows.
+    """W8 for several (value, id column, output) triples in one pass over the rows (texts or numbers as ids).
 
-    Each row gives one (role, id, value) row for every non-null id; one partial aggregate by (role, id) makes
-    all means.  The answers come back in one join by (role, id) to the rows that have an id; null ids never
-    enter a join.
+    One scan unpivots the roles and one aggregate by id averages each role's values (a hot id is folded to a row a
+    task); its result, one row an id, is read by the join of every role.  Rows without an id meet no join.
     """
     roles = F.array(*[F.struct(F.lit(i).alias("_role"), F.col(id_col).alias("_id"), F.col(value).cast("double").alias("_value"))
                       for i, (value, id_col, _) in enumerate(specs)])
     long = df.select(F.inline(roles)).filter(F.col("_id").isNotNull())
-    means = long.groupBy("_role", "_id").agg(F.avg("_value").alias("_mean"))
+    means = long.groupBy("_id").agg(*[F.avg(F.when(F.col("_role") == i, F.col("_value"))).alias(f"_mean{i}") for i in range(len(specs))])
+    means = cut_lineage(means)  # otherwise every role's join evaluates the results again
+    salt = F.concat(F.lit("no id "), (F.monotonically_increasing_id() % NO_ID).cast("string"))
     out = df
     for i, (_, id_col, name) in enumerate(specs):
-        one = means.filter(F.col("_role") == i).select(F.col("_id").alias(f"_id{i}"), F.col("_mean").alias(name))
-        # a null id takes a key of its own row instead, which matches nothing, so null ids don't meet in one task
-        key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null-"), F.xxhash64(*df.columns).cast("string")))
-        out = out.withColumn(f"_key{i}", key).join(one.withColumn(f"_id{i}", F.col(f"_id{i}").cast("string")),
-                                                   F.col(f"_key{i}") == F.col(f"_id{i}"), "left").drop(f"_key{i}", f"_id{i}")
+        one = means.select(F.col("_id").alias("_key"), F.col(f"_mean{i}").alias(name)).where(F.col(name).isNotNull())
+        # a null id becomes one of many keys that no id has
+        out = out.withColumn("_key", F.coalesce(F.col(id_col).cast("string"), salt)).join(one.withColumn("_key", F.col("_key").cast("string")), "_key", "left").drop("_key")
     return out
 
 
@@ -64,3 +68,18 @@ def with_declarer_columns(results: DataFrame, dd: DataFrame, key: str = "deal_id
         "score_dd_diff": (F.col("score_declarer") - dd_score).cast("int"),
         "defender_ge_dd": F.col("score_declarer") <= dd_score,
     })
+
+
+def with_par_columns(results: DataFrame, par: DataFrame, key: str = "deal_id", ev_max: str | None = None) -> DataFrame:
+    """The board's par score as seen by NS and by the declarer, score less par, whether the defenders held the
+    declarer to par or less, and (with ``ev_max``, a column of the declarer's best expected value) score less that.
+
+    ``par`` has the key and ``par_ns``, one row a deal.  PASS and unknown declarers have no declarer columns.
+    """
+    j = results.join(par.select(key, "par_ns"), key, "left")
+    mine = F.when(F.col("declarer_pair") == "NS", F.col("par_ns")).when(F.col("declarer_pair") == "EW", -F.col("par_ns"))
+    cols = {"par_declarer": mine.cast("int"), "score_par_diff_ns": (F.col("score_ns") - F.col("par_ns")).cast("int"),
+            "score_par_diff_declarer": (F.col("score_declarer") - mine).cast("int"), "defender_ge_par": F.col("score_declarer") <= mine}
+    if ev_max:
+        cols["score_ev_max_diff"] = F.col("score_declarer") - F.col(ev_max)
+    return j.withColumns(cols)

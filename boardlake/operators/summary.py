@@ -11,33 +11,61 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .ranks import exact_quantiles
 
 QUANTILES = (0.25, 0.5, 0.75)
 
 
 def describe(df: DataFrame, cols, by=None, digits: int = 6) -> DataFrame:
-    """Count, nulls, mean, std, min, quartiles and max per column (per group when ``by``).
+    """Count, nulls, mean, std, min, quartiles and max per column (per group when ``by``).
 
-    One aggregate per column group (exact quartiles via ``percentile``), stacked into rows.
+    The columns are unpivoted, so one scan and one aggregate serve all of them; the quartiles are exact, by refined
+    intervals (``ranks``) instead of a buffer of a group's values.
     """
     by = [by] if isinstance(by, str) else list(by or [])
-    parts = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        agg = df.groupBy(*by).agg(
-            F.count(x).alias("count"),
-            F.sum(F.col(c).isNull().cast("long")).alias("nulls"),
-            F.round(F.avg(x), digits).alias("mean"),
-            F.round(F.stddev_samp(x), digits).alias("std"),
-            F.min(x).alias("min"),
-            *[F.round(F.percentile(x, q), digits).alias(f"q{int(q * 100)}") for q in QUANTILES],
-            F.max(x).alias("max"),
-        )
-        parts.append(agg.withColumn("column", F.lit(c)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).isNull().alias("_null"), F.col(c).cast("double").alias("x")) for c in cols])
+    rows = df.select(*by, F.inline(entries))
+    keys = [*by, "column"]
+    base = rows.groupBy(*keys).agg(
+        F.count("x").alias("count"), F.sum(F.col("_null").cast("long")).alias("nulls"), F.round(F.avg("x"), digits).alias("mean"),
+        F.round(F.stddev_samp("x"), digits).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    found = exact_quantiles(rows, keys, QUANTILES).groupBy(*[F.col(c).alias(f"_q_{c}") for c in keys]).agg(
+        *[F.round(F.max(F.when(F.col("q") == q, F.col("value"))), digits).alias(f"q{int(q * 100)}") for q in QUANTILES])
+    same = [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in keys]
+    out = base.join(found, same, "left")
+    return out.select(*by, "count", "nulls", "mean", "std", "min", *[f"q{int(q * 100)}" for q in QUANTILES], "max", "column")
+
+
+def summarize(df: DataFrame, cols=None, rsd: float = 0.02, accuracy: int = 10_000, digits: int = 6) -> DataFrame:
+    """Q4: one row per column, of any type: column_name, column_type, count, null_percentage, min, max, approx_unique, avg, std, q25, q50, q75.
+
+    One scan: the columns are unpivoted into (name, text, number) and aggregated with mergeable sketches.  ``approx_unique`` has a
+    relative standard error of ``rsd``; a quartile's rank is off by at most rows / ``accuracy`` (both are Spark's sketches); all else is exact.
+    min and max are texts, of numbers by number; columns that are not numbers have no mean or quartiles.
+    """
+    cols = list(cols or df.columns)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    is_number = {c: isinstance(kinds[c], T.NumericType) for c in cols}
+
+    def entry(i, c):
+        number = F.col(f"`{c}`").cast("double") if is_number[c] else F.lit(None).cast("double")
+        text = F.col(f"`{c}`") if isinstance(kinds[c], T.StringType) else F.to_json(F.struct(F.col(f"`{c}`").alias("v"))) if isinstance(kinds[c], (T.ArrayType, T.MapType, T.StructType)) else F.col(f"`{c}`").cast("string")
+        return F.struct(F.lit(i).alias("_i"), F.when(F.col(f"`{c}`").isNotNull(), text).alias("_text"), number.alias("_x"))
+
+    rows = df.select(F.inline(F.array(*[entry(i, c) for i, c in enumerate(cols)])))
+    agg = rows.groupBy("_i").agg(
+        F.count("*").alias("_n"), F.count("_text").alias("count"), F.approx_count_distinct("_text", rsd).alias("approx_unique"),
+        F.min("_text").alias("_t0"), F.max("_text").alias("_t1"), F.min_by("_text", "_x").alias("_x0"), F.max_by("_text", "_x").alias("_x1"),
+        F.round(F.avg("_x"), digits).alias("avg"), F.round(F.stddev_samp("_x"), digits).alias("std"),
+        F.percentile_approx("_x", F.array(*[F.lit(q) for q in QUANTILES]), accuracy).alias("_q"))
+    named = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(i), F.struct(F.lit(c).alias("name"), F.lit(kinds[c].simpleString()).alias("kind"), F.lit(is_number[c]).alias("number")))])
+    about = F.element_at(named, F.col("_i"))
+    pick = lambda x, t: F.when(about["number"], F.col(x)).otherwise(F.col(t))
+    return agg.select(about["name"].alias("column_name"), about["kind"].alias("column_type"), "count",
+                      F.round((F.col("_n") - F.col("count")) / F.col("_n") * 100, digits).alias("null_percentage"), pick("_x0", "_t0").alias("min"), pick("_x1", "_t1").alias("max"),
+                      "approx_unique", "avg", "std", *[F.get("_q", F.lit(j)).alias(f"q{int(q * 100)}") for j, q in enumerate(QUANTILES)])
 
 
 def compare_sides(df: DataFrame, col: str, by=None) -> DataFrame:

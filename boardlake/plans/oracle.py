@@ -60,6 +60,7 @@ from boards, range(0,4) s(seat), range(0,5) t(strain)""",
 from boards, range(0,2) f(fixed), range(0,10) x(sample), range(0,4) s(seat), range(0,5) t(strain)""",
         ("boards",),
     ),
+    "par_scores": ("select deal_id, cast((deal_id * 37 % 41 - 20) * 50 as int) par_ns from boards", ("boards",)),
     "auctions": (
         """select deal_id, substr('NESW', cast((board-1) % 4 + 1 as int), 1) dealer, calls
 from boards join (values (0,'1C-p-1S-p-2S-p-p-p'),(1,'p-p-p-p'),(2,'1N-d-r-p-p-p'),(3,'p-1H-2C-2H-3C-p-p-p'),

@@ -177,13 +177,46 @@ def q_standardise(spark, sf_dir):
     return out.select("c_custkey", "c_acctbal", F.round("c_acctbal_scaled", 6).alias("c_acctbal_scaled"))
 
 
-@register("split_train", "M4,K4")
+@register(
+    "split_train",
+    "M4",
+    """select c_custkey, c_mktsegment, case when row_number() over (partition by c_mktsegment order by md5(c_custkey || '|42'))
+    <= floor(count(*) over (partition by c_mktsegment) * 0.2 + 0.5) then 'valid' else 'train' end split from customer""",
+)
 def q_split_train(spark, sf_dir):
-    """Deterministic 20 % validation split of customers by key hash, stratified by segment."""
+    """Validation split of customers: exactly 20 % of every segment, by md5 of the key."""
     c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
     return M.split_train(c, 0.2, "c_custkey", seed=42, stratum="c_mktsegment")
 
 
+PROFILE_COLS = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"]
+
+
+@register(
+    "summarize_table",
+    "Q4",
+    " union all ".join(f"""select '{c}' column_name, count({c}) "count", round((count(*) - count({c})) / count(*) * 100, 6) null_percentage,
+  """ + ("cast(null as double) avg, cast(null as double) std" if c in ("l_returnflag", "l_linestatus") else f"round(avg({c}), 8) avg, round(stddev_samp({c}), 8) std")
+                       + f""", true unique_near, {'cast(null as boolean)' if c in ("l_returnflag", "l_linestatus") else 'true'} median_near from lineitem""" for c in PROFILE_COLS),
+)
+def q_summarize_table(spark, sf_dir):
+    """Profile of the line items, every column in one scan; the two sketched values as whether they keep their stated bounds
+    (a distinct count within four standard errors, a median whose rank is off by at most rows / accuracy)."""
+    li = read_table(spark, sf_dir, "lineitem", PROFILE_COLS)
+    got = S.summarize(li, digits=8)
+    exact = li.agg(F.count("*").alias("n"), *[F.count_distinct(c).alias(f"u_{c}") for c in PROFILE_COLS])
+    got = got.crossJoin(F.broadcast(exact))  # one row
+    unique = F.element_at(F.create_map(*[x for c in PROFILE_COLS for x in (F.lit(c), F.col(f"u_{c}"))]), F.col("column_name"))
+    mids = got.select(F.col("column_name").alias("_c"), F.col("q50").alias("_m")).where("_m is not null")
+    long = li.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_x")) for c in PROFILE_COLS if not c.endswith(("flag", "status"))])))
+    ranks = long.join(F.broadcast(mids), F.col("_name") == F.col("_c")).groupBy("_c").agg(
+        F.count_if(F.col("_x") < F.col("_m")).alias("_lt"), F.count_if(F.col("_x") <= F.col("_m")).alias("_le"))
+    slack = F.col("n") / 10_000 + 1
+    near = (F.col("_lt") <= F.col("n") / 2 + slack) & (F.col("_le") >= F.col("n") / 2 - slack)
+    return got.join(ranks, F.col("column_name") == F.col("_c"), "left").select(
+        "column_name", "count", "null_percentage", "avg", "std", (F.abs(F.col("approx_unique") - unique) <= 4 * 0.02 * unique + 1).alias("unique_near"), near.alias("median_near"))
+
+
 @register(
     "deal_quality",
     "F4,P18",

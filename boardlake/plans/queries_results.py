@@ -65,23 +65,26 @@ def q_declarer_columns(spark, sf_dir):
 
 @register(
     "ratings",
-    "W8,C3,C13",
-    DECL_SQL.replace("{body}", """select session_id, board, l_orderkey, l_linenumber, declarer_id, on_lead_id, not_on_lead_id,
-  tricks_dd_diff, defender_ge_dd,
+    "W8,C3,C11,C13",
+    with_fixtures(["board_results", "boards", "dd_tricks", "par_scores"], sql_scored_results() + ",\n" + SEATS_SQL + """,
+par as (select d.*, case when declarer_pair = 'NS' then par_ns when declarer_pair = 'EW' then -par_ns end par_declarer,
+    score_ns - par_ns score_par_diff_ns from decl d left join par_scores using (deal_id)),
+rated as (select *, score_declarer <= par_declarer defender_ge_par from par)""", """
+select session_id, board, l_orderkey, l_linenumber, declarer_id, on_lead_id, not_on_lead_id, tricks_dd_diff, score_par_diff_ns, defender_ge_par,
   case when declarer_id is not null then avg(tricks_dd_diff) over (partition by declarer_id) end declarer_rating,
-  case when on_lead_id is not null then avg(cast(defender_ge_dd as double)) over (partition by on_lead_id) end on_lead_rating,
-  case when not_on_lead_id is not null then avg(cast(defender_ge_dd as double)) over (partition by not_on_lead_id) end not_on_lead_rating
-from decl"""),
+  case when on_lead_id is not null then avg(cast(defender_ge_par as double)) over (partition by on_lead_id) end on_lead_rating,
+  case when not_on_lead_id is not null then avg(cast(defender_ge_par as double)) over (partition by not_on_lead_id) end not_on_lead_rating
+from rated"""),
 )
 def q_ratings(spark, sf_dir):
     """Declarer rating (mean tricks over double dummy) and defender ratings (mean of holding the
-    declarer to the DD score or less) per player, on every result row."""
-    d = declarer_df(spark, sf_dir).select(
+    declarer to par or less) per player, on every result row."""
+    d = R.with_par_columns(declarer_df(spark, sf_dir), fixtures.par_scores(spark, sf_dir)).select(
         "session_id", "board", "l_orderkey", "l_linenumber", "declarer_id", "on_lead_id", "not_on_lead_id",
-        "tricks_dd_diff", "defender_ge_dd")
+        "tricks_dd_diff", "score_par_diff_ns", "defender_ge_par")
     return R.ratings_many(d, [("tricks_dd_diff", "declarer_id", "declarer_rating"),
-                              ("defender_ge_dd", "on_lead_id", "on_lead_rating"),
-                              ("defender_ge_dd", "not_on_lead_id", "not_on_lead_rating")])
+                              ("defender_ge_par", "on_lead_id", "on_lead_rating"),
+                              ("defender_ge_par", "not_on_lead_id", "not_on_lead_rating")])
 
 
 def lookup_score(df, table):

@@ -127,6 +127,12 @@ def sd_samples(spark: SparkSession, sf_dir: str, samples: int = 10) -> DataFrame
     )
 
 
+def par_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(deal_id, par_ns): a stand-in par score of every deal, as solvers store them."""
+    b = boards(spark, sf_dir).select("deal_id")
+    return b.select("deal_id", ((F.col("deal_id") * 37 % 41 - 20) * 50).cast("int").alias("par_ns"))
+
+
 def auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(deal_id, dealer, calls): one dash-joined auction per board."""
     b = boards(spark, sf_dir)

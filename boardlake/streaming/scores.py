@@ -56,3 +56,48 @@ def land_and_count(stream: DataFrame, id_cols, k, score: str, root: str) -> Data
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.parquet(f"{root}/counts").groupBy(*k, score).agg(F.sum("n").alias("n"))
+
+
+def land_within(stream: DataFrame, id_cols, event_time: str, delay: str, k, score: str, root: str, grain: str = "day") -> DataFrame:
+    """T1, T2 by event time: like ``land_and_count``, with work an epoch bounded by the delay instead of the history.
+
+    The watermark of an epoch is the largest event time of the epochs before it less ``delay`` (an interval such as
+    ``'2 days'``).  Rows older than it, or without an event time, go to the side table ``late`` and are not counted.  The others are compared
+    only with what landed on the dates from the watermark on: the landed table is partitioned by event date
+    (the beginning of a ``grain``: day, month ...), so earlier partitions are not read.  A result delivered again thus either meets itself there or is late: it is never counted twice.
+    """
+    ids, k = list(id_cols), [k] if isinstance(k, str) else list(k)
+    root = root.rstrip("/")
+    schema = stream.schema
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rest = [c for c in batch.columns if c not in ids]
+        once = batch.groupBy(*ids).agg(F.min(F.struct(*rest)).alias("_r")).select(*ids, "_r.*")
+        mark = None
+        if epoch > 0:
+            mark = spark.read.parquet(f"{root}/marks/epoch={epoch - 1}").select(F.expr(f"seen - INTERVAL {delay}").alias("mark")).first()["mark"]  # one row
+        t = F.col(event_time)
+        on_time = t.isNotNull() if mark is None else t.isNotNull() & (t >= F.lit(mark))
+        once.where(~on_time).write.mode("overwrite").parquet(f"{root}/late/epoch={epoch}")
+        new = once.where(on_time).withColumn("event_date", F.to_date(F.date_trunc(grain, t)))
+        if mark is not None:
+            new = new.join(landed_since(spark, root, schema, mark, epoch, grain).select(*ids), ids, "left_anti")
+        new.hint("rebalance", F.col("event_date")).write.mode("overwrite").partitionBy("event_date").parquet(f"{root}/landed/epoch={epoch}")
+        landed = spark.read.schema(schema).parquet(f"{root}/landed/epoch={epoch}")
+        counts = landed.filter(F.col(score).isNotNull()).groupBy(*k, score).agg(F.count(F.lit(1)).alias("n"))
+        counts.write.mode("overwrite").parquet(f"{root}/counts/epoch={epoch}")
+        seen = batch.agg(F.max(event_time).alias("seen"))
+        if epoch > 0:
+            seen = seen.unionByName(spark.read.parquet(f"{root}/marks/epoch={epoch - 1}")).agg(F.max("seen").alias("seen"))
+        seen.coalesce(1).write.mode("overwrite").parquet(f"{root}/marks/epoch={epoch}")
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.parquet(f"{root}/counts").groupBy(*k, score).agg(F.sum("n").alias("n"))
+
+
+def landed_since(spark: SparkSession, root: str, schema: StructType, mark, epoch: int, grain: str = "day") -> DataFrame:
+    """What landed in earlier epochs on the mark's date or later; earlier dates are pruned as partitions."""
+    whole = StructType([*schema.fields]).add("epoch", "integer").add("event_date", "date")
+    return spark.read.schema(whole).parquet(f"{root}/landed").where((F.col("epoch") < epoch) & (F.col("event_date") >= F.to_date(F.date_trunc(grain, F.lit(mark)))))
