@@ -50,6 +50,39 @@ def hand_hex(hand: Column) -> Column:
     return F.lpad(F.hex(hand_bits(hand)), 13, "0")
 
 
+def hand_binary(hand: Column) -> Column:
+    """The 52-bit code as text of 52 binary digits, spade ace first."""
+    return F.lpad(F.bin(hand_bits(hand)), 52, "0")
+
+
+def hand_one_hot(hand: Column) -> Column:
+    """52 values 0 / 1, spade ace first."""
+    return F.transform(F.split(hand_binary(hand), ""), lambda x: x.cast("int"))
+
+
+def one_hot_to_hand(one_hot: Column) -> Column:
+    """52 values 0 / 1 back to 'S.H.D.C'; null if there are not 52 or one is neither."""
+    flags = F.arrays_zip(one_hot.alias("x"), F.sequence(F.lit(0), F.lit(51)).alias("i"))
+    suits = [F.array_join(F.transform(F.filter(F.slice(flags, 1 + 13 * j, 13), lambda c: c["x"] == 1), lambda c: F.substring(F.lit(RANKS), c["i"] % 13 + 1, F.lit(1))), "") for j in range(4)]
+    good = (F.size(one_hot) == 52) & F.forall(one_hot, lambda x: x.isin(0, 1))
+    return F.when(good, F.concat_ws(".", *suits))
+
+
+def binary_to_hand(text: Column) -> Column:
+    """52 binary digits back to the hand."""
+    return F.when(text.rlike("^[01]{52}$"), one_hot_to_hand(F.transform(F.split(text, ""), lambda x: x.cast("int"))))
+
+
+def bits_to_hand(bits: Column) -> Column:
+    """The 52-bit code back to the hand; null outside its range."""
+    return F.when((bits >= 0) & (bits < (1 << 52)), binary_to_hand(F.lpad(F.bin(bits), 52, "0")))
+
+
+def hex_to_hand(text: Column) -> Column:
+    """13 hexadecimal digits back to the hand."""
+    return F.when(text.rlike("^[0-9A-Fa-f]{13}$"), bits_to_hand(F.conv(text, 16, 10).cast("long")))
+
+
 def rotate_deal(pbn: Column, first: str) -> Column:
     """A deal string written from another seat: 'E:' followed by the hands E, S, W, N."""
     hands = D.hands_of(pbn)

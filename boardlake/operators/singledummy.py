@@ -7,7 +7,7 @@ so each step is a plain aggregate or a join with the fixed-size score table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -226,3 +226,21 @@ def compare_tables(a: DataFrame, b: DataFrame, k, cols) -> DataFrame:
         d = ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
         diff = d if diff is None else diff | d
     return j.filter(diff)
+
+
+def canonical_par(contracts: Column) -> Column:
+    """A list of par contracts (level, strain, dbl, declarer, overs) in a form that equal lists share: in order, with the tricks
+    (level + overs) in place of the level, since one table gives the least level with overtricks where another gives the highest."""
+    return F.sort_array(F.transform(contracts, lambda c: F.struct(c["strain"].alias("strain"), c["dbl"].alias("dbl"), c["declarer"].alias("declarer"),
+                                                                   (c["level"] + c["overs"]).alias("tricks"))))
+
+
+def compare_pars(a: DataFrame, b: DataFrame, k, score: str = "par_ns", contracts: str = "par_contracts") -> DataFrame:
+    """Every key of two tables of par results with how they compare: 'same', 'score', 'contracts' (as multisets), or the only table
+    that has the key ('a', 'b')."""
+    k = [k] if isinstance(k, str) else list(k)
+    x, y = (t.select(*k, F.struct(F.col(score).alias("score"), canonical_par(F.col(contracts)).alias("list")).alias(n)) for t, n in ((a, "_a"), (b, "_b")))
+    j = x.join(y, k, "full_outer")
+    verdict = (F.when(F.col("_b").isNull(), "a").when(F.col("_a").isNull(), "b").when(~F.col("_a.score").eqNullSafe(F.col("_b.score")), "score")
+               .when(~F.col("_a.list").eqNullSafe(F.col("_b.list")), "contracts").otherwise("same"))
+    return j.select(*k, verdict.alias("par_compare"))

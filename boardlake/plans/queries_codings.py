@@ -50,3 +50,20 @@ def q_hand_codings(spark, sf_dir):
     per_hand = per_hand.withColumn("hand_hex", F.lpad(F.hex(F.col("hand_bits")), 13, "0"))
     return per_hand.select(
         "deal_id", "direction", "bits_s", "bits_h", "bits_d", "bits_c", "hand_bits", "hand_hex", "rotated", "back_to_north", "brs")
+
+
+@register(
+    "hand_decodings",
+    "P16",
+    with_fixtures(["hands"], "", """select deal_id, substr('NESW', cast(seat as int) + 1, 1) direction, hand from_bits, hand from_hex, hand from_binary, hand from_one_hot,
+  array_to_string(list_transform(range(0, 52), lambda i: case when contains(string_split(hand, '.')[i // 13 + 1], substr('AKQJT98765432', cast(i % 13 as int) + 1, 1)) then '1' else '0' end), '') binary_text,
+  13 n_cards from hands"""),
+)
+def q_hand_decodings(spark, sf_dir):
+    """Every hand coded as bits, hexadecimal, binary text and one-hot values, and decoded again."""
+    d = fixtures.deals(spark, sf_dir).select("deal_id", F.posexplode(D.hands_of("pbn")).alias("_i", "hand"))
+    d = d.withColumns({"bits": CD.hand_bits(F.col("hand")), "one_hot": CD.hand_one_hot(F.col("hand"))})
+    return d.select("deal_id", F.substring(F.lit("NESW"), F.col("_i") + 1, F.lit(1)).alias("direction"), CD.bits_to_hand(F.col("bits")).alias("from_bits"),
+                    CD.hex_to_hand(CD.hand_hex(F.col("hand"))).alias("from_hex"), CD.binary_to_hand(CD.hand_binary(F.col("hand"))).alias("from_binary"),
+                    CD.one_hot_to_hand(F.col("one_hot")).alias("from_one_hot"), CD.hand_binary(F.col("hand")).alias("binary_text"),
+                    F.aggregate("one_hot", F.lit(0), lambda a, x: a + x).alias("n_cards"))

@@ -184,3 +184,15 @@ def q_lott(spark, sf_dir):
     hf = H.hand_features(fixtures.deals(spark, sf_dir)).filter(F.col("direction").isin("N", "E"))
     lengths = hf.select("deal_id", "pair", F.col("pair_longest_suit").alias("longest_suit"), F.col("pair_longest_len").alias("longest_len"))
     return SD.total_tricks(lengths, SD.pair_max(dd_named(spark, sf_dir)))
+
+
+@register(
+    "par_compare",
+    "J12",
+    with_fixtures(["par_scores"], "",
+        """select deal_id, case when deal_id % 13 = 4 then 'a' when deal_id % 11 = 3 then 'b' when deal_id % 7 = 2 then 'score' when deal_id % 9 = 5 then 'contracts' else 'same' end par_compare
+from par_scores where not (deal_id % 13 = 4 and deal_id % 11 = 3)"""),
+)
+def q_par_compare(spark, sf_dir):
+    """Par results of two tables that write the same contracts differently, compared."""
+    return SD.compare_pars(fixtures.par_lists(spark, sf_dir), fixtures.par_lists(spark, sf_dir, other=True), "deal_id")

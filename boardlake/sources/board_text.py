@@ -1,6 +1,6 @@
 """Board record text formats: PBN tag blocks (S1, S4) and LIN lines (S2, P20), plus stage files.
 
-``read_pbn`` reads whole files and splits them at blank lines (LF or CRLF) into one block per
+``read_pbn`` reads files in byte ranges and puts the lines between blank lines (LF or CRLF) together to one block per
 board; the tag pairs of a block stay an ordered array, since tags such as ``Note`` repeat, and a
 lookup takes the first.  The sections that follow ``[Auction]`` and ``[Play]`` are kept as token arrays.
 ``read_lin`` reads one board per line of ``key|value|`` pairs and infers the fourth hand as the full
@@ -10,7 +10,7 @@ done with Spark's string and array functions on each record's own row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
@@ -46,9 +46,34 @@ def split_pbn(df: DataFrame, text: str = "value") -> DataFrame:
     return df.select(*rest, F.explode(F.split(F.col(text), r"\r?\n[ \t]*(?:\r?\n[ \t]*)+")).alias(text)).filter(F.trim(text) != "")
 
 
+def text_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): blocks of lines without a blank line between, of files of any size.
+
+    The text source cuts files into byte ranges at line ends, so a file is read by many tasks.  Within a range, counting blank
+    lines numbers the blocks; a block that a cut went through is put together again, as the lines before a range's first blank line
+    belong to the last block of the nearest range before it that has a blank line.  A window holds one range, or one row a range of a file;
+    a group holds one block.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_range"),
+                                         F.monotonically_increasing_id().alias("_line"), F.regexp_replace("value", "\r$", "").alias("value"))
+    blank = F.trim(F.regexp_replace("value", "\t", " ")) == ""
+    w = Window.partitionBy("file", "_range").orderBy("_line")
+    lines = lines.withColumns({"_blank": blank, "_block": F.sum(blank.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    ranges = lines.groupBy("file", "_range").agg(F.max("_block").alias("_last"))
+    before = Window.partitionBy("file").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # (range, number) of the block that is open where this range begins; of a file's first ranges without a blank line, block 0 of the first one
+    opened = F.coalesce(F.last(F.when(F.col("_last") > 0, F.struct("_range", "_last")), ignorenulls=True).over(before),
+                        F.struct(F.min("_range").over(Window.partitionBy("file")).alias("_range"), F.lit(0).cast("long").alias("_last")))
+    ranges = ranges.select(F.col("file").alias("_f"), F.col("_range").alias("_r"), opened.alias("_open"))
+    rows = lines.where(~F.col("_blank")).join(ranges, (F.col("file") == F.col("_f")) & (F.col("_range") == F.col("_r")))
+    owner = F.when(F.col("_block") == 0, F.col("_open")).otherwise(F.struct("_range", F.col("_block").alias("_last")))
+    blocks = rows.groupBy("file", owner.alias("_owner")).agg(F.sort_array(F.collect_list(F.struct("_range", "_line", "value"))).alias("_lines"))
+    return blocks.select("file", F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("value"))
+
+
 def read_pbn(spark: SparkSession, path: str) -> DataFrame:
-    """PBN files (each read whole) -> one row per board block."""
-    return parse_pbn_blocks(split_pbn(spark.read.text(path, wholetext=True)), "value")
+    """PBN files of any size -> one row per board block."""
+    return parse_pbn_blocks(text_blocks(spark, path).select("value"), "value")
 
 
 def first_tag(tags: Column, name: str) -> Column:
@@ -191,6 +216,41 @@ def auction_arrays(df: DataFrame, calls: str = "calls", sep: str = "-") -> DataF
     })
 
 
+def noted_auction_arrays(df: DataFrame, auction: str = "auction", tags: str = "tags") -> DataFrame:
+    """S3: parallel arrays of a PBN auction: bid_type (Contract or Penalty), bid_level, bid_denom, bid_penalty (passed, doubled,
+    redoubled), bid_alertable and bid_announcement.
+
+    A note reference ``=n=`` after a call is resolved against the block's ``Note "n:text"`` tags (the first one of that number) and,
+    like a trailing ``!``, makes the call alertable; ``AP`` stands for the passes that end the auction; suffix tokens (``$n``, ``*``,
+    ``+``, ``^..``) are no calls.  Unknown tokens and references without a note give nulls.
+    """
+    text = F.transform(F.col(auction), lambda t: F.upper(F.regexp_replace(t, r"[!?]+$", "")))
+    call = r"^([1-7](C|D|H|S|NT?)|PASS|P|X|XX|D|R|AP)$"
+    tokens = F.arrays_zip(text.alias("call"), F.transform(F.col(auction), lambda t: t.rlike(r"![?!]*$")).alias("mark"))
+    following = F.transform(F.col("_tokens"), lambda t, i: F.struct(
+        t["call"].alias("call"), t["mark"].alias("mark"), F.regexp_extract(F.coalesce(F.get(F.col("_tokens"), i + 1)["call"], F.lit("")), r"^=(\d+)=$", 1).alias("ref")))
+    made = F.filter(F.col("_all"), lambda t: t["call"].rlike(call))
+    passed = lambda t: t["call"].isin("PASS", "P")
+    given = F.filter(F.col("_made"), lambda t: t["call"] != "AP")
+    trailing = F.aggregate(F.reverse(given), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
+                           lambda a, t: F.struct((a["n"] + F.when(a["on"] & passed(t), 1).otherwise(0)).alias("n"), (a["on"] & passed(t)).alias("on")))["n"]
+    ends = F.when(F.exists(given, lambda t: ~passed(t)), F.lit(3)).otherwise(F.lit(4))
+    rest = F.array_repeat(F.struct(F.lit("PASS").alias("call"), F.lit(False).alias("mark"), F.lit("").alias("ref")), F.greatest(ends - trailing, F.lit(0)).cast("int"))
+    whole = F.when(F.exists("_made", lambda t: t["call"] == "AP"), F.concat(given, rest)).otherwise(given)
+    out = df.withColumn("_tokens", tokens).withColumn("_all", following).withColumn("_made", made).withColumn("_calls", whole)
+    bid = lambda t: t["call"].rlike("^[1-7]")
+    note = lambda t: F.get(F.filter(F.col(tags), lambda p: (p["k"] == "Note") & (F.substring_index(p["v"], ":", 1) == t["ref"])), F.lit(0))["v"]
+    penalty = lambda t: F.when(passed(t), "passed").when(t["call"].isin("X", "D"), "doubled").when(t["call"].isin("XX", "R"), "redoubled")
+    return out.withColumns({
+        "bid_type": F.transform("_calls", lambda t: F.when(bid(t), F.lit("Contract")).otherwise(F.lit("Penalty"))),
+        "bid_level": F.transform("_calls", lambda t: F.when(bid(t), F.substring(t["call"], 1, 1).cast("int"))),
+        "bid_denom": F.transform("_calls", lambda t: F.when(bid(t), F.substring(t["call"], 2, 1))),
+        "bid_penalty": F.transform("_calls", lambda t: F.when(~bid(t), penalty(t))),
+        "bid_alertable": F.transform("_calls", lambda t: t["mark"] | (t["ref"] != "")),
+        "bid_announcement": F.transform("_calls", lambda t: F.when(t["ref"] != "", F.trim(F.regexp_replace(note(t), r"^[^:]*:", "")))),
+    }).drop("_tokens", "_all", "_made", "_calls")
+
+
 def play_arrays(df: DataFrame, play: str = "play", sep: str = " ") -> DataFrame:
     """S3: a play string of cards ('SA HK ...') into parallel suit and rank arrays."""
     cards = F.filter(F.split(F.trim(F.col(play)), sep), lambda x: F.length(x) >= 2)

@@ -218,3 +218,15 @@ def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts.append(f"'<tr><td colspan=5>{label}</td></tr>', {pick}, '<tr><td>-</td><td>77</td><td>none</td><td>1</td><td>2</td><td>3</td><td>4</td></tr><tr><td>13</td><td>78</td></tr>'")
     html = "concat('<html><body><h1>Results</h1><table>', " + ", ".join(parts) + ", '</table></body></html>')"
     return s.select("page_id", F.expr("concat('https://results.example/show?club=c', page_id % 7, '&event=', page_id)").alias("url"), F.expr(html).alias("html"))
+
+
+def par_lists(spark: SparkSession, sf_dir: str, other: bool = False) -> DataFrame:
+    """(deal_id, par_ns, par_contracts): stored par results; ``other``: as a second solver stores them, in another order and with other levels,
+    with a different score, contract or no row for some deals."""
+    par = par_scores(spark, sf_dir)
+    one = "named_struct('level', 1 + (deal_id + i) % 5, 'strain', substr('CDHSN', 1 + (deal_id * 3 + i) % 5, 1), 'dbl', if(deal_id % 4 = 0, 'X', ''), 'declarer', substr('NESW', 1 + (deal_id + i) % 4, 1), 'overs', (deal_id + 2 * i) % 3)"
+    if not other:
+        return par.where("deal_id % 11 <> 3").select("deal_id", "par_ns", F.expr(f"transform(sequence(0, cast(deal_id % 3 as int)), i -> {one})").alias("par_contracts"))
+    moved = "named_struct('level', x.level + x.overs, 'strain', x.strain, 'dbl', if(deal_id % 9 = 5, 'XX', x.dbl), 'declarer', x.declarer, 'overs', 0L)"
+    return par.where("deal_id % 13 <> 4").select("deal_id", F.expr("if(deal_id % 7 = 2, par_ns + 10, par_ns)").alias("par_ns"),
+                                               F.expr(f"transform(reverse(transform(sequence(0, cast(deal_id % 3 as int)), i -> {one})), x -> {moved})").alias("par_contracts"))

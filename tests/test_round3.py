@@ -203,3 +203,57 @@ def test_perspective_is_lazy_and_knows_absent_players(spark):
     gone = P.perspective(df, "q", None, cols).collect()
     assert all(r["player_seat"] is None and r["boards_i_played"] for r in gone)
     assert list(itertools.chain.from_iterable((r["pair_direction"],) for r in gone)) == [None] * 3
+
+
+def test_pbn_file_in_many_ranges(spark, tmp_path):
+    """One file of 320 boards, cut into ranges at any place, gives the blocks of the whole file."""
+    from boardlake.sources import board_text as BT
+    rng = random.Random(2)
+    text = "% comment\r\n"
+    for i in range(320):
+        text += f'[Event "é {i}"]\r\n[Board "{i}"]\r\n[Note "1:x"]\r\n[Note "2:{"y" * rng.randrange(200)}"]\r\n' + rng.choice(["\r\n", "\n", " \t\r\n\n", "\n\n\n"])
+    for name, body in (("a.pbn", text), ("b.pbn", text.replace("\r\n", "\n").rstrip("\n")), ("c.pbn", '[Board "alone"]'), ("d.pbn", "")):
+        (tmp_path / name).write_bytes(body.encode())
+    whole = BT.split_pbn(spark.read.text(str(tmp_path), wholetext=True))
+    lines = lambda v: tuple(x for x in v.replace("\r", "").split("\n") if x.strip())
+    want = sorted(lines(r["value"]) for r in whole.collect())
+    for size in (256, 1000, 40_000):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = BT.text_blocks(spark, str(tmp_path))
+            if size < 40_000:
+                assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+            assert sorted(lines(r["value"]) for r in got.collect()) == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert BT.read_pbn(spark, str(tmp_path)).count() == 641
+
+
+def test_noted_auctions(spark):
+    from boardlake.sources import board_text as BT
+    blocks = ['[Board "1"]\n[Auction "N"]\n1C! =1= Pass 1NT? =2= $4\nX =3= XX AP\n[Note "1:could be short"]\n[Note "2: 6-9 "]\n[Note "1:second text"]',
+              '[Board "2"]\n[Auction "E"]\nAP', '[Board "3"]\n[Auction "S"]\nPass Pass 7N Pass AP', '[Board "4"]', '[Board "5"]\n[Auction "W"]\n1H * +']
+    got = {r["tags"][0]["v"]: r for r in BT.noted_auction_arrays(BT.parse_pbn_blocks(spark.createDataFrame([(b,) for b in blocks], "value string"))).collect()}
+    one = got["1"]
+    assert one["bid_type"] == ["Contract", "Penalty", "Contract"] + ["Penalty"] * 5 and one["bid_level"][:3] == [1, None, 1] and one["bid_denom"][:3] == ["C", None, "N"]
+    assert one["bid_penalty"] == [None, "passed", None, "doubled", "redoubled", "passed", "passed", "passed"]
+    assert one["bid_alertable"][:5] == [True, False, True, True, False] and one["bid_announcement"][:5] == ["could be short", None, "6-9", None, None]
+    assert [len(got[str(i)]["bid_type"]) for i in (2, 3, 4, 5)] == [4, 6, 0, 1]
+
+
+def test_decoders_refuse_other_values(spark):
+    from boardlake.functions import codings as CD
+    df = spark.createDataFrame([(1 << 52, "xyz", "01", [0] * 51), (-1, "0" * 12, "2" * 52, [2] * 52), (None, None, None, None)], "b long, h string, t string, o array<int>")
+    for r in df.select(CD.bits_to_hand(F.col("b")), CD.hex_to_hand(F.col("h")), CD.binary_to_hand(F.col("t")), CD.one_hot_to_hand(F.col("o"))).collect():
+        assert tuple(r) == (None,) * 4
+    ok = spark.createDataFrame([(0, "AKQJT98765432...")], "b long, s string").select(CD.bits_to_hand(F.col("b")).alias("none"), CD.hex_to_hand(CD.hand_hex(F.col("s"))).alias("spades")).first()
+    assert tuple(ok) == ("...", "AKQJT98765432...")
+
+
+def test_par_lists_compare_as_multisets(spark):
+    from boardlake.operators import singledummy as SD
+    kind = "k int, par_ns int, par_contracts array<struct<level:int,strain:string,dbl:string,declarer:string,overs:int>>"
+    x, y, z = (4, "S", "", "N", 0), (3, "S", "", "N", 1), (4, "S", "", "S", 0)
+    a = spark.createDataFrame([(1, 420, [x, z]), (2, 420, [x, x]), (3, 420, [x]), (4, 0, []), (5, None, None), (6, 1, [x])], kind)
+    b = spark.createDataFrame([(1, 420, [z, y]), (2, 420, [x]), (3, 450, [x]), (4, 0, []), (5, None, None), (7, 1, [x])], kind)
+    assert {r["k"]: r["par_compare"] for r in SD.compare_pars(a, b, "k").collect()} == {1: "same", 2: "contracts", 3: "score", 4: "same", 5: "same", 6: "a", 7: "b"}
