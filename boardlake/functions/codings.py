@@ -27,6 +27,13 @@ def with_default_ids(df: DataFrame) -> DataFrame:
     return df.withColumns({k: v for k, v in defaults.items() if k not in df.columns})
 
 
+def sort_suit(holding: Column) -> Column:
+    """The cards of a holding from ace to two, repeats kept; other characters come first."""
+    cards = F.filter(F.split(holding, ""), lambda c: c != "")
+    placed = F.transform(cards, lambda c: F.struct(F.instr(F.lit(RANKS), c).alias("at"), c.alias("card")))
+    return F.array_join(F.transform(F.array_sort(placed), lambda x: x["card"]), "")
+
+
 def suit_bits(holding: Column) -> Column:
     """13-bit code of a suit holding, ace = bit 12 ... two = bit 0."""
     total = None

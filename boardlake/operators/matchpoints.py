@@ -201,6 +201,31 @@ def max_by_side(df: DataFrame, row_key, side: str, value: str, out: str) -> Data
     return df.groupBy(*_keys(row_key), side).agg(F.max(value).alias(out))
 
 
+def board_references(scores: DataFrame, refs: DataFrame, k, spec: dict[str, tuple[str, str, bool]]) -> DataFrame:
+    """W4, W5, W7 of values that are fixed for a board (par, a side's best double-dummy score or expected value): one row per
+    row of ``refs`` with its columns, ``mp_top``, and ``mp_<name>`` and ``pct_<name>`` (a share of top + 1) for each name.
+
+    ``spec`` gives each name its column in ``refs``, the score column it competes with and whether a null score counts as 0
+    (W4) or as a result that beats nobody and is not beaten (par, W5).  A side's largest matchpoints over many candidates are those of
+    its largest candidate, so the candidates need only be folded to their maximum before.  A board without any score has
+    nulls.  Results are folded to distinct scores before the join, so a hot board ships one row per score and task.
+    """
+    k = _keys(k)
+    used = list(dict.fromkeys(s for _, s, _ in spec.values()))
+    freq = scores.groupBy(*k, *used).agg(F.count(F.lit(1)).alias("_n"))
+    values = [c for c in refs.columns if c not in k]
+    j = refs.join(freq, on=k, how="left")
+    aggs = [F.sum(F.when(F.col(used[0]).isNotNull(), F.col("_n"))).alias("_real")]
+    for name, (ref, score, null_is_zero) in spec.items():
+        s = F.coalesce(F.col(score), F.lit(0)) if null_is_zero else F.col(score)
+        beaten = F.when(F.col(ref) > s, F.col("_n") * 1.0).when(F.col(ref) == s, F.col("_n") / 2.0).otherwise(F.lit(0.0))
+        aggs.append(F.sum(beaten).alias(f"_mp_{name}"))
+    out = j.groupBy(*k, *values).agg(*aggs)
+    mp = {f"mp_{n}": F.when(F.col("_real").isNotNull() & F.col(spec[n][0]).isNotNull(), F.col(f"_mp_{n}")) for n in spec}
+    out = out.withColumns({"mp_top": (F.col("_real") - 1).cast("long"), **mp})
+    return out.select(*k, *values, "mp_top", *mp, *[F.try_divide(F.col(f"mp_{n}"), F.col("_real").cast("double")).alias(f"pct_{n}") for n in spec])
+
+
 def matchpoints_asof(new: DataFrame, freq: DataFrame, k, score: str = "score", count: str = "n", new_score: str = "new_score") -> DataFrame:
     """Matchpoint share a new score would get against a board's score frequencies.
 

@@ -113,6 +113,37 @@ def constraint_check(df: DataFrame, col: str, session: str, target: float = 0.5)
     return df.groupBy(session).agg(F.avg(col).alias("_m")).agg(F.max(F.abs(F.col("_m") - target)).alias("max_session_dev"))
 
 
+def prediction_labels(df: DataFrame, pred_code: str, actual: str, labels: DataFrame) -> DataFrame:
+    """M5 for a category: label of the predicted code, code of the actual label and whether they match.
+
+    ``labels`` is the (value, code) table of ``fit_labels``; a code that it lacks has a null label and matches nothing.
+    The joins are equi-joins left to AQE, which broadcasts the label table where it is small at run time.
+    """
+    coded = apply_labels(df, actual, labels, "actual_code")
+    names = labels.select(F.col("code").alias("_code"), F.col("value").alias("pred_label"))
+    out = coded.join(names, coded[pred_code] == F.col("_code"), "left").drop("_code")
+    actual_label = F.coalesce(F.col(actual).cast("string"), F.lit(MISSING_CAT))
+    return out.withColumns({"match": F.coalesce(F.col("pred_label") == actual_label, F.lit(False)),
+                            "match_code": F.coalesce(F.col(pred_code) == F.col("actual_code"), F.lit(False))})
+
+
+def constraint_report(df: DataFrame, ns: str, ew: str, session: str, row_tol: float = 1e-10, mean_tol: float = 1e-6) -> DataFrame:
+    """M6: one row of whether both sides' shares add up to 1 in every row and average 0.5 in every session.
+
+    Two partial aggregates (sessions, then all), so no session is held in one task.  Without rows the errors are null and
+    nothing is violated.
+    """
+    per = df.groupBy(session).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(F.abs(F.col(ns) + F.col(ew) - 1)).alias("_row"),
+        F.sum(ns).alias("_ns"), F.sum(ew).alias("_ew"), F.greatest(F.abs(F.avg(ns) - 0.5), F.abs(F.avg(ew) - 0.5)).alias("_dev"))
+    out = per.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("sessions"),
+        F.max("_row").alias("max_row_sum_error"), F.max("_dev").alias("max_session_dev"),
+        F.count_if(F.col("_row") >= row_tol).alias("sessions_with_bad_rows"), F.count_if(F.col("_dev") >= mean_tol).alias("sessions_off_mean"),
+        F.try_divide(F.sum("_ns"), F.sum("_n")).alias("ns_mean"), F.try_divide(F.sum("_ew"), F.sum("_n")).alias("ew_mean"))
+    return out.withColumns({"row_sums_ok": F.col("sessions_with_bad_rows") == 0, "session_means_ok": F.col("sessions_off_mean") == 0})
+
+
 def error_metrics(df: DataFrame, pred: str, actual: str, by: str | None = None) -> DataFrame:
     """RMSE, MAE and R^2 (1 - SSE / SST, SST about the group mean) per group and overall."""
     def one(d: DataFrame, key: str | None) -> DataFrame:

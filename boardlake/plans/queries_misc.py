@@ -189,6 +189,47 @@ def q_split_train(spark, sf_dir):
     return M.split_train(c, 0.2, "c_custkey", seed=42, stratum="c_mktsegment")
 
 
+@register(
+    "predictions",
+    "M1,M5",
+    """with v as (select distinct coalesce(c_mktsegment, 'MISSING_CAT') value from customer union select 'MISSING_CAT'),
+lab as (select value, cast(row_number() over (order by value) - 1 as int) code from v),
+p as (select c_custkey, c_mktsegment, cast(c_custkey % 8 as int) pred_code from customer)
+select c_custkey, c_mktsegment, pred_code, a.code actual_code, l.value pred_label, coalesce(l.value = coalesce(c_mktsegment, 'MISSING_CAT'), false) "match", pred_code = a.code match_code
+from p join lab a on a.value = coalesce(c_mktsegment, 'MISSING_CAT') left join lab l on l.code = pred_code""",
+)
+def q_predictions(spark, sf_dir):
+    """Predicted segment codes of the customers (some of no class) with labels, actual codes and matches."""
+    c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
+    (target,) = M.split_columns(c, "c_custkey")["categorical"]
+    p = c.withColumn("pred_code", (F.col("c_custkey") % 8).cast("int"))
+    out = M.prediction_labels(p, "pred_code", target, M.fit_labels(c, target))
+    return out.select("c_custkey", "c_mktsegment", "pred_code", "actual_code", "pred_label", "match", "match_code")
+
+
+@register(
+    "constraints",
+    "M6,W9",
+    """with s as (select l_suppkey, avg(l_discount) m1 from lineitem group by l_suppkey),
+d as (select 'normalised' kind, l_suppkey, l_discount - m1 + 0.5 ns, 1 - (l_discount - m1 + 0.5) ew from lineitem join s using (l_suppkey)
+  union all select 'raw', l_suppkey, l_discount, 1 - l_discount - l_tax from lineitem),
+g as (select kind, l_suppkey, max(abs(ns + ew - 1)) r, greatest(abs(avg(ns) - 0.5), abs(avg(ew) - 0.5)) dev from d group by kind, l_suppkey),
+o as (select kind, count(*) n, round(avg(ns), 6) ns_mean, round(avg(ew), 6) ew_mean from d group by kind)
+select kind, cast(max(n) as bigint) "rows", count(*) sessions, round(max(r), 6) max_row_sum_error, round(max(dev), 6) max_session_dev,
+  cast(sum(case when r >= 1e-10 then 1 else 0 end) as bigint) sessions_with_bad_rows, cast(sum(case when dev >= 1e-6 then 1 else 0 end) as bigint) sessions_off_mean,
+  max(ns_mean) ns_mean, max(ew_mean) ew_mean, max(r) < 1e-10 row_sums_ok, max(dev) < 1e-6 session_means_ok
+from g join o using (kind) group by kind""",
+)
+def q_constraints(spark, sf_dir):
+    """Row sums and session means of normalised shares, which keep the constraints, and of raw ones, which do not."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_suppkey", "l_discount", "l_tax"])
+    norm = M.normalise_by_session(li, "l_discount", "l_suppkey", "ns").withColumn("ew", 1 - F.col("ns"))
+    raw = li.withColumns({"ns": F.col("l_discount"), "ew": 1 - F.col("l_discount") - F.col("l_tax")})
+    got = [M.constraint_report(d, "ns", "ew", "l_suppkey").withColumn("kind", F.lit(k)) for k, d in (("normalised", norm), ("raw", raw))]
+    rounded = {c: F.round(c, 6) for c in ("max_row_sum_error", "max_session_dev", "ns_mean", "ew_mean")}
+    return got[0].unionByName(got[1]).withColumns(rounded)
+
+
 PROFILE_COLS = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"]
 
 

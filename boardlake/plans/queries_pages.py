@@ -1,12 +1,16 @@
-"""Registered page / JSON queries."""
+"""Registered page / JSON queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.codings import with_default_ids
 from ..session import read_table
+from ..sources import fixtures
 from ..sources import json_tables as J
 from ..sources import pages as PG
+from .boards import scored_results
+from .oracle import sql_scored_results, with_fixtures
 from .registry import register
 
 LINK_ROW = r"<li>(.*?)</li>"
@@ -109,3 +113,51 @@ def q_json_children(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "props"])
     parsed = ev.select("event_id", "user_id", "event_type", F.from_json("props", "k INT").alias("props"))
     return J.flatten(parsed)
+
+
+@register("embedded_json", "S14", "select event_id, try_cast(json_extract_string(props, '$.k') as integer) k from events")
+def q_embedded_json(spark, sf_dir):
+    """JSON read back from a script of a page that holds each event's properties."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "props"])
+    pages = ev.select(F.col("event_id").alias("page_id"), F.concat(F.lit("<html><script>var data = "), "props", F.lit(";</script></html>")).alias("html"))
+    got = PG.extract_embedded_json(pages, r"var data = (\{.*?\});", "k INT")
+    return got.select(F.col("page_id").alias("event_id"), F.col("data.k").alias("k"))
+
+
+@register(
+    "deal_cells",
+    "S17,P23,P18",
+    with_fixtures(["deals"], "", """select deal_id, case when deal_id % 17 <> 0
+    or split_part(split_part(substr(pbn, 3), ' ', 1), '.', 1) = split_part(split_part(substr(pbn, 3), ' ', 4), '.', 1) then pbn end pbn from deals"""),
+)
+def q_deal_cells(spark, sf_dir):
+    """Deals read from 16 table cells (N, W, E, S; cards low to high, 10 for T, a hyphen for a void); every 17th deal's
+    north has west's spades, so that it is no full deck."""
+    hands = F.transform(F.split(F.substring("pbn", 3, 67), " "), lambda h: F.split(h, r"\."))
+    order = F.flatten(F.array(*[F.get(hands, F.lit(i)) for i in (0, 3, 1, 2)]))
+    df = fixtures.deals(spark, sf_dir).select("deal_id", order.alias("cells"))
+    df = df.withColumn("cells", F.transform("cells", lambda x, i: F.when((F.col("deal_id") % 17 == 0) & (i == 0), F.element_at("cells", 5)).otherwise(x)))
+    written = F.transform("cells", lambda x: F.when(x == "", F.lit(" - ")).otherwise(F.replace(F.concat(F.lit(" "), F.reverse(x)), F.lit("T"), F.lit("10"))))
+    return PG.cells_to_deal(df.withColumn("cells", written), "cells").select("deal_id", "pbn")
+
+
+@register(
+    "result_texts",
+    "S18,P1",
+    with_fixtures(["board_results"], sql_scored_results(), """select session_id, cast(0 as bigint) group_id, '' section_name, board, l_orderkey, l_linenumber, l_partkey,
+  level, strain, dbl, result, cast((l_orderkey % 400) || '.' || l_linenumber as double) mp, cast((l_partkey % 100) || '.' || (l_orderkey % 9) as double) pct
+from scored"""),
+)
+def q_result_texts(spark, sf_dir):
+    """Contract, result, matchpoints and percentage of every result read back from a feed's texts, with the default ids."""
+    res = scored_results(fixtures.board_results(spark, sf_dir))
+    words = F.create_map(*[F.lit(x) for pair in (("S", "♠"), ("H", "♥"), ("D", "♦"), ("C", "♣"), ("N", "SA")) for x in pair])
+    r = F.col("result")
+    made = F.when(r == 0, F.lit("=")).when(r > 0, F.concat(F.lit("+"), r.cast("string"))).otherwise(r.cast("string"))
+    text = F.concat_ws(" ", F.col("level").cast("string"), F.element_at(words, F.col("strain")), F.col("dbl"), F.col("declarer"), made)
+    df = res.select("session_id", "board", "l_orderkey", "l_linenumber", "l_partkey",
+                    F.when(F.col("level").isNull(), F.col("contract")).otherwise(text).alias("contract_text"),
+                    F.concat((F.col("l_orderkey") % 400).cast("string"), F.lit(","), F.col("l_linenumber").cast("string"), F.lit(" ("),
+                             (F.col("l_partkey") % 100).cast("string"), F.lit(","), (F.col("l_orderkey") % 9).cast("string"), F.lit(" %)")).alias("mp_text"))
+    out = with_default_ids(df).withColumns(PG.parse_contract_text("contract_text") | PG.parse_mp_text("mp_text"))
+    return out.drop("contract_text", "mp_text")

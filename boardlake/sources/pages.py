@@ -11,6 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codings import sort_suit
+from ..functions.deals import is_valid_deal
+
+# fixed values: spellings of the strains in contract texts
+SUIT_WORDS = {"♠": "S", "♥": "H", "♦": "D", "♣": "C", "NT": "N", "SA": "N"}
+CONTRACT_TEXT = r"^([1-7])([CDHSN])(X{0,2})[NESW]?(=|[+-][0-9]+)?$"
+
 
 def _all(col: str | Column, pattern: str, group: int) -> Column:
     c = F.col(col) if isinstance(col, str) else col
@@ -123,14 +130,15 @@ def extract_embedded_json(pages: DataFrame, pattern: str, schema: str, key: str
 def cells_to_deal(df: DataFrame, cells: str) -> DataFrame:
     """16 suit cells in N, W, E, S order (S, H, D, C each) -> deal string in N, E, S, W order.
 
-    Hyphens and blanks are removed ('10' becomes 'T'); rows whose deal is not 69 characters
-    get null.
+    Hyphens and blanks are removed ('10' becomes 'T') and a suit's cards sorted; rows without 16 cells, or whose deal is
+    not one full deck in four hands of 13, get null.
     """
     clean = F.transform(F.col(cells), lambda x: F.regexp_replace(F.regexp_replace(x, "10", "T"), r"[-\s]", ""))
-    hand = lambda i: F.concat_ws(".", *[F.element_at(clean, i * 4 + j + 1) for j in range(4)])
+    clean = F.transform(clean, sort_suit)
+    hand = lambda i: F.concat_ws(".", *[F.get(clean, F.lit(i * 4 + j)) for j in range(4)])
     n, w, e, s = hand(0), hand(1), hand(2), hand(3)
     pbn = F.concat(F.lit("N:"), F.concat_ws(" ", n, e, s, w))
-    return df.withColumn("pbn", F.when(F.length(pbn) == 69, pbn))
+    return df.withColumn("pbn", F.when((F.size(clean) == 16) & (F.length(pbn) == 69) & is_valid_deal(pbn), pbn))
 
 
 def parse_mp_text(col: str | Column) -> dict[str, Column]:
@@ -141,6 +149,20 @@ def parse_mp_text(col: str | Column) -> dict[str, Column]:
     return {"mp": mp, "pct": pct}
 
 
+def parse_contract_text(col: str | Column) -> dict[str, Column]:
+    """S18: '3 SA X -1', '4♠=' or '1NT +2' -> level, strain letter, doubling ('', X, XX) and result (0, +n, -n).
+
+    A text without a contract (a pass, an empty cell, null) gives nulls; a contract without a result has a null result.
+    """
+    c = F.upper(F.col(col) if isinstance(col, str) else col)
+    for word, letter in SUIT_WORDS.items():
+        c = F.replace(c, F.lit(word), F.lit(letter))
+    c = F.regexp_replace(c, r"\s+", "")
+    part = lambda i: F.when(c.rlike(CONTRACT_TEXT), F.regexp_extract(c, CONTRACT_TEXT, i))
+    result = F.when(part(4) == "=", F.lit(0)).otherwise(part(4).try_cast("int"))
+    return {"level": part(1).cast("int"), "strain": part(2), "dbl": part(3), "result": result}
+
+
 def lines_to_records(df: DataFrame, text: str, header: str, n: int = 4, key: str = "page_id",
                      names=("score", "frequency", "mp_ns", "mp_ew")) -> DataFrame:
     """After a header line, every ``n`` lines make one record; stop at the first bad group;
