@@ -133,12 +133,13 @@ def cells_to_deal(df: DataFrame, cells: str) -> DataFrame:
     Hyphens and blanks are removed ('10' becomes 'T') and a suit's cards sorted; rows without 16 cells, or whose deal is
     not one full deck in four hands of 13, get null.
     """
-    clean = F.transform(F.col(cells), lambda x: F.regexp_replace(F.regexp_replace(x, "10", "T"), r"[-\s]", ""))
-    clean = F.transform(clean, sort_suit)
-    hand = lambda i: F.concat_ws(".", *[F.get(clean, F.lit(i * 4 + j)) for j in range(4)])
+    clean = F.transform(F.col(cells), lambda x: sort_suit(F.regexp_replace(F.regexp_replace(x, "10", "T"), r"[-\s]", "")))
+    hand = lambda i: F.concat_ws(".", *[F.get("_clean", F.lit(i * 4 + j)) for j in range(4)])
     n, w, e, s = hand(0), hand(1), hand(2), hand(3)
-    pbn = F.concat(F.lit("N:"), F.concat_ws(" ", n, e, s, w))
-    return df.withColumn("pbn", F.when((F.size(clean) == 16) & (F.length(pbn) == 69) & is_valid_deal(pbn), pbn))
+    # staged, so that each step is evaluated once
+    out = df.withColumn("_clean", clean).withColumn("_deal", F.concat(F.lit("N:"), F.concat_ws(" ", n, e, s, w)))
+    whole = (F.size("_clean") == 16) & (F.length("_deal") == 69) & is_valid_deal("_deal")
+    return out.withColumn("pbn", F.when(whole, F.col("_deal"))).drop("_clean", "_deal")
 
 
 def parse_mp_text(col: str | Column) -> dict[str, Column]:
