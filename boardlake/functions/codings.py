@@ -13,10 +13,11 @@ from . import deals as D
 from .vocab import DIRECTIONS, RANKS, map_literal
 
 # fixed values: French spellings of cards, strains and vulnerability found in result feeds
-FRENCH_CARDS = {"R": "K", "D": "Q", "V": "J", "10": "T"}
-FRENCH_STRAINS = {"P": "S", "C": "H", "K": "D", "T": "C", "SA": "N"}   # pique, coeur, carreau, trefle, sans atout
-FRENCH_DIRECTIONS = {"N": "N", "E": "E", "S": "S", "O": "W"}
-FRENCH_VUL = {"Personne": "None", "NS": "N_S", "EO": "E_W", "Tous": "Both"}
+FRENCH_CARDS = {"R": "K", "D": "Q", "V": "J", "10": "T", "0": "T"}
+FRENCH_STRAINS = {"P": "S", "C": "H", "K": "D", "T": "C", "SA": "N", "N": "N"}   # pique, coeur, carreau, trefle, sans atout
+FRENCH_DIRECTIONS = {"N": "N", "E": "E", "S": "S", "O": "W", "W": "W"}
+FRENCH_PAIRS = {"NS": "NS", "EO": "EW", "EW": "EW"}
+FRENCH_VUL = {"Personne": "None", "NS": "N_S", "EO": "E_W", "Tous": "Both", "None": "None", "N_S": "N_S", "E_W": "E_W", "Both": "Both"}
 FRENCH_MONTHS = {"janvier": "01", "février": "02", "mars": "03", "avril": "04", "mai": "05", "juin": "06",
                  "juillet": "07", "août": "08", "septembre": "09", "octobre": "10", "novembre": "11", "décembre": "12"}
 
@@ -120,9 +121,9 @@ def pbn_to_brs(pbn: Column) -> Column:
 
 
 def translate_cards(col: Column) -> Column:
-    """French card letters to English (R, D, V -> K, Q, J; '10' -> T)."""
+    """French card letters to English (R, D, V -> K, Q, J; '10' or '0' -> T)."""
     out = F.regexp_replace(col, "10", "T")
-    return F.translate(out, "RDV", "KQJ")
+    return F.translate(out, "RDV0", "KQJT")
 
 
 def translate_strain(col: Column) -> Column:
@@ -138,10 +139,10 @@ def translate_vul(col: Column) -> Column:
 
 
 def french_date(col: Column) -> Column:
-    """'5 mars 2024' -> date 2024-03-05 (month name through the fixed month map)."""
+    """'5 mars 2024' -> date 2024-03-05 (month name through the fixed month map); other texts give null."""
     parts = F.split(F.lower(F.trim(col)), r"\s+")
-    month = F.element_at(map_literal(FRENCH_MONTHS), F.element_at(parts, 2))
-    txt = F.concat_ws("-", F.element_at(parts, 3), month, F.lpad(F.element_at(parts, 1), 2, "0"))
+    part = lambda i: F.get(parts, F.lit(i))
+    txt = F.concat(part(2), F.lit("-"), F.element_at(map_literal(FRENCH_MONTHS), part(1)), F.lit("-"), F.lpad(part(0), 2, "0"))
     return F.try_to_timestamp(txt, F.lit("yyyy-MM-dd")).cast("date")
 
 
