@@ -19,9 +19,14 @@ def cache_upsert(cache: DataFrame, new: DataFrame, k) -> DataFrame:
     """Non-null new values overwrite cached ones by key; unseen keys are appended.
 
     Columns missing on either side come out null; the result has the union of columns.
-    One full outer join on the key (both sides shuffle once on the key).
+    One full outer join on the key (both sides shuffle once on the key).  A column whose types differ raises ValueError
+    (read from the schemas; a null type fits any).
     """
     k = _keys(k)
+    for c in cache.columns:
+        kinds = [t.schema[c].dataType.simpleString() for t in (cache, new) if c in t.columns]
+        if len(set(kinds) - {"void"}) > 1:
+            raise ValueError(f"column {c} is {kinds[0]} in the cache and {kinds[1]} in the new rows")
     cols = list(dict.fromkeys([c for c in cache.columns if c not in k] + [c for c in new.columns if c not in k]))
     o = cache.select(*k, *[F.col(c).alias(f"_o_{c}") if c in cache.columns else F.lit(None).alias(f"_o_{c}") for c in cols])
     n = new.select(*k, *[F.col(c).alias(f"_n_{c}") if c in new.columns else F.lit(None).alias(f"_n_{c}") for c in cols],

@@ -100,6 +100,13 @@ def team_listing(df: DataFrame, section_col: str, team_col: str) -> DataFrame:
     return df.groupBy(section_col).agg(F.sort_array(F.collect_set(team_col)).alias("teams"))
 
 
+def team_exists(df: DataFrame, wanted: DataFrame, section_col: str, team_col: str) -> DataFrame:
+    """F8: every (section, team) of ``wanted`` with whether it is in ``df``; nulls match nulls."""
+    there = df.select(F.col(section_col).alias("_s"), F.col(team_col).alias("_t")).distinct().withColumn("_there", F.lit(True))
+    out = wanted.join(there, F.col(section_col).eqNullSafe(F.col("_s")) & F.col(team_col).eqNullSafe(F.col("_t")), "left")
+    return out.withColumn("team_exists", F.coalesce("_there", F.lit(False))).drop("_s", "_t", "_there")
+
+
 def quality_report(df: DataFrame, pbn: str = "pbn") -> DataFrame:
     """one aggregate of null / malformed deal counts."""
     from ..functions.deals import is_valid_deal

@@ -180,3 +180,46 @@ def union_all(dfs) -> DataFrame:
     for d in dfs[1:]:
         out = out.unionByName(d, allowMissingColumns=True)
     return out
+
+
+def common_type(types: list[T.DataType]) -> T.DataType:
+    """The type that values of all ``types`` keep their meaning in: equal types stay, integers become the widest one, numbers with a
+    fraction double, dates with timestamps timestamps; all else becomes text.  Null types follow the others."""
+    kinds = [t for t in types if not isinstance(t, T.NullType)]
+    if all(t == kinds[0] for t in kinds[1:]):
+        return kinds[0] if kinds else T.NullType()
+    whole = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
+    if all(type(t) in whole for t in kinds):
+        return max(kinds, key=lambda t: whole.index(type(t)))
+    if all(isinstance(t, T.NumericType) for t in kinds):
+        return T.DoubleType()
+    if all(isinstance(t, (T.DateType, T.TimestampType)) for t in kinds):
+        return T.TimestampType()
+    return T.StringType()
+
+
+def union_relaxed(dfs) -> DataFrame:
+    """Vertical concat by name; missing columns are null, columns of different types are cast to their common type."""
+    names = list(dict.fromkeys(c for d in dfs for c in d.columns))
+    to = {c: common_type([d.schema[c].dataType for d in dfs if c in d.columns]) for c in names}
+    cast = lambda d, c: F.col(f"`{c}`").cast(to[c]).alias(c) if c in d.columns else F.lit(None).cast(to[c]).alias(c)
+    return union_all([d.select(*[cast(d, c) for c in names]) for d in dfs])
+
+
+def compare_teams(df: DataFrame, cols, is_a, by=None) -> DataFrame:
+    """A13 for two teams: per difference column the rows 'all', 'A', 'B' and 'A-B' with its sum and how often it is positive / negative.
+
+    ``is_a`` is a condition; rows where it is null count in 'all' only.  One scan and one aggregate.
+    """
+    by = [by] if isinstance(by, str) else list(by or [])
+    teams = {"all": F.lit(True), "A": is_a, "B": ~is_a}
+    aggs = []
+    for i, c in enumerate(cols):
+        for t, cond in teams.items():
+            aggs += [F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).alias(f"_{i}_{t}_sum"),
+                     F.count(F.when(cond & (F.col(c) > 0), 1)).alias(f"_{i}_{t}_gt0"), F.count(F.when(cond & (F.col(c) < 0), 1)).alias(f"_{i}_{t}_lt0")]
+    what = ("sum", "gt0", "lt0")
+    value = lambda i, t, w: F.col(f"_{i}_{t}_{w}") if t != "A-B" else F.col(f"_{i}_A_{w}") - F.col(f"_{i}_B_{w}")
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(t).alias("team"), *[value(i, t, w).alias(w) for w in what])
+                     for i, c in enumerate(cols) for t in (*teams, "A-B")])
+    return df.groupBy(*by).agg(*aggs).select(*by, F.inline(rows))

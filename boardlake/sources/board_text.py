@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.codings import rotate_to_north
+from ..functions.contracts import is_contract, normalise_contract, result_of
 
 TAG_RE = r'\[(\w+)\s+"([^"]*)"\]'
 PBN_VUL = {"None": "None", "Love": "None", "-": "None", "NS": "N_S", "EW": "E_W", "All": "Both", "Both": "Both"}
@@ -104,6 +105,55 @@ def canonical_from_pbn(df: DataFrame) -> DataFrame:
     })
 
 
+def auction_contract(df: DataFrame, calls: str = "calls", dealer: str = "dealer", sep: str = "-") -> DataFrame:
+    """Contract with declarer that an auction ends in ('PASS' after four passes), row-local.
+
+    The last bid counts, with the doubles after it; its declarer is the first of its side to name its strain.  An auction without a
+    bid and of fewer than four calls, an unknown dealer and a null give null; whether calls are legal is not looked at (W11 does).
+    """
+    text = F.replace(F.upper(F.col(calls)), F.lit("NT"), F.lit("N"))
+    made = F.transform(F.split(text, sep), lambda c, i: F.struct(
+        i.alias("i"), F.trim(c).alias("call"), ((vocab.seat_index(F.col(dealer)) + i) % 4).alias("seat"), F.trim(c).rlike("^[1-7][CDHSN]$").alias("bid")))
+    out = df.withColumn("_made", made)
+    out = out.withColumn("_bids", F.filter("_made", lambda x: x["bid"])).withColumn("_last", F.get(F.reverse("_bids"), F.lit(0)))
+    strain = lambda x: F.substring(x["call"], 2, 1)
+    first = F.get(F.filter("_bids", lambda x: (strain(x) == strain(F.col("_last"))) & (x["seat"] % 2 == F.col("_last.seat") % 2)), F.lit(0))
+    after = lambda *names: F.exists("_made", lambda x: (x["i"] > F.col("_last.i")) & x["call"].isin(*names))
+    dbl = F.when(after("R", "XX"), "XX").when(after("D", "X"), "X").otherwise("")
+    bid = F.concat(F.col("_last.call"), dbl, F.substring(F.lit(vocab.DIRECTIONS), first["seat"] + 1, F.lit(1)))
+    passed = F.col("_last").isNull() & (F.size("_made") >= 4)
+    return out.withColumn("contract", F.when(passed, F.lit("PASS")).otherwise(bid)).drop("_made", "_bids", "_last")
+
+
+def canonical_from_lin(df: DataFrame) -> DataFrame:
+    """Canonical result columns of parsed LIN rows (``parse_lin``): board number, contract from the auction, tricks claimed and result.
+
+    The board's number is the last one in its text.  Without a claim tricks and result are null (the play is not counted out).
+    """
+    out = auction_contract(df)
+    board = F.nullif(F.regexp_extract("board_text", r"(\d+)\D*$", 1), F.lit("")).try_cast("int")
+    return out.withColumns({"board": board, "tricks": F.col("claimed"), "result": F.when(F.col("contract") != "PASS", F.col("claimed") - 6 - F.substring("contract", 1, 1).try_cast("int"))})
+
+
+def canonical_from_score_table(df: DataFrame, k, table: str = "score_table") -> DataFrame:
+    """A record per board with its nested result list -> one canonical result per list entry.
+
+    Entries have contract ('3NT+1' style suffixes are cut), declarer, result (tricks as text), pair_id_ns and pair_id_ew.  ``row_index``
+    counts a board's entries from 0 in list order, so that (``k``, row_index) names a row.  Pair numbers become texts, and the four
+    ``player_id_*`` are made up from them ('12_N').  A contract without level, strain and declarer is null unless it begins with
+    'PASS'; tricks that are no number are null.
+    """
+    rest = [c for c in df.columns if c not in (table, *k)]
+    out = df.select(*k, *rest, F.posexplode(table).alias("row_index", "_r"))
+    name = F.regexp_extract(normalise_contract(F.col("_r.contract")), r"^([^-+=]*)", 1)
+    bid = F.concat(F.regexp_replace(F.trim(name), r"\s+", ""), F.upper(F.substring("_r.declarer", 1, 1)))
+    out = out.withColumn("contract", F.when(name.startswith("PASS"), F.lit("PASS")).when(is_contract(bid), bid))
+    out = out.withColumns({"tricks": F.col("_r.result").try_cast("int"), "pair_number_ns": F.col("_r.pair_id_ns").cast("string"), "pair_number_ew": F.col("_r.pair_id_ew").cast("string")})
+    out = out.withColumns({"result": F.when(F.col("contract") != "PASS", result_of(F.substring("contract", 1, 1).try_cast("int"), F.col("tricks"))),
+                           **{f"player_id_{d.lower()}": F.concat(F.col(f"pair_number_{side}"), F.lit(f"_{d}")) for d, side in zip("NESW", ("ns", "ew", "ns", "ew"))}})
+    return out.drop("_r")
+
+
 def render_pbn(df: DataFrame, tags: dict[str, Column]) -> Column:
     """A PBN block from columns: one ``[Tag "value"]`` line per tag (null values omitted)."""
     lines = [F.when(v.isNotNull(), F.concat(F.lit(f'[{t} "'), v.cast("string"), F.lit('"]'))) for t, v in tags.items()]

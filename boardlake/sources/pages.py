@@ -164,25 +164,37 @@ def parse_contract_text(col: str | Column) -> dict[str, Column]:
     return {"level": part(1).cast("int"), "strain": part(2), "dbl": part(3), "result": result}
 
 
-def lines_to_records(df: DataFrame, text: str, header: str, n: int = 4, key: str = "page_id",
-                     names=("score", "frequency", "mp_ns", "mp_ew")) -> DataFrame:
-    """After a header line, every ``n`` lines make one record; stop at the first bad group;
-    of records with the same first field the first one stays; sorted by it descending."""
-    lines = df.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    start = lines.filter(F.trim("line") == header).groupBy(key).agg(F.min("pos").alias("_h"))
-    body = lines.join(start, key).filter(F.col("pos") > F.col("_h")).withColumn("_i", F.col("pos") - F.col("_h") - 1)
-    body = body.withColumns({"_g": F.floor(F.col("_i") / n).cast("int"), "_f": (F.col("_i") % n).cast("int")})
-    recs = body.groupBy(key, "_g").pivot("_f", list(range(n))).agg(F.first(F.trim("line")))
-    for i, nm in enumerate(names):
-        recs = recs.withColumnRenamed(str(i), nm)
-    ok = F.lit(True)
-    for nm in names:
-        ok = ok & F.col(nm).rlike(r"^-?[0-9]+([.,][0-9]+)?$")
-    w = Window.partitionBy(key).orderBy("_g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    recs = recs.withColumn("_good", F.min(ok.cast("int")).over(w) == 1).filter("_good")
-    typed = recs.select(key, "_g", *[F.regexp_replace(nm, ",", ".").try_cast("double").alias(nm) for nm in names])
-    first = typed.groupBy(key, names[0]).agg(F.min(F.struct("_g", *names[1:])).alias("_r"))
-    return first.select(key, names[0], *[F.col(f"_r.{nm}").alias(nm) for nm in names[1:]]).orderBy(key, F.col(names[0]).desc())
+def lines_to_records(df: DataFrame, text: str, header, n: int = 4, key: str = "page_id",
+                     names=("score", "frequency", "mp_ns", "mp_ew"), ranges=None) -> DataFrame:
+    """After the header (a line, or lines in a row), every ``n`` lines make one record of ``names``; stop at the first bad group
+    (a line that is no number, or a value outside ``ranges``: by default scores within +-2000 and frequencies 0 to 100); of
+    records with the same first field the first one stays; a page's rows come sorted by it, descending.
+
+    Row-local: a page's lines are one array, so there is no shuffle.  A page without header, and a null, give no rows.
+    """
+    head = [header] if isinstance(header, str) else list(header)
+    ranges = {"score": (-2000, 2000), "frequency": (0, 100)} if ranges is None else ranges
+    out = df.select(key, F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)).alias("_lines"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: F.slice("_lines", i, len(head)) == F.array(*[F.lit(h) for h in head]))
+    # nulls pass through to the end, where they give no rows; a filter in between would evaluate all steps before it twice
+    out = out.withColumn("_at", F.get(starts, F.lit(0)))
+    out = out.withColumn("_body", F.slice("_lines", F.col("_at") + len(head), F.size("_lines")))
+    number = lambda x: F.when(x.rlike(r"^-?[0-9]+([.,][0-9]+)?$"), F.regexp_replace(x, ",", ".").try_cast("double"))
+    groups = F.when(F.size("_body") >= n, F.sequence(F.lit(0), F.floor(F.size("_body") / n).cast("int") - 1))
+    recs = F.transform(groups, lambda g: F.struct(*[number(F.get("_body", g * n + i)).alias(nm) for i, nm in enumerate(names)]))
+    out = out.withColumn("_recs", recs)
+
+    def bad(r):
+        test = F.lit(False)
+        for nm in names:
+            low, high = ranges.get(nm, (None, None))
+            test = test | r[nm].isNull() | (F.lit(False) if low is None else ~r[nm].between(low, high))
+        return test
+
+    stop = F.array_min(F.transform("_recs", lambda r, i: F.when(bad(r), i)))
+    out = out.withColumn("_good", F.slice("_recs", F.lit(1), F.coalesce(stop, F.size("_recs"))))
+    once = F.filter("_good", lambda r, i: ~F.exists(F.slice("_good", F.lit(1), i), lambda x: x[names[0]] == r[names[0]]))
+    return out.select(key, F.inline(F.sort_array(once, asc=False)))
 
 
 def latest_results(df: DataFrame, id_col: str, order_col: str) -> DataFrame:
