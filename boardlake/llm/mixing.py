@@ -7,14 +7,15 @@ the sources below their bound, the level is found directly: sources sorted by bo
 running sums, first one that the level does not reach.
 
 Every document of a source expects target / source_size copies.  Documents stand in a fixed order (size class,
-bucket, size, hash); the prefix sum of expected copies plus one offset per source (from a hash of the
+bucket, size, hash of id and text); the prefix sum of expected copies plus one offset per source (from a hash of the
 source and the seed) is cut at whole numbers, a document is emitted once for each number crossed.  The order by size spreads
 long documents evenly, so a source's words stay near its target.  The prefix sum has three
 levels (size classes of a source, buckets of a class, rows of a bucket), so no task holds a
 source; there are as many buckets as keep one class at some ``BUCKET_ROWS`` rows of a mean table.
 
 Defined results: a null or empty text has size 0 and may be emitted; null sources are one
-source, the last; null ids are ordered as empty ids; repeated rows are documents of their own;
+source, the last; null ids are ordered as empty ids; repeated rows are documents of their own (rows that agree in id and text
+share a bucket, however many; which of them is repeated does not show); rows that share only an id, or have none, are spread by their texts;
 an empty table gives no rows; without any word every target is 0.  Extra columns are kept by
 ``mix_documents`` under their own names.  Reruns over the same rows agree.
 """
@@ -48,7 +49,7 @@ def measured(docs: DataFrame) -> DataFrame:
     return (docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mx_doc"))
             .select("mx_doc", F.col("mx_doc.source").alias("mx_source"),
                     F.coalesce(F.regexp_count("mx_doc.text", F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("mx_size"),
-                    _hash(F.col("mx_doc.doc_id"), 15).alias("mx_hash"))
+                    _hash(F.concat_ws("|", F.coalesce(F.col("mx_doc.doc_id").cast("string"), F.lit("")), F.coalesce("mx_doc.text", F.lit(""))), 15).alias("mx_hash"))
             .withColumn("mx_class", size_class(F.col("mx_size"))))
 
 
@@ -115,7 +116,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 ORACLE = r"""
 with r as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-         ('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as h
+         ('0x' || substr(md5('mix|' || coalesce(doc_id::varchar, '') || '|' || coalesce(text, '')), 1, 15))::bigint as h
   from documents),
 k as (
   select *, case when size < 4 then size else length(bin(size)) * 4 + ((size >> (length(bin(size)) - 3)) & 3) end as cls,
