@@ -147,12 +147,13 @@ def candidates(docs: DataFrame, bits, lengths: list[int]) -> DataFrame:
 
 
 def row_key(docs: DataFrame):
-    """Key of a row by its id and text: rows that agree in both share every result."""
+    """Key of a row by its id and text: rows that agree in both share every result.  64 bits: that any two of 10^9 different rows share a key
+    has odds of about 1 in 37, of 5 x 10^9 about even; such rows would share their hits."""
     return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
 
 
-def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, dc_key, n_words of every row; dc_key, s, n, item_id of every place where a window occurs)."""
+def spans_near(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, dc_key, n_words of every row; dc_key, h, s, n of every span around a shared fingerprint; item_id, h, n of every window)."""
     spark = docs.sparkSession
     windows = saved(item_windows(items))
     prints = windows.where("kind = 'f'").select("h").distinct()
@@ -165,8 +166,13 @@ def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     places = base.where(F.size("cands") > 0).select("dc_key", F.explode("cands").alias("c")).select("dc_key", "c.h", "c.spans")
     extended = (places.join(prints, "h", "left_semi").select("dc_key", F.explode("spans").alias("x"))
                 .select("dc_key", F.col("x.w").alias("h"), F.col("x.s").alias("s"), F.col("x.n").alias("n")).distinct())
-    found = extended.join(windows.where("kind = 'w'").select("item_id", "n", "h"), ["h", "n"]).select("dc_key", "s", "n", "item_id")
-    return base.drop("cands"), found
+    return base.drop("cands"), extended, windows.where("kind = 'w'").select("item_id", "n", "h")
+
+
+def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, dc_key, n_words of every row; dc_key, s, n, item_id of every place where a window occurs)."""
+    base, extended, windows = spans_near(docs, items)
+    return base, extended.join(windows, ["h", "n"]).select("dc_key", "s", "n", "item_id")
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -183,9 +189,10 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows (all their columns) in which no item's window occurs."""
-    _, found = hits(docs, items)
-    bad = found.select("dc_key").distinct()
+    """The rows (all their columns) in which no item's window occurs.  Which items it is of does not matter here, so a window that many
+    items share meets each document once."""
+    _, extended, windows = spans_near(docs, items)
+    bad = extended.join(windows, ["h", "n"], "left_semi").select("dc_key").distinct()
     whole = docs.select(row_key(docs).alias("dc_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("dc_doc"))
     return whole.join(bad, "dc_key", "left_anti").select("dc_doc.*")
 
