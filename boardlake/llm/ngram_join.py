@@ -123,6 +123,14 @@ def _near(a: str, b: str, percent: int) -> str:
     return f"{' + '.join(f'bit_count({a}b{i} ^ {b}b{i})' for i in range(PARITY))} <= {a}n + {b}n - 2 * {_least_overlap(a + 'n', b + 'n', percent)}"
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the ids, once each: m and n copies of a row would give m x n pairs of the same texts.  Only texts of
+    ids that repeat are compared with each other."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    repeated = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("id")
+    return texts.join(repeated, "id", "left_anti").unionAll(texts.join(repeated, "id", "left_semi").distinct())
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = N, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that link: suffix filter, then the sets of their whole texts."""
     bits = [f"b{i}" for i in range(PARITY)]
@@ -130,7 +138,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = N
     pairs = pairs.join(sides[0], "a").join(sides[1], "b").where(_near("a_", "b_", percent)).select("a", "b").distinct()
     pairs = saved(pairs)
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    texts = texts_of(docs, ids)
     both = (pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a"))
 
