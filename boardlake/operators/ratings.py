@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, not_broadcast
 
 #: Keys among which rows without an id are dealt.
 NO_ID = 1 << 16
@@ -60,7 +60,7 @@ def with_declarer_columns(results: DataFrame, dd: DataFrame, key: str = "deal_id
     from ..functions import scoring
 
     d = dd.select(key, "declarer", "strain", F.col("tricks").alias("dd_tricks"))
-    j = results.join(d, on=[key, "declarer", "strain"], how="left")
+    j = results.join(not_broadcast(d), on=[key, "declarer", "strain"], how="left")
     dd_score = scoring.score_sets_doubled(F.col("level"), F.col("strain"), F.col("vul_declarer"), F.col("dd_tricks"))
     return j.withColumns({
         "dd_score_declarer": dd_score,
@@ -76,7 +76,7 @@ def with_par_columns(results: DataFrame, par: DataFrame, key: str = "deal_id", e
 
     ``par`` has the key and ``par_ns``, one row a deal.  PASS and unknown declarers have no declarer columns.
     """
-    j = results.join(par.select(key, "par_ns"), key, "left")
+    j = results.join(not_broadcast(par.select(key, "par_ns")), key, "left")
     mine = F.when(F.col("declarer_pair") == "NS", F.col("par_ns")).when(F.col("declarer_pair") == "EW", -F.col("par_ns"))
     cols = {"par_declarer": mine.cast("int"), "score_par_diff_ns": (F.col("score_ns") - F.col("par_ns")).cast("int"),
             "score_par_diff_declarer": (F.col("score_declarer") - mine).cast("int"), "defender_ge_par": F.col("score_declarer") <= mine}

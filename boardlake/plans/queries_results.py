@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contracts, scoring
 from ..operators import ratings as R
+from ..session import not_broadcast
 from ..sources import fixtures
 from .boards import scored_results
 from .oracle import sql_score, sql_scored_results, with_fixtures
@@ -17,7 +18,7 @@ PLAYERS = {"N": "player_n", "E": "player_e", "S": "player_s", "W": "player_w"}
 
 def attach_deals(results, boards, k=("session_id", "board")):
     """Results joined to their board's deal on (session, board)."""
-    return results.join(boards.select(*k, "deal_id"), on=list(k), how="inner")
+    return results.join(not_broadcast(boards.select(*k, "deal_id")), on=list(k), how="inner")
 
 
 def declarer_df(spark, sf_dir):

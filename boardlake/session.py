@@ -61,24 +61,47 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a source that arrives in fewer partitions than the cluster has cores.
+#: Rows of a source that one task takes, before the operators multiply or group them.
+ROWS_A_TASK = 1 << 19
+
+
+def spread(df: DataFrame, rows: int = 0, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """Round-robin a source that arrives in fewer partitions than the cluster has cores, or than its ``rows`` need.
 
     A large table already comes in thousands of splits and is left alone; a table stored
     as one small file (one scan task) would otherwise run every row-local step on a single
-    core.  Round-robin (not by key) so a hot key cannot make one partition large.
+    core.  Round-robin (not by key) so a hot key cannot make one partition large.  With ``rows`` (their number
+    in all) a task gets ``rows_a_task`` of them at most, so that what a task holds does not grow with the table.
     """
     if os.environ.get("BOARDLAKE_SPREAD", "1") == "0":
         return df
-    target = df.sparkSession.sparkContext.defaultParallelism
+    target = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_a_task))
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
 
 
+def by_key(df: DataFrame, *keys) -> DataFrame:
+    """Hash-partition by key into the session's number of shuffle partitions.
+
+    Adaptive execution merges the partitions of a plain shuffle up to a size in compressed bytes, and a sorted window over small
+    integers holds many times that; a shuffle with a stated number is left as it is.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def not_broadcast(df: DataFrame) -> DataFrame:
+    """A join side whose rows come from a generator (``explode``, ``inline``), joined by sorting.
+
+    Spark estimates a generator's output at the size of its input, and would send a table of a row a deal, seat and
+    strain to the driver and to every executor as if it were as small as the table of sessions it grew from.
+    """
+    return df.hint("merge")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Read one parquet table (optionally only some columns), spread over the cluster's cores."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if columns:
         df = df.select(*columns)
-    return spread(df)
+    return spread(df, df.count())  # from the files' footers
