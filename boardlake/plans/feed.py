@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import not_broadcast
 from ..sources import pages as PG
 from .pipeline import enrich
 
@@ -31,7 +32,7 @@ def feed_pairs(pages: DataFrame, key: str = "page_id") -> DataFrame:
     rows = rows.select(key, F.col("section").alias("direction"), F.col("position").cast("int").alias("position"),
                        F.col("pair_number").try_cast("int").alias("pair_number"), F.get(names, F.lit(0)).alias("player_1"), F.get(names, F.lit(1)).alias("player_2"),
                        *[v.alias(c) for c, v in number.items()])
-    return rows.dropna(subset=["pair_number", "match_points", "score_percent"]).join(p.select(key, "club", "event"), key)
+    return rows.dropna(subset=["pair_number", "match_points", "score_percent"]).join(not_broadcast(p.select(key, "club", "event")), key)
 
 
 def best_pairs(pairs: DataFrame, key: str = "page_id") -> DataFrame:
@@ -51,12 +52,12 @@ def process_feed(pages: DataFrame, results: DataFrame, boards: DataFrame, dd: Da
     for side, one, two in (("NS", "player_n", "player_s"), ("EW", "player_e", "player_w")):
         of = pairs.where(F.col("direction") == side).groupBy(F.col(page_key).alias("_page"), F.col("pair_number").alias("_pair")).agg(
             F.min(F.struct("position", F.col("player_1").alias(one), F.col("player_2").alias(two))).alias("_p"))
-        out = out.join(of, (F.col(session) == F.col("_page")) & (F.col(f"pair_no_{side.lower()}") == F.col("_pair")), "left")
+        out = out.join(not_broadcast(of), (F.col(session) == F.col("_page")) & (F.col(f"pair_no_{side.lower()}") == F.col("_pair")), "left")
         out = out.select("*", f"_p.{one}", f"_p.{two}").drop("_page", "_pair", "_p")
     out = enrich(out, boards, dd, sd_samples)
     best = best_pairs(pairs, page_key).select(F.col(page_key).alias("_page"), "club", "event", F.col("direction").alias("pair_direction"),
                                               F.col("pair_number").alias("_number"), F.col("player_1").alias("player_id"), F.col("player_2").alias("partner_id"))
-    out = out.join(best, F.col(session) == F.col("_page"), "left")
+    out = out.join(not_broadcast(best), F.col(session) == F.col("_page"), "left")
     mine = F.when(F.col("pair_direction") == "NS", F.col("pair_no_ns")).otherwise(F.col("pair_no_ew")) == F.col("_number")
     out = out.withColumn("boards_i_played", F.coalesce(mine, F.lit(False)))
     declared = lambda who: F.coalesce(F.col("boards_i_played") & (F.col("declarer_id") == F.col(who)), F.lit(False))
