@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, not_broadcast
 
 # fixed values of the fixture's rule table and bidding table
 RULES = (
@@ -186,7 +186,7 @@ def expand_auctions(hands: DataFrame, accepts: DataFrame, dealer: DataFrame, key
     while True:
         if rounds == LONGEST_AUCTION:
             raise ValueError(f"auctions are still open after {LONGEST_AUCTION} calls: the bidding table accepts illegal bids")
-        nxt = frontier.join(acc, on=[key, "seat", "prior_calls"], how="left")
+        nxt = frontier.join(not_broadcast(acc), on=[key, "seat", "prior_calls"], how="left")
         nxt = nxt.withColumn("bid", F.coalesce(F.col("bid"), F.lit("p")))
         calls = F.when(F.col("prior_calls") == "", F.col("bid")).otherwise(F.concat_ws("-", "prior_calls", "bid"))
         nxt = nxt.select(key, calls.alias("prior_calls"),
@@ -312,7 +312,7 @@ def expand_by_table(features: DataFrame, table: DataFrame, dealers: DataFrame, b
                         .groupBy(F.col("prior_calls").alias("calls")).agg(F.sort_array(F.collect_set(entry)).alias("candidates")))
     seat = F.instr(F.lit("NESW"), F.col("direction")) - 1
     hands = hand_masks(features, rules, (key, "direction")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(seat.alias("seat"), "mask"))).alias("hands"))
-    frontier = dealers.select(key, (F.instr(F.lit("NESW"), F.col("dealer")) - 1).alias("seat")).join(hands, key).select(
+    frontier = dealers.select(key, (F.instr(F.lit("NESW"), F.col("dealer")) - 1).alias("seat")).join(not_broadcast(hands), key).select(
         key, "seat", F.transform("hands", lambda h: h["mask"]).alias("hands"), F.lit("").alias("calls"), F.array().cast("array<int>").alias("bt_ids"))
     frontier, done, rounds = cut_lineage(frontier), [], 0
     while True:
