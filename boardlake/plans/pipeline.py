@@ -14,6 +14,7 @@ from ..functions import contracts
 from ..operators import matchpoints as mp
 from ..operators import ratings as R
 from ..operators import singledummy as SD
+from ..session import not_broadcast
 from .boards import scored_results
 
 PLAYERS = {"N": "player_n", "E": "player_e", "S": "player_s", "W": "player_w"}
@@ -27,15 +28,15 @@ def enrich(results: DataFrame, boards: DataFrame, dd: DataFrame, sd_samples: Dat
     fixture's integer codes (deal_id, fixed_pair, seat, strain, tricks, sample).
     """
     res = mp.matchpoints(scored_results(results), list(k))
-    res = res.join(boards.select(*k, "deal_id"), on=list(k), how="inner")
+    res = res.join(not_broadcast(boards.select(*k, "deal_id")), on=list(k), how="inner")
     res = contracts.with_seats(res, "declarer", PLAYERS)
     res = R.with_declarer_columns(res, dd)
     # only the (deal, side, declarer, strain) groups that were actually played need EVs
     played = res.select("deal_id", F.col("declarer_pair").alias("pair"), "declarer", "strain").filter(
         F.col("declarer").isNotNull()).distinct()
-    counts = SD.name_codes(SD.trick_counts(sd_samples)).join(played, ["deal_id", "pair", "declarer", "strain"], "left_semi")
+    counts = SD.name_codes(SD.trick_counts(sd_samples)).join(not_broadcast(played), ["deal_id", "pair", "declarer", "strain"], "left_semi")
     ev = SD.expected_values(counts)
     ev = ev.select("deal_id", F.col("pair").alias("declarer_pair"), "declarer", "strain", "level",
                    F.col("vul").alias("_vul"), F.col("ev").alias("ev_played"))
     res = res.withColumn("_vul", F.when(F.col("vul_declarer"), F.lit("V")).otherwise(F.lit("NV")))
-    return res.join(ev, on=["deal_id", "declarer_pair", "declarer", "strain", "level", "_vul"], how="left").drop("_vul")
+    return res.join(not_broadcast(ev), on=["deal_id", "declarer_pair", "declarer", "strain", "level", "_vul"], how="left").drop("_vul")
