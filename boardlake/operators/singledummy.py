@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.vocab import STRAINS_HIGH_FIRST
+from ..session import by_key, not_broadcast
 
 def pair_names() -> F.Column:
     return F.array(F.lit("NS"), F.lit("EW"))
@@ -137,7 +138,7 @@ def best_contracts(ev: DataFrame, key: str = "deal_id") -> DataFrame:
     lvl = (7 - F.pmod(F.col("_p"), F.lit(8))).cast("int")
     s = g.select(key, "vul", "pair", "declarer", "strain", lvl.alias("level"),
                  (((F.col("_p") - (7 - lvl)) / 8) / F.col("_t").cast("double")).alias("ev"))
-    s = s.withColumn("_ord", _column_order()).repartition(key)
+    s = by_key(s.withColumn("_ord", _column_order()), key)
     order = [F.col("ev").desc(), F.col("_ord").asc()]
     flags = {}
     for name, keys in (("_is_declarer", ["pair", "declarer"]), ("_is_pair", ["pair"]), ("_is_all", [])):
@@ -166,7 +167,7 @@ def pick_by_vul(best: DataFrame, boards: DataFrame, key: str = "deal_id") -> Dat
     """
     pairs = best.filter(F.col("grouping") == "pair").select(key, "vul", "pair", "ev_max", "ev_max_col")
     b = boards.select(key, *[c for c in boards.columns if c != key])
-    j = pairs.join(b, on=key, how="inner").filter(
+    j = pairs.join(not_broadcast(b), on=key, how="inner").filter(
         F.col("vul") == F.when(F.when(F.col("pair") == "NS", F.col("vul_ns")).otherwise(F.col("vul_ew")), F.lit("V")).otherwise(F.lit("NV"))
     )
     keep = [c for c in b.columns if c not in (key, "vul_ns", "vul_ew")]
@@ -194,6 +195,7 @@ def total_tricks(lengths: DataFrame, dd_pairs: DataFrame, key: str = "deal_id")
     SHDC order; ``dd_pairs``: (key, pair, strain, dd_tricks).  Per pair: the suit's length
     and the pair's DD tricks in it; per deal: sums over both pairs and length - tricks.
     """
+    lengths, dd_pairs = not_broadcast(lengths), not_broadcast(dd_pairs)
     j = lengths.join(dd_pairs, on=[lengths[key] == dd_pairs[key], lengths["pair"] == dd_pairs["pair"],
                                    lengths["longest_suit"] == dd_pairs["strain"]], how="inner")
     per_pair = j.select(lengths[key].alias(key), lengths["pair"].alias("pair"), "longest_suit", "longest_len", "dd_tricks")
