@@ -35,6 +35,11 @@ def sort_suit(holding: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(placed), lambda x: x["card"]), "")
 
 
+def _once(value: Column, of) -> Column:
+    """``of(value)`` with ``value`` evaluated once, however often ``of`` names it (higher-order functions share no subexpressions)."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def suit_bits(holding: Column) -> Column:
     """13-bit code of a suit holding, ace = bit 12 ... two = bit 0."""
     total = None
@@ -65,30 +70,32 @@ def hand_binary(hand: Column) -> Column:
 
 def hand_one_hot(hand: Column) -> Column:
     """52 values 0 / 1, spade ace first."""
-    return F.transform(F.split(hand_binary(hand), ""), lambda x: x.cast("int"))
+    return _once(hand, lambda h: F.transform(F.split(hand_binary(h), ""), lambda x: x.cast("int")))
 
 
 def one_hot_to_hand(one_hot: Column) -> Column:
     """52 values 0 / 1 back to 'S.H.D.C'; null if there are not 52 or one is neither."""
-    flags = F.arrays_zip(one_hot.alias("x"), F.sequence(F.lit(0), F.lit(51)).alias("i"))
-    suits = [F.array_join(F.transform(F.filter(F.slice(flags, 1 + 13 * j, 13), lambda c: c["x"] == 1), lambda c: F.substring(F.lit(RANKS), c["i"] % 13 + 1, F.lit(1))), "") for j in range(4)]
-    good = (F.size(one_hot) == 52) & F.forall(one_hot, lambda x: x.isin(0, 1))
-    return F.when(good, F.concat_ws(".", *suits))
+    def text(flags: Column) -> Column:
+        cards = F.transform(flags, lambda x, i: F.when(x == 1, F.substring(F.lit(RANKS), i % 13 + 1, F.lit(1))).otherwise(F.lit("")))
+        suits = [F.array_join(F.slice(cards, 1 + 13 * j, 13), "") for j in range(4)]
+        return F.when((F.size(flags) == 52) & F.forall(flags, lambda x: x.isin(0, 1)), F.concat_ws(".", *suits))
+
+    return _once(one_hot, text)
 
 
 def binary_to_hand(text: Column) -> Column:
     """52 binary digits back to the hand."""
-    return F.when(text.rlike("^[01]{52}$"), one_hot_to_hand(F.transform(F.split(text, ""), lambda x: x.cast("int"))))
+    return _once(text, lambda t: F.when(t.rlike("^[01]{52}$"), one_hot_to_hand(F.transform(F.split(t, ""), lambda x: x.cast("int")))))
 
 
 def bits_to_hand(bits: Column) -> Column:
     """The 52-bit code back to the hand; null outside its range."""
-    return F.when((bits >= 0) & (bits < (1 << 52)), binary_to_hand(F.lpad(F.bin(bits), 52, "0")))
+    return _once(bits, lambda b: F.when((b >= 0) & (b < (1 << 52)), binary_to_hand(F.lpad(F.bin(b), 52, "0"))))
 
 
 def hex_to_hand(text: Column) -> Column:
     """13 hexadecimal digits back to the hand."""
-    return F.when(text.rlike("^[0-9A-Fa-f]{13}$"), bits_to_hand(F.conv(text, 16, 10).cast("long")))
+    return _once(text, lambda t: F.when(t.rlike("^[0-9A-Fa-f]{13}$"), bits_to_hand(F.conv(t, 16, 10).cast("long"))))
 
 
 def rotate_deal(pbn: Column, first: str) -> Column:
