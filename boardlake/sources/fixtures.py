@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..session import read_table, spread
 
 BOARDS_PER_SESSION = 32
+#: Boards that one task takes: a board becomes hundreds of sample rows.
+BOARDS_A_TASK = 1 << 14
 # fixed auction templates of the fixture (template 4 is illegal on purpose; p pass, d double, r redouble)
 AUCTION_TEMPLATES = (
     "1C-p-1S-p-2S-p-p-p",
@@ -38,7 +40,7 @@ def boards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("board").cast("int").alias("board"),
         (F.col("session_id") * 100 + F.col("board")).cast("long").alias("deal_id"),
     )
-    return spread(b)
+    return spread(b, BOARDS_PER_SESSION * s.count(), BOARDS_A_TASK)
 
 
 def board_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,15 +87,14 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
             c.alias("card"),
         ),
     )
-    b = b.withColumn("shuffled", F.transform(F.sort_array(keyed), lambda x: x["card"]))
-    ranks = F.lit("AKQJT98765432")
+    # a letter a card, in order of suit and rank, so that a hand's sorted letters are its cards in the order of its text
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    b = b.withColumn("shuffled", F.transform(F.sort_array(keyed), lambda x: F.substring(F.lit(letters), x["card"] + 1, F.lit(1))))
+    b = b.withColumns({f"_h{seat}": F.array_join(F.sort_array(F.slice("shuffled", seat * 13 + 1, 13)), "") for seat in range(4)})
 
     def holding(seat: int, suit: int):
-        mine = F.filter(
-            F.slice(F.col("shuffled"), seat * 13 + 1, 13),
-            lambda c: F.floor(c / 13) == suit,
-        )
-        return F.array_join(F.transform(F.sort_array(mine), lambda c: F.substring(ranks, (c % 13 + 1).cast("int"), 1)), "")
+        mine = letters[suit * 13:suit * 13 + 13]  # letters without a counterpart (the other suits') are dropped
+        return F.translate(f"_h{seat}", mine + "".join(x for x in letters if x not in mine), "AKQJT98765432")
 
     hands = [F.concat_ws(".", *[holding(seat, suit) for suit in range(4)]) for seat in range(4)]
     return b.select("deal_id", F.concat(F.lit("N:"), F.concat_ws(" ", *hands)).alias("pbn"))
