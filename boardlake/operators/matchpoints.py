@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import by_key, not_broadcast
+
 
 def _keys(k) -> list[str]:
     return [k] if isinstance(k, str) else list(k)
@@ -51,7 +53,7 @@ def matchpoints(
     for a lone result.
     """
     k = _keys(k)
-    freq = df.groupBy(*k, score_ns, score_ew).agg(F.count(F.lit(1)).alias("_n"))
+    freq = by_key(df.groupBy(*k, score_ns, score_ew).agg(F.count(F.lit(1)).alias("_n")), *k)
     less_ns, eq_ns, total = _running(freq, k, score_ns, "_n")
     freq = freq.withColumns({"_less_ns": less_ns, "_eq_ns": eq_ns, "_total": total})
     less_ew, eq_ew, _ = _running(freq, k, score_ew, "_n")
@@ -122,7 +124,7 @@ def matchpoints_from_frequency(freq: DataFrame, k, score: str = "score", count:
     w = Window.partitionBy(*k).orderBy(F.col(score).asc())
     below = F.coalesce(F.sum(count).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)) - F.col(count)
     total = F.sum(count).over(Window.partitionBy(*k))
-    out = freq.withColumns({"_below": below, "_total": total})
+    out = by_key(freq, *k).withColumns({"_below": below, "_total": total})
     mps_ns = F.col("_below") + (F.col(count) - 1) / 2.0
     mps_ew = (F.col("_total") - F.col("_below") - F.col(count)) + (F.col(count) - 1) / 2.0
     top = F.col("_total") - 1
@@ -164,6 +166,7 @@ def hypothetical_matchpoints(
     freq = freq.filter(F.col("_v").isNotNull())
     cand = candidates.select(*k, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull()).distinct()
     u = freq.withColumn("_cand", F.lit(False)).unionByName(cand.withColumns({"_n": F.lit(0).cast("long"), "_real": F.lit(0).cast("long"), "_cand": F.lit(True)}))
+    u = by_key(u, *k)
     w = Window.partitionBy(*k).orderBy("_v")
     incl = F.sum("_n").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     eq = F.sum("_n").over(w.rangeBetween(Window.currentRow, Window.currentRow))
@@ -175,7 +178,7 @@ def hypothetical_matchpoints(
         .select(*k, "_v", F.when(F.col("_top").isNotNull(), (F.col("_incl") - F.col("_eq")) + F.col("_eq") / 2.0).alias("mp"), F.col("_top").cast("long").alias("mp_top"))
     )
     c = candidates.withColumn("_v", F.col(value).cast("double"))
-    return c.join(res, on=k + ["_v"], how="left").drop("_v")
+    return c.join(not_broadcast(res), on=k + ["_v"], how="left").drop("_v")
 
 
 def reference_pct(df: DataFrame, mp: str = "mp", top: str = "mp_top", out: str = "pct") -> DataFrame:
@@ -214,7 +217,7 @@ def board_references(scores: DataFrame, refs: DataFrame, k, spec: dict[str, tupl
     used = list(dict.fromkeys(s for _, s, _ in spec.values()))
     freq = scores.groupBy(*k, *used).agg(F.count(F.lit(1)).alias("_n"))
     values = [c for c in refs.columns if c not in k]
-    j = refs.join(freq, on=k, how="left")
+    j = not_broadcast(refs).join(freq, on=k, how="left")
     aggs = [F.sum(F.when(F.col(used[0]).isNotNull(), F.col("_n"))).alias("_real")]
     for name, (ref, score, null_is_zero) in spec.items():
         s = F.coalesce(F.col(score), F.lit(0)) if null_is_zero else F.col(score)
@@ -241,7 +244,7 @@ def matchpoints_asof(new: DataFrame, freq: DataFrame, k, score: str = "score", c
     total = freq.groupBy(*k).agg(F.sum(count).alias("_tot"))
     q = new.select(*k, F.col(new_score).cast("double").alias("_v")).distinct()
     q = q.select(*k, "_v", F.lit(None).cast("double").alias("_pct"), F.lit(None).cast("long").alias("beaten"), F.lit(True).alias("_new"))
-    u = f.unionByName(q)
+    u = by_key(f.unionByName(q), *k)
     # order: by value, real rows before new ones at equal value, so the lookup sees an exact hit
     w_after = Window.partitionBy(*k).orderBy(F.col("_v").asc(), F.col("_new").asc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     w_exact = Window.partitionBy(*k, "_v")
@@ -257,7 +260,7 @@ def matchpoints_asof(new: DataFrame, freq: DataFrame, k, score: str = "score", c
         .otherwise(F.col("_next_beaten") / F.col("_tot").cast("double")).alias("asof_pct"),
     )
     c = new.withColumn("_v", F.col(new_score).cast("double"))
-    return c.join(ans, on=k + ["_v"], how="left").drop("_v")
+    return c.join(not_broadcast(ans), on=k + ["_v"], how="left").drop("_v")
 
 
 def add_scores(freq: DataFrame, new: DataFrame, k, score: str = "score", count: str = "n") -> DataFrame:
