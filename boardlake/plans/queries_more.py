@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import contracts, scoring
@@ -45,8 +46,10 @@ def q_mp_dd_max(spark, sf_dir):
     ew = mp.hypothetical_matchpoints(res, cand.filter(F.col("declarer").isin("E", "W")).withColumn("v_ew", -F.col("dd_score_ns")),
                                      ["session_id", "board"], score="score_ew", value="v_ew")
     both = ns.withColumn("side", F.lit("NS")).unionByName(ew.drop("v_ew").withColumn("side", F.lit("EW")))
-    best = mp.max_by_side(both, ["session_id", "board"], "side", "mp", "mp_max").join(
-        both.groupBy("session_id", "board").agg(F.max("mp_top").alias("mp_top")), ["session_id", "board"])
+    # the top rides along with the largest matchpoints (all candidates of a side share it), so candidates are compared once
+    best = mp.max_by_side(both.withColumn("_mp", F.struct("mp", "mp_top")), ["session_id", "board"], "side", "_mp", "_max")
+    top = F.max("_max.mp_top").over(Window.partitionBy("session_id", "board"))  # at most two rows
+    best = best.select("session_id", "board", "side", F.col("_max.mp").alias("mp_max"), top.alias("mp_top"))
     best = mp.max_pct(best, "mp_max", "mp_top", "pct_max")
     return best.groupBy("session_id", "board").agg(
         F.max(F.when(F.col("side") == "NS", F.col("mp_max"))).alias("mp_dd_max_ns"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contracts, scoring
 from ..operators import matchpoints as mp
-from ..session import read_table
+from ..session import not_broadcast, read_table
 from ..sources import fixtures
 from .boards import scored_results
 from .oracle import sql_scored_results, with_fixtures
@@ -106,7 +106,7 @@ def _dd_candidates(spark, sf_dir):
     from .boards import with_board_facts
 
     bf = with_board_facts(b)
-    c = dd.join(bf, "deal_id").withColumns({
+    c = dd.join(not_broadcast(bf), "deal_id").withColumns({
         "declarer": F.substring(F.lit("NESW"), F.col("seat") + 1, 1),
         "strain_c": F.substring(F.lit("CDHSN"), F.col("strain") + 1, 1),
     })
