@@ -9,6 +9,7 @@ from ..operators import cache as C
 from ..operators import matchpoints as mp
 from ..operators import perspective as PV
 from ..operators import summary as S
+from ..session import not_broadcast
 from ..sources import board_text as BT
 from ..sources import fixtures
 from ..sources import pages as PG
@@ -57,7 +58,7 @@ join (values (0, '2S', '', 2), (1, 'PASS', '', 0), (2, '1N', 'XX', 0), (3, '3C',
 def q_lin_feed(spark, sf_dir):
     """Every deal written as a LIN line with its auction and claim, read back as a canonical result.  The oracle states the contract of each auction by hand."""
     a = fixtures.auctions(spark, sf_dir)
-    j = a.join(with_board_facts(fixtures.boards(spark, sf_dir)).select("deal_id", "board", "vul"), "deal_id").join(fixtures.deals(spark, sf_dir), "deal_id")
+    j = a.join(not_broadcast(with_board_facts(fixtures.boards(spark, sf_dir)).select("deal_id", "board", "vul")), "deal_id").join(not_broadcast(fixtures.deals(spark, sf_dir)), "deal_id")
     line = BT.render_lin(F.col("dealer"), F.col("pbn"), F.lit("o"), F.col("board"), F.col("calls"))
     lines = j.select("deal_id", F.concat(line, F.lit("mc|"), (F.col("deal_id") % 14).cast("string"), F.lit("|")).alias("value"))
     return BT.canonical_from_lin(BT.parse_lin(lines, "value")).select("deal_id", "board", "dealer", "pbn", "contract", "tricks", "result")
@@ -93,9 +94,9 @@ from scored join boards using (session_id, board) join deals using (deal_id) joi
 )
 def q_derived_values(spark, sf_dir):
     """Results with the stored par of their (deal, dealer, vulnerability), under legacy names; deals that are not stored drop out."""
-    b = with_board_facts(fixtures.boards(spark, sf_dir)).join(fixtures.deals(spark, sf_dir), "deal_id")
-    stored = b.join(fixtures.par_scores(spark, sf_dir), "deal_id").where("deal_id % 5 <> 0").select(F.col("pbn").alias("PBN"), F.col("dealer").alias("Dealer"), F.col("vul").alias("Vul"), "par_ns")
-    res = _results(spark, sf_dir).drop("dealer", "vul").join(b.select("session_id", "board", "pbn", "dealer", "vul"), ["session_id", "board"])
+    b = with_board_facts(fixtures.boards(spark, sf_dir)).join(not_broadcast(fixtures.deals(spark, sf_dir)), "deal_id")
+    stored = b.join(not_broadcast(fixtures.par_scores(spark, sf_dir)), "deal_id").where("deal_id % 5 <> 0").select(F.col("pbn").alias("PBN"), F.col("dealer").alias("Dealer"), F.col("vul").alias("Vul"), "par_ns")
+    res = _results(spark, sf_dir).drop("dealer", "vul").join(not_broadcast(b.select("session_id", "board", "pbn", "dealer", "vul")), ["session_id", "board"])
     out = C.attach_derived(res, CD.rename_legacy(stored))
     return out.select("session_id", "board", "l_orderkey", "l_linenumber", "score_ns", "par_ns", (F.col("score_ns") - F.col("par_ns")).alias("score_par_diff"))
 

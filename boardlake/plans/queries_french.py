@@ -12,6 +12,7 @@ from ..functions import contracts
 from ..functions import deals as D
 from ..functions.vocab import map_literal
 from ..operators import matchpoints as mp
+from ..session import not_broadcast
 from ..sources import fixtures
 from ..sources import french as FR
 from .boards import scored_results, with_board_facts
@@ -40,7 +41,7 @@ def section_feed(spark, sf_dir):
         F.when(even, gained("score_ns")).otherwise(gained("score_ew")).alias("score_eo"),
         F.when(even, gained("score_ew")).otherwise(gained("score_ns")).alias("score_ns"),
         (F.col("l_partkey") % 14 + 1).alias("team_ns_id"), (F.col("l_orderkey") % 14 + 1).alias("team_eo_id"), "l_orderkey", "l_linenumber")
-    b = with_board_facts(fixtures.boards(spark, sf_dir)).where("board % 16 <> 5").join(fixtures.deals(spark, sf_dir), "deal_id")
+    b = with_board_facts(fixtures.boards(spark, sf_dir)).where("board % 16 <> 5").join(not_broadcast(fixtures.deals(spark, sf_dir)), "deal_id")
     french = F.replace(F.translate("pbn", "KQJ", "RDV"), F.lit("T"), F.lit("10"))
     b = b.withColumn("_hands", F.transform(F.split(F.substr(french, F.lit(3)), " "), lambda h: F.split(h, r"\.", -1)))
     cards = [F.get(F.get("_hands", F.lit(i)), F.lit(j)).alias(f"deal_{w}Card{s.title()}") for i, w in enumerate(FR.SEAT_WORDS.values()) for j, s in enumerate(FR.SUIT_WORDS)]
@@ -119,8 +120,8 @@ def board_frequencies(rows):
 def lineup_feed(spark, sf_dir):
     """Rows of a lineup feed: a board's frequencies, its deal as given from East on odd boards, and the players at the table."""
     rows = lineup_results(spark, sf_dir)
-    b = fixtures.boards(spark, sf_dir).join(fixtures.deals(spark, sf_dir), "deal_id")
-    rows = rows.join(b, ["session_id", "board"]).join(board_frequencies(rows), ["session_id", "board"])
+    b = fixtures.boards(spark, sf_dir).join(not_broadcast(fixtures.deals(spark, sf_dir)), "deal_id")
+    rows = rows.join(not_broadcast(b), ["session_id", "board"]).join(not_broadcast(board_frequencies(rows)), ["session_id", "board"])
     home = F.when(F.col("l_linenumber") == 7, "").when(F.col("l_linenumber") % 2 == 1, "NS").otherwise("EW")
     away = F.when(home == "EW", "NS").otherwise("EW")
     lineup = {"home": (home, "l_partkey"), "away": (away, "l_orderkey")}

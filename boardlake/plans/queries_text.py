@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import not_broadcast
 from ..sources import board_text as BT
 from ..sources import fixtures
 from .boards import scored_results
@@ -23,8 +24,8 @@ from scored s join boards b using (session_id, board) join deals d using (deal_i
 def q_pbn_roundtrip(spark, sf_dir):
     """Every table result written as a PBN tag block, parsed back and canonicalised."""
     res = scored_results(fixtures.board_results(spark, sf_dir))
-    res = res.join(fixtures.boards(spark, sf_dir).select("session_id", "board", "deal_id"), ["session_id", "board"])
-    res = res.join(fixtures.deals(spark, sf_dir), "deal_id")
+    res = res.join(not_broadcast(fixtures.boards(spark, sf_dir).select("session_id", "board", "deal_id")), ["session_id", "board"])
+    res = res.join(not_broadcast(fixtures.deals(spark, sf_dir)), "deal_id")
     pbn_vul = F.element_at(F.create_map(*[F.lit(x) for x in ("None", "None", "N_S", "NS", "E_W", "EW", "Both", "All")]), F.col("vul"))
     block = BT.render_pbn(res, {
         "Event": F.col("session_id"), "Site": F.concat_ws("-", "l_orderkey", "l_linenumber"), "Board": F.col("board"),
@@ -53,7 +54,7 @@ def q_lin_roundtrip(spark, sf_dir):
     a = fixtures.auctions(spark, sf_dir)
     b = with_board_facts(fixtures.boards(spark, sf_dir)).select("deal_id", "board", "vul")
     d = fixtures.deals(spark, sf_dir)
-    j = a.join(b, "deal_id").join(d, "deal_id")
+    j = a.join(not_broadcast(b), "deal_id").join(not_broadcast(d), "deal_id")
     code = F.element_at(F.create_map(*[F.lit(x) for x in ("None", "o", "N_S", "n", "E_W", "e", "Both", "b")]), F.col("vul"))
     lines = j.select("deal_id", BT.render_lin(F.col("dealer"), F.col("pbn"), code, F.col("board"), F.col("calls")).alias("value"))
     out = BT.parse_lin(lines, "value")
@@ -69,7 +70,7 @@ def q_pbn_files(spark, sf_dir):
     """All deals written as PBN files of many boards, read back by byte ranges."""
     from ..streaming.scores import scratch_path
 
-    d = fixtures.deals(spark, sf_dir).join(fixtures.boards(spark, sf_dir).select("deal_id", "board"), "deal_id")
+    d = fixtures.deals(spark, sf_dir).join(not_broadcast(fixtures.boards(spark, sf_dir).select("deal_id", "board")), "deal_id")
     block = BT.render_pbn(d, {"Event": F.col("deal_id"), "Board": F.col("board"), "Deal": F.col("pbn")})
     path = scratch_path(spark, "pbn")
     # a block is one row of the file; blank lines, some with blanks and carriage returns, stand between

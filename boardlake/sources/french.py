@@ -13,6 +13,7 @@ from ..functions import codings as CD
 from ..functions import deals as D
 from ..functions.vocab import DIRECTIONS, map_literal
 from ..operators import matchpoints as mp
+from ..session import not_broadcast
 
 SEAT_WORDS = {"N": "north", "E": "east", "S": "south", "W": "west"}
 SUIT_WORDS = ("spade", "heart", "diamond", "club")
@@ -81,7 +82,7 @@ def canonical_french(tables: DataFrame, deals: DataFrame, roster: DataFrame, k=(
         CD.translate_direction(F.col("deal_dealer")).alias("dealer"), CD.translate_vul(F.col("deal_vulnerability")).alias("vul"),
         home.alias("pair_direction"), F.col("tournament_team_section_table_number").cast("int").alias("pair_number")).distinct()
     df = tables.withColumn("board", F.col("board").cast("int"))
-    df = df.join(played, (F.col("section") == F.col("_section")) & (F.col("board") == F.col("_board"))).drop("_section", "_board")
+    df = df.join(not_broadcast(played), (F.col("section") == F.col("_section")) & (F.col("board") == F.col("_board"))).drop("_section", "_board")
     own, other = feed_score(F.col(team), F.col(opponents)), feed_score(F.col(opponents), F.col(team))
     ns = F.col("pair_direction") == "NS"
     ew = F.col("pair_direction") == "EW"
@@ -93,7 +94,7 @@ def canonical_french(tables: DataFrame, deals: DataFrame, roster: DataFrame, k=(
     players = pair_players(roster)
     for side, seats in (("NS", "ns"), ("EW", "ew")):
         p = players.where(F.col("side") == side).select(F.col("section").alias("_section"), F.col("pair").alias("_pair"), F.col("player_1").alias("_1"), F.col("player_2").alias("_2"))
-        df = df.join(p, (F.col("section") == F.col("_section")) & (F.col(f"pair_number_{seats}") == F.col("_pair")), "left")
+        df = df.join(not_broadcast(p), (F.col("section") == F.col("_section")) & (F.col(f"pair_number_{seats}") == F.col("_pair")), "left")
         df = df.withColumns({f"player_{what}_{seat}": F.col(f"_{i}.{what}") for what in ("id", "name") for i, seat in ((1, seats[0]), (2, seats[1]))})
         df = df.drop("_section", "_pair", "_1", "_2")
     return mp.matchpoints(df, list(k))
