@@ -252,7 +252,7 @@ def matchpoints_asof(new: DataFrame, freq: DataFrame, k, score: str = "score", c
         "_exact_pct": F.max(F.when(~F.col("_new"), F.col("_pct"))).over(w_exact),
         "_next_beaten": F.first(F.when(~F.col("_new") , F.col("beaten")), ignorenulls=True).over(w_after),
     })
-    ans = u.filter(F.col("_new")).join(total, on=k, how="inner")
+    ans = u.filter(F.col("_new")).join(not_broadcast(total), on=k, how="inner")
     ans = ans.select(
         *k, "_v",
         F.when(F.col("_exact_pct").isNotNull(), F.col("_exact_pct"))
