@@ -1,10 +1,9 @@
 """Order statistics and dense ranks of columns that no single task could hold.
 
-``select_ranks`` finds the values at given ranks of every group exactly.  A mergeable quantile sketch gives each rank an
-interval; one aggregate counts what lies below, on and within its ends; the interval that holds the rank is kept and
-cut again until few values remain within, which are then ranked.  Every step is a scan with partial aggregates; a task holds
-sketches and at most ``FEW`` values of an interval, whatever the group's size.  Intervals exclude their ends once
-these are counted, so values that repeat without end stop the search instead of prolonging it.
+``select_ranks`` finds the values at given ranks of every group exactly.  Equal values of a group become one row with their
+count, and these are dealt to ranges of ``FEW`` values in order of group and value; the ranges' counts, added up (one row a range and
+group), tell which range holds a rank, and only within such ranges counts are added up value by value.  The table is read once, whatever
+the number of ranks; a window holds ``FEW`` values or a group's ranges, and a value that repeats without end is one row.
 
 ``dense_codes`` numbers distinct values in order: a range partitioning, counts of the partitions added up (one
 row a partition), and the position within the partition.
@@ -19,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-#: Values of an interval that are ranked in one task; accuracy of the sketches (rank error at most n / ACCURACY).
-FEW, ACCURACY = 10_000, 1_000
+#: Distinct values of a range, which are ranked in one task.
+FEW = 10_000
 
 
 def _same(keys: list[str], prefix: str):
@@ -31,47 +30,22 @@ def select_ranks(rows: DataFrame, keys: list[str], targets: DataFrame) -> DataFr
     """(keys..., r, value, below) for every target (keys..., r): the value at 0-based rank r of the group's ``x``, and how many
     values are smaller.  ``rows`` has the keys and a double ``x``; null values take no part; a rank beyond the group's size is left out.
     """
-    rows = rows.where(F.col("x").isNotNull()).select(*keys, "x")
-    ends = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("x").alias("_lo"), F.max("x").alias("_hi"))
-    ends = ends.withColumnsRenamed({k: f"_e_{k}" for k in keys})
-    joined = targets.select(*keys, "r").distinct().join(ends, _same(keys, "_e_")).where("r >= 0 and r < _n")
-    # an open interval (lo, hi) starts with its ends included; what is below it is counted in the first turn
-    open_ranks = cut_lineage(joined.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "r", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_n").alias("within")))
-    names, found = [f"_t_{k}" for k in keys], []
-    while not open_ranks.isEmpty():
-        near = rows.join(open_ranks, _same(keys, "_t_"))
-        x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
-        # a cut of the interval around the rank, from a sketch of the values within
-        cut = cut_lineage(near.groupBy(*names, "r", "lo", "hi", "within").agg(
-            F.count_if(x < lo).alias("_before"),
-            F.percentile_approx(F.when((x >= lo) & (x <= hi), x), F.array(*[F.lit(i / 100) for i in range(101)]), ACCURACY).alias("grid")))
-        share = (F.col("r") - F.col("_before")) / F.greatest(F.col("within") - 1, F.lit(1)) * 100
-        low = F.greatest(F.floor(share).cast("int") - 1, F.lit(0))
-        high = F.least(F.ceil(share).cast("int") + 1, F.lit(100))
-        cut = cut.select(*names, "r", F.when(low == 0, F.col("lo")).otherwise(F.get("grid", low)).alias("lo"),
-                         F.when(high == 100, F.col("hi")).otherwise(F.get("grid", high)).alias("hi"))
-        near = rows.join(cut, _same(keys, "_t_"))
-        counted = near.groupBy(*names, "r", "lo", "hi").agg(
-            F.count_if(x < lo).alias("lt"), F.count_if(x == lo).alias("at_lo"), F.count_if((x > lo) & (x < hi)).alias("mid"),
-            F.count_if((x == hi) & (lo != hi)).alias("at_hi"), F.min(F.when((x > lo) & (x < hi), x)).alias("first"), F.max(F.when((x > lo) & (x < hi), x)).alias("last"))
-        counted = cut_lineage(counted)
-        at = F.col("r") - F.col("lt")
-        on_lo, on_hi = (at >= 0) & (at < F.col("at_lo")), (at >= F.col("at_lo") + F.col("mid")) & (at < F.col("at_lo") + F.col("mid") + F.col("at_hi"))
-        between = (at >= F.col("at_lo")) & (at < F.col("at_lo") + F.col("mid"))
-        found.append(counted.where(on_lo).select(*names, "r", lo.alias("value"), F.col("lt").alias("below")))
-        found.append(counted.where(on_hi).select(*names, "r", hi.alias("value"), (F.col("lt") + F.col("at_lo") + F.col("mid")).alias("below")))
-        few = counted.where(between & (F.col("mid") <= FEW)).select(*names, "r", "lo", "hi", (F.col("lt") + F.col("at_lo")).alias("skip"))
-        w = Window.partitionBy(*names, "r").orderBy("x")
-        ranked = rows.join(few, _same(keys, "_t_")).where((x > lo) & (x < hi)).select(*names, "r", "x", "skip", F.row_number().over(w).alias("_i"), F.rank().over(w).alias("_first"))
-        found.append(ranked.where("_i = r - skip + 1").select(*names, "r", F.col("x").alias("value"), (F.col("skip") + F.col("_first") - 1).alias("below")))
-        # what remains: intervals of many values, now without their ends
-        many = counted.where(between & (F.col("mid") > FEW)).select(*names, "r", F.col("first").alias("lo"), F.col("last").alias("hi"), F.col("mid").alias("within"))
-        if not counted.where(~on_lo & ~on_hi & ~between).isEmpty():  # one row a rank
-            raise RuntimeError("a quantile sketch missed its rank by more than ten times its error bound")
-        open_ranks = cut_lineage(many)
-    if not found:
-        return open_ranks.select(*[F.col(f"_t_{k}").alias(k) for k in keys], "r", F.col("lo").alias("value"), F.col("within").alias("below"))
-    return reduce(DataFrame.unionByName, found).select(*[F.col(f"_t_{k}").alias(k) for k in keys], "r", "value", "below")
+    counted = rows.where(F.col("x").isNotNull()).groupBy(*keys, "x").agg(F.count("*").alias("_count"))
+    ranged = counted.repartitionByRange(*keys, "x").sortWithinPartitions(*keys, "x")
+    placed = cut_lineage(ranged.select(*keys, "x", "_count", F.monotonically_increasing_id().alias("_id")))  # partition number and position, kept as they are
+    block = F.shiftleft(F.shiftright("_id", 33), 33) + F.floor(F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) / FEW)
+    placed = placed.select(*keys, "x", "_count", block.alias("_part"))
+    sizes = placed.groupBy("_part", *keys).agg(F.sum("_count").alias("_size"))  # a row for every FEW values, at most one more a group
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = sizes.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"), "_size")
+    wanted = targets.select(*keys, "r").distinct().join(spans, _same(keys, "_t_") & (F.col("r") >= F.col("_start")) & (F.col("r") < F.col("_start") + F.col("_size")))
+    wanted = cut_lineage(wanted.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col("_part").alias("_t_part"), "r", "_start"))
+    here = _same(keys, "_t_") & (F.col("_part") == F.col("_t_part"))
+    within = Window.partitionBy("_part", *keys).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    near = placed.join(wanted, here, "left_semi").withColumn("_below", F.coalesce(F.sum("_count").over(within), F.lit(0)))
+    at = F.col("r") - F.col("_start") - F.col("_below")
+    found = near.join(wanted, here).where((at >= 0) & (at < F.col("_count")))
+    return found.select(*keys, "r", F.col("x").alias("value"), (F.col("_start") + F.col("_below")).alias("below"))
 
 
 def exact_quantiles(rows: DataFrame, keys: list[str], quantiles) -> DataFrame:

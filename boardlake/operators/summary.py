@@ -21,8 +21,8 @@ QUANTILES = (0.25, 0.5, 0.75)
 def describe(df: DataFrame, cols, by=None, digits: int = 6) -> DataFrame:
     """Count, nulls, mean, std, min, quartiles and max per column (per group when ``by``).
 
-    The columns are unpivoted, so one scan and one aggregate serve all of them; the quartiles are exact, by refined
-    intervals (``ranks``) instead of a buffer of a group's values.
+    The columns are unpivoted, so one scan and one aggregate serve all of them; the quartiles are exact, by counts of
+    ranges of values (``ranks``) instead of a buffer of a group's values.
     """
     by = [by] if isinstance(by, str) else list(by or [])
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).isNull().alias("_null"), F.col(c).cast("double").alias("x")) for c in cols])
