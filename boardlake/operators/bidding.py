@@ -209,6 +209,8 @@ def expand_auctions(hands: DataFrame, accepts: DataFrame, dealer: DataFrame, key
             return reduce(DataFrame.unionByName, done).select(key, F.col("prior_calls").alias("calls"), "round")
 
 
+#: Entries of a bidding table that is sent to the tasks whole; a larger one is joined by sorting.
+SENT_ENTRIES = 1 << 15
 #: Rules of one mask word (a long without its sign), and the most distinct criteria of a bidding table.
 WORD, MOST_RULES = 62, 2000
 
@@ -298,11 +300,12 @@ def expand_by_table(features: DataFrame, table: DataFrame, dealers: DataFrame, b
                     checkpoint_every: int = 4) -> DataFrame:
     """J11 with the bidding table as rows: (key, calls, bt_ids, completed_by_table) of every auction that a deal can have.
 
-    A frontier row is an auction so far with the masks of the four hands.  Each round joins it with the table's candidates after those
-    calls (one row per sequence, so the join grows no hot key beyond the frontier itself) and takes every bid whose path
-    the hand to call meets; without one it passes.  Auctions end with an entry marked completed, four passes or three passes after a bid.
+    A row is an auction so far with the masks of the four hands.  Each round joins the rows with the table's candidates after those
+    calls (one row a sequence; a table of up to ``SENT_ENTRIES`` entries is sent to the tasks, as all auctions start with the same
+    calls) and takes every bid whose path the hand to call meets; without one it passes.  Auctions end with an entry marked completed, four passes
+    or three passes after a bid; until the next reliable checkpoint they stay among the rows, so that no round is computed twice.
     Sequences in ``bogus`` are never bid.  Every round makes auctions one call longer, so no cycle is possible, and none is longer
-    than the rules allow (``LONGEST_AUCTION``).  Rounds are cut off with reliable checkpoints.
+    than the rules allow (``LONGEST_AUCTION``).
     """
     rules = table_rules(table)
     words = max(1, -(-len(rules) // WORD))
@@ -312,25 +315,34 @@ def expand_by_table(features: DataFrame, table: DataFrame, dealers: DataFrame, b
                         .groupBy(F.col("prior_calls").alias("calls")).agg(F.sort_array(F.collect_set(entry)).alias("candidates")))
     seat = F.instr(F.lit("NESW"), F.col("direction")) - 1
     hands = hand_masks(features, rules, (key, "direction")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(seat.alias("seat"), "mask"))).alias("hands"))
-    frontier = dealers.select(key, (F.instr(F.lit("NESW"), F.col("dealer")) - 1).alias("seat")).join(not_broadcast(hands), key).select(
-        key, "seat", F.transform("hands", lambda h: h["mask"]).alias("hands"), F.lit("").alias("calls"), F.array().cast("array<int>").alias("bt_ids"))
-    frontier, done, rounds = cut_lineage(frontier), [], 0
+    small = table.count() <= SENT_ENTRIES
+    after = after.select(F.col("calls").alias("_at"), "candidates")
+    after = F.broadcast(after) if small else not_broadcast(after)
+    rows = dealers.select(key, (F.instr(F.lit("NESW"), F.col("dealer")) - 1).alias("seat")).join(not_broadcast(hands), key).select(
+        key, "seat", F.transform("hands", lambda h: h["mask"]).alias("hands"), F.lit("").alias("calls"), F.array().cast("array<int>").alias("bt_ids"),
+        F.lit(False).alias("completed"), F.lit(False).alias("_done"))
+    rows, done, rounds = cut_lineage(rows), [], 0
     while True:
         if rounds == LONGEST_AUCTION:
             raise ValueError(f"auctions are still open after {LONGEST_AUCTION} calls: the bidding table accepts illegal bids")
+        over = F.col("_done")
         own = F.get("hands", F.col("seat"))
-        hits = F.filter("candidates", lambda c: _meets(own, c["need"], words))
-        passing = F.array(F.struct(F.lit("p").alias("bid"), F.lit(None).cast("int").alias("bt_id"), F.lit(False).alias("completed")))
-        bids = F.when(F.size(hits) > 0, F.transform(hits, lambda c: F.struct(c["bid"].alias("bid"), c["bt_id"].alias("bt_id"), c["completed"].alias("completed")))).otherwise(passing)
-        nxt = frontier.join(after, "calls", "left").select(key, "seat", "hands", "calls", "bt_ids", F.explode(bids).alias("x"))
-        nxt = nxt.select(key, ((F.col("seat") + 1) % 4).alias("seat"), "hands", F.concat_ws("-", F.when(F.col("calls") != "", F.col("calls")), "x.bid").alias("calls"),
-                         F.when(F.col("x.bt_id").isNull(), F.col("bt_ids")).otherwise(F.array_append("bt_ids", F.col("x.bt_id"))).alias("bt_ids"), F.col("x.completed").alias("completed"))
+        hits = F.when(~over, F.filter("candidates", lambda c: _meets(own, c["need"], words)))
+        # what ended waits by its key, so that it is spread where the table is not sent
+        nxt = rows.withColumn("_at", F.when(over, F.col(key).cast("string")).otherwise(F.col("calls"))).join(after, "_at", "left").withColumn("_hits", hits)
+        nxt = nxt.select(key, "seat", "hands", "calls", "bt_ids", "completed", "_done", F.explode_outer("_hits").alias("x"))
+        bid = F.when(F.col("x").isNull(), F.lit("p")).otherwise(F.col("x.bid"))
+        nxt = nxt.select(
+            key, ((F.col("seat") + 1) % 4).alias("seat"), F.when(~over, F.col("hands")).alias("hands"),
+            F.when(over, F.col("calls")).otherwise(F.concat_ws("-", F.when(F.col("calls") != "", F.col("calls")), bid)).alias("calls"),
+            F.when(F.col("x.bt_id").isNull(), F.col("bt_ids")).otherwise(F.array_append("bt_ids", F.col("x.bt_id"))).alias("bt_ids"),
+            (F.col("completed") | F.coalesce("x.completed", F.lit(False))).alias("completed"), "_done")
         passed = F.col("calls").rlike("^p-p-p-p$") | F.col("calls").rlike("[^p-].*-p-p-p$")
-        nxt = nxt.withColumn("_done", F.col("completed") | passed)
+        rows = nxt.withColumn("_done", over | F.col("completed") | passed)
         rounds += 1
         if rounds % checkpoint_every == 0:
-            nxt = cut_lineage(nxt)
-        done.append(nxt.where("_done").select(key, "calls", "bt_ids", F.col("completed").alias("completed_by_table")))
-        frontier = nxt.where("not _done").drop("completed", "_done")
-        if rounds % checkpoint_every == 0 and frontier.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+            rows = cut_lineage(rows)
+            done.append(rows.where("_done").select(key, "calls", "bt_ids", F.col("completed").alias("completed_by_table")))
+            rows = rows.where("not _done")
+            if rows.isEmpty():
+                return reduce(DataFrame.unionByName, done)
