@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import giving_back, saved
+from .common import by_bits, giving_back, key_bits, saved
 
 N, PERCENT = 3, 90
 COUNTER_BITS, LANES, PARITY = 20, 32, 4
@@ -125,9 +125,10 @@ def _near(a: str, b: str, percent: int) -> str:
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of the ids, once each: m and n copies of a row would give m x n pairs of the same texts.  Only texts of
-    ids that repeat are compared with each other."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    repeated = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("id")
+    ids that repeat are compared with each other.  Texts of other ids are dropped before the shuffle, but for a few (``by_bits``)."""
+    docs = by_bits(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), F.col("id"), key_bits(ids, "id"), True)
+    texts = docs.join(ids, "id", "left_semi")
+    repeated = docs.groupBy("id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("id")
     return texts.join(repeated, "id", "left_anti").unionAll(texts.join(repeated, "id", "left_semi").distinct())
 
 
@@ -198,17 +199,25 @@ def linked(docs: DataFrame, words: int = N, percent: int = PERCENT) -> tuple[Dat
     sets = ["sig1", "sig2", "n"]
     bits = [f"b{i}" for i in range(PARITY)]
     some = rows.where("n > 0 and doc_id is not null")
-    nodes = saved(some.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in bits]))
+    # the prefixes of sets that occur once are not shuffled
+    same = F.struct(*sets)
+    copied = some.groupBy(*sets).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(same.alias("set"))
+    marks = saved(key_bits(copied, "set"))
+    alone = by_bits(some, same, marks, False).select(*sets, F.col("doc_id").alias("rep"), "prefix", *bits)
+    grouped = saved(by_bits(some, same, marks, True).groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), *[F.first(c).alias(c) for c in bits]))
+    whole = alone.unionAll(grouped)
+    nodes = saved(whole.drop("prefix"))
     member = some.select("doc_id", *sets).distinct().join(nodes.select("rep", *sets), sets).select("doc_id", "rep").distinct()
     # a repeated id ties the sets of its texts together
     ties = (member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
             .select("doc_id", "a").join(member, "doc_id").select("a", F.col("rep").alias("b")))
     member = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
 
-    prefix = nodes.select("rep", "n", F.posexplode("prefix").alias("p", "h"))
-    met = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    # one shuffle by shingle both counts a shingle's sets and keeps the rows of those that meet
+    prefix = whole.select("rep", "n", F.posexplode("prefix").alias("p", "h"))
+    met = prefix.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("m > 1")
     earlier = F.row_number().over(Window.partitionBy("rep").orderBy("p")) - 1
-    shared = saved(prefix.join(met, "h").select("h", "rep", "n", "p", "m").withColumn("c", earlier))
+    shared = saved(met.select("h", "rep", "n", "p", "m").withColumn("c", earlier))
     pivots = shared.groupBy("h").agg(F.min(F.struct("p", "rep", "n", "c")).alias("pivot"))
     shared = saved(shared.join(pivots, "h"))
     row, pivot = _fields("r_"), _fields("v_", "pivot.")
@@ -249,12 +258,16 @@ def similar_components(docs: DataFrame, words: int = N, percent: int = PERCENT)
 
 def one_of_each(docs: DataFrame, words: int = N, percent: int = PERCENT) -> DataFrame:
     """One row (all its columns) of every component: that of the smallest doc_id; of rows that
-    repeat this id, the one with the smallest text.  Rows with a null id stay."""
-    gone = similar_components(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("nj_id")).distinct()
+    repeat this id, the one with the smallest text.  Rows with a null id stay.  Only rows whose id goes or repeats, and
+    a few more, are shuffled (``by_bits``)."""
+    gone = saved(similar_components(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("nj_id")).distinct())
     whole = docs.select(F.col("doc_id").cast("long").alias("nj_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("nj_row"))
-    kept = whole.join(gone, "nj_id", "left_anti")
+    ids = docs.select(F.col("doc_id").cast("long").alias("nj_id")).where("nj_id is not null")
+    marks = saved(key_bits(gone.unionAll(ids.groupBy("nj_id").agg(F.count(F.lit(1)).alias("nj_count")).where("nj_count > 1").select("nj_id")), "nj_id"))
+    plain = by_bits(whole, F.col("nj_id"), marks, False).select("nj_row")
+    kept = by_bits(whole, F.col("nj_id"), marks, True).join(gone, "nj_id", "left_anti")
     repeated = kept.where("nj_id is not null").groupBy("nj_id").agg(F.count(F.lit(1)).alias("nj_count")).where("nj_count > 1").select("nj_id")
     once = kept.join(repeated, "nj_id", "left_anti").select("nj_row")
     again = kept.join(repeated, "nj_id", "left_semi")
     first = again.groupBy("nj_id").agg(F.min_by("nj_row", F.struct(F.xxhash64("nj_row.text"), "nj_row.text")).alias("nj_row"))
-    return once.unionByName(first.select("nj_row")).select("nj_row.*")
+    return plain.unionByName(once).unionByName(first.select("nj_row")).select("nj_row.*")
