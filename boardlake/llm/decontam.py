@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import giving_back, saved
+from .common import map_batches, saved
 
 SPAN, K, W = 10, 5, 6
 SLOT_BITS = 22
@@ -88,7 +88,7 @@ def item_windows(items: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(r + w.first)), pa.array([kind] * len(h), pa.string()),
                                                       pa.array(np.full(len(h), n, np.int32)), pa.array(_long(h))], ["item_id", "kind", "n", "h"])
 
-    return items.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(giving_back(run), "item_id string, kind string, n int, h long").distinct()
+    return map_batches(items.select(F.col("item_id").cast("string").alias("item_id"), "text"), run, "item_id string, kind string, n int, h long").distinct()
 
 
 def candidates(docs: DataFrame, bits, lengths: list[int]) -> DataFrame:
@@ -143,7 +143,7 @@ def candidates(docs: DataFrame, bits, lengths: list[int]) -> DataFrame:
                                                  ["doc_id", "dc_key", "n_words", "cands"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("dc_key"), "text")
-    return slim.mapInArrow(giving_back(run), _BASE)
+    return map_batches(slim, run, _BASE)
 
 
 def row_key(docs: DataFrame):

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import by_bits, giving_back, key_bits, saved
+from .common import by_bits, key_bits, map_batches, saved
 
 N, PERCENT = 3, 90
 COUNTER_BITS, LANES, PARITY = 20, 32, 4
@@ -68,7 +68,7 @@ def shingle_counters(docs: DataFrame, words: int = N) -> np.ndarray:
             part = at[i:i + 4096]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(grid[part, j]) for j in range(LANES))], ["block", *lanes])
 
-    rows = docs.select("text").mapInArrow(giving_back(run), "block int, " + ", ".join(f"{c} long" for c in lanes))
+    rows = map_batches(docs.select("text"), run, "block int, " + ", ".join(f"{c} long" for c in lanes))
     got = rows.groupBy("block").agg(*[F.sum(c).alias(c) for c in lanes]).toPandas()  # at most 2 ** COUNTER_BITS / LANES rows
     grid = np.zeros(((1 << COUNTER_BITS) // LANES, LANES), np.int64)
     if len(got):
@@ -103,8 +103,8 @@ def sketches(docs: DataFrame, counters, words: int = N, percent: int = PERCENT)
                      wh.list_array(prefix.view(np.int64), p, pa.int64()), *map(pa.array, parity)],
                     ["doc_id", "n", "sig1", "sig2", "prefix", *bits])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        giving_back(run), "doc_id long, n long, sig1 long, sig2 long, prefix array<long>, " + ", ".join(f"{c} long" for c in bits))
+    return map_batches(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, sig1 long, sig2 long, prefix array<long>, " + ", ".join(f"{c} long" for c in bits))
 
 
 def _least_overlap(a: str, b: str, percent: int) -> str:
@@ -161,7 +161,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = N
                 ok = pa.array((100 * (na + nb - union) >= percent * union) & (union > 0))
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
-    return saved(both.select("a", "b", "text_a", "text_b").mapInArrow(giving_back(run), "a long, b long").distinct())
+    return saved(map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:

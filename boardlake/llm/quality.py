@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import giving_back, id_crc, one_label, saved
+from .common import id_crc, map_batches, one_label, saved
 
 FEATURES = ("log_words", "mean_word", "symbols", "marks", "upper", "digits", "distinct_words", "distinct_trigrams",
             "same_as_before", "top_word", "repeated_lines", "log_line", "log_sentence", "beyond_ascii")
@@ -150,15 +150,26 @@ def feature_rows(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), flat], ["doc_id", "features"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(giving_back(run), "doc_id long, features array<double>")
+    return map_batches(slim, run, "doc_id long, features array<double>")
+
+
+def labelled(features: DataFrame, labels: DataFrame, label: str = "quality", fold: int = FOLD, held_out: int = HELD_OUT) -> DataFrame:
+    """(label, features) of the labelled rows outside the held-out fold."""
+    return (features.where(id_crc(F.col("doc_id")) % fold != held_out)
+            .join(one_label(labels, label), "doc_id").select("label", "features"))
+
+
+def training_features(docs: DataFrame) -> DataFrame:
+    """(doc_id, features) of the rows outside the held-out fold, joined by sorting: with labels that are broadcast instead, statistics
+    and moments are one stage, each task of which keeps two Python workers, and these live on through the stages that follow."""
+    return feature_rows(docs.where(id_crc(F.col("doc_id")) % FOLD != HELD_OUT)).hint("merge")
 
 
 def fit(features: DataFrame, labels: DataFrame, label: str = "quality", fold: int = FOLD, held_out: int = HELD_OUT) -> Model:
     """Class moments over every labelled row outside the held-out fold, as Spark sums."""
     d = len(FEATURES)
     upper = [(i, j) for i in range(d) for j in range(i, d)]
-    train = (features.where(id_crc(F.col("doc_id")) % fold != held_out)
-             .join(one_label(labels, label), "doc_id").select("label", "features"))
+    train = labelled(features, labels, label, fold, held_out)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}
@@ -176,7 +187,7 @@ def fit(features: DataFrame, labels: DataFrame, label: str = "quality", fold: in
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(flat), pa.int32()), pa.array(range(len(flat)), pa.int32()), pa.array(flat)],
                                              ["label", "at", "value"])
 
-    sums = train.mapInArrow(giving_back(moments), "label int, at int, value double").groupBy("label", "at").agg(F.sum("value").alias("value"))
+    sums = map_batches(train, moments, "label int, at int, value double").groupBy("label", "at").agg(F.sum("value").alias("value"))
     got: dict[int, np.ndarray] = {}
     for r in sums.collect():  # two classes x 120 numbers
         got.setdefault(r["label"], np.zeros(1 + d + len(upper)))[r["at"]] = r["value"]
@@ -206,7 +217,7 @@ def score_rows(features: DataFrame, model: Model) -> DataFrame:
             x = b.column("features").flatten().to_numpy().reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
 
-    return features.mapInArrow(giving_back(run), "doc_id long, score double")
+    return map_batches(features, run, "doc_id long, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = FOLD, held_out: int = HELD_OUT) -> DataFrame:
@@ -221,10 +232,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows (all their columns) that the classifier does not reject.  Rows of the held-out fold
     are left out before their statistics are computed for training."""
-    model = fit(feature_rows(docs.where(id_crc(F.col("doc_id")) % FOLD != HELD_OUT)), labels)
+    model = fit(training_features(docs), labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             yield b.filter(pa.array(model.score(statistics(b.column("text"))) >= 0.5))
 
-    return docs.mapInArrow(giving_back(run), docs.schema)
+    return map_batches(docs, run, docs.schema)

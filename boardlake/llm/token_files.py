@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -31,13 +32,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import giving_back, shared_path
+from .common import map_batches, shared_path
 
 END_ID = 1
 #: Rows between two entries of the row index, bytes of a stripe, false positives of the Bloom filters.
 ROW_INDEX, STRIPE, FALSE_POSITIVES = 1000, 16 << 20, 0.01
 #: Runs in either half of a worker's cache; when the young half is full it becomes the old one.
-HALF = 350_000
+HALF = 200_000
 _SCHEMA = "part int, doc_id long, start_in_part long, n_tokens int, ids array<int>"
 _worker: dict = {}
 
@@ -86,7 +87,8 @@ class Encoder:
     def _run(self, run: str) -> bytes:
         if not run.isascii():
             run = run.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(run)], "<u4").tobytes()
+        ids = [t.id for t in self.tokenizer.model.tokenize(run)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
         if not self.by_runs or _ODD.search(text):
@@ -124,7 +126,7 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     order = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tf_tie", F.xxhash64("text"))
     order = order.repartitionByRange("doc_id", "tf_tie").sortWithinPartitions("doc_id", "tf_tie", "text")
-    return order.select("doc_id", "text").mapInArrow(giving_back(run), _SCHEMA)
+    return map_batches(order.select("doc_id", "text"), run, _SCHEMA)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
@@ -156,7 +158,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("part"), b.column("doc_id"), b.column("start_in_part"), pa.array(n), pa.array(crc, pa.int64())],
                                              ["part", "doc_id", "start_in_part", "n_tokens", "ids_crc32"])
 
-    rows = files.select("part", "doc_id", "start_in_part", "ids").mapInArrow(giving_back(run), "part int, doc_id long, start_in_part long, n_tokens long, ids_crc32 long")
+    rows = map_batches(files.select("part", "doc_id", "start_in_part", "ids"), run, "part int, doc_id long, start_in_part long, n_tokens long, ids_crc32 long")
     return (rows.join(parts, rows["part"] == parts["of_part"])
             .select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32"))
 
