@@ -103,15 +103,22 @@ class Encoder:
         return b"".join([young[r] for r in runs])
 
 
+def worker_encoder(model: str) -> Encoder:
+    """The one encoder of a Python worker.  A function of the module, which workers import: functions inside others are sent with
+    copies of the module's names they use, so a cache used there would be a new one in every task."""
+    if _worker.get("key") != (key := zlib.crc32(model.encode())):
+        _worker.clear()  # before the next is made
+        _worker.update(key=key, encoder=Encoder(model))
+    return _worker["encoder"]
+
+
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Rows of the files, in their order.  The vocabulary file is read on the driver and sent along."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _worker.get("key") != (key := zlib.crc32(model.value.encode())):
-            _worker.update(key=key, encoder=Encoder(model.value))
-        encoder, end = _worker["encoder"], np.array([END_ID], "<u4").tobytes()
+        encoder, end = worker_encoder(model.value), np.array([END_ID], "<u4").tobytes()
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):

@@ -71,3 +71,18 @@ def test_small_caches_give_the_same_ids(monkeypatch):
     assert [few(t) for t in texts] == want and len(few.old) < 30
     whole = [usual.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [list(memoryview(w).cast("I")) for w in want] == whole
+
+
+def test_a_worker_keeps_one_encoder(spark, monkeypatch):
+    from pathlib import Path
+
+    from pyspark import cloudpickle
+
+    model = Path(token_files.default_vocabulary()).read_text(encoding="utf-8")
+    tasks = []
+    monkeypatch.setattr(token_files, "map_batches", lambda df, run, schema: tasks.append(run))
+    token_files.encoded(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), token_files.default_vocabulary())
+    names = tasks[0].__code__.co_names
+    assert "worker_encoder" in names and "_worker" not in names and "Encoder" not in names
+    sent = cloudpickle.loads(cloudpickle.dumps(token_files.worker_encoder))
+    assert sent is token_files.worker_encoder and sent(model) is sent(model)
