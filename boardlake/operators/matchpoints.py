@@ -54,19 +54,50 @@ def matchpoints(
     """
     k = _keys(k)
     freq = by_key(df.groupBy(*k, score_ns, score_ew).agg(F.count(F.lit(1)).alias("_n")), *k)
-    less_ns, eq_ns, total = _running(freq, k, score_ns, "_n")
+    mp = frequency_matchpoints(freq, k, score_ns, score_ew).drop("_n")
+    cond = [df[c].eqNullSafe(mp[c]) for c in k + [score_ns, score_ew]]
+    out = df.join(mp, cond, "left").select(df["*"], mp["mp_top"], mp["mp_ns"], mp["mp_ew"])
+    return percentages(out)
+
+
+def frequency_matchpoints(freq: DataFrame, k, score_ns: str = "score_ns", score_ew: str = "score_ew", n: str = "_n") -> DataFrame:
+    """W1, W2 of the rows of a frequency table (k..., score_ns, score_ew, n, other columns), partitioned by ``k``: with mp_top, mp_ns, mp_ew."""
+    k = _keys(k)
+    columns = freq.columns
+    less_ns, eq_ns, total = _running(freq, k, score_ns, n)
     freq = freq.withColumns({"_less_ns": less_ns, "_eq_ns": eq_ns, "_total": total})
-    less_ew, eq_ew, _ = _running(freq, k, score_ew, "_n")
+    less_ew, eq_ew, _ = _running(freq, k, score_ew, n)
     freq = freq.withColumns({"_less_ew": less_ew, "_eq_ew": eq_ew})
-    mp = freq.select(
-        *k, score_ns, score_ew,
+    return freq.select(
+        *columns,
         (F.col("_total") - 1).cast("long").alias("mp_top"),
         F.when(F.col(score_ns).isNotNull(), F.col("_less_ns") + (F.col("_eq_ns") - 1) / 2.0).alias("mp_ns"),
         F.when(F.col(score_ew).isNotNull(), F.col("_less_ew") + (F.col("_eq_ew") - 1) / 2.0).alias("mp_ew"),
     )
-    cond = [df[c].eqNullSafe(mp[c]) for c in k + [score_ns, score_ew]]
-    out = df.join(mp, cond, "left").select(df["*"], mp["mp_top"], mp["mp_ns"], mp["mp_ew"])
-    return percentages(out)
+
+
+def board_scores(df: DataFrame, k, score_ns: str = "score_ns", score_ew: str = "score_ew") -> DataFrame:
+    """One row a board: ``k``, mp_top and ``_scores``, a list of (ns, ew, mp_ns, mp_ew) of its distinct scores.
+
+    For results that also meet their board's other facts: all of a board's facts lie on one row, and the results, a
+    query's widest rows, are shuffled once, by board.  The list is bounded by the finite set of bridge scores.
+    """
+    k = _keys(k)
+    freq = by_key(df.groupBy(*k, score_ns, score_ew).agg(F.count(F.lit(1)).alias("_n")), *k)
+    return list_scores(frequency_matchpoints(freq, k, score_ns, score_ew), k, score_ns, score_ew)
+
+
+def list_scores(freq: DataFrame, k, score_ns: str = "score_ns", score_ew: str = "score_ew") -> DataFrame:
+    """The rows of ``frequency_matchpoints`` as one row a board (see ``board_scores``)."""
+    one = F.struct(F.col(score_ns).alias("ns"), F.col(score_ew).alias("ew"), "mp_ns", "mp_ew")
+    return freq.groupBy(*_keys(k)).agg(F.max("mp_top").alias("mp_top"), F.collect_list(one).alias("_scores"))
+
+
+def listed_matchpoints(df: DataFrame, score_ns: str = "score_ns", score_ew: str = "score_ew", scores: str = "_scores") -> DataFrame:
+    """W1, W2 for results joined with ``board_scores``: mp_ns, mp_ew beside the board's mp_top (``percentages`` follow from these)."""
+    mine = F.filter(scores, lambda x: x["ns"].eqNullSafe(F.col(score_ns)) & x["ew"].eqNullSafe(F.col(score_ew)))
+    out = df.withColumn("_mine", F.get(mine, F.lit(0))).withColumns({"mp_ns": F.col("_mine.mp_ns"), "mp_ew": F.col("_mine.mp_ew")})
+    return out.drop("_mine", scores)
 
 
 def percentages(df: DataFrame, top: str = "mp_top") -> DataFrame:

@@ -9,13 +9,15 @@ one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, not_broadcast
 
 #: Keys among which rows without an id are dealt.
 NO_ID = 1 << 16
+#: Stands for unknown tricks in a list of double-dummy rows; no 32-bit number.
+NO_TRICKS = 1 << 40
 
 
 def rating_summary(df: DataFrame, value: str, id_col: str, out: str) -> DataFrame:
@@ -50,17 +52,33 @@ def ratings_many(df: DataFrame, specs) -> DataFrame:
     return out
 
 
-def with_declarer_columns(results: DataFrame, dd: DataFrame, key: str = "deal_id") -> DataFrame:
+def _contract_code() -> Column:
+    """A number for declarer and strain: 0 to 19, null for other letters."""
+    seat, strain = F.instr(F.lit("NESW"), F.col("declarer")) - 1, F.instr(F.lit("CDHSN"), F.col("strain")) - 1
+    return F.when((F.length("declarer") == 1) & (F.length("strain") == 1) & (seat >= 0) & (strain >= 0), seat * 5 + strain)
+
+
+def with_trick_lists(boards: DataFrame, dd: DataFrame, key: str = "deal_id") -> DataFrame:
+    """``boards`` with ``_dd``, a list of its deal's double-dummy rows (tricks x 32 + the code of seat and strain), null without any.
+
+    ``dd`` has key, declarer, strain, tricks (one row per seat and strain: 20 a deal, folded before they travel).
+    """
+    tricks = F.coalesce(F.col("tricks").cast("int").cast("long"), F.lit(NO_TRICKS))
+    lists = dd.withColumn("_at", _contract_code()).where(F.col("_at").isNotNull()).groupBy(key).agg(F.collect_list(tricks * 32 + F.col("_at")).alias("_dd"))
+    return boards.join(not_broadcast(lists), key, "left")
+
+
+def with_declarer_columns(results: DataFrame) -> DataFrame:
     """Double-dummy tricks and score of the contract played (undoubled when it makes,
     penalty doubled when it fails, whatever was bid), and differences.
 
-    ``results`` has key, declarer, strain, level, dbl, vul_declarer, tricks, score_declarer;
-    ``dd`` has key, declarer, strain, tricks (one row per seat and strain).
+    ``results`` has declarer, strain, level, dbl, vul_declarer, tricks, score_declarer and its board's ``_dd`` (``with_trick_lists``);
+    a deal that lists a seat and strain more than once gives a row for each.
     """
     from ..functions import scoring
 
-    d = dd.select(key, "declarer", "strain", F.col("tricks").alias("dd_tricks"))
-    j = results.join(not_broadcast(d), on=[key, "declarer", "strain"], how="left")
+    mine = F.transform(F.filter("_dd", lambda x: F.pmod(x, F.lit(32)) == F.col("_at")), lambda x: F.nullif(F.shiftright(x, 5), F.lit(NO_TRICKS)).cast("int"))
+    j = results.withColumn("_at", _contract_code()).withColumn("dd_tricks", F.explode_outer(mine)).drop("_at", "_dd")
     dd_score = scoring.score_sets_doubled(F.col("level"), F.col("strain"), F.col("vul_declarer"), F.col("dd_tricks"))
     return j.withColumns({
         "dd_score_declarer": dd_score,
@@ -70,13 +88,12 @@ def with_declarer_columns(results: DataFrame, dd: DataFrame, key: str = "deal_id
     })
 
 
-def with_par_columns(results: DataFrame, par: DataFrame, key: str = "deal_id", ev_max: str | None = None) -> DataFrame:
+def with_par_columns(j: DataFrame, ev_max: str | None = None) -> DataFrame:
     """The board's par score as seen by NS and by the declarer, score less par, whether the defenders held the
     declarer to par or less, and (with ``ev_max``, a column of the declarer's best expected value) score less that.
 
-    ``par`` has the key and ``par_ns``, one row a deal.  PASS and unknown declarers have no declarer columns.
+    The results have ``par_ns`` from their board.  PASS and unknown declarers have no declarer columns.
     """
-    j = results.join(not_broadcast(par.select(key, "par_ns")), key, "left")
     mine = F.when(F.col("declarer_pair") == "NS", F.col("par_ns")).when(F.col("declarer_pair") == "EW", -F.col("par_ns"))
     cols = {"par_declarer": mine.cast("int"), "score_par_diff_ns": (F.col("score_ns") - F.col("par_ns")).cast("int"),
             "score_par_diff_declarer": (F.col("score_declarer") - mine).cast("int"), "defender_ge_par": F.col("score_declarer") <= mine}

@@ -77,6 +77,39 @@ def _ev_score_literal(spark: SparkSession) -> list[int]:
     return [by[(s, lv, v, t)] for s in "CDHSN" for lv in range(1, 8) for v in (False, True) for t in range(14)]
 
 
+def first_score(strain: Column, level: Column, vul: Column) -> Column:
+    """Place of a contract's first score (of 0 tricks) in the list of EV scores, from 0."""
+    return ((F.instr(F.lit("CDHSN"), strain) - 1) * 7 + (level - 1)) * 28 + vul.cast("int") * 14
+
+
+def ev_numerator(spark: SparkSession, first: Column | None = None) -> Column:
+    """Sum of n_t x score_t of a contract (``first_score``, else the column _first) over the counts n0..n13 on its row: a dot product with a
+    literal copy of the score table."""
+    lit_scores = F.array(*[F.lit(x) for x in _ev_score_literal(spark)])
+    base = F.col("_first") if first is None else first
+    num = None
+    for t in range(14):
+        term = F.col(f"n{t}") * F.element_at(lit_scores, base + (t + 1))
+        num = term if num is None else num + term
+    return num
+
+
+def with_played_ev(results: DataFrame, samples: DataFrame, key: str = "deal_id", out: str = "ev_played") -> DataFrame:
+    """A1, A4: every result with the EV of the contract it played (null without samples of its declarer and strain).
+
+    ``results`` has key, declarer, declarer_pair, strain, level, vul_declarer (null counts as not vulnerable); ``samples`` the integer
+    codes.  The join meets one row of counts a (deal, pair, seat, strain) and the dot product is evaluated on the result's own row, so
+    no row of another level or vulnerability is ever made.
+    """
+    counts = trick_counts(samples, (key, "fixed_pair", "seat", "strain")).filter(F.col("fixed_pair") == F.col("seat") % 2)
+    counts = counts.withColumnsRenamed({"fixed_pair": "_pair", "seat": "_seat", "strain": "_strain"})
+    codes = {"_pair": F.when(F.col("declarer_pair") == "NS", 0).when(F.col("declarer_pair") == "EW", 1),
+             "_seat": F.instr(F.lit("NESW"), F.col("declarer")) - 1, "_strain": F.instr(F.lit("CDHSN"), F.col("strain")) - 1}
+    results = results.withColumn("_first", first_score(F.col("strain"), F.col("level"), F.coalesce(F.col("vul_declarer"), F.lit(False))))
+    j = results.withColumns(codes).join(not_broadcast(counts), [key, *codes], "left")
+    return j.withColumn(out, ev_numerator(results.sparkSession) / F.col("trials").cast("double")).drop(*codes, "_first", "trials", *[f"n{t}" for t in range(14)])
+
+
 def expected_values(counts: DataFrame, key: str = "deal_id", keep_numerator: bool = False) -> DataFrame:
     """A4: EV of every own-side declarer, strain, level and vulnerability (long form).
 
@@ -87,16 +120,10 @@ def expected_values(counts: DataFrame, key: str = "deal_id", keep_numerator: boo
     product with a literal score array (the score table is fixed-size): no join and no
     shuffle after the counts.
     """
-    spark = counts.sparkSession
-    lit_scores = F.array(*[F.lit(x) for x in _ev_score_literal(spark)])
     own = counts.filter(F.col("pair").contains(F.col("declarer")))
     combos = F.array(*[F.struct(F.lit(lv).alias("level"), F.lit(v).alias("vul_b")) for lv in range(1, 8) for v in (False, True)])
     e = own.select(key, "pair", "declarer", "strain", "trials", *[f"n{t}" for t in range(14)], F.inline(combos))
-    base = ((F.instr(F.lit("CDHSN"), F.col("strain")) - 1) * 7 + (F.col("level") - 1)) * 28 + F.col("vul_b").cast("int") * 14
-    num = None
-    for t in range(14):
-        term = F.col(f"n{t}") * F.element_at(lit_scores, base + (t + 1))
-        num = term if num is None else num + term
+    num = ev_numerator(counts.sparkSession, first_score(F.col("strain"), F.col("level"), F.col("vul_b")))
     cols = [
         key, "pair", "declarer", "strain", F.col("level").cast("int").alias("level"),
         F.when(F.col("vul_b"), F.lit("V")).otherwise(F.lit("NV")).alias("vul"),

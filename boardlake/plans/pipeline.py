@@ -2,41 +2,41 @@
 
 results -> contract parts and scores (C1-C9) -> matchpoints (W1-W3) -> deal join (J2) ->
 seats and player ids (C3) -> double-dummy columns (C11-C13) -> expected value of the
-contract actually played (A1, A4 joined on deal, side, declarer, strain, level, vul).
+contract actually played (A1, A4 joined on deal, side, declarer, strain).
+
+Results are shuffled twice: by board, where one row holds the board's deal, distinct scores with their matchpoints and
+double-dummy tricks, and by the played declarer and strain.  Columns that a result's own row gives are evaluated again after the
+first shuffle and not carried through it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import contracts
 from ..operators import matchpoints as mp
 from ..operators import ratings as R
 from ..operators import singledummy as SD
-from ..session import not_broadcast
+from ..session import not_broadcast, own_shuffle
 from .boards import scored_results
 
 PLAYERS = {"N": "player_n", "E": "player_e", "S": "player_s", "W": "player_w"}
 
 
+def with_players(results: DataFrame) -> DataFrame:
+    """C3 from the contract's text alone, before the results travel: four names become those that are asked for."""
+    return contracts.with_seats(results.withColumn("declarer", contracts.declarer_of(contracts.normalise_contract("contract"))), "declarer", PLAYERS)
+
+
 def enrich(results: DataFrame, boards: DataFrame, dd: DataFrame, sd_samples: DataFrame,
            k=("session_id", "board")) -> DataFrame:
-    """Scores, matchpoints, seats, DD columns and EV of the played contract for every result row.
+    """Scores, matchpoints, DD columns and EV of the played contract for every result row; seats and ids come from ``with_players``.
 
     ``dd`` has (deal_id, declarer, strain, tricks) with letter codes; ``sd_samples`` the
     fixture's integer codes (deal_id, fixed_pair, seat, strain, tricks, sample).
     """
-    res = mp.matchpoints(scored_results(results), list(k))
-    res = res.join(not_broadcast(boards.select(*k, "deal_id")), on=list(k), how="inner")
-    res = contracts.with_seats(res, "declarer", PLAYERS)
-    res = R.with_declarer_columns(res, dd)
-    # only the (deal, side, declarer, strain) groups that were actually played need EVs
-    played = res.select("deal_id", F.col("declarer_pair").alias("pair"), "declarer", "strain").filter(
-        F.col("declarer").isNotNull()).distinct()
-    counts = SD.name_codes(SD.trick_counts(sd_samples)).join(not_broadcast(played), ["deal_id", "pair", "declarer", "strain"], "left_semi")
-    ev = SD.expected_values(counts)
-    ev = ev.select("deal_id", F.col("pair").alias("declarer_pair"), "declarer", "strain", "level",
-                   F.col("vul").alias("_vul"), F.col("ev").alias("ev_played"))
-    res = res.withColumn("_vul", F.when(F.col("vul_declarer"), F.lit("V")).otherwise(F.lit("NV")))
-    return res.join(not_broadcast(ev), on=["deal_id", "declarer_pair", "declarer", "strain", "level", "_vul"], how="left").drop("_vul")
+    k = list(k)
+    facts = R.with_trick_lists(boards.select(*k, "deal_id"), dd)
+    facts = own_shuffle(mp.board_scores(scored_results(results), k).join(not_broadcast(facts), k), *k)
+    res = scored_results(results.join(not_broadcast(facts), on=k))
+    return mp.percentages(SD.with_played_ev(R.with_declarer_columns(mp.listed_matchpoints(res)), sd_samples))

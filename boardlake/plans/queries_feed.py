@@ -67,7 +67,7 @@ from seen m left join ev on ev.deal_id = m.deal_id and ev.pair = m.declarer_pair
 )
 def q_feed_pipeline(spark, sf_dir):
     """Result pages and results to enriched results with the perspective of each session's best pair."""
-    results = fixtures.board_results(spark, sf_dir).drop("player_n", "player_e", "player_s", "player_w")
+    results = fixtures.board_results(spark, sf_dir, by_rows=False).drop("player_n", "player_e", "player_s", "player_w")
     results = results.withColumns({"pair_no_ns": F.col("l_partkey") % 12 + 1, "pair_no_ew": F.col("l_orderkey") % 13 + 1})
     out = process_feed(fixtures.feed_pages(spark, sf_dir), results, fixtures.boards(spark, sf_dir), dd_named(spark, sf_dir), fixtures.sd_samples(spark, sf_dir))
     return out.select(*FEED_COLS)

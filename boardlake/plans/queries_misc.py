@@ -12,7 +12,7 @@ from ..session import read_table
 from ..sources import fixtures
 from .boards import scored_results
 from .oracle import sql_scored_results, with_fixtures
-from .queries_results import PLAYERS
+from .pipeline import PLAYERS
 from .registry import register
 
 SCORED = with_fixtures(["board_results"], sql_scored_results(), "{body}")

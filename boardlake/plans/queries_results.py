@@ -10,23 +10,24 @@ from ..session import not_broadcast
 from ..sources import fixtures
 from .boards import scored_results
 from .oracle import sql_score, sql_scored_results, with_fixtures
+from .pipeline import with_players
 from .queries_sd import DD_NAMED_CTE, dd_named
 from .registry import register
 
-PLAYERS = {"N": "player_n", "E": "player_e", "S": "player_s", "W": "player_w"}
-
 
 def attach_deals(results, boards, k=("session_id", "board")):
     """Results joined to their board's deal on (session, board)."""
-    return results.join(not_broadcast(boards.select(*k, "deal_id")), on=list(k), how="inner")
+    return results.join(not_broadcast(boards), on=list(k), how="inner")
 
 
-def declarer_df(spark, sf_dir):
-    res = scored_results(fixtures.board_results(spark, sf_dir))
-    res = attach_deals(res, fixtures.boards(spark, sf_dir))
-    res = contracts.with_seats(res, "declarer", PLAYERS)
-    res = R.with_declarer_columns(res, dd_named(spark, sf_dir))
-    return contracts.with_trick_flags(res, "result", "tricks")
+def declarer_df(spark, sf_dir, par=None):
+    """Results with seats, ids and double-dummy columns (and ``par_ns`` of the table ``par``); everything of a deal is gathered on its board's
+    row, so that results are shuffled once, and what a result's own row gives is evaluated after."""
+    boards = fixtures.boards(spark, sf_dir)
+    if par is not None:
+        boards = boards.join(not_broadcast(par.select("deal_id", "par_ns")), "deal_id", "left")
+    res = attach_deals(with_players(fixtures.board_results(spark, sf_dir)), R.with_trick_lists(boards, dd_named(spark, sf_dir)))
+    return contracts.with_trick_flags(R.with_declarer_columns(scored_results(res)), "result", "tricks")
 
 
 SEATS_SQL = """seats as (select s.*, b.deal_id,
@@ -80,7 +81,7 @@ from rated"""),
 def q_ratings(spark, sf_dir):
     """Declarer rating (mean tricks over double dummy) and defender ratings (mean of holding the
     declarer to par or less) per player, on every result row."""
-    d = R.with_par_columns(declarer_df(spark, sf_dir), fixtures.par_scores(spark, sf_dir)).select(
+    d = R.with_par_columns(declarer_df(spark, sf_dir, fixtures.par_scores(spark, sf_dir))).select(
         "session_id", "board", "l_orderkey", "l_linenumber", "declarer_id", "on_lead_id", "not_on_lead_id",
         "tricks_dd_diff", "score_par_diff_ns", "defender_ge_par")
     return R.ratings_many(d, [("tricks_dd_diff", "declarer_id", "declarer_rating"),

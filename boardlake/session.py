@@ -12,6 +12,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "boardlake") -> SparkSession:
@@ -99,9 +100,21 @@ def not_broadcast(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Read one parquet table (optionally only some columns), spread over the cluster's cores."""
+def own_shuffle(df: DataFrame, *keys: str) -> DataFrame:
+    """A join side that grew on the join's keys, shuffled on its own all the same (its names and rows stay as they are).
+
+    Adaptive execution splits a hot key's partition only where both sides of a join are plain shuffles.
+    """
+    return df.withColumns({c: F.array_max(F.array(c)) for c in keys})
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None, by_rows: bool = True) -> DataFrame:
+    """Read one parquet table (optionally only some columns), spread over the cluster's cores.
+
+    A large table that is shuffled by key at once needs no tasks of a stated number of rows: without ``by_rows`` it is dealt out
+    only if it comes in fewer splits than there are cores, and is not written to disk once more.
+    """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if columns:
         df = df.select(*columns)
-    return spread(df, df.count())  # from the files' footers
+    return spread(df, df.count() if by_rows else 0)  # from the files' footers

@@ -43,9 +43,9 @@ def boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(b, BOARDS_PER_SESSION * s.count(), BOARDS_A_TASK)
 
 
-def board_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def board_results(spark: SparkSession, sf_dir: str, by_rows: bool = True) -> DataFrame:
     """One played table result per lineitem row; (l_orderkey, l_linenumber, l_partkey, session_id) is its id."""
-    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate"])
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate"], by_rows)
     contract = F.when(F.col("l_partkey") % 97 == 0, F.lit("PASS")).otherwise(
         F.concat(
             (F.col("l_partkey") % 7 + 1).cast("string"),
