@@ -33,6 +33,6 @@ from mm m left join ev on ev.deal_id = m.deal_id and ev.pair = m.declarer_pair a
 )
 def q_enrich_results(spark, sf_dir):
     """Every table result enriched end to end: score, matchpoints, seats, DD tricks and EV of the contract played."""
-    out = enrich(with_players(fixtures.board_results(spark, sf_dir)), fixtures.boards(spark, sf_dir), dd_named(spark, sf_dir),
+    out = enrich(with_players(fixtures.board_results(spark, sf_dir, by_rows=False)), fixtures.boards(spark, sf_dir), dd_named(spark, sf_dir),
                  fixtures.sd_samples(spark, sf_dir))
     return out.select(*COLS)

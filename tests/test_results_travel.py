@@ -41,7 +41,7 @@ def no_broadcasts(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
 
 
-@pytest.mark.parametrize("name, most", [("feed_pipeline", 3)])
+@pytest.mark.parametrize("name, most", [("feed_pipeline", 3), ("enrich_results", 2)])
 def test_results_are_shuffled_once_a_join(spark, tables, no_broadcasts, name, most):
     assert shuffles(all_queries()[name].build(spark, tables), "l_linenumber") == most
 
