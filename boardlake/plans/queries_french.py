@@ -23,13 +23,13 @@ LETTERS = {"S": "P", "H": "C", "D": "K", "C": "T", "N": "SA"}
 VULS = {"None": "Personne", "N_S": "NS", "E_W": "EO", "Both": "Tous"}
 
 
-def _results(spark, sf_dir):
-    return scored_results(fixtures.board_results(spark, sf_dir))
+def _results(spark, sf_dir, by_rows=True):
+    return scored_results(fixtures.board_results(spark, sf_dir, by_rows))
 
 
 def section_feed(spark, sf_dir):
     """(tables, deals, roster) of a section feed: section = session; the home pair sits North-South in even sessions."""
-    res = _results(spark, sf_dir)
+    res = _results(spark, sf_dir, by_rows=False)
     passed = F.col("contract") == "PASS"
     gained = lambda c: F.when(passed, F.lit("Passe")).when(F.col(c) > 0, F.col(c).cast("string")).otherwise(F.lit(""))
     even = F.col("session_id") % 2 == 0

@@ -1,7 +1,7 @@
 """Two French result feeds as canonical results (C17): a section's table listing, and a session's lineups.
 
 Both give one row per table result with this library's column names.  The work is row-local but for the joins
-that look up a board's deal and a pair's players (J6, one join a side) and the matchpoints (W1-W3).
+that look up the players of a section's pairs (J6) and a board's deal with the matchpoints of its scores (W1-W3).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from ..functions import codings as CD
 from ..functions import deals as D
 from ..functions.vocab import DIRECTIONS, map_literal
 from ..operators import matchpoints as mp
-from ..session import not_broadcast
+from ..session import by_key, not_broadcast, own_shuffle
 
 SEAT_WORDS = {"N": "north", "E": "east", "S": "south", "W": "west"}
 SUIT_WORDS = ("spade", "heart", "diamond", "club")
@@ -82,22 +82,35 @@ def canonical_french(tables: DataFrame, deals: DataFrame, roster: DataFrame, k=(
         CD.translate_direction(F.col("deal_dealer")).alias("dealer"), CD.translate_vul(F.col("deal_vulnerability")).alias("vul"),
         home.alias("pair_direction"), F.col("tournament_team_section_table_number").cast("int").alias("pair_number")).distinct()
     df = tables.withColumn("board", F.col("board").cast("int"))
-    df = df.join(not_broadcast(played), (F.col("section") == F.col("_section")) & (F.col("board") == F.col("_board"))).drop("_section", "_board")
+    k = list(k)
     own, other = feed_score(F.col(team), F.col(opponents)), feed_score(F.col(opponents), F.col(team))
     ns = F.col("pair_direction") == "NS"
     ew = F.col("pair_direction") == "EW"
-    df = df.withColumns({
-        "contract": french_contract(F.col("contract"), F.col("declarant")), "result": feed_result(F.col("result")),
-        "_ns": F.when(ns, own).when(ew, other), "_ew": F.when(ew, own).when(ns, other),
-        "pair_number_ns": F.col("team_ns_id").cast("int"), "pair_number_ew": F.col("team_eo_id").cast("int")})
-    df = df.drop(team, opponents, "declarant", "team_ns_id", "team_eo_id").withColumnsRenamed({"_ns": "score_ns", "_ew": "score_ew"})
-    players = pair_players(roster)
+    scores = {"_ns": F.when(ns, own).when(ew, other), "_ew": F.when(ew, own).when(ns, other)}
+    this_board = (F.col("section") == F.col("_section")) & (F.col("board") == F.col("_board"))
+    # a board's distinct texts are few, so its matchpoints need none of the tables' other columns
+    texts = df.groupBy(*dict.fromkeys(["section", "board", *k]), team, opponents).agg(F.count(F.lit(1)).alias("_n"))
+    texts = by_key(texts, "section", "board").join(not_broadcast(played.select("_section", "_board", "pair_direction")), this_board).withColumns(scores)
+    freq = texts.groupBy(*k, "_ns", "_ew").agg(F.sum("_n").alias("_n"))
+    listed = mp.list_scores(mp.frequency_matchpoints(freq, k, "_ns", "_ew"), k, "_ns", "_ew")
+    facts = played.withColumnsRenamed({"_section": "section", "_board": "board"})
+    if k == ["section", "board"]:
+        facts = own_shuffle(listed.join(not_broadcast(facts), k), *k)
+    players = pair_players(roster).groupBy("section").agg(F.collect_list(F.struct("side", "pair", "player_1", "player_2")).alias("_players"))
+    df = df.withColumns({"pair_number_ns": F.col("team_ns_id").cast("int"), "pair_number_ew": F.col("team_eo_id").cast("int")}).drop("team_ns_id", "team_eo_id")
+    df = df.join(not_broadcast(own_shuffle(players, "section")), "section", "left")
     for side, seats in (("NS", "ns"), ("EW", "ew")):
-        p = players.where(F.col("side") == side).select(F.col("section").alias("_section"), F.col("pair").alias("_pair"), F.col("player_1").alias("_1"), F.col("player_2").alias("_2"))
-        df = df.join(not_broadcast(p), (F.col("section") == F.col("_section")) & (F.col(f"pair_number_{seats}") == F.col("_pair")), "left")
-        df = df.withColumns({f"player_{what}_{seat}": F.col(f"_{i}.{what}") for what in ("id", "name") for i, seat in ((1, seats[0]), (2, seats[1]))})
-        df = df.drop("_section", "_pair", "_1", "_2")
-    return mp.matchpoints(df, list(k))
+        mine = F.filter("_players", lambda x: (x["side"] == side) & (x["pair"] == F.col(f"pair_number_{seats}")))  # noqa: B023
+        df = df.withColumn("_pair", F.get(mine, F.lit(0)))
+        df = df.withColumns({f"player_{what}_{seat}": F.col(f"_pair.player_{i}.{what}") for what in ("id", "name") for i, seat in ((1, seats[0]), (2, seats[1]))})
+    df = df.drop("_players", "_pair").join(not_broadcast(facts), ["section", "board"])
+    df = df.withColumns({"contract": french_contract(F.col("contract"), F.col("declarant")), "result": feed_result(F.col("result")), **scores})
+    df = df.drop(team, opponents, "declarant").withColumnsRenamed({"_ns": "score_ns", "_ew": "score_ew"})
+    if k != ["section", "board"]:
+        listed = listed.withColumnsRenamed({c: f"_k_{c}" for c in k})
+        same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in k]
+        df = df.join(not_broadcast(listed), same, "left").drop(*[f"_k_{c}" for c in k])
+    return mp.percentages(mp.listed_matchpoints(df))
 
 
 def frequency_lists(freqs: str = "board_frequencies") -> dict[str, Column]:

@@ -12,6 +12,7 @@ from boardlake.operators import singledummy as SD
 from boardlake.plans.feed import best_pairs, page_facts
 from boardlake.plans.queries import all_queries
 from boardlake.session import own_shuffle
+from boardlake.sources import french as FR
 
 
 @pytest.fixture(scope="module")
@@ -27,22 +28,17 @@ def tables(spark, tmp_path_factory):
 
 
 def shuffles(df, column: str) -> int:
-    """Shuffles by key that carry ``column``."""
-    plan = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    """Shuffles by key that carry ``column``, with small tables joined as large ones are."""
+    conf, jvm = df.sparkSession.conf, df.sparkSession._jvm
+    was = conf.get("spark.sql.autoBroadcastJoinThreshold")
+    conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = df._jdf.queryExecution().explainString(jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     return sum(f"{column}#" in x for x in re.findall(r"\) Exchange\nInput \[\d+\]: (.*)\nArguments: hashpartitioning", plan))
 
 
-@pytest.fixture
-def no_broadcasts(spark):
-    """Small tables are joined as large ones are."""
-    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    yield
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
-
-
-@pytest.mark.parametrize("name, most", [("feed_pipeline", 3), ("enrich_results", 2)])
-def test_results_are_shuffled_once_a_join(spark, tables, no_broadcasts, name, most):
+@pytest.mark.parametrize("name, most", [("feed_pipeline", 3), ("enrich_results", 2), ("french_sections", 2)])
+def test_results_are_shuffled_once_a_join(spark, tables, name, most):
     assert shuffles(all_queries()[name].build(spark, tables), "l_linenumber") == most
 
 
@@ -90,3 +86,23 @@ def test_page_facts_hold_the_best_and_all_pairs(spark):
     pairs = spark.createDataFrame(rows, "page_id long, club string, event string, direction string, position int, pair_number int, player_1 string, player_2 string, match_points double, score_percent double")
     got = {r.page_id: (tuple(r["_best"]), len(r["_pairs"])) for r in page_facts(pairs).collect()}
     assert got == {r.page_id: (tuple(r)[1:], {1: 3, 2: 1}[r.page_id]) for r in best_pairs(pairs).collect()} and got[1][0][4] == "C"
+
+
+@pytest.mark.parametrize("k", [["section", "board"], ["board"], ["declared"]])
+def test_french_tables_of_twice_listed_boards(spark, k):
+    rng = random.Random(4)
+    rows = [(rng.choice("AB"), rng.choice("12"), "4P", "N", "=", *rng.choice([("420", ""), ("", "50"), ("60%", "40%"), ("450", "")]), "1", "1", rng.choice([None, 1, 2])) for _ in range(40)]
+    tables = spark.createDataFrame(rows, "section string, board string, contract string, declarant string, result string, score_eo string, score_ns string, team_ns_id string, team_eo_id string, declared int")
+    words = [f"deal_{d}Card{s}" for d in ("north", "east", "south", "west") for s in ("Spade", "Heart", "Diamond", "Club")]
+    boards = [("A", "1", "O", "Tous", "NS", "EO", "1"), ("A", "1", "O", "Tous", "NS", "EO", "2"), ("A", "2", "O", "Tous", "EO", "NS", "1"), ("B", "1", "O", "Tous", "NS", "EO", "1")]
+    deals = spark.createDataFrame([(*b, *["A"] * 16) for b in boards], "tournament_team_section_name string, deal_dealNumber string, deal_dealer string, deal_vulnerability string, teams_players_position string, "
+                                  "teams_opponents_position string, tournament_team_section_table_number string, " + ", ".join(f"{c} string" for c in words))
+    roster = spark.createDataFrame([("A", "NS", "1", 1, 7, "f", "l"), ("A", "NS", "1", 1, 8, "g", "m"), (None, "NS", "1", 1, 9, "h", "n")],
+                                   "team_section_name string, team_orientation string, team_table_number string, team_players_position int, team_players_id long, team_players_firstname string, team_players_lastname string")
+    out = FR.canonical_french(tables, deals, roster, k)
+    scores = ["mp_top", "mp_ns", "mp_ew", "pct_ns", "pct_ew"]
+    again = mp.matchpoints(out.drop(*scores), k)
+    assert sorted(map(str, out.select(again.columns).collect())) == sorted(map(str, again.collect()))
+    times = {("A", "1"): 2, ("A", "2"): 1, ("B", "1"): 1}
+    assert out.count() == sum(times.get(r[:2], 0) for r in rows)  # pair 1 and pair 2 are listed for the first board
+    assert {(r.section, r.player_id_n, r.player_name_n, r.player_id_e) for r in out.collect()} == {("A", "8", "g m", None), ("B", None, None, None)}
