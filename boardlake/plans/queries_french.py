@@ -12,7 +12,7 @@ from ..functions import contracts
 from ..functions import deals as D
 from ..functions.vocab import map_literal
 from ..operators import matchpoints as mp
-from ..session import not_broadcast
+from ..session import by_key, not_broadcast, own_shuffle
 from ..sources import fixtures
 from ..sources import french as FR
 from .boards import scored_results, with_board_facts
@@ -102,13 +102,20 @@ def q_french_sections(spark, sf_dir):
     return FR.canonical_french(*section_feed(spark, sf_dir)).select(*SECTION_COLS)
 
 
-def lineup_results(spark, sf_dir):
-    """Results with the score texts and notes that a lineup feed writes."""
-    df = mp.matchpoints(_results(spark, sf_dir))
+def with_score_texts(df):
     passed, adjusted = F.col("contract") == "PASS", F.col("score_ns").isNull()
-    note = lambda side, given: F.when(adjusted, F.lit(given)).otherwise(F.expr(f"cast(mp_{side} * 2 as bigint) * 100 div nullif(2 * mp_top, 0)")).cast("double")
     text = lambda side, given: F.when(adjusted, F.lit(given)).when(passed, F.lit("PASS")).when(F.col(f"score_{side}") > 0, F.col(f"score_{side}").cast("string")).otherwise(F.lit(""))
-    return df.withColumns({"nsScore": text("ns", "60%"), "ewScore": text("ew", "40%"), "nsNote": note("ns", 60), "ewNote": note("ew", 40)})
+    return df.withColumns({"nsScore": text("ns", "60%"), "ewScore": text("ew", "40%")})
+
+
+def with_notes(df):
+    note = lambda side, given: F.when(F.col("score_ns").isNull(), F.lit(given)).otherwise(F.expr(f"cast(mp_{side} * 2 as bigint) * 100 div nullif(2 * mp_top, 0)")).cast("double")
+    return df.withColumns({"nsNote": note("ns", 60), "ewNote": note("ew", 40)})
+
+
+def lineup_results(spark, sf_dir):
+    """Results with the score texts and notes that a lineup feed writes."""
+    return with_notes(with_score_texts(mp.matchpoints(_results(spark, sf_dir))))
 
 
 def board_frequencies(rows):
@@ -117,11 +124,27 @@ def board_frequencies(rows):
     return f.groupBy("session_id", "board").agg(F.sort_array(F.collect_list(F.struct("nsScore", "nsNote", "ewScore", "ewNote", "count"))).alias("board_frequencies"))
 
 
+def listed_frequencies(res):
+    """``board_frequencies`` of results, from their distinct scores: (session_id, board, board_frequencies)."""
+    k = ["session_id", "board"]
+    kinds = res.withColumn("contract", F.when(F.col("contract") == "PASS", F.col("contract")))  # what the texts depend on
+    kinds = by_key(kinds.groupBy(*k, "contract", "score_ns", "score_ew").agg(F.count(F.lit(1)).alias("_n")), *k)
+    rows = with_notes(with_score_texts(mp.frequency_matchpoints(kinds, k)))
+    one = F.struct("nsScore", "nsNote", "ewScore", "ewNote", F.col("_n").alias("count"))
+    return rows.groupBy(*k).agg(F.sort_array(F.collect_list(one)).alias("board_frequencies"))
+
+
 def lineup_feed(spark, sf_dir):
-    """Rows of a lineup feed: a board's frequencies, its deal as given from East on odd boards, and the players at the table."""
-    rows = lineup_results(spark, sf_dir)
+    """Rows of a lineup feed: a board's frequencies, its deal as given from East on odd boards, and the players at the table.
+
+    A row's notes are those of its texts in its board's frequencies, so the results meet their board's row once and are shuffled once.
+    """
+    k = ["session_id", "board"]
     b = fixtures.boards(spark, sf_dir).join(not_broadcast(fixtures.deals(spark, sf_dir)), "deal_id")
-    rows = rows.join(not_broadcast(b), ["session_id", "board"]).join(not_broadcast(board_frequencies(rows)), ["session_id", "board"])
+    b = own_shuffle(listed_frequencies(_results(spark, sf_dir, by_rows=False)).join(not_broadcast(b), k), *k)
+    rows = with_score_texts(scored_results(fixtures.board_results(spark, sf_dir, by_rows=False).join(not_broadcast(b), k)))
+    mine = F.filter("board_frequencies", lambda x: (x["nsScore"] == F.col("nsScore")) & (x["ewScore"] == F.col("ewScore")))
+    rows = rows.withColumn("_mine", F.get(mine, F.lit(0))).withColumns({c: F.col(f"_mine.{c}") for c in ("nsNote", "ewNote")})
     home = F.when(F.col("l_linenumber") == 7, "").when(F.col("l_linenumber") % 2 == 1, "NS").otherwise("EW")
     away = F.when(home == "EW", "NS").otherwise("EW")
     lineup = {"home": (home, "l_partkey"), "away": (away, "l_orderkey")}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from boardlake.operators import matchpoints as mp
 from boardlake.operators import ratings as R
 from boardlake.operators import singledummy as SD
+from boardlake.plans import queries_french as QF
 from boardlake.plans.feed import best_pairs, page_facts
 from boardlake.plans.queries import all_queries
 from boardlake.session import own_shuffle
@@ -37,7 +38,7 @@ def shuffles(df, column: str) -> int:
     return sum(f"{column}#" in x for x in re.findall(r"\) Exchange\nInput \[\d+\]: (.*)\nArguments: hashpartitioning", plan))
 
 
-@pytest.mark.parametrize("name, most", [("feed_pipeline", 3), ("enrich_results", 2), ("french_sections", 2)])
+@pytest.mark.parametrize("name, most", [("feed_pipeline", 3), ("enrich_results", 2), ("french_sections", 2), ("french_lineup", 1)])
 def test_results_are_shuffled_once_a_join(spark, tables, name, most):
     assert shuffles(all_queries()[name].build(spark, tables), "l_linenumber") == most
 
@@ -106,3 +107,8 @@ def test_french_tables_of_twice_listed_boards(spark, k):
     times = {("A", "1"): 2, ("A", "2"): 1, ("B", "1"): 1}
     assert out.count() == sum(times.get(r[:2], 0) for r in rows)  # pair 1 and pair 2 are listed for the first board
     assert {(r.section, r.player_id_n, r.player_name_n, r.player_id_e) for r in out.collect()} == {("A", "8", "g m", None), ("B", None, None, None)}
+
+
+def test_listed_frequencies_are_those_of_all_rows(spark, tables):
+    want = sorted(map(str, QF.board_frequencies(QF.lineup_results(spark, tables)).collect()))
+    assert sorted(map(str, QF.listed_frequencies(QF._results(spark, tables)).collect())) == want and any("count=2" in r for r in want)
