@@ -26,7 +26,7 @@ def declarer_df(spark, sf_dir, par=None):
     boards = fixtures.boards(spark, sf_dir)
     if par is not None:
         boards = boards.join(not_broadcast(par.select("deal_id", "par_ns")), "deal_id", "left")
-    res = attach_deals(with_players(fixtures.board_results(spark, sf_dir)), R.with_trick_lists(boards, dd_named(spark, sf_dir)))
+    res = attach_deals(with_players(fixtures.board_results(spark, sf_dir, by_rows=False)), R.with_trick_lists(boards, dd_named(spark, sf_dir)))
     return contracts.with_trick_flags(R.with_declarer_columns(scored_results(res)), "result", "tricks")
 
 

@@ -38,7 +38,7 @@ def shuffles(df, column: str) -> int:
     return sum(f"{column}#" in x for x in re.findall(r"\) Exchange\nInput \[\d+\]: (.*)\nArguments: hashpartitioning", plan))
 
 
-@pytest.mark.parametrize("name, most", [("feed_pipeline", 3), ("enrich_results", 2), ("french_sections", 2), ("french_lineup", 1)])
+@pytest.mark.parametrize("name, most", [("feed_pipeline", 3), ("enrich_results", 2), ("french_sections", 2), ("french_lineup", 1), ("ratings", 4)])
 def test_results_are_shuffled_once_a_join(spark, tables, name, most):
     assert shuffles(all_queries()[name].build(spark, tables), "l_linenumber") == most
 
