@@ -87,10 +87,10 @@ def board_scores(df: DataFrame, k, score_ns: str = "score_ns", score_ew: str = "
     return list_scores(frequency_matchpoints(freq, k, score_ns, score_ew), k, score_ns, score_ew)
 
 
-def list_scores(freq: DataFrame, k, score_ns: str = "score_ns", score_ew: str = "score_ew") -> DataFrame:
-    """The rows of ``frequency_matchpoints`` as one row a board (see ``board_scores``)."""
+def list_scores(freq: DataFrame, k, score_ns: str = "score_ns", score_ew: str = "score_ew", *more: Column) -> DataFrame:
+    """The rows of ``frequency_matchpoints`` as one row a board (see ``board_scores``), with ``more`` aggregates."""
     one = F.struct(F.col(score_ns).alias("ns"), F.col(score_ew).alias("ew"), "mp_ns", "mp_ew")
-    return freq.groupBy(*_keys(k)).agg(F.max("mp_top").alias("mp_top"), F.collect_list(one).alias("_scores"))
+    return freq.groupBy(*_keys(k)).agg(F.max("mp_top").alias("mp_top"), F.collect_list(one).alias("_scores"), *more)
 
 
 def listed_matchpoints(df: DataFrame, score_ns: str = "score_ns", score_ew: str = "score_ew", scores: str = "_scores") -> DataFrame:
@@ -235,29 +235,40 @@ def max_by_side(df: DataFrame, row_key, side: str, value: str, out: str) -> Data
     return df.groupBy(*_keys(row_key), side).agg(F.max(value).alias(out))
 
 
-def board_references(scores: DataFrame, refs: DataFrame, k, spec: dict[str, tuple[str, str, bool]]) -> DataFrame:
+def board_references(scores: DataFrame, refs: DataFrame, k, spec: dict[str, tuple[str, str, bool]], listed: tuple[str, str] | None = None) -> DataFrame:
     """W4, W5, W7 of values that are fixed for a board (par, a side's best double-dummy score or expected value): one row per
     row of ``refs`` with its columns, ``mp_top``, and ``mp_<name>`` and ``pct_<name>`` (a share of top + 1) for each name.
 
     ``spec`` gives each name its column in ``refs``, the score column it competes with and whether a null score counts as 0
     (W4) or as a result that beats nobody and is not beaten (par, W5).  A side's largest matchpoints over many candidates are those of
     its largest candidate, so the candidates need only be folded to their maximum before.  A board without any score has
-    nulls.  Results are folded to distinct scores before the join, so a hot board ships one row per score and task.
+    nulls; equal rows of ``refs`` are one row, for which each result counts as often as they come.  Results are folded to distinct scores
+    before the join, so a hot board ships one row per score and task, and compared with the references on the board's own row.
+    With ``listed``, the score columns of both sides, the rows also have the board's ``board_scores`` (``_scores``, and its top as ``_top``),
+    for the results that join them.
     """
     k = _keys(k)
-    used = list(dict.fromkeys(s for _, s, _ in spec.values()))
-    freq = scores.groupBy(*k, *used).agg(F.count(F.lit(1)).alias("_n"))
+    used = list(dict.fromkeys([*(listed or ()), *(s for _, s, _ in spec.values())]))
+    freq = by_key(scores.groupBy(*k, *used).agg(F.count(F.lit(1)).alias("_n")), *k)
     values = [c for c in refs.columns if c not in k]
-    j = not_broadcast(refs).join(freq, on=k, how="left")
-    aggs = [F.sum(F.when(F.col(used[0]).isNotNull(), F.col("_n"))).alias("_real")]
-    for name, (ref, score, null_is_zero) in spec.items():
-        s = F.coalesce(F.col(score), F.lit(0)) if null_is_zero else F.col(score)
-        beaten = F.when(F.col(ref) > s, F.col("_n") * 1.0).when(F.col(ref) == s, F.col("_n") / 2.0).otherwise(F.lit(0.0))
-        aggs.append(F.sum(beaten).alias(f"_mp_{name}"))
-    out = j.groupBy(*k, *values).agg(*aggs)
+    rows = F.collect_list(F.struct(*used, "_n")).alias("_freq")
+    kept = ["_top", "_scores"] if listed else []
+    boards = list_scores(frequency_matchpoints(freq, k, *listed), k, *listed, rows).withColumnRenamed("mp_top", "_top") if listed else freq.groupBy(*k).agg(rows)
+    j = not_broadcast(refs.groupBy(*k, *values).agg(F.count(F.lit(1)).alias("_times"))).join(not_broadcast(boards), on=k, how="left")
+    total = lambda start, n: F.aggregate("_freq", start, lambda a, x: a + n(x))
+
+    def beaten(ref: str, score: str, null_is_zero: bool):
+        def n(x):
+            s = F.coalesce(x[score], F.lit(0)) if null_is_zero else x[score]
+            return F.when(F.col(ref) > s, x["_n"] * 1.0).when(F.col(ref) == s, x["_n"] / 2.0).otherwise(F.lit(0.0))
+
+        return total(F.lit(0.0), n) * F.col("_times")
+
+    real = total(F.lit(0).cast("long"), lambda x: F.when(x[used[0]].isNotNull(), x["_n"]).otherwise(F.lit(0).cast("long")))
+    out = j.withColumns({"_real": F.nullif(real, F.lit(0)) * F.col("_times"), **{f"_mp_{n}": beaten(*s) for n, s in spec.items()}})
     mp = {f"mp_{n}": F.when(F.col("_real").isNotNull() & F.col(spec[n][0]).isNotNull(), F.col(f"_mp_{n}")) for n in spec}
     out = out.withColumns({"mp_top": (F.col("_real") - 1).cast("long"), **mp})
-    return out.select(*k, *values, "mp_top", *mp, *[F.try_divide(F.col(f"mp_{n}"), F.col("_real").cast("double")).alias(f"pct_{n}") for n in spec])
+    return out.select(*k, *values, "mp_top", *mp, *[F.try_divide(F.col(f"mp_{n}"), F.col("_real").cast("double")).alias(f"pct_{n}") for n in spec], *kept)
 
 
 def matchpoints_asof(new: DataFrame, freq: DataFrame, k, score: str = "score", count: str = "n", new_score: str = "new_score") -> DataFrame:

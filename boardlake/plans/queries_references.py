@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import matchpoints as mp
-from ..session import not_broadcast
+from ..session import not_broadcast, own_shuffle
 from ..sources import fixtures
 from .boards import scored_results
 from .oracle import sql_scored_results, with_fixtures
@@ -64,19 +64,20 @@ def q_mp_references(spark, sf_dir):
     """Every result with its board's matchpoints for par, the best double-dummy and the best expected score of both sides,
     their percentages, and the differences of actual, double-dummy and expected percentages."""
     board = ["session_id", "board"]
-    res = scored_results(fixtures.board_results(spark, sf_dir))
+    res = scored_results(fixtures.board_results(spark, sf_dir, by_rows=False))
     cand = _dd_candidates(spark, sf_dir)
     side = F.col("declarer").isin("N", "S")
     dd = cand.groupBy(*board).agg(F.max(F.when(side, F.col("dd_score_ns"))).alias("dd_max_ns"), F.max(F.when(~side, -F.col("dd_score_ns"))).alias("dd_max_ew"))
     ev = q_ev_by_vul(spark, sf_dir).select("deal_id", *board, "ev_max_ns", "ev_max_ew")
     refs = ev.join(not_broadcast(fixtures.par_scores(spark, sf_dir)), "deal_id").withColumn("par_ew", -F.col("par_ns")).drop("deal_id").join(not_broadcast(dd), board)
     spec = {f"{name}_{p}": (f"{name}_{p}", f"score_{p}", name != "par") for name in ("par", "dd_max", "ev_max") for p in ("ns", "ew")}
-    at = mp.board_references(res, refs, board, spec)
+    at = mp.board_references(res, refs, board, spec, ("score_ns", "score_ew"))
     for p in ("ns", "ew"):
         at = mp.max_pct(at, f"mp_dd_max_{p}", "mp_top", f"dd_pct_max_{p}")
         at = at.withColumn(f"ev_pct_max_{p}", mp.mp_pct_from_new_score(f"mp_ev_max_{p}", f"ev_max_{p}", "mp_top"))
-    own = mp.matchpoints(res, board).select(*board, "l_orderkey", "l_linenumber", "l_partkey", "pct_ns", "pct_ew")
-    out = own.join(not_broadcast(at), board)
+    facts = own_shuffle(at.drop("mp_top", "dd_max_ns", "dd_max_ew", "ev_max_ns", "ev_max_ew", "par_ns", "par_ew"), *board)
+    own = res.select(*board, "l_orderkey", "l_linenumber", "l_partkey", "score_ns", "score_ew").join(not_broadcast(facts), board)
+    out = mp.percentages(mp.listed_matchpoints(own), "_top")
     diffs = {f"dd_pct_max_diff_{p}": F.col(f"pct_{p}") - F.col(f"dd_pct_max_{p}") for p in ("ns", "ew")}
     diffs |= {f"dd_ev_pct_max_diff_{p}": F.col(f"dd_pct_max_{p}") - F.col(f"ev_pct_max_{p}") for p in ("ns", "ew")}
     return out.withColumns(diffs).select(

@@ -48,7 +48,8 @@ def dist_df(spark, sf_dir):
 
 
 def evs_df(spark, sf_dir):
-    counts = SD.name_codes(SD.trick_counts(fixtures.sd_samples(spark, sf_dir)))
+    # counted by letters, so that what is grouped by them later is not shuffled again
+    counts = SD.trick_counts(SD.name_codes(fixtures.sd_samples(spark, sf_dir)), ("deal_id", "pair", "declarer", "strain"))
     return SD.expected_values(counts, keep_numerator=True)
 
 

@@ -38,7 +38,7 @@ def shuffles(df, column: str) -> int:
     return sum(f"{column}#" in x for x in re.findall(r"\) Exchange\nInput \[\d+\]: (.*)\nArguments: hashpartitioning", plan))
 
 
-@pytest.mark.parametrize("name, most", [("feed_pipeline", 3), ("enrich_results", 2), ("french_sections", 2), ("french_lineup", 1), ("ratings", 4)])
+@pytest.mark.parametrize("name, most", [("feed_pipeline", 3), ("enrich_results", 2), ("french_sections", 2), ("french_lineup", 1), ("ratings", 4), ("mp_references", 1)])
 def test_results_are_shuffled_once_a_join(spark, tables, name, most):
     assert shuffles(all_queries()[name].build(spark, tables), "l_linenumber") == most
 
@@ -54,6 +54,15 @@ def test_listed_matchpoints_are_matchpoints(spark):
     assert len(want) == sum(r[0] is not None for r in rows)
 
 
+def test_equal_references_count_together_and_keep_the_scores(spark):
+    df = spark.createDataFrame([(1, 50, -50), (1, 50, -50), (1, None, None), (1, 110, -110), (None, 10, -10)], "b int, score_ns int, score_ew int")
+    refs = spark.createDataFrame([(1, 100), (1, 100), (1, 110), (2, 0), (None, 0)], "b int, par int")
+    out = mp.board_references(df, refs, "b", {"par": ("par", "score_ns", False)}, ("score_ns", "score_ew"))
+    got = {(r.b, r.par): (r.mp_top, r.mp_par, r["_top"], None if r["_scores"] is None else sorted((x.ns, x.mp_ns, x.mp_ew) for x in r["_scores"] if x.ns)) for r in out.collect()}
+    scores = [(50, 0.5, 1.5), (110, 2.0, 0.0)]
+    assert got == {(1, 100): (5, 4.0, 2, scores), (1, 110): (2, 2.5, 2, scores), (2, 0): (None, None, None, None), (None, 0): (None, None, None, None)}
+
+
 def test_trick_lists_give_a_row_for_each_row(spark):
     dd = spark.createDataFrame([(1, "N", "S", 10), (1, "N", "S", 7), (1, "E", "N", None), (1, "E", "N", 0), (1, "Q", "S", 3), (1, None, "S", 4), (2, "W", "C", 13), (None, "N", "S", 5)],
                                "deal_id int, declarer string, strain string, tricks int")
